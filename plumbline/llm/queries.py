@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing
+from plumbline.llm import mixing, packing
 
-QUERIES = {"op1_mixing": mixing.op1_mixing}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op3_packing": packing.op3_packing,
+}
 ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL}
