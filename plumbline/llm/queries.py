@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, packing
+from plumbline.llm import mixing, packing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_packing": packing.op3_packing,
+    "op4_simhash": simhash.op4_simhash,
 }
 ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL}
