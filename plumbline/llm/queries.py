@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, packing, simhash
+from plumbline.llm import exact_stream, mixing, packing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
+    "op8_exact": exact_stream.op8_exact,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op8_exact": exact_stream.OP8_SQL}
