@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_stream, mixing, packing, simhash, warc
+from plumbline.llm import exact_stream, itq, mixing, packing, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
+    "op5_itq": itq.op5_itq,
     "op8_exact": exact_stream.op8_exact,
     "op10_warc": warc.op10_warc,
 }
