@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_stream, itq, mixing, packing, simhash, warc
+from plumbline.llm import exact_stream, itq, lines, mixing, packing, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,12 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_itq": itq.op5_itq,
     "op8_exact": exact_stream.op8_exact,
+    "op9_lines": lines.op9_lines,
     "op10_warc": warc.op10_warc,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op8_exact": exact_stream.OP8_SQL, "op10_warc": warc.OP10_SQL}
+ORACLE_SQL = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op8_exact": exact_stream.OP8_SQL,
+    "op9_lines": lines.OP9_SQL,
+    "op10_warc": warc.OP10_SQL,
+}
