@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_stream, itq, lines, mixing, packing, simhash, warc
+from plumbline.llm import exact_stream, itq, lines, mixing, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_quality": quality.op2_quality,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_itq": itq.op5_itq,
