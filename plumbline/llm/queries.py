@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_stream, itq, lines, mixing, packing, quality, simhash, warc
+from plumbline.llm import exact_stream, itq, lines, mixing, packing, passages, quality, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,12 +10,14 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_itq": itq.op5_itq,
+    "op7_passages": passages.op7_passages,
     "op8_exact": exact_stream.op8_exact,
     "op9_lines": lines.op9_lines,
     "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op7_passages": passages.OP7_SQL,
     "op8_exact": exact_stream.OP8_SQL,
     "op9_lines": lines.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
