@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_stream, itq, lines, mixing, packing, passages, quality, simhash, warc
+from plumbline.llm import exact_stream, itq, lines, mixing, packing, passages, pii, quality, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_itq": itq.op5_itq,
+    "op6_pii": pii.op6_pii,
     "op7_passages": passages.op7_passages,
     "op8_exact": exact_stream.op8_exact,
     "op9_lines": lines.op9_lines,
