@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.tables import materialize, new_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: State on disk. Each partition's store takes the disk it fills, not blocks allocated ahead, and a batch
+#: uploads its changes, not the whole store again.
+STATE_CONF = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 FILES_PER_TRIGGER = 64
 
 
@@ -54,10 +61,10 @@ def update_state(
     def keep(changes: DataFrame, batch: int) -> None:
         changes.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/changes/part={batch}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
     try:
+        for key, value in STATE_CONF.items():
+            spark.conf.set(key, value)
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", f"{folder}/stream")
@@ -67,7 +74,8 @@ def update_state(
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def latest_state(spark: SparkSession, folder: str) -> DataFrame:
