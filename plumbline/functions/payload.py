@@ -60,11 +60,14 @@ def _children(value: Column) -> Column:
     return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
 
 
-def schema_entries(payload: Column, depth: int = 4) -> Column:
-    """array<struct<path, type>> of a payload, sorted by path; an object appears itself and with its fields.
+_ENTRIES = "array<struct<path:string,type:string>>"
+
+
+def raw_entries(root: Column, depth: int = 4) -> Column:
+    """array<struct<path, type>> of a variant, unsorted; an object appears itself and with its fields.
 
-    Objects deeper than `depth` levels appear without their fields. A payload that is no object is one
-    entry <root>. Where a dotted key equals a nested path the last one counts.
+    Objects deeper than `depth` levels appear without their fields. A value that is no object is one entry
+    <root>.
     """
     entry = lambda path, kind: F.struct(path.alias("path"), kind.alias("type"))
 
@@ -75,16 +78,22 @@ def schema_entries(payload: Column, depth: int = 4) -> Column:
             if levels == 1:
                 return own
             deeper = below(e["value"], F.concat(path, F.lit(".")), levels - 1)
-            return F.concat(own, F.coalesce(deeper, F.array().cast("array<struct<path:string,type:string>>")))
+            return F.concat(own, F.coalesce(deeper, F.array().cast(_ENTRIES)))
 
         return F.flatten(F.transform(_children(value), one))
 
-    root = variant(payload)
-    found = F.coalesce(below(root, F.lit(""), depth), F.array(entry(F.lit(ROOT), token(root))))
-    last = F.filter(
-        found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["path"] == e["path"])
-    )
-    return F.array_sort(F.when(F.size(found) == F.size(F.array_distinct(F.transform(found, lambda e: e["path"]))), found).otherwise(last))
+    return F.coalesce(below(root, F.lit(""), depth), F.array(entry(F.lit(ROOT), token(root))))
+
+
+def sorted_entries(found: Column) -> Column:
+    """Entries by path; where a dotted key equals a nested path the last one counts."""
+    later = lambda e, i: F.exists(F.slice(found, i + 2, F.size(found)), lambda x: x["path"] == e["path"])
+    return F.array_sort(F.filter(found, lambda e, i: ~later(e, i)))
+
+
+def schema_entries(payload: Column, depth: int = 4) -> Column:
+    """The schema of a payload: its entries sorted by path."""
+    return sorted_entries(raw_entries(variant(payload), depth))
 
 
 def schema_json(entries: Column) -> Column:

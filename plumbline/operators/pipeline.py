@@ -24,13 +24,13 @@ def process(
     repeated id, repeated payload, schema drift, null spikes, anomaly spikes. known: schema baselines that
     hold already; by default the first schemas of these events.
     """
-    df = enrich(events)
+    observed = schemas.prepare(enrich(events), settings, known)
     df = alerts.add(
-        df, fields.late_event(settings), *fields.field_ranges(settings), *fields.field_formats(settings), *[d(settings) for d in detectors]
+        observed, fields.late_event(settings), *fields.field_ranges(settings), *fields.field_formats(settings), *[d(settings) for d in detectors]
     )
-    df = duplicates.detect(df, settings)
-    df = schemas.detect(schemas.prepare(df, settings, known))
-    df = spikes.detect(df, settings)
+    df = schemas.detect(duplicates.detect(df, settings))
+    # the spike detectors read the events, not what the stages before have made of them
+    df = spikes.detect(df, observed, settings)
     df = df.drop("schema", "schema_hash", "baseline", "baseline_hash")
     return df.withColumn("quality_status", alerts.quality_status(F.col("alerts")))
 

@@ -12,7 +12,9 @@ from plumbline.operators.alerts import add, alert, where
 
 def observe(events: DataFrame, depth: int = 4) -> DataFrame:
     """Add schema (sorted entries) and schema_hash of the payload."""
-    df = events.withColumn("schema", P.schema_entries(F.col("payload"), depth))
+    # step by step, so that each payload is parsed and walked through once
+    df = events.withColumn("__variant", P.variant(F.col("payload"))).withColumn("__entries", P.raw_entries(F.col("__variant"), depth))
+    df = df.withColumn("schema", P.sorted_entries(F.col("__entries"))).drop("__variant", "__entries")
     return df.withColumn("schema_hash", P.schema_hash(F.col("schema")))
 
 

@@ -111,10 +111,10 @@ def _anomaly_alerts(spikes: DataFrame, settings: Settings) -> DataFrame:
     return spikes.select("seq", F.array(alert("ANOMALY_SPIKE", "WARN", message, evidence)).alias("anomaly_alerts"))
 
 
-def detect(observed: DataFrame, settings: Settings) -> DataFrame:
-    """Append null spike alerts (by field), then anomaly alerts. seq must tell events apart."""
+def detect(df: DataFrame, observed: DataFrame, settings: Settings) -> DataFrame:
+    """Append to df null spike alerts (by field), then anomaly alerts, found in observed. seq must tell events apart."""
     nulls = _null_alerts(null_spikes(null_samples(observed, settings), settings), settings)
     anomalies = _anomaly_alerts(anomaly_spikes(observed, settings), settings)
-    found = observed.join(nulls, "seq", "left").join(anomalies, "seq", "left")
+    found = df.join(nulls, "seq", "left").join(anomalies, "seq", "left")
     none = F.array().cast(found.schema["null_alerts"].dataType)
     return add(found, F.coalesce("null_alerts", none), F.coalesce("anomaly_alerts", none)).drop("null_alerts", "anomaly_alerts")
