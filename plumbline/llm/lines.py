@@ -12,10 +12,12 @@ from plumbline.llm.tables import materialize
 #: Lines that differ in so many inserted, deleted or replaced characters count as the same line.
 MAX_EDITS = 1
 SEGMENTS = MAX_EDITS + 1
+#: Columns of a line's first keys: (name, role, segment left out).
+KEYS = [(f"key_{role}_{part}", role, part) for role in (0, 1) for part in range(SEGMENTS)]
 #: Shorter lines (normalised) are left alone: short ones repeat by chance.
 MIN_CHARS = 20
 #: Pairs are formed in buckets of so many lines at most; larger ones split into finer segments.
-BUCKET = 16
+BUCKET = 4
 #: A wild stretch of so few characters is resolved character by character.
 SHORT_STRETCH = 4
 #: Rows of the filter that is broadcast: hashes of the lines whose texts are looked at again.
@@ -24,7 +26,11 @@ FILTER_SLOTS = 1 << 20
 
 def normalized(line: Column) -> Column:
     """Lower case, white space (ASCII) as single spaces, none at the ends."""
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    # most lines need no replacement, and to see that takes a fraction of its time
+    odd = line.contains("  ")
+    for char in "\t\r\v\f":
+        odd |= line.contains(char)
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -70,33 +76,30 @@ def _bucketed(entries: DataFrame) -> DataFrame:
     return entries.join(sizes.where("n0 > 0 AND n > 1").select("key", "n"), "key")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Pairs of a bucket: two indexed lines, or an indexed and a probing one. Buckets hold BUCKET lines at most."""
+def _pairs(met: DataFrame, parts: int) -> DataFrame:
+    """Pairs of a bucket: two indexed lines, or an indexed and a probing one, with the segment that is left out."""
     a = met.where("role = 0").select("key", F.col("c1").alias("a1"), F.col("c2").alias("a2"))
-    b = met.select("key", "role", F.col("c1").alias("b1"), F.col("c2").alias("b2"))
+    b = met.select("key", "role", "part", F.col("c1").alias("b1"), F.col("c2").alias("b2"))
     once = (F.col("role") == 1) | (F.struct("a1", "a2") < F.struct("b1", "b2"))
-    return a.join(b, "key").where(once).select("a1", "a2", "b1", "b2")
+    return a.join(b, "key").where(once).select("a1", "a2", "b1", "b2", "role", F.lit(parts).alias("parts"), "part")
 
 
 def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
-    """Whether two strings are within so many edits, by bit-parallel simulation of a band of diagonals.
+    """Whether two arrays of characters are within so many edits, by bit-parallel simulation of a band of diagonals.
 
     Word e holds a bit for each diagonal from -edits to edits: whether the characters of a so far match
     those of b up to that diagonal with e edits. A character of a costs a few word operations for all
     diagonals at once: equal characters stay, a replaced one comes from the word before, an inserted or
-    deleted one from the word before shifted.
+    deleted one from the word before shifted. a and b must be plain columns, as each step reads them.
     """
     width, mask = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
-    chars = F.split(b, "")
     start = F.array(*[F.lit(sum(1 << (edits + d) for d in range(e + 1))).cast("long") for e in range(edits + 1)])
 
-    def step(state: Column, pair: Column) -> Column:
+    def step(state: Column, i: Column) -> Column:
+        c = F.get(a, i)
         match = reduce(
             lambda x, y: x.bitwiseOR(y),
-            [
-                F.when(F.get(chars, pair["i"] + F.lit(k - edits)) == pair["c"], F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-                for k in range(width)
-            ],
+            [F.when(F.get(b, i + F.lit(k - edits)) == c, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(width)],
         )
         words = [F.element_at(state, 1).bitwiseAND(match)]
         for e in range(1, edits + 1):
@@ -105,12 +108,36 @@ def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
             words.append(kept.bitwiseOR(moved).bitwiseAND(F.lit(mask).cast("long")))
         return F.array(*words)
 
-    steps = F.transform(F.split(a, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    apart = F.length(b) - F.length(a)
-    last = F.element_at(F.aggregate(F.when(F.length(a) > 0, steps).otherwise(F.array().cast("array<struct<c:string,i:int>>")), start, step), edits + 1)
+    apart = F.size(b) - F.size(a)
+    places = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+    last = F.element_at(F.aggregate(places, start, step), edits + 1)
     return F.when(F.abs(apart) <= edits, F.getbit(last, F.lit(edits) + apart) == 1).otherwise(F.lit(False))
 
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The later of each pair of lines that are within MAX_EDITS: (c1, c2).
+
+    Outside of the segment left out the lines must be equal; only its characters go through the edit distance.
+    """
+    side = lambda s: texts.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("line").alias(f"line_{s}"), F.col("rank").alias(f"rank_{s}"))
+    both = pairs.dropDuplicates(["a1", "a2", "b1", "b2"]).join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    both = both.where(F.length("line_b") - F.col("role") == F.length("line_a"))
+    bounds = [F.floor(F.length("line_a") * k / F.col("parts")).cast("int") for k in (F.col("part"), F.col("part") + 1)]
+    both = both.withColumn("start", bounds[0]).withColumn("end", bounds[1])
+    cut = lambda line, at, to: F.substring(F.col(line), at, to)
+    one, start, end, shift = F.lit(1), F.col("start"), F.col("end"), F.col("role")
+    equal = (cut("line_a", one, start) == cut("line_b", one, start)) & (
+        cut("line_a", end + 1, F.length("line_a")) == cut("line_b", end + 1 + shift, F.length("line_b"))
+    )
+    chars = lambda line, n: F.filter(F.split(F.substring(F.col(line), start + 1, n), ""), lambda c: c != "")
+    rest = both.where(equal).select(
+        "a1", "a2", "b1", "b2", "rank_a", "rank_b", chars("line_a", end - start).alias("chars_a"), chars("line_b", end - start + shift).alias("chars_b")
+    )
+    near = rest.where(within_edits(F.col("chars_a"), F.col("chars_b")))
+    later = F.col("rank_a") > F.col("rank_b")
+    return near.select(F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("c1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("c2"))
+
+
 def _without(line: Column, at: Column) -> Column:
     return F.concat(F.substring(line, F.lit(1), at), F.substring(line, at + 2, F.length(line)))
 
@@ -151,19 +178,20 @@ def _resolved(dense: DataFrame, parts: int) -> DataFrame:
 def near_lines(occurrences: DataFrame, classes: DataFrame) -> DataFrame:
     """(c1, c2) of the line classes that have an earlier class within MAX_EDITS.
 
-    classes: (c1, c2, rank, keys); its keys leave out one of SEGMENTS segments each. Where a bucket holds
+    classes: (c1, c2, rank and KEYS); the keys leave out one of SEGMENTS segments each. Where a bucket holds
     more than BUCKET lines its segment is halved again and again, so that the lines of a bucket agree in
     more and more of their characters, until few are left or the rest is one short stretch.
     """
     parts = SEGMENTS
-    entries = classes.select("c1", "c2", F.inline("keys"))
+    each = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(part).alias("part"), F.col(name).alias("key")) for name, role, part in KEYS])
+    entries = classes.select("c1", "c2", F.inline(each))
     met = materialize(_bucketed(entries), "lines-met")
     slot = F.pmod(F.col("c1"), F.lit(FILTER_SLOTS)).cast("int")
     wanted = met.select("c1", "c2").distinct()
     slots = met.select(slot.alias("slot")).distinct()  # FILTER_SLOTS rows at most
     lines = occurrences.join(F.broadcast(slots), slot == F.col("slot"), "left_semi").groupBy("c1", "c2").agg(F.any_value("line").alias("line"))
     texts = materialize(lines.join(wanted, ["c1", "c2"]).join(classes.select("c1", "c2", "rank"), ["c1", "c2"]), "lines-texts")
-    pairs, gone = _pairs(met.where(F.col("n") <= BUCKET)), None
+    pairs, gone = _pairs(met.where(F.col("n") <= BUCKET), parts), None
     while True:
         dense = met.where(F.col("n") > BUCKET)
         if dense.isEmpty():
@@ -177,16 +205,8 @@ def near_lines(occurrences: DataFrame, classes: DataFrame) -> DataFrame:
         halves = dense.where(~short).select("c1", "c2", "role", "line", F.explode(F.array(F.col("part") * 2, F.col("part") * 2 + 1)).alias("part"))
         children = halves.select("c1", "c2", "role", "part", _segment_key(F.col("line"), parts, F.col("part"), F.col("role")).alias("key"))
         met = materialize(_bucketed(children), "lines-met")
-        pairs = pairs.unionByName(_pairs(met.where(F.col("n") <= BUCKET)))
-    side = lambda s: texts.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("line").alias(f"line_{s}"), F.col("rank").alias(f"rank_{s}"))
-    near = (
-        pairs.distinct()
-        .join(side("a"), ["a1", "a2"])
-        .join(side("b"), ["b1", "b2"])
-        .where(within_edits(F.col("line_a"), F.col("line_b")))
-    )
-    later = F.col("rank_a") > F.col("rank_b")
-    late = near.select(F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("c1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("c2"))
+        pairs = pairs.unionByName(_pairs(met.where(F.col("n") <= BUCKET), parts))
+    late = _verified(pairs, texts)
     return (late if gone is None else late.unionByName(gone)).distinct()
 
 
@@ -202,21 +222,16 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     same id and text share their positions, so both keep a line that is the first. An empty table gives none.
     """
     occurrences = _occurrences(docs, id_col, text_col, min_chars)
-    line = F.col("line")
-    keys = F.array(
-        *[
-            F.struct(F.lit(role).alias("role"), F.lit(part).alias("part"), _segment_key(line, SEGMENTS, F.lit(part), F.lit(role)).alias("key"))
-            for role in (0, 1)
-            for part in range(SEGMENTS)
-        ]
-    )
+    keys = [_segment_key(F.col("line"), SEGMENTS, F.lit(part), F.lit(role)).alias(name) for name, role, part in KEYS]
+    # one pass over the texts gives what the classes and the removal need of every line
+    places = materialize(occurrences.select("row_a", "row_b", "doc_id", "line_no", "c1", "c2", *keys), "lines-places")
     classes = materialize(
-        occurrences.select("c1", "c2", F.struct("doc_id", "line_no", "c1", "c2").alias("rank"), keys.alias("keys"))
-        .groupBy("c1", "c2")
-        .agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.any_value("keys").alias("keys")),
+        places.groupBy("c1", "c2").agg(
+            F.min(F.struct("doc_id", "line_no", "c1", "c2")).alias("rank"), F.count("*").alias("n"), *[F.max(k[0]).alias(k[0]) for k in KEYS]
+        ),
         "lines-classes",
     )
-    near = near_lines(occurrences, classes).withColumn("near", F.lit(True))
+    near = materialize(near_lines(occurrences, classes), "lines-near").withColumn("near", F.lit(True))
     verdicts = (
         classes.select("c1", "c2", "n", F.col("rank.doc_id").alias("first_doc"), F.col("rank.line_no").alias("first_line"))
         .join(near, ["c1", "c2"], "left")
@@ -224,8 +239,7 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
     removed = (
-        occurrences.drop("line")
-        .join(verdicts, ["c1", "c2"])
+        places.select("row_a", "row_b", "doc_id", "line_no", "c1", "c2").join(verdicts, ["c1", "c2"])
         .where(F.coalesce(F.col("near"), F.lit(False)) | ~first)
         .groupBy("row_a", "row_b")
         .agg(F.collect_set("line_no").alias("removed_lines"))
