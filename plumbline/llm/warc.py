@@ -61,9 +61,11 @@ def warc_records(
     if time is None:
         time = F.timestamp_seconds(F.lit(1704067200) + F.coalesce(page, F.lit(0)))
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
+    # as a header can hold it, so that the runs are in the order of the keys that are read back
+    url = F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"[\r\n]", " ")
     source = pages.select(
         page.alias("page_id"),
-        F.col(f"`{url_col}`").cast("string").alias("url"),
+        url.alias("url"),
         F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at"),
         payload.alias("payload"),
         F.sha2(payload, 256).alias("digest"),
