@@ -133,6 +133,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rest = both.where(equal).select(
         "a1", "a2", "b1", "b2", "rank_a", "rank_b", chars("line_a", end - start).alias("chars_a"), chars("line_b", end - start + shift).alias("chars_b")
     )
+    # stored, as a filter would else move below the split and split the text anew at every step
+    rest = materialize(rest, "lines-pairs")
     near = rest.where(within_edits(F.col("chars_a"), F.col("chars_b")))
     later = F.col("rank_a") > F.col("rank_b")
     return near.select(F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("c1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("c2"))
