@@ -18,7 +18,9 @@ WINDOW_WORDS = 35
 #: Window hashes that one task compares at once, in the search for anchors and in the check of whole windows.
 BUCKET_HASHES = 8_000_000
 #: Words of the documents that one task reads again together.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 500_000
+#: Words whose windows a task holds at once before it sends them.
+SEND_WORDS = 1_000_000
 MIN_BUCKETS = 64
 #: Hashes of words that a Python worker remembers.
 CACHE_WORDS = 500_000
@@ -125,25 +127,29 @@ def _repeated_anchors(texts: DataFrame, window: int, buckets: int) -> DataFrame:
     """
     block = (window + 1) // 2
 
+    def packed(every: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
+        none = [np.zeros(0, np.uint64)]
+        once, more = _once_and_more(_codes(np.concatenate(every or none), buckets))
+        blocks = np.unique(_codes(np.concatenate(own or none), buckets))
+        rows = [(bucket, kind, rest.tobytes()) for kind, codes in (("once", once), ("more", more), ("block", blocks)) for bucket, rest in _split(codes)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+        arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, ["bucket", "kind", "rests"])
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, own, held = [], [], 0
         for batch in batches:
-            every, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for text in batch.column("text"):
                 words = _words(text)
                 if len(words) >= window:
                     found = rolling(word_hashes(words), block, BASES[0])
                     every.append(found)
-                    own.append(found[::block])
-            once, more = _once_and_more(_codes(np.concatenate(every), buckets))
-            rows = [
-                (bucket, kind, rest.tobytes())
-                for kind, codes in (("once", once), ("more", more), ("block", np.unique(_codes(np.concatenate(own), buckets))))
-                for bucket, rest in _split(codes)
-            ]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary())], ["bucket", "kind", "rests"]
-            )
+                    own.append(found[::block].copy())
+                    held += len(found)
+                if held >= SEND_WORDS:
+                    yield packed(every, own)
+                    every, own, held = [], [], 0
+        yield packed(every, own)
 
     def probed(group: pa.Table) -> pa.Table:
         held: dict[str, list[np.ndarray]] = {"once": [], "more": [], "block": []}
