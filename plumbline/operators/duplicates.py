@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings, iso_duration
@@ -35,6 +35,12 @@ def first_of_payload(events: DataFrame, window: float, key: str = "payload_hash"
     return df.withColumn("first_event_id", F.when(earlier, F.col("__first.event_id"))).drop("__at", "__first")
 
 
+def payload_matches(events: DataFrame, payload_hash: str, after: Column, event_id: str) -> DataFrame:
+    """The first event with a payload that came after a time under another id, if there is one."""
+    other = (F.col("payload_hash") == payload_hash) & (F.col("received_at") > after) & (F.col("event_id") != event_id)
+    return events.where(other).orderBy("received_at", "seq").limit(1)
+
+
 def detect(events: DataFrame, settings: Settings) -> DataFrame:
     """Append duplicate alerts: first of the id, then of the payload of another event."""
     df = first_of_payload(repeated_ids(events, settings.duplicate_window), settings.duplicate_window)

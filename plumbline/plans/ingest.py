@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
@@ -33,6 +33,18 @@ def stale_rows(found: DataFrame) -> DataFrame:
     return _shaped(found.withColumn("id", own).withColumn("status", F.lit("OPEN")), "quality_alerts")
 
 
+def receipt(valid: DataFrame) -> DataFrame:
+    """One row for a batch that was taken in: a random batch_id and the number of events."""
+    return valid.agg(F.count("*").alias("accepted")).select(F.uuid().alias("batch_id"), "accepted")
+
+
+def counted(processed: DataFrame, observation: Observation) -> DataFrame:
+    """The same rows; once they are written, the observation has events_ingested and alerts_fired."""
+    return processed.observe(
+        observation, F.count(F.lit(1)).alias("events_ingested"), F.coalesce(F.sum(F.size("alerts")), F.lit(0)).alias("alerts_fired")
+    )
+
+
 def ingest(store: Store, events: DataFrame, part: int, settings: Settings, now: Column) -> DataFrame:
     """Process a batch of events and write its part of each table; returns the rejected events.
 

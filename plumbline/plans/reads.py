@@ -98,3 +98,18 @@ def percent(value: Column) -> Column:
 
 def short_hash(value: Column) -> Column:
     return F.substring(value, 1, 12)
+
+
+#: Columns of what a client is shown of each table; alerts without their incident.
+RESPONSES = {
+    "raw_events": "id event_id source event_type event_timestamp received_at payload_json payload_hash quality_status".split(),
+    "quality_alerts": "id alert_type severity source event_type field_path message evidence_json created_at resolved_at status acknowledged_by acknowledged_at root_cause".split(),
+    "schema_versions": "event_type schema_hash schema_json first_seen_at last_seen_at status".split(),
+    "metric_windows": "source event_type window_start window_end metric_name metric_value".split(),
+    "source_health": "source status last_seen_at events_last_5m events_last_1h duplicate_rate late_event_rate null_rate health_score updated_at".split(),
+    "alert_incidents": "id title description status source event_type created_at resolved_at".split(),
+}
+
+
+def response(rows: DataFrame, table: str) -> DataFrame:
+    return rows.select(*RESPONSES[table])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.config import Settings
 from plumbline.functions.timing import plus
@@ -51,16 +52,20 @@ def process_batch(store: Store, batch: DataFrame, number: int, settings: Setting
     store.write("processed", done.select(*_ENVELOPE, "payload_hash", "alerts", "quality_status"), number)
 
 
+def start(stream: DataFrame, folder: str, settings: Settings, every: str | None = None) -> tuple[Store, StreamingQuery]:
+    """Start to process the stream: all that it has now, or on and on with a batch `every` so often ('1 second').
+
+    A later start with the same folder goes on from where this one ends.
+    """
+    store = Store(stream.sparkSession, f"{folder}/tables", _schemas(stream.schema["received_at"].dataType.simpleString()))
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    return store, writer.foreachBatch(lambda batch, number: process_batch(store, batch, number, settings)).start()
+
+
 def run(stream: DataFrame, folder: str, settings: Settings) -> Store:
-    """Process all that the stream has now; a later call with the same folder goes on from there."""
-    spark = stream.sparkSession
-    store = Store(spark, f"{folder}/tables", _schemas(stream.schema["received_at"].dataType.simpleString()))
-    query = (
-        stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: process_batch(store, batch, number, settings))
-        .start()
-    )
+    """Process all that the stream has now, and wait for it."""
+    store, query = start(stream, folder, settings)
     query.awaitTermination()
     return store
 

@@ -75,6 +75,27 @@ def test_ingest_refresh_and_reads(spark):
     assert summary.total_events == 25 and summary.active_sources == 4 and summary.unhealthy_sources >= 1
 
 
+def test_receipts_counters_and_responses(spark):
+    from pyspark.sql import Observation
+
+    from plumbline.operators.duplicates import payload_matches
+    from plumbline.operators.envelope import enrich
+    from plumbline.plans.ingest import counted, raw_events, receipt
+
+    events = scenario(spark, "field-range", NOW)
+    first, second = receipt(events).first(), receipt(events).first()
+    assert first.accepted == 1 and first.batch_id != second.batch_id
+    seen = Observation()
+    done = counted(process(events, DEMO_SETTINGS), seen)
+    assert reads.response(raw_events(done), "raw_events").first().event_id == "demo-range-t1"
+    assert seen.get == {"events_ingested": 1, "alerts_fired": 1}
+    rows = enrich(scenario(spark, "duplicate-events", NOW))
+    digest = rows.first().payload_hash
+    assert payload_matches(rows, digest, F.lit(NOW - timedelta(seconds=1)), "other").count() == 1
+    assert payload_matches(rows, digest, F.lit(NOW), "other").count() == 0
+    assert payload_matches(rows, digest, F.lit(NOW - timedelta(seconds=1)), "demo-dup-t1").count() == 0
+
+
 def test_empty_store(spark):
     store = Store(spark, new_folder(spark))
     assert store.read("quality_alerts").count() == 0 and store.read("raw_events", before=3).count() == 0
