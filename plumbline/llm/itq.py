@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import acos, comb, pi, prod
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,11 @@ THRESHOLD = 0.95
 #: The rotation is learned on so many vectors at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
 ROTATION_ROUNDS = 50
-#: Codes are cut into substrings of about log2(vectors) bits, between these.
-SUBSTRING_BITS = (16, 32)
-#: A table looks up all substrings that differ in so many bits at most.
-SUBSTRING_RADIUS = 1
+#: Codes are cut into substrings of about log2(vectors) bits, between these. Wider ones would need probes in
+#: the ten thousands for the same recall, so beyond four million vectors buckets grow instead.
+SUBSTRING_BITS = (16, 22)
+#: Tables look up substrings in so wide a radius that this share of pairs at the threshold meets in one of them.
+MEETING = 0.93
 #: Codes that differ in more bits are not compared; at a cosine of 0.95 the mean is 6.5 of 64 bits.
 CODE_RADIUS = 16
 #: Buckets with more pairs of a probing and an indexed code are compared whole.
@@ -55,11 +58,24 @@ def encode(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.
 def substrings(bits: int, rows: int) -> list[tuple[int, int]]:
     """(first bit, bits) of each substring."""
     wanted = min(max(int(np.ceil(np.log2(max(rows, 2)))), SUBSTRING_BITS[0]), SUBSTRING_BITS[1])
-    parts = max(1, bits // wanted)
+    parts = max(1, bits // wanted, -(-bits // SUBSTRING_BITS[1]))
     cuts = [round(k * bits / parts) for k in range(parts + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def substring_radius(parts: list[tuple[int, int]], threshold: float) -> int:
+    """Bits that a substring looked up may differ in, for MEETING of the pairs at the threshold to meet.
+
+    A bit differs with the probability of a random plane between the two; bits count as independent.
+    """
+    p = acos(min(max(threshold, -1.0), 1.0)) / pi
+    for radius in range(max(bits for _, bits in parts)):
+        within = [sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1)) for _, bits in parts]
+        if 1 - prod(1 - w for w in within) >= MEETING:
+            return radius
+    return max(bits for _, bits in parts)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
@@ -75,14 +91,14 @@ def _codes(vectors: DataFrame, mean: np.ndarray, projection: np.ndarray) -> Data
 
 
 def _keyed(codes: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
-    """(bucket, rep, code) for each table and each substring within the radius (0 or 1)."""
+    """(bucket, rep, code) for each table and each substring within the radius."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code = batch.column("code").to_numpy()
             for table, (at, bits) in enumerate(parts):
                 part = ((code.view(np.uint64) >> np.uint64(at)).astype(np.int64)) & ((1 << bits) - 1)
-                for flip in [0, *(1 << np.arange(bits))] if radius else [0]:
+                for flip in (sum(1 << b for b in places) for k in range(radius + 1) for places in combinations(range(bits), k)):
                     bucket = (table << 56) | (part ^ flip)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(bucket), batch.column("rep"), batch.column("code")], ["bucket", "rep", "code"]
@@ -103,7 +119,7 @@ def _local_roots(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.n
         of_x, of_y = new_x, new_y
 
 
-def _compare(blocks: DataFrame, parts: list[tuple[int, int]], threshold: float) -> DataFrame:
+def _compare(blocks: DataFrame, parts: list[tuple[int, int]], radius: int, threshold: float) -> DataFrame:
     """Compare each block's probing vectors with its indexed ones: (rep, links, root) by block and vector."""
     masks = [np.uint64(((1 << bits) - 1) << at) for at, bits in parts]
 
@@ -114,7 +130,7 @@ def _compare(blocks: DataFrame, parts: list[tuple[int, int]], threshold: float)
         apart = codes[probing][:, None] ^ codes[~probing][None, :]
         counted = linked.copy()  # a pair counts in the first table that finds it
         for mask in masks[:table]:
-            counted &= np.bitwise_count(apart & mask) > SUBSTRING_RADIUS
+            counted &= np.bitwise_count(apart & mask) > radius
         links = (counted * weights[~probing][None, :]).sum(axis=1)
         roots = _local_roots(linked, x, y)
         return np.concatenate([x, y]), np.concatenate([links, np.zeros(len(y), np.int64)]), np.concatenate(roots)
@@ -191,8 +207,9 @@ def embedding_groups(
     matrix = np.stack([np.asarray(v, np.float64) for v in sample])
     mean, projection = learn_rotation(matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
     parts = substrings(projection.shape[1], count)
+    radius = substring_radius(parts, threshold)
     codes = materialize(_codes(classes, mean, projection), "codes")
-    probes = _keyed(codes, parts, SUBSTRING_RADIUS).toDF("bucket", "x", "x_code")
+    probes = _keyed(codes, parts, radius).toDF("bucket", "x", "x_code")
     index = _keyed(codes, parts, 0).toDF("bucket", "y", "y_code")
     near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x_code").bitwiseXOR(F.col("y_code"))) <= CODE_RADIUS)
     x_end = F.struct(F.lit(1).alias("probing"), F.col("x").alias("rep"), F.col("x_code").alias("code"))
@@ -219,7 +236,7 @@ def embedding_groups(
         .repartition("bucket", "x_block", "y_block")
         .sortWithinPartitions("bucket", "x_block", "y_block")
     )
-    links = materialize(_compare(blocks, parts, threshold), "links")
+    links = materialize(_compare(blocks, parts, radius, threshold), "links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     named = (

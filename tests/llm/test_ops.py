@@ -234,6 +234,22 @@ def test_embedding_recall_on_the_table(spark):
     assert sum(got.values()) >= 0.9 * sum(want.values()) and all(got[k] <= want[k] for k in got)
 
 
+@pytest.mark.parametrize("rows", [1 << 12, 1 << 17, 1 << 22])
+def test_embedding_recall_at_every_size(spark, monkeypatch, rows):
+    cut = itq.substrings
+    monkeypatch.setattr(itq, "substrings", lambda bits, _: cut(bits, rows))
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(size=(2, 500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.96, (500, 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * z
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    got = [r.n_links for r in itq.embedding_groups(df).collect()]
+    assert 0.9 * 1000 <= sum(got) <= 1000
+
+
 # 6
 
 PRIVATE = (
