@@ -9,7 +9,7 @@ from plumbline.llm.lines import deduplicate_lines
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.quality import accepted_documents
-from plumbline.llm.simhash import keep_first_of_groups
+from plumbline.llm.resemblance import keep_first_of_similar
 from plumbline.llm.tables import materialize
 
 #: Words in a shingle of the near-duplicate stage.
@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return keep_first_of_groups(docs, width=SHINGLE_WORDS)
+    """One document of each group of near copies: shingle sets of a similarity of 0.8 or more, or near fingerprints."""
+    return keep_first_of_similar(docs, width=SHINGLE_WORDS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,15 +24,18 @@ GOLAY_GENERATOR = 0b110001110101
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The SimHash of a text: bit by bit the majority of its shingles' hashes; zero without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The hashes of a text's shingles in their order; none without words."""
     words = text.lower().split()  # on bytes: A-Z only, and the six ASCII white-space characters
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(
+    n = max(1, len(words) - width + 1) if words else 0
+    return np.fromiter(
         (xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), HASH_SEED) for i in range(n)), np.uint64, n
     )
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bit by bit the majority of the hashes; zero without any."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         part = hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -41,6 +44,11 @@ def fingerprint(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    """The SimHash of a text."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp) of all rows; a null text has no words."""
 

@@ -200,6 +200,27 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert simhash.simhash_groups(empty(spark, docs)).count() == 0
 
 
+def test_near_duplicate_stage_finds_all_similar_documents(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = [(k, text(900 + k, n)) for k, n in enumerate([1, 3, 6, 20, 60, 61, 200, 200, 900])]
+    for k in range(240):  # words replaced, so that similarities lie on both sides of 0.8
+        words = rng.choice(texts)[1].split()
+        for _ in range(rng.randrange(1, 2 + len(words) // 40)):
+            words[rng.randrange(len(words))] = f"x{k}"
+        texts.append((1000 + k, " ".join(words)))
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in texts for w in [t.split()]}
+    fp = {k: plain_fingerprint(t, 5) for k, t in texts}
+    links = [
+        (a, b) for a in sets for b in sets
+        if a < b and (5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) or (fp[a] ^ fp[b]).bit_count() <= 3)
+    ]
+    want = {k for k, c in components(links, sets).items() if k == c}
+    got = corpus_pipeline.simhash(spark, spark.createDataFrame(texts, "doc_id long, text string"), SMALL)
+    assert {r.doc_id for r in got.collect()} == want
+
+
 # 5
 
 
