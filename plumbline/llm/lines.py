@@ -213,8 +213,9 @@ def near_lines(occurrences: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Remove each line that repeats, or is within one edit of, an earlier line of the corpus.
+    """Remove each line of min_chars or more that repeats, or is within one edit of, an earlier line of the corpus.
 
+    Shorter lines (in their normal form) stay, exact repeats too.
     Lines end at line feeds and compare in their normal form; they come in order of (id, line number).
     A line goes if an earlier one is equal or near, whether or not that one stays itself. Returns all
     columns of docs with the text as it is then, and n_lines, n_removed and emptied (nothing but white
