@@ -37,14 +37,12 @@ class Settings:
     incident_window: float = 5 * MINUTE
     short_look_back: float = 5 * MINUTE
     long_look_back: float = HOUR
-    #: Payload objects are described down to so many levels.
-    schema_depth: int = 4
     #: Stretch of arrival time that one task handles of a key whose rows depend on the row before.
     order_chunk: float = 24 * HOUR
 
 
 #: The field checks of the demonstration events.
-DEMO_SETTINGS = Settings(ranges={"price": Bounds(0, 1000)}, formats={"code": "^SKU-[0-9]{6}$"})
+DEMO_SETTINGS = Settings(ranges={"load_kg": Bounds(0, 900)}, formats={"parcel": "^PX[0-9]{4}$"})
 
 
 def parse_formats(spec: str) -> dict[str, str]:

@@ -56,44 +56,55 @@ def token(value: Column) -> Column:
     )
 
 
-def _children(value: Column) -> Column:
-    return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-
-
 _ENTRIES = "array<struct<path:string,type:string>>"
+#: Of the text of a variant's schema: a name, an opened object or array, a closed one, another type.
+_TOKENS = r"(?:`(?:[^`]|``)*`|[^`<>,():\s]+): |OBJECT<|ARRAY<|>|[A-Z][A-Z_]*(?:\([0-9, ]+\))?"
 
 
-def raw_entries(root: Column, depth: int = 4) -> Column:
-    """array<struct<path, type>> of a variant, unsorted; an object appears itself and with its fields.
+def raw_entries(root: Column) -> Column:
+    """array<struct<path, type>> of a variant, unsorted; an object appears itself and with its fields, at any depth.
 
-    Objects deeper than `depth` levels appear without their fields. A value that is no object is one entry
-    <root>.
+    Walks through the text of the variant's schema with a stack of paths; what is inside of arrays is left out.
+    A value that is no object is one entry <root>.
     """
-    entry = lambda path, kind: F.struct(path.alias("path"), kind.alias("type"))
-
-    def below(value: Column, prefix: Column, levels: int) -> Column:
-        def one(e: Column) -> Column:
-            path = F.concat(prefix, e["key"])
-            own = F.array(entry(path, token(e["value"])))
-            if levels == 1:
-                return own
-            deeper = below(e["value"], F.concat(path, F.lit(".")), levels - 1)
-            return F.concat(own, F.coalesce(deeper, F.array().cast(_ENTRIES)))
-
-        return F.flatten(F.transform(_children(value), one))
 
-    return F.coalesce(below(root, F.lit(""), depth), F.array(entry(F.lit(ROOT), token(root))))
+    def step(state: Column, t: Column) -> Column:
+        stack, inside, name, out = (state[c] for c in ("stack", "inside", "name", "out"))
+        named, opened, closed = t.endswith(": "), t.endswith("<"), t == ">"
+        kind = (
+            F.when(t == "OBJECT<", F.lit("OBJECT")).when(t == "ARRAY<", F.lit("ARRAY")).when(t == "VOID", F.lit("NULL")).when(t.isin("STRING", "BOOLEAN"), t)
+            .when(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.lit("NUMBER")).otherwise(F.lit("UNKNOWN"))
+        )
+        top = F.size(stack) == 0
+        path = F.when(top, F.lit(ROOT)).otherwise(F.concat(F.element_at(stack, -1), name))
+        silent = named | closed | (inside > 0) | (top & (t == "OBJECT<"))
+        plain = F.substring(t, F.lit(1), F.length(t) - 2)
+        quoted = F.replace(F.substring(t, F.lit(2), F.length(t) - 4), F.lit("``"), F.lit("`"))
+        below = F.when(top, F.lit("")).otherwise(F.concat(path, F.lit(".")))
+        outside = inside == 0
+        return F.struct(
+            F.when(outside & (t == "OBJECT<"), F.concat(stack, F.array(below))).when(outside & closed, F.slice(stack, 1, F.size(stack) - 1)).otherwise(stack).alias("stack"),
+            F.when(opened & ((inside > 0) | (t == "ARRAY<")), inside + 1).when(closed & (inside > 0), inside - 1).otherwise(inside).alias("inside"),
+            F.when(named & outside, F.when(t.startswith("`"), quoted).otherwise(plain)).otherwise(name).alias("name"),
+            F.when(silent, out).otherwise(F.concat(out, F.array(F.struct(path.alias("path"), kind.alias("type"))))).alias("out"),
+        )
+
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("stack"), F.lit(0).alias("inside"), F.lit("").alias("name"), F.array().cast(_ENTRIES).alias("out"))
+    found = F.aggregate(F.regexp_extract_all(F.schema_of_variant(root), F.lit(_TOKENS), F.lit(0)), start, step, lambda state: state["out"])
+    return F.coalesce(found, F.array(F.struct(F.lit(ROOT).alias("path"), F.lit("NULL").alias("type"))))
 
 
 def sorted_entries(found: Column) -> Column:
     """Entries by path; where a dotted key equals a nested path the last one counts."""
     later = lambda e, i: F.exists(F.slice(found, i + 2, F.size(found)), lambda x: x["path"] == e["path"])
-    return F.array_sort(F.filter(found, lambda e, i: ~later(e, i)))
+    once = F.size(F.array_distinct(F.transform(found, lambda e: e["path"]))) == F.size(found)
+    return F.array_sort(F.when(once, found).otherwise(F.filter(found, lambda e, i: ~later(e, i))))
 
 
-def schema_entries(payload: Column, depth: int = 4) -> Column:
+def schema_entries(payload: Column) -> Column:
     """The schema of a payload: its entries sorted by path."""
-    return sorted_entries(raw_entries(variant(payload), depth))
+    return sorted_entries(raw_entries(variant(payload)))
 
 
 def schema_json(entries: Column) -> Column:

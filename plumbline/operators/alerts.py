@@ -54,6 +54,15 @@ def quality_status(alerts: Column) -> Column:
     )
 
 
+#: Places that an event's alerts may have; a payload would need as many fields.
+PLACES = 1 << 20
+
+
+def alert_id(seq: Column, place: Column) -> Column:
+    """The id of an alert, from its event and its place there."""
+    return F.when(place >= PLACES, F.raise_error(F.lit("too many alerts of one event"))).otherwise(seq * PLACES + place)
+
+
 def exploded(processed: DataFrame) -> DataFrame:
     """One row for each alert of processed events: event columns, place in the event, alert columns, created_at."""
     rows = processed.select("seq", "event_id", F.col("received_at").alias("created_at"), F.posexplode("alerts").alias("place", "alert"))

@@ -24,15 +24,29 @@ def first_of_payload(events: DataFrame, window: float, key: str = "payload_hash"
     """Add first_event_id: of the earliest row with the same payload that arrived at most `window` seconds ago.
 
     Null where no other row came before. Rows at the same time count in order of seq: a row looks at those
-    before it only.
+    before it only. Arrival is cut into stretches of the window, and each row goes to its own and, with its
+    place alone, to the one after, where it counts until the window has passed; so running minima do, and
+    a payload of very many rows is spread over its stretches.
     """
-    at = Window.partitionBy(key).orderBy("__at")
-    df = events.withColumn("__at", micros(F.col("received_at")))
-    frame = at.rangeBetween(-to_micros(window), 0)
-    place = F.struct("__at", "seq", "event_id")
-    df = df.withColumn("__first", F.min(place).over(frame))
-    earlier = F.struct("__first.__at", "__first.seq") < F.struct("__at", "seq")
-    return df.withColumn("first_event_id", F.when(earlier, F.col("__first.event_id"))).drop("__at", "__first")
+    size = to_micros(window)
+    kept = [c for c in events.columns if c != key]
+    spread = events.withColumn("__at", micros(F.col("received_at"))).withColumn("__place", F.struct("__at", "seq", "event_id"))
+    spread = spread.withColumn("__carried", F.explode(F.array(F.lit(False), F.lit(True))))
+    stretch = F.floor(F.col("__at") / size)
+    spread = spread.select(
+        key, "__place", "__carried",
+        *[F.when(~F.col("__carried"), F.col(f"`{c}`")).alias(c) for c in kept],
+        F.when(F.col("__carried"), stretch + 1).otherwise(stretch).alias("__stretch"),
+        F.when(F.col("__carried"), F.col("__at") + size).otherwise(F.col("__at")).alias("__until"),
+    )
+    own = Window.partitionBy(key, "__stretch").orderBy(F.desc("__until"), F.desc("__carried"))
+    so_far, whole = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.min(F.when(F.col("__carried"), F.col("__place"))).over(so_far)
+    here = F.min(F.when(~F.col("__carried"), F.col("__place"))).over(whole)
+    rows = spread.select("*", before.alias("__before"), here.alias("__here")).where("NOT __carried")
+    first = F.coalesce("__before", "__here")
+    found = F.when(first < F.col("__place"), first["event_id"])
+    return rows.withColumn("first_event_id", found).select(*events.columns, "first_event_id")
 
 
 def payload_matches(events: DataFrame, payload_hash: str, after: Column, event_id: str) -> DataFrame:
@@ -41,9 +55,16 @@ def payload_matches(events: DataFrame, payload_hash: str, after: Column, event_i
     return events.where(other).orderBy("received_at", "seq").limit(1)
 
 
-def detect(events: DataFrame, settings: Settings) -> DataFrame:
-    """Append duplicate alerts: first of the id, then of the payload of another event."""
-    df = first_of_payload(repeated_ids(events, settings.duplicate_window), settings.duplicate_window)
+def detect(events: DataFrame, settings: Settings, recent: DataFrame | None = None) -> DataFrame:
+    """Append duplicate alerts: first of the id, then of the payload of another event.
+
+    recent: (seq, event_id, received_at, payload_hash) of the events of the window before these, which came first.
+    """
+    held = events.withColumn("__recent", F.lit(False))
+    if recent is not None:
+        held = held.unionByName(recent.withColumn("__recent", F.lit(True)), allowMissingColumns=True)
+    df = first_of_payload(repeated_ids(held, settings.duplicate_window), settings.duplicate_window)
+    df = df.where("NOT __recent").drop("__recent")
     window = iso_duration(settings.duplicate_window)
     by_id = F.struct(F.lit("REPEATED_EVENT_ID").alias("duplicate_kind"), F.col("event_id"), F.col("source"))
     by_payload = F.struct(

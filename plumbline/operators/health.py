@@ -44,13 +44,16 @@ def status(points: Column, stale: Column) -> Column:
 
 
 def latest_events(events: DataFrame) -> DataFrame:
-    """(source, last_type, last_seen_at): the event of each source with the latest time, of equals the last in seq."""
-    last = events.groupBy("source").agg(F.max_by(F.struct("event_type", "event_timestamp"), F.struct("event_timestamp", "seq")).alias("l"))
-    return last.select("source", F.col("l.event_type").alias("last_type"), F.col("l.event_timestamp").alias("last_seen_at"))
+    """(source, last_type, last_seen_at, seq): the event of each source with the latest time, of equals the last in seq."""
+    last = events.groupBy("source").agg(F.max_by(F.struct("event_type", "event_timestamp", "seq"), F.struct("event_timestamp", "seq")).alias("l"))
+    return last.select("source", F.col("l.event_type").alias("last_type"), F.col("l.event_timestamp").alias("last_seen_at"), "l.seq")
 
 
-def rates(processed: DataFrame, now: Column, settings: Settings) -> DataFrame:
-    """By source: latest event, counts of the short and long look-back, duplicate and late rates; one pass over events."""
+def rates(processed: DataFrame, now: Column, settings: Settings, latest: DataFrame | None = None) -> DataFrame:
+    """By source: latest event, counts of the short and long look-back, duplicate and late rates; one pass over events.
+
+    latest: latest_events() of all events, where processed holds those of the long look-back only.
+    """
     after = lambda seconds: F.col("event_timestamp") > plus(now, -seconds)
     long_ = after(settings.long_look_back)
     sums = processed.groupBy("source").agg(
@@ -60,10 +63,15 @@ def rates(processed: DataFrame, now: Column, settings: Settings) -> DataFrame:
         F.count_if(long_ & (F.col("quality_status") == "DUPLICATE")).alias("duplicates"),
         F.count_if(long_ & (F.col("quality_status") == "LATE")).alias("lates"),
     )
+    if latest is None:
+        sums = sums.select("*", F.col("l.event_type").alias("last_type"), F.col("l.event_timestamp").alias("last_seen_at"))
+    else:
+        renamed = sums.withColumnRenamed("source", "of_source")
+        sums = latest.join(renamed, F.col("source").eqNullSafe(F.col("of_source")), "left").fillna(0, ["events_last_5m", "events_last_1h", "duplicates", "lates"])
     return sums.select(
         "source",
-        F.col("l.event_type").alias("last_type"),
-        F.col("l.event_timestamp").alias("last_seen_at"),
+        "last_type",
+        "last_seen_at",
         "events_last_5m",
         "events_last_1h",
         rate(F.col("duplicates"), F.col("events_last_1h")).alias("duplicate_rate"),
@@ -77,10 +85,12 @@ def null_rates(metrics: DataFrame, now: Column, settings: Settings) -> DataFrame
     return recent.groupBy("source").agg(F.max("metric_value").alias("null_rate"))
 
 
-def source_health(processed: DataFrame, alerts: DataFrame, metrics: DataFrame, now: Column, settings: Settings) -> DataFrame:
-    """SOURCE_HEALTH rows, and last_type and stale_seconds. alerts: source and created_at."""
+def source_health(
+    processed: DataFrame, alerts: DataFrame, metrics: DataFrame, now: Column, settings: Settings, latest: DataFrame | None = None
+) -> DataFrame:
+    """SOURCE_HEALTH rows, and last_type and stale_seconds. alerts: source and created_at; latest as in rates()."""
     recent = alerts.where(F.col("created_at") > plus(now, -settings.long_look_back)).groupBy("source").agg(F.count("*").alias("recent_alerts"))
-    joined = rates(processed, now, settings)
+    joined = rates(processed, now, settings, latest)
     for other in (null_rates(metrics, now, settings), recent):
         renamed = other.withColumnRenamed("source", "of_source")
         joined = joined.join(renamed, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")

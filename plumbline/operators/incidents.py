@@ -2,43 +2,85 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.timing import micros, to_micros
+from plumbline.sources.store import stored
+
+_KEYS = ("source", "event_type")
+_OF_KEYS = {k: k for k in _KEYS}
+
+
+def _beside(rows: DataFrame, other: DataFrame, on: dict[str, Column | str], how: str = "inner") -> DataFrame:
+    """Join other to rows where its columns equal those expressions of rows, nulls too; the columns joined on go."""
+    renamed = other.withColumnsRenamed({name: f"of_{name}" for name in on})
+    same = reduce(lambda x, y: x & y, [(F.col(value) if isinstance(value, str) else value).eqNullSafe(F.col(f"of_{name}")) for name, value in on.items()])
+    return rows.join(renamed, same, how).drop(*[f"of_{name}" for name in on])
+
+
+def _jumps(times: DataFrame, size: int) -> DataFrame:
+    """times (source, event_type, at) with seed (no time of the key in the `size` before) and next: the first time `size` or more after.
+
+    Time is cut into stretches of that size. The next one lies in the following stretch, at the same place or
+    behind, or is the first of the stretches after; so all that a key needs in one place is a row a stretch.
+    """
+    cut = times.withColumn("stretch", F.floor(F.col("at") / size))
+    ends = cut.groupBy(*_KEYS, "stretch").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    along = Window.partitionBy(*_KEYS).orderBy("stretch")
+    pause = F.coalesce(F.col("first") - F.lag("last").over(along) >= size, F.lit(True))
+    following = [F.lead(F.struct("stretch", "first"), k).over(along).alias(f"after{k}") for k in (1, 2)]
+    ends = ends.select(*_KEYS, "stretch", "first", pause.alias("pause"), *following)
+    probes = cut.select(*_KEYS, (F.col("stretch") + 1).alias("stretch"), (F.col("at") + size).alias("place"), F.lit(1).alias("probe"), "at")
+    both = cut.select(*_KEYS, "stretch", F.col("at").alias("place"), F.lit(0).alias("probe"), "at").unionByName(probes)
+    down = Window.partitionBy(*_KEYS, "stretch").orderBy(F.desc("place"), "probe").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("met", F.min(F.when(F.col("probe") == 0, F.col("at"))).over(down)).where("probe = 1")
+    met = met.withColumn("stretch", F.col("stretch") - 1)
+    joined = _beside(met, ends, {c: F.col(c) for c in (*_KEYS, "stretch")})
+    near = F.col("after1.stretch") == F.col("stretch") + 1
+    behind = F.when(near, F.col("after2.first")).otherwise(F.col("after1.first"))
+    return joined.select(*_KEYS, "at", (F.col("pause") & (F.col("at") == F.col("first"))).alias("seed"), F.coalesce("met", behind).alias("next"))
+
+
+def _openings(times: DataFrame, size: int) -> DataFrame:
+    """(source, event_type, at): the times at which incidents open.
+
+    From each seed on, every opening is the next one of the opening before. Pointers over one, four, sixteen
+    ... openings mark them all after a number of rounds that grows with the logarithm of a burst.
+    """
+    jumps = stored(_jumps(times, size))
+    seeds = jumps.where("seed").select(*_KEYS, "at")
+    known = seeds
+    hop = _beside(jumps.where("next IS NOT NULL").select(*_KEYS, "at", "next"), seeds.withColumn("known", F.lit(True)), {**_OF_KEYS, "at": F.col("next")}, "left")
+    hop = stored(hop.where("known IS NULL").drop("known"))  # a burst ends where the next one is a seed itself
+    while not hop.isEmpty():
+        for _ in range(2):
+            reached = _beside(known, hop, {**_OF_KEYS, "at": F.col("at")}).select(*_KEYS, F.col("next").alias("at"))
+            known = known.unionByName(reached)
+            ahead = hop.withColumnRenamed("next", "far")
+            hop = _beside(hop, ahead, {**_OF_KEYS, "at": F.col("next")}).select(*_KEYS, "at", F.col("far").alias("next"))
+        known, hop = stored(known), stored(hop)
+    return known
 
 
 def correlate(alerts: DataFrame, window: float) -> DataFrame:
     """Add incident_start: when the incident of each alert was opened.
 
     An alert joins the incident of its source and type that was opened less than `window` seconds before,
-    else it opens one; joining does not prolong it. Bursts without a gap of the window are folded apart,
-    each over its distinct times.
+    else it opens one; joining does not prolong it. Openings are at least a window apart, so the one of an
+    alert is in its own stretch of that length or in the one before.
     """
-    keys = ["source", "event_type"]
     size = to_micros(window)
-    times = alerts.select(*keys, micros(F.col("created_at")).alias("at")).distinct()
-    order = Window.partitionBy(*keys).orderBy("at")
-    gap = F.coalesce(F.col("at") - F.lag("at").over(order) >= size, F.lit(True))
-    bursts = times.withColumn("burst", F.sum(gap.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sorted_ = F.array_sort(F.collect_list("at"))
-    empty = F.array().cast("array<struct<at:bigint,start:bigint>>")
-
-    def step(done: Column, at: Column) -> Column:
-        before = F.get(done, F.size(done) - 1)["start"]
-        start = F.when(before.isNotNull() & (at - before < size), before).otherwise(at)
-        return F.concat(done, F.array(F.struct(at.alias("at"), start.alias("start"))))
-
-    folded = bursts.groupBy(*keys, "burst").agg(F.aggregate(sorted_, empty, step).alias("f"))
-    starts = folded.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.inline("f"))
-    same = F.col("__at") == F.col("at")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
-    joined = alerts.withColumn("__at", micros(F.col("created_at"))).join(starts, same)
-    shift = F.col("start") - F.col("__at")
-    return joined.withColumn("incident_start", F.timestamp_add("MICROSECOND", shift, F.col("created_at"))).drop(
-        "__at", "at", "start", *[f"of_{k}" for k in keys]
-    )
+    times = alerts.select(*_KEYS, micros(F.col("created_at")).alias("at")).distinct()
+    opened = _openings(times, size).select(*_KEYS, F.floor(F.col("at") / size).alias("stretch"), F.col("at").alias("opened"))
+    rows = alerts.withColumn("__at", micros(F.col("created_at"))).withColumn("__stretch", F.floor(F.col("__at") / size))
+    for back in (0, 1):
+        rows = _beside(rows, opened.withColumnRenamed("opened", f"__opened{back}"), {**_OF_KEYS, "stretch": F.col("__stretch") - back}, "left")
+    start = F.when(F.col("__opened0") <= F.col("__at"), F.col("__opened0")).otherwise(F.col("__opened1"))
+    shifted = F.timestamp_add("MICROSECOND", start - F.col("__at"), F.col("created_at"))
+    return rows.withColumn("incident_start", shifted).drop("__at", "__stretch", "__opened0", "__opened1")
 
 
 def incidents(correlated: DataFrame) -> DataFrame:

@@ -25,6 +25,11 @@ def null_metrics(observed: DataFrame, settings: Settings) -> DataFrame:
         .groupBy("source", "event_type", "window_start", "field_path")
         .agg(F.count("*").cast("double").alias("total"), F.sum("nullish").cast("double").alias("nulls"))
     )
+    return _three(sums, settings)
+
+
+def _three(sums: DataFrame, settings: Settings) -> DataFrame:
+    """NULL_TOTAL, NULL_COUNT and NULL_RATE from (source, event_type, window_start, field_path, total, nulls)."""
     three = F.stack(
         F.lit(3),
         F.lit("NULL_TOTAL:"), F.col("total"),
@@ -35,6 +40,20 @@ def null_metrics(observed: DataFrame, settings: Settings) -> DataFrame:
     return _long(rows, F.concat("prefix", "field_path"), F.col("value"), settings)
 
 
+def merged(rows: DataFrame, settings: Settings) -> DataFrame:
+    """metric_windows() of several batches as one table: counts add up, and rates follow from them."""
+    name, value = F.col("metric_name"), F.col("metric_value")
+    keys = ["source", "event_type", "window_start"]
+    events = rows.where(name == "EVENT_COUNT").groupBy(*keys).agg(F.sum("metric_value").alias("events"))
+    counts = _long(events, F.lit("EVENT_COUNT"), F.col("events"), settings)
+    parts = rows.where(name.startswith("NULL_TOTAL:") | name.startswith("NULL_COUNT:"))
+    field = F.substring(name, F.lit(12), F.length(name))
+    total = F.sum(F.when(name.startswith("NULL_TOTAL:"), value).otherwise(F.lit(0.0)))
+    nulls = F.sum(F.when(name.startswith("NULL_COUNT:"), value).otherwise(F.lit(0.0)))
+    sums = parts.groupBy(*keys, field.alias("field_path")).agg(total.alias("total"), nulls.alias("nulls"))
+    return counts.unionByName(_three(sums, settings))
+
+
 def _long(rows: DataFrame, name: Column, value: Column, settings: Settings) -> DataFrame:
     return rows.select(
         "source", "event_type", "window_start", plus(F.col("window_start"), settings.window_size).alias("window_end"),

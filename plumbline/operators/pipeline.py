@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,22 +16,38 @@ from plumbline.operators.envelope import enrich
 Detector = Callable[[Settings], Column]
 
 
-def process(
-    events: DataFrame, settings: Settings, detectors: Sequence[Detector] = (), known: DataFrame | None = None
-) -> DataFrame:
+@dataclass(frozen=True)
+class Memory:
+    """What earlier batches left, for the detectors that look back; None: there were none."""
+
+    #: (baseline_type, baseline_hash, baseline), those of this batch too
+    baselines: DataFrame | None = None
+    #: (seq, event_id, received_at, payload_hash) of the duplicate window before this batch
+    recent: DataFrame | None = None
+    #: spikes.null_runs() of this batch, which go on from earlier ones
+    null_runs: DataFrame | None = None
+    #: (source, event_type, window_start, events) of earlier batches
+    window_counts: DataFrame | None = None
+
+
+def process(events: DataFrame, settings: Settings, detectors: Sequence[Detector] = ()) -> DataFrame:
     """Events with payload_hash, alerts in the order of the stages, and quality_status.
 
     events: the envelope, seq (unique) and received_at. Stages: late, ranges, formats, own detectors,
-    repeated id, repeated payload, schema drift, null spikes, anomaly spikes. known: schema baselines that
-    hold already; by default the first schemas of these events.
+    repeated id, repeated payload, schema drift, null spikes, anomaly spikes.
     """
-    observed = schemas.prepare(enrich(events), settings, known)
+    return process_observed(schemas.prepare(enrich(events)), settings, detectors)
+
+
+def process_observed(observed: DataFrame, settings: Settings, detectors: Sequence[Detector] = (), memory: Memory | None = None) -> DataFrame:
+    """process() of events that schemas.prepare() has described; a stored table, as three detectors read it."""
+    memory = memory or Memory()
     df = alerts.add(
         observed, fields.late_event(settings), *fields.field_ranges(settings), *fields.field_formats(settings), *[d(settings) for d in detectors]
     )
-    df = schemas.detect(duplicates.detect(df, settings))
+    df = schemas.detect(duplicates.detect(df, settings, memory.recent))
     # the spike detectors read the events, not what the stages before have made of them
-    df = spikes.detect(df, observed, settings)
+    df = spikes.detect(df, observed, settings, memory.null_runs, memory.window_counts)
     df = df.drop("schema", "schema_hash", "baseline", "baseline_hash")
     return df.withColumn("quality_status", alerts.quality_status(F.col("alerts")))
 

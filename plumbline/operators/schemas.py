@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.config import Settings
 from plumbline.functions import payload as P
 from plumbline.operators.alerts import add, alert, where
 
 
-def observe(events: DataFrame, depth: int = 4) -> DataFrame:
+def observe(events: DataFrame) -> DataFrame:
     """Add schema (sorted entries) and schema_hash of the payload."""
     # step by step, so that each payload is parsed and walked through once
-    df = events.withColumn("__variant", P.variant(F.col("payload"))).withColumn("__entries", P.raw_entries(F.col("__variant"), depth))
+    df = events.withColumn("__variant", P.variant(F.col("payload"))).withColumn("__entries", P.raw_entries(F.col("__variant")))
     df = df.withColumn("schema", P.sorted_entries(F.col("__entries"))).drop("__variant", "__entries")
     return df.withColumn("schema_hash", P.schema_hash(F.col("schema")))
 
@@ -79,6 +78,17 @@ def detect(observed: DataFrame) -> DataFrame:
     return add(observed, where(F.col("schema_hash") != F.col("baseline_hash"), found))
 
 
-def prepare(events: DataFrame, settings: Settings, known: DataFrame | None = None) -> DataFrame:
+def merged(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """versions() of several batches as one table; known: the baselines, whose schemas are ACTIVE."""
+    by_hash = rows.groupBy("event_type", "schema_hash").agg(
+        F.any_value("schema_json").alias("schema_json"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at")
+    )
+    joined = by_hash.join(known.select("baseline_type", "baseline_hash"), F.col("event_type").eqNullSafe(F.col("baseline_type")), "left")
+    active = F.coalesce(F.col("schema_hash") == F.col("baseline_hash"), F.lit(False))
+    status = F.when(active, F.lit("ACTIVE")).otherwise(F.lit("DRIFTING"))
+    return joined.select("event_type", "schema_hash", "schema_json", "first_seen_at", "last_seen_at", status.alias("status"))
+
+
+def prepare(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """observe() and with_baseline() in one."""
-    return with_baseline(observe(events, settings.schema_depth), known)
+    return with_baseline(observe(events), known)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,11 +11,11 @@ from plumbline.config import Bounds, parse_formats
 from plumbline.functions import payload as P
 from plumbline.functions.timing import micros, plus, seconds_between, window_start
 from plumbline.operators import alerts, duplicates, envelope, fields, health, incidents, metrics, schemas, spikes
-from plumbline.operators.pipeline import process
-from plumbline.plans import reads
+from plumbline.operators.pipeline import process_observed
+from plumbline.plans import ingest, reads
 from plumbline.plans.inputs import EVENTS_SQL, SETTINGS, events, table
-from plumbline.sources.store import stored
-from plumbline.streaming.replay import stream_processed
+from plumbline.sources.store import Store, new_folder, stored
+from plumbline.streaming.replay import cuts, stream_processed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,11 +129,17 @@ counts AS (SELECT source, event_type, window_start, count(*) AS events FROM wind
 based AS (
   SELECT *, count(*) OVER w AS history, avg(events) OVER w AS baseline FROM counts
   WINDOW w AS (PARTITION BY source, event_type ORDER BY window_start RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)),
-numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY source, event_type, window_start ORDER BY received_at, seq) AS events_so_far FROM windowed),
+spread AS (
+  SELECT seq, received_at, source, event_type, window_start + k * INTERVAL 6 HOUR AS window_start, k FROM windowed, (SELECT unnest([0, 1, 2]) AS k)),
+as_of AS (
+  SELECT *, count(*) FILTER (k = 0) OVER w AS events_so_far, count(*) FILTER (k = 1) OVER w AS n1, count(*) FILTER (k = 2) OVER w AS n2
+  FROM spread WINDOW w AS (PARTITION BY source, event_type, window_start ORDER BY received_at, seq ROWS UNBOUNDED PRECEDING)),
+ratios AS (
+  SELECT seq, received_at, source, event_type, window_start, events_so_far, (n1 > 0)::BIGINT + (n2 > 0)::BIGINT AS history,
+    (n1 + n2) / nullif((n1 > 0)::BIGINT + (n2 > 0)::BIGINT, 0) AS baseline FROM as_of WHERE k = 0),
 anomalies AS (
-  SELECT n.*, b.history, b.baseline, n.events_so_far / b.baseline AS ratio FROM numbered n JOIN based b USING (source, event_type, window_start)
-  WHERE b.history >= 2 AND n.events_so_far >= 3 AND (n.events_so_far - 1) / b.baseline <= 1.5 AND n.events_so_far / b.baseline > 1.5),
+  SELECT *, events_so_far / baseline AS ratio FROM ratios
+  WHERE history >= 2 AND events_so_far >= 3 AND (events_so_far - 1) / baseline <= 1.5 AND events_so_far / baseline > 1.5),
 anomaly_alerts AS (
   SELECT seq, 'ANOMALY_SPIKE' AS alert_type, 'WARN' AS severity, source, event_type, NULL AS field_path, received_at,
     'Anomaly spike in ' || event_type || ' window (' || events_so_far || ' vs baseline ' || format('{:.2f}', baseline) || ')' AS message, 7 AS stage FROM anomalies)
@@ -144,7 +149,7 @@ every_alert AS (
   SELECT * FROM late_alerts UNION ALL SELECT * FROM range_alerts UNION ALL SELECT * FROM duplicate_alerts UNION ALL SELECT * FROM drift_alerts
   UNION ALL SELECT * FROM null_alerts UNION ALL SELECT * FROM anomaly_alerts),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY seq ORDER BY stage, field_path) - 1 AS place, seq * 16 + row_number() OVER (PARTITION BY seq ORDER BY stage, field_path) - 1 AS id
+  SELECT *, row_number() OVER (PARTITION BY seq ORDER BY stage, field_path) - 1 AS place, seq * 1048576 + row_number() OVER (PARTITION BY seq ORDER BY stage, field_path) - 1 AS id
   FROM every_alert),
 processed AS (
   SELECT s.*, coalesce(n, 0) AS n_alerts,
@@ -206,38 +211,46 @@ lifecycle AS (
 
 
 def _observed(spark: SparkSession, d: str) -> DataFrame:
-    return schemas.prepare(envelope.enrich(events(spark, d)), SETTINGS)
+    return schemas.prepare(envelope.enrich(events(spark, d)))
 
 
 def _processed(spark: SparkSession, d: str) -> DataFrame:
-    return process(events(spark, d), SETTINGS)
-
-
-def _processed_table(spark: SparkSession, d: str) -> DataFrame:
-    """The processed events as a stored table, for queries that read it more than once."""
-    return stored(_processed(spark, d))
+    return process_observed(stored(_observed(spark, d)), SETTINGS)
 
 
 def _alerts(spark: SparkSession, d: str) -> DataFrame:
     """Alerts with an id that follows from the event and the place."""
     found = alerts.exploded(_processed(spark, d))
-    return found.withColumn("id", F.col("seq") * 16 + F.col("place"))
+    return found.withColumn("id", alerts.alert_id(F.col("seq"), F.col("place")))
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.metric_windows(_observed(spark, d), SETTINGS)
 
 
+_taken_in: dict[tuple[str, str], Store] = {}
+
+
+def tables(spark: SparkSession, d: str) -> Store:
+    """The result tables with all events taken in, once for each session and folder; read queries look at these."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _taken_in:
+        store = Store(spark, new_folder(spark))
+        ingest.ingest(store, events(spark, d), 0, SETTINGS, _now(spark, d))
+        _taken_in[key] = store
+    return _taken_in[key]
+
+
+def _local(rows: DataFrame) -> DataFrame:
+    """Times of stored tables as the driver tables have them, without a zone."""
+    return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in rows.dtypes])
+
+
 def _now(spark: SparkSession, d: str):
     """The time of the last event, read once as the clock of the query."""
     return F.lit(table(spark, d, "events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
 
 
-def _health(spark: SparkSession, d: str, done: DataFrame | None = None) -> DataFrame:
-    done = _processed_table(spark, d) if done is None else done
-    return health.source_health(done, alerts.exploded(done), _metrics(spark, d), _now(spark, d), SETTINGS)
-
-
 def _actions(found: DataFrame) -> DataFrame:
     """Every second alert is acknowledged after an hour, every third resolved after two."""
     at = F.col("created_at")
@@ -351,13 +364,13 @@ def duplicate_documents(spark, d):
 
 @_query(_with(EVENTS_SQL, _SCHEMAS, "SELECT path, type, count(*) AS n FROM entries GROUP BY ALL"))
 def schema_inference(spark, d):
-    found = events(spark, d).select(F.inline(P.schema_entries(F.col("payload"), SETTINGS.schema_depth)))
+    found = events(spark, d).select(F.inline(P.schema_entries(F.col("payload"))))
     return found.groupBy("path", "type").agg(F.count("*").alias("n"))
 
 
 @_query(_with(EVENTS_SQL, _SCHEMAS, "SELECT * FROM versions"))
 def schema_versions(spark, d):
-    return reads.schema_list(schemas.versions(schemas.observe(events(spark, d), SETTINGS.schema_depth))).drop("schema_json")
+    return _local(reads.schema_list(ingest.current_versions(tables(spark, d)))).drop("schema_json")
 
 
 @_query(_with(EVENTS_SQL, _SCHEMAS, "SELECT seq, source, event_type, field_path, message FROM drift_alerts"))
@@ -369,7 +382,7 @@ def schema_drift_alerts(spark, d):
 SELECT event_type, count(*) AS versions, count(*) FILTER (status = 'DRIFTING') AS drifting, max(schema_hash) FILTER (status = 'ACTIVE') AS active_hash
 FROM versions GROUP BY event_type"""))
 def schema_drift_summary(spark, d):
-    return reads.schema_summary(schemas.versions(schemas.observe(events(spark, d), SETTINGS.schema_depth)))
+    return reads.schema_summary(schemas.versions(schemas.observe(events(spark, d))))
 
 
 # --- Nulls, metrics, anomalies ------------------------------------------------------------------
@@ -377,7 +390,7 @@ def schema_drift_summary(spark, d):
 
 @_query(_with(EVENTS_SQL, _SCHEMAS, _NULLS, "SELECT seq, source, event_type, field_path, window_start, null_count, total_count, null_rate FROM null_spikes"))
 def null_spike_alerts(spark, d):
-    found = spikes.null_spikes(spikes.null_samples(_observed(spark, d), SETTINGS), SETTINGS)
+    found = spikes.null_spikes(spikes.null_runs(_observed(spark, d), SETTINGS), SETTINGS)
     return found.select("seq", "source", "event_type", "field_path", "window_start", "null_count", "total_count", "null_rate")
 
 
@@ -447,7 +460,7 @@ def distinct_sources(spark, d):
 
 @_query(_with(EVENTS_SQL, "SELECT source, l[3] AS last_type, l[1] AS last_seen_at FROM (SELECT source, max((event_timestamp, seq, event_type)) AS l FROM stream GROUP BY source)"))
 def latest_event_per_source(spark, d):
-    return health.latest_events(events(spark, d))
+    return health.latest_events(events(spark, d)).drop("seq")
 
 
 @_query(_with(*_PIPELINE, _METRICS, _NOW, _HEALTH, "SELECT source, last_type, stale_seconds FROM health"))
@@ -469,7 +482,7 @@ def source_null_rate(spark, d):
 
 @_query(_with(*_PIPELINE, _METRICS, _NOW, _HEALTH, "SELECT source, status, last_seen_at, events_last_5m, events_last_1h, duplicate_rate, late_event_rate, null_rate, round(health_score, 6) AS health_score FROM health"))
 def source_health(spark, d):
-    return reads.health_list(_health(spark, d)).drop("updated_at", "last_type", "stale_seconds").withColumn("health_score", F.round("health_score", 6))
+    return _local(reads.health_list(ingest.current_health(tables(spark, d)))).drop("updated_at").withColumn("health_score", F.round("health_score", 6))
 
 
 @_query(_with(EVENTS_SQL, """
@@ -505,8 +518,9 @@ SELECT (SELECT count(*) FROM stream) AS total_events, (SELECT count(DISTINCT sou
   (SELECT count(*) FROM every_alert, clock WHERE received_at > t - INTERVAL 24 HOUR) AS alerts_last_24h,
   (SELECT count(*) FROM health WHERE status IN ('UNHEALTHY', 'STALE')) AS unhealthy_sources"""))
 def dashboard_summary(spark, d):
-    done = _processed_table(spark, d)
-    return reads.dashboard_summary(done, alerts.exploded(done), _health(spark, d, done), _now(spark, d))
+    store, now = tables(spark, d), _now(spark, d)
+    found = store.read("quality_alerts").where("alert_type <> 'STALE_SOURCE'")  # raised by the refresh, at the clock itself
+    return reads.dashboard_summary(store.read("raw_events"), found, ingest.current_health(store), now.cast("timestamp"))
 
 
 @_query(_with(EVENTS_SQL, "SELECT seq, event_id, source, event_type, received_at FROM stream ORDER BY received_at DESC, seq DESC LIMIT 20"))
@@ -570,12 +584,39 @@ def incident_stats(spark, d):
     return incidents.stats(found.withColumn("status", F.when(even, F.lit("RESOLVED")).otherwise(F.lit("OPEN"))))
 
 
-@_query(_with(EVENTS_SQL, _LATE, _RANGE, _DUPLICATES, _SCHEMAS, """
-found AS (
-  SELECT * FROM late_alerts UNION ALL SELECT * FROM range_alerts UNION ALL SELECT * FROM duplicate_alerts UNION ALL SELECT * FROM drift_alerts)""", "SELECT alert_type, count(*) AS n FROM found GROUP BY ALL"))
+@_query(_with(*_PIPELINE, "SELECT seq, alert_type, field_path, message FROM every_alert WHERE alert_type <> 'FIELD_OUT_OF_RANGE'"))
 def stream_pipeline_equivalence(spark, d):
-    """Alerts by type of the streaming pipeline, without the two spike detectors, over the events as a stream of files."""
-    quiet = replace(SETTINGS, null_threshold=1.0, anomaly_ratio=1e12)
-    done = stream_processed(events(spark, d), quiet)
-    return done.select(F.explode("alerts.alert_type").alias("alert_type")).groupBy("alert_type").agg(F.count("*").alias("n"))
+    """The alerts of all detectors over the events as a stream of three batches, one by one."""
+    store = stream_processed(events(spark, d), SETTINGS, now=_now(spark, d))
+    found = store.read("quality_alerts").where("alert_type NOT IN ('FIELD_OUT_OF_RANGE', 'STALE_SOURCE')")
+    return found.select(F.floor(F.col("id") / alerts.PLACES).alias("seq"), "alert_type", "field_path", "message")
+
+
+def _in_batches(spark: SparkSession, d: str, batches: int = 3) -> Store:
+    rows, store = events(spark, d), Store(spark, new_folder(spark))
+    for part, condition in enumerate(cuts(rows, batches)):
+        ingest.ingest(store, rows.where(condition), part, SETTINGS, _now(spark, d))
+    return store
+
+
+@_query(_with(*_PIPELINE, """
+SELECT alert_type, severity, source, event_type, count(*) AS n, count(DISTINCT seq) AS events FROM every_alert GROUP BY ALL"""))
+def batch_ingest_alerts(spark, d):
+    """Alerts by type and source of events that are taken in as three batches."""
+    found = _in_batches(spark, d).read("quality_alerts").where("alert_type <> 'STALE_SOURCE'").withColumn("seq", F.floor(F.col("id") / alerts.PLACES))
+    return found.groupBy("alert_type", "severity", "source", "event_type").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("events"))
+
+
+@_query(_with(EVENTS_SQL, _SCHEMAS, "SELECT * FROM versions"))
+def batch_ingest_versions(spark, d):
+    return _local(ingest.current_versions(_in_batches(spark, d))).drop("schema_json")
+
+
+@_query(_with(EVENTS_SQL, _SCHEMAS, _NULLS, _METRICS, "SELECT * FROM metrics_long"))
+def batch_ingest_metrics(spark, d):
+    return _local(ingest.current_metrics(_in_batches(spark, d), SETTINGS))
+
 
+@_query(_with(*_PIPELINE, "SELECT (SELECT count(*) FROM stream) AS events_ingested, (SELECT count(*) FROM every_alert) AS alerts_fired"))
+def ingest_counters(spark, d):
+    return ingest.counters(tables(spark, d))

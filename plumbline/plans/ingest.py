@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
-from plumbline.operators import alerts, envelope, health, metrics, schemas
-from plumbline.operators.pipeline import process
+from plumbline.functions.timing import plus
+from plumbline.operators import alerts, envelope, health, metrics, schemas, spikes
+from plumbline.operators.pipeline import Memory, process_observed
 from plumbline.sources.store import SCHEMAS, Store, stored
 
 
@@ -23,7 +24,7 @@ def raw_events(processed: DataFrame) -> DataFrame:
 
 
 def quality_alerts(processed: DataFrame) -> DataFrame:
-    rows = alerts.exploded(processed).withColumn("id", F.col("seq") * 4096 + F.col("place")).withColumn("status", F.lit("OPEN"))
+    rows = alerts.exploded(processed).withColumn("id", alerts.alert_id(F.col("seq"), F.col("place"))).withColumn("status", F.lit("OPEN"))
     return _shaped(rows, "quality_alerts")
 
 
@@ -45,29 +46,108 @@ def counted(processed: DataFrame, observation: Observation) -> DataFrame:
     )
 
 
-def ingest(store: Store, events: DataFrame, part: int, settings: Settings, now: Column) -> DataFrame:
-    """Process a batch of events and write its part of each table; returns the rejected events.
+def _covering(store: Store, before: int, column: str, since: Column) -> list[int]:
+    """The batches before one that have rows at or after a time: those of a look-back, so few."""
+    rows = store.read("batches", before).where(F.col(column) >= since).select("batch").distinct()
+    return sorted(r["batch"] for r in rows.collect())
+
+
+def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings) -> DataFrame | None:
+    """Process a batch of valid events and write its part of each table; a part that is written again is replaced.
 
-    Detectors look at this batch alone; a stream of batches goes through streaming.replay instead.
+    Detectors go on from what the store has of the parts before: repeats look back over the duplicate window,
+    the first schema of a type stays its baseline, runs of nulls and counts of windows continue. Returns the
+    processed events, or None of an empty batch.
     """
-    valid, rejected = envelope.validate(events)
-    done = stored(process(valid, settings))
+    times = {c: F.col(c).cast("timestamp").alias(c) for c in ("event_timestamp", "received_at")}
+    events = envelope.enrich(valid)
+    events = events.select(*[times.get(c, F.col(c)) for c in ("seq", "event_id", "source", "event_type", "event_timestamp", "received_at", "payload", "payload_hash")])
+    described = stored(schemas.observe(events))
+    extent = described.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in times for f in (F.min, F.max)]).first()
+    if extent["min_received_at"] is None:
+        return None
+    at = lambda value, back=0.0: plus(F.lit(value).cast("timestamp"), -back)
+    new = schemas.baselines(described).join(store.read("baselines", part).select("baseline_type"), "baseline_type", "left_anti")
+    store.write("baselines", new, part)
+    baselines = store.read("baselines", part + 1)
+    observed = stored(schemas.with_baseline(described, baselines))
+
+    since = at(extent["min_received_at"], settings.duplicate_window)
+    recent = store.read("raw_events", parts=_covering(store, part, "last_received", since)).where(F.col("received_at") >= since)
+    windows = at(extent["min_event_timestamp"], (settings.anomaly_windows + 1) * settings.window_size)
+    counts = store.read("metric_windows", parts=_covering(store, part, "last_event", windows))
+    counts = counts.where((F.col("metric_name") == "EVENT_COUNT") & (F.col("window_start") >= windows))
+    last = store.read("batches", part).agg(F.max("batch")).first()[0]
+    runs = stored(spikes.null_runs(observed, settings, None if last is None else store.read("null_runs", parts=[last])))
+    memory = Memory(
+        baselines=baselines,
+        recent=recent.select(F.col("id").alias("seq"), "event_id", "received_at", "payload_hash"),
+        null_runs=runs,
+        window_counts=counts.groupBy("source", "event_type", "window_start").agg(F.sum("metric_value").cast("long").alias("events")),
+    )
+    done = stored(process_observed(observed, settings, memory=memory))
+    store.write("null_runs", spikes.null_state(runs), part)
     store.write("raw_events", raw_events(done), part)
     store.write("quality_alerts", quality_alerts(done), part)
-    observed = schemas.prepare(envelope.enrich(valid), settings)
-    store.write("schema_versions", _shaped(schemas.versions(observed), "schema_versions"), part)
+    store.write("schema_versions", _shaped(schemas.versions(described), "schema_versions"), part)
     store.write("metric_windows", _shaped(metrics.metric_windows(observed, settings), "metric_windows"), part)
+    store.write("latest_events", health.latest_events(events), part)
+    seen = Observation()
+    sums = counted(done, seen).agg(*[f(c) for c in ("received_at", "event_timestamp") for f in (F.min, F.max)]).toDF(
+        "first_received", "last_received", "first_event", "last_event"
+    )
+    sums = stored(sums)
+    counters = [F.lit(seen.get[c]).cast("long").alias(c) for c in ("events_ingested", "alerts_fired")]
+    store.write("batches", _shaped(sums.select(F.lit(part).alias("batch"), *counters, "*"), "batches"), part)
+    return done
+
+
+def ingest(store: Store, events: DataFrame, part: int, settings: Settings, now: Column) -> DataFrame:
+    """Validate a batch of events, process it and bring all tables up to date; returns the rejected events.
+
+    Parts are to be numbered in the order in which they come.
+    """
+    valid, rejected = envelope.validate(events)
+    process_batch(store, valid, part, settings)
+    store.write("rejected_events", _shaped(rejected, "rejected_events"), part)
     refresh_health(store, part, settings, now)
     return rejected
 
 
-def refresh_health(store: Store, part: int, settings: Settings, now: Column) -> DataFrame:
-    """Write the health of all sources as of now, and alerts of those that have gone stale since the last part."""
-    history = store.read("raw_events").withColumnRenamed("id", "seq")
-    found = health.source_health(history, store.read("quality_alerts"), store.read("metric_windows"), now, settings)
+def current_versions(store: Store) -> DataFrame:
+    """SCHEMA_VERSIONS of all parts together; one version of a type is ACTIVE."""
+    return schemas.merged(store.read("schema_versions"), store.read("baselines"))
+
+
+def current_metrics(store: Store, settings: Settings) -> DataFrame:
+    """METRIC_WINDOWS of all parts together."""
+    return metrics.merged(store.read("metric_windows"), settings)
+
+
+def current_health(store: Store, before: int | None = None) -> DataFrame:
+    """SOURCE_HEALTH as of the last refresh (before a part)."""
     last = Window.partitionBy("source").orderBy(F.desc("updated_at"))
-    previous = store.read("source_health", part).withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
-    new = health.stale_alerts(found, previous, settings)
+    return store.read("source_health", before).withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+
+
+def counters(store: Store) -> DataFrame:
+    """One row: events ingested and alerts fired since the first batch."""
+    return store.read("batches").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("events_ingested", "alerts_fired")])
+
+
+def refresh_health(store: Store, part: int, settings: Settings, now: Column) -> DataFrame:
+    """Write the health of all sources as of now, and alerts of those that have gone stale since the last part.
+
+    Reads the batches of the long look-back, and of the others only the last event of each source.
+    """
+    since = plus(now.cast("timestamp"), -settings.long_look_back)
+    parts = _covering(store, part + 1, "last_event", since)
+    seen = store.read("latest_events").withColumnsRenamed({"last_type": "event_type", "last_seen_at": "event_timestamp"})
+    recent = store.read("raw_events", parts=parts).withColumnRenamed("id", "seq")
+    alerted = store.read("quality_alerts", parts=_covering(store, part + 1, "last_received", since)).unionByName(store.read("quality_alerts", 0, after=-part - 1))
+    windows = store.read("metric_windows", parts=_covering(store, part + 1, "last_event", plus(since, -settings.window_size)))
+    found = health.source_health(recent, alerted, metrics.merged(windows, settings), now, settings, health.latest_events(seen))
+    new = health.stale_alerts(found, current_health(store, part), settings)
     stale_part = -part - 1  # parts below zero hold the alerts that a refresh raises
     store.write("quality_alerts", stale_rows(new), stale_part)
     store.write("source_health", _shaped(found, "source_health"), part)

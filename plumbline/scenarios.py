@@ -1,88 +1,104 @@
-"""Demonstration events, each set made to raise one kind of alert."""
+"""Demonstration events of a parcel depot, each set made to raise one kind of alert."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.model import ARRIVAL, EVENT
 
-Row = tuple[str, str, str, datetime, dict]
 
+@dataclass(frozen=True)
+class Reading:
+    """An event `at` seconds from now; readings of one label share the event id."""
 
-def _tick(event_id: str, source: str, at: datetime, **more) -> Row:
-    return event_id, source, "market_tick", at, {"symbol": "BTC/USDT", "bid": 108000.1, "ask": 108002.4} | more
+    label: str
+    at: float = 0.0
+    sensor: str = "gate"
+    kind: str = "scan"
+    values: dict = field(default_factory=lambda: {"lane": 4, "belt": "north", "load_kg": 12.5})
 
 
-def duplicate_events(now: datetime, trace: str) -> list[Row]:
-    return [_tick(f"demo-dup-{trace}", "demo-api", now)] * 3
+def steady(_: datetime) -> Iterator[Reading]:
+    for k in range(5):
+        yield Reading(f"steady{k}", 2.0 * k, "dock", "weighing", {"lane": k, "load_kg": 10.0 + k})
 
 
-def normal_flow(now: datetime, trace: str) -> list[Row]:
-    values = lambda i: {"symbol": "BTC/USDT", "bid": 108000.0 + i, "ask": 108001.0 + i, "trace": trace, "seq": i}
-    return [(f"demo-normal-{trace}-{i}", f"demo-normal-source-{trace}", "demo_normal_event", now + timedelta(seconds=i), values(i)) for i in range(4)]
+def changed_shape(_: datetime) -> Iterator[Reading]:
+    """A field turns from a number to a text, one goes and one comes."""
+    yield Reading("shape-first", kind="survey", values={"lane": 1, "height_mm": 310, "width_mm": 200})
+    yield Reading("shape-second", kind="survey", values={"lane": 2, "height_mm": "310", "depth_mm": 90})
 
 
-def schema_drift(now: datetime, trace: str) -> list[Row]:
-    base = {"symbol": "BTC/USDT", "bid": 100.0, "ask": 101.0, "trace": trace}
-    drift = {"symbol": "BTC/USDT", "bid": "100.0", "spread": 1.0, "trace": trace}
-    return [(f"demo-schema-{trace}-{k}", "demo-api", "demo_schema_event", now, p) for k, p in (("base", base), ("drift", drift))]
+def sent_again(_: datetime) -> Iterator[Reading]:
+    for _k in range(2):
+        yield Reading("again")
 
 
-def late_events(now: datetime, trace: str) -> list[Row]:
-    return [_tick(f"demo-late-{trace}", "demo-api", now - timedelta(seconds=600), trace=trace)]
+def delayed(_: datetime) -> Iterator[Reading]:
+    yield Reading("delayed", -1500.0, values={"lane": 9, "belt": "south"})
 
 
-def null_spike(now: datetime, trace: str) -> list[Row]:
-    def row(i: int) -> Row:
-        values = {"symbol": "BTC/USDT", "bid": 108000.1 + i, "ask": None if i else 108002.4, "trace": trace, "seq": i}
-        return f"demo-null-{trace}-{i}", f"demo-null-source-{trace}", "demo_null_event", now + timedelta(seconds=i), values
+def lost_field(_: datetime) -> Iterator[Reading]:
+    """The first reading has a temperature, the following ones a null."""
+    for k, celsius in enumerate([4.5, None, None, None]):
+        yield Reading(f"lost{k}", 1.0 * k, "cold-room", "climate", {"lane": k, "celsius": celsius})
 
-    return [row(i) for i in range(6)]
 
-
-def anomaly_spike(now: datetime, trace: str) -> list[Row]:
-    rows = []
-    for start, n in ((now - timedelta(seconds=120), 2), (now - timedelta(seconds=60), 2), (now, 8)):
-        for i in range(n):
-            event_id = f"demo-anomaly-{trace}-{start:%H%M%S}-{i}"
-            values = {"symbol": "BTC/USDT", "bid": 108000.0 + i, "ask": 108001.0 + i, "trace": trace, "seq": event_id}
-            rows.append((event_id, f"demo-anomaly-source-{trace}", "demo_anomaly_event", start + timedelta(seconds=i), values))
-    return rows
+def rush(now: datetime) -> Iterator[Reading]:
+    """Three readings in each of two minutes, then ten in one; within whole minutes, whatever the time is now."""
+    start = -float(now.second) - now.microsecond / 1e6
+    for minute, n in ((-2, 3), (-1, 3), (0, 10)):
+        for k in range(n):
+            yield Reading(f"rush{minute}-{k}", start + 60 * minute + k, "sorter", "pass", {"lane": 100 * minute + k})
 
 
-def stale_source(now: datetime, trace: str) -> list[Row]:
-    return [_tick(f"demo-stale-{trace}", f"demo-stale-source-{trace}", now - timedelta(seconds=900), trace=trace)]
+def silent_sensor(_: datetime) -> Iterator[Reading]:
+    yield Reading("silent", -2400.0, "back-door", values={"lane": 7})
 
 
-def field_range(now: datetime, trace: str) -> list[Row]:
-    return [(f"demo-range-{trace}", "demo-api", "demo_quality_event", now, {"price": 1500.0, "code": "SKU-000123", "trace": trace})]
+def overload(_: datetime) -> Iterator[Reading]:
+    yield Reading("overload", kind="weighing", values={"load_kg": 950.0, "parcel": "PX0042"})
 
 
-def field_format(now: datetime, trace: str) -> list[Row]:
-    return [(f"demo-format-{trace}", "demo-api", "demo_quality_event", now, {"price": 100.0, "code": "SKU-12", "trace": trace})]
+def misprint(_: datetime) -> Iterator[Reading]:
+    yield Reading("misprint", kind="weighing", values={"load_kg": 3.0, "parcel": "PX42"})
 
 
-def mixed_incident(now: datetime, trace: str) -> list[Row]:
-    parts = (duplicate_events, late_events, schema_drift, null_spike, anomaly_spike, stale_source)
-    return [row for part in parts for row in part(now, trace)]
+def bad_day(now: datetime) -> Iterator[Reading]:
+    for part in (sent_again, delayed, changed_shape, lost_field, rush, silent_sensor):
+        yield from part(now)
 
 
-SCENARIOS = {
-    f.__name__.replace("_", "-"): f
-    for f in (
-        normal_flow, schema_drift, duplicate_events, late_events, null_spike, anomaly_spike, stale_source, field_range, field_format, mixed_incident,
-    )
-}
+#: The kinds of alert, and what raises them.
+SCENARIOS: dict[str, Callable[[datetime], Iterator[Reading]]] = {
+    "normal-flow": steady,
+    "schema-drift": changed_shape,
+    "duplicate-events": sent_again,
+    "late-events": delayed,
+    "null-spike": lost_field,
+    "anomaly-spike": rush,
+    "stale-source": silent_sensor,
+    "field-range": overload,
+    "field-format": misprint,
+    "mixed-incident": bad_day,
+}
 
 
 def scenario(spark: SparkSession, name: str, now: datetime, trace: str = "t1") -> DataFrame:
-    """The events of a scenario as a batch; all arrive now, or at their own time where that is later."""
+    """The events of a scenario as a batch; all arrive now, or at their own time where that is later.
+
+    trace keeps runs apart: it is in the event ids, and in the names of the sources that a scenario has alone.
+    """
     if name not in SCENARIOS:
         raise ValueError(f"unknown scenario: {name}")
-    rows = [
-        (e, s, t, at, json.dumps(payload), k, max(now, at)) for k, (e, s, t, at, payload) in enumerate(SCENARIOS[name](now, trace))
-    ]
+    rows = []
+    for seq, r in enumerate(SCENARIOS[name](now)):
+        at = now + timedelta(seconds=r.at)
+        source = r.sensor if r.sensor == "gate" else f"{r.sensor}/{trace}"
+        rows.append((f"{trace}:{r.label}", source, f"depot.{r.kind}", at, json.dumps(r.values | {"run": trace}), seq, max(now, at)))
     return spark.createDataFrame(rows, f"{EVENT}, {ARRIVAL}")

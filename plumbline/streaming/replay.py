@@ -1,87 +1,55 @@
-"""The detection pipeline on a stream: micro-batches over a bounded history and stored schema baselines."""
+"""The detection pipeline on a stream: each micro-batch is taken in as a part of the result tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.config import Settings
-from plumbline.functions.timing import plus
-from plumbline.operators import schemas
-from plumbline.operators.alerts import ALERTS
-from plumbline.operators.envelope import enrich
-from plumbline.operators.pipeline import process
+from plumbline.plans.ingest import ingest
 from plumbline.sources.store import Store, new_folder
 
-_ENVELOPE = ["seq", "event_id", "source", "event_type", "event_timestamp", "received_at", "payload"]
 
-
-def _schemas(zoned: str) -> dict[str, str]:
-    return {
-        "processed": f"seq long, event_id string, source string, event_type string, event_timestamp {zoned}, received_at {zoned}, "
-        f"payload string, payload_hash string, alerts {ALERTS}, quality_status string",
-        "baselines": "baseline_type string, baseline_hash string, baseline array<struct<path:string,type:string>>",
-    }
-
-
-def horizon(settings: Settings) -> float:
-    """Seconds of history that a batch needs: the duplicate window, and the windows of the spike detectors."""
-    return max(settings.duplicate_window, (settings.anomaly_windows + 2) * settings.window_size)
-
-
-def process_batch(store: Store, batch: DataFrame, number: int, settings: Settings) -> None:
-    """Process a micro-batch and write its part; a batch that runs again replaces what it wrote.
-
-    Earlier events within the horizon are processed along with it, so that repeats, windows and baselines
-    count across batches; only the new events are kept. The first schema of a type stays its baseline.
-    """
-    new = batch.select(*_ENVELOPE)
-    first = new.agg(F.min("received_at").alias("t")).first()["t"]
-    if first is None:
-        return
-    observed = schemas.observe(enrich(new), settings.schema_depth)
-    before = store.read("baselines", number)
-    found = schemas.baselines(observed).join(before.select("baseline_type"), "baseline_type", "left_anti")
-    store.write("baselines", found, number)
-    known = store.read("baselines", number + 1)
-    since = plus(F.lit(first).cast(new.schema["received_at"].dataType), -horizon(settings))
-    history = store.read("processed", number).where(F.col("received_at") >= since).select(*_ENVELOPE)
-    both = history.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True)))
-    done = process(both, settings, known=known).where("new")
-    store.write("processed", done.select(*_ENVELOPE, "payload_hash", "alerts", "quality_status"), number)
-
-
-def start(stream: DataFrame, folder: str, settings: Settings, every: str | None = None) -> tuple[Store, StreamingQuery]:
+def start(stream: DataFrame, folder: str, settings: Settings, every: str | None = None, now: Column | None = None) -> tuple[Store, StreamingQuery]:
     """Start to process the stream: all that it has now, or on and on with a batch `every` so often ('1 second').
 
-    A later start with the same folder goes on from where this one ends.
+    Batches fill all tables as plans.ingest does, and what the detectors remember is in the tables too; so a
+    batch that runs again replaces what it wrote, and a later start with the same folder goes on from where
+    this one ends. now: the clock of the sources' health, by default the time at which a batch runs.
     """
-    store = Store(stream.sparkSession, f"{folder}/tables", _schemas(stream.schema["received_at"].dataType.simpleString()))
+    store = Store(stream.sparkSession, f"{folder}/tables")
+    clock = F.current_timestamp() if now is None else now
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
-    return store, writer.foreachBatch(lambda batch, number: process_batch(store, batch, number, settings)).start()
+    return store, writer.foreachBatch(lambda batch, number: ingest(store, batch, number, settings, clock) and None).start()
 
 
-def run(stream: DataFrame, folder: str, settings: Settings) -> Store:
+def run(stream: DataFrame, folder: str, settings: Settings, now: Column | None = None) -> Store:
     """Process all that the stream has now, and wait for it."""
-    store, query = start(stream, folder, settings)
+    store, query = start(stream, folder, settings, now=now)
     query.awaitTermination()
     return store
 
 
-def stream_processed(events: DataFrame, settings: Settings, batches: int = 3) -> DataFrame:
-    """Events written as files in order of arrival, streamed file by file, and what was processed."""
-    spark, folder = events.sparkSession, new_folder(events.sparkSession)
+def cuts(events: DataFrame, batches: int) -> list[Column]:
+    """Conditions that part events by even stretches of their arrival, in order."""
     ends = events.agg(F.min("received_at").alias("a"), F.max("received_at").alias("b")).first()
     kind = events.schema["received_at"].dataType
-    cuts = [ends["a"] + (ends["b"] - ends["a"]) * k / batches for k in range(batches)] if ends["a"] is not None else []
-    for k, start in enumerate(cuts):
-        part = F.col("received_at") >= F.lit(start).cast(kind)
-        if k + 1 < len(cuts):
-            part &= F.col("received_at") < F.lit(cuts[k + 1]).cast(kind)
-        events.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/input")
-    if not cuts:
-        events.write.parquet(f"{folder}/input")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
-    return run(stream, folder, settings).read("processed")
+    if ends["a"] is None:
+        return [F.lit(True)]
+    starts = [ends["a"] + (ends["b"] - ends["a"]) * k / batches for k in range(batches)]
+    parts = [F.col("received_at") >= F.lit(s).cast(kind) for s in starts]
+    return [a & (F.col("received_at") < F.lit(s).cast(kind)) for a, s in zip(parts, starts[1:], strict=False)] + parts[-1:]
+
+
+def stream_processed(events: DataFrame, settings: Settings, batches: int = 3, now: Column | None = None) -> Store:
+    """Events written to a folder for each stretch of their arrival, streamed batch by batch: the tables that they fill."""
+    spark, folder = events.sparkSession, new_folder(events.sparkSession)
+    store = None
+    for part in cuts(events, batches):
+        events.where(part).write.mode("append").parquet(f"{folder}/input")
+        # all that has come since the last start is one batch
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/input")
+        store = run(stream, folder, settings, now)
+    return store

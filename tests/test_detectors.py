@@ -16,7 +16,7 @@ NOW = datetime(2024, 5, 1, 12, 0, 0)
 
 def events(spark, *rows):
     """rows: (event_id, event time, payload JSON, arrival) of one source and type."""
-    full = [(i, "demo-api", "tick", at, p, k, got) for k, (i, at, p, got) in enumerate(rows)]
+    full = [(i, "s1", "tick", at, p, k, got) for k, (i, at, p, got) in enumerate(rows)]
     return spark.createDataFrame(full, f"{EVENT}, {ARRIVAL}")
 
 
@@ -75,16 +75,16 @@ def test_range_open_bounds_and_missing(spark):
 
 def test_format(spark):
     cases = {
-        '"SKU-000123"': None, '"SKU-12"': "PATTERN_MISMATCH", '"SKU-000123\\n"': "PATTERN_MISMATCH", "null": None, '""': "PATTERN_MISMATCH",
+        '"PX0042"': None, '"PX42"': "PATTERN_MISMATCH", '"PX0042\\n"': "PATTERN_MISMATCH", "null": None, '""': "PATTERN_MISMATCH",
         "42": "NOT_A_STRING", "true": "NOT_A_STRING",
     }
-    rows = alone(spark, DEMO_SETTINGS, *[(f'{{"code": {c}}}', 0) for c in cases])
+    rows = alone(spark, DEMO_SETTINGS, *[(f'{{"parcel": {c}}}', 0) for c in cases])
     for row, reason in zip(rows, cases.values(), strict=True):
         assert [f'"reason":"{reason}"' in a.evidence_json for a in row.alerts] == ([True] if reason else [])
 
 
 def test_range_and_format_are_flagged(spark):
-    row = alone(spark, DEMO_SETTINGS, ('{"price": 1500, "code": "SKU-12"}', 0))[0]
+    row = alone(spark, DEMO_SETTINGS, ('{"load_kg": 1500, "parcel": "PX42"}', 0))[0]
     assert [a.alert_type for a in row.alerts] == ["FIELD_OUT_OF_RANGE", "FIELD_FORMAT_MISMATCH"] and row.quality_status == "FLAGGED"
 
 
@@ -98,8 +98,8 @@ def test_iso_duration():
 
 
 def null_spikes(df, settings):
-    observed = schemas.prepare(envelope.enrich(df), settings)
-    return sorted(r.seq for r in spikes.null_spikes(spikes.null_samples(observed, settings), settings).where("field_path = 'ask'").collect())
+    observed = schemas.prepare(envelope.enrich(df))
+    return sorted(r.seq for r in spikes.null_spikes(spikes.null_runs(observed, settings), settings).where("field_path = 'ask'").collect())
 
 
 def samples(spark, flags, settings, step=1.0):

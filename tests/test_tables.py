@@ -1,3 +1,6 @@
+import json
+import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -5,14 +8,14 @@ from pyspark.sql import functions as F
 
 from plumbline.config import DEMO_SETTINGS, Settings
 from plumbline.functions.ordered import islands
-from plumbline.model import EVENT
+from plumbline.model import ARRIVAL, EVENT
 from plumbline.operators import health, incidents
 from plumbline.operators.pipeline import process
 from plumbline.plans import reads
-from plumbline.plans.ingest import ingest, refresh_health
+from plumbline.plans.ingest import counters, current_metrics, current_versions, ingest, quality_alerts, raw_events, refresh_health
 from plumbline.scenarios import scenario
 from plumbline.sources.store import Store, new_folder, read_events, to_messages
-from plumbline.streaming.replay import stream_processed
+from plumbline.streaming.replay import cuts, stream_processed
 
 NOW = datetime(2024, 5, 1, 12, 0, 0)
 
@@ -52,27 +55,27 @@ def test_ingest_refresh_and_reads(spark):
     bad = spark.createDataFrame([("", "s", "t", NOW, "{}")], EVENT).selectExpr("*", "cast(99 as long) seq", "event_timestamp received_at")
     rejected = ingest(store, scenario(spark, "mixed-incident", NOW).unionByName(bad), 0, DEMO_SETTINGS, F.lit(NOW + timedelta(seconds=10)))
     assert rejected.count() == 1
-    assert store.read("raw_events").count() == 25
+    assert store.read("raw_events").count() == 26 and store.read("rejected_events").count() == 1
     stale = store.read("quality_alerts").where("alert_type = 'STALE_SOURCE'")
-    assert [r.source for r in stale.collect()] == ["demo-stale-source-t1"]
+    assert [r.source for r in stale.collect()] == ["back-door/t1"]
     state = {r.source: r.status for r in store.read("source_health").collect()}
-    assert state["demo-stale-source-t1"] == "STALE"
+    assert state["back-door/t1"] == "STALE"
     # still stale: no second alert
     refresh_health(store, 1, DEMO_SETTINGS, F.lit(NOW + timedelta(seconds=20)))
     assert stale.sparkSession.read.parquet(f"{store.folder}/quality_alerts").where("alert_type = 'STALE_SOURCE'").count() == 1
-    versions = reads.schema_list(store.read("schema_versions"), "demo_schema_event").collect()
-    assert [v.status for v in versions] == ["ACTIVE", "DRIFTING"]
+    versions = reads.schema_list(store.read("schema_versions"), "depot.survey").collect()
+    assert sorted(v.status for v in versions) == ["ACTIVE", "DRIFTING"]
     store.views()
-    assert spark.sql("SELECT count(*) FROM raw_events").first()[0] == 25
+    assert spark.sql("SELECT count(*) FROM raw_events").first()[0] == 26
     table = store.read("quality_alerts")
     assert reads.by_key(table, "id", -5).count() == 0
-    both = reads.alerts_list(table, kind="SCHEMA_DRIFT", source="demo-api").collect()
-    assert both and all(r.alert_type == "SCHEMA_DRIFT" and r.source == "demo-api" for r in both)
+    both = reads.alerts_list(table, kind="SCHEMA_DRIFT", source="gate").collect()
+    assert both and all(r.alert_type == "SCHEMA_DRIFT" and r.source == "gate" for r in both)
     assert reads.alerts_list(table, status="RESOLVED", kind="SCHEMA_DRIFT").count() == 0
     assert reads.alerts_list(table, status=" ").count() == table.count()
-    assert reads.recent_events(store.read("raw_events").withColumnRenamed("id", "seq"), 1, 20).count() == 5
+    assert reads.recent_events(store.read("raw_events").withColumnRenamed("id", "seq"), 1, 20).count() == 6
     summary = reads.dashboard_summary(store.read("raw_events"), table, store.read("source_health").where("updated_at = timestamp'2024-05-01 12:00:20'"), F.lit(NOW)).first()
-    assert summary.total_events == 25 and summary.active_sources == 4 and summary.unhealthy_sources >= 1
+    assert summary.total_events == 26 and summary.active_sources == 4 and summary.unhealthy_sources >= 1
 
 
 def test_receipts_counters_and_responses(spark):
@@ -87,13 +90,13 @@ def test_receipts_counters_and_responses(spark):
     assert first.accepted == 1 and first.batch_id != second.batch_id
     seen = Observation()
     done = counted(process(events, DEMO_SETTINGS), seen)
-    assert reads.response(raw_events(done), "raw_events").first().event_id == "demo-range-t1"
+    assert reads.response(raw_events(done), "raw_events").first().event_id == "t1:overload"
     assert seen.get == {"events_ingested": 1, "alerts_fired": 1}
     rows = enrich(scenario(spark, "duplicate-events", NOW))
     digest = rows.first().payload_hash
     assert payload_matches(rows, digest, F.lit(NOW - timedelta(seconds=1)), "other").count() == 1
     assert payload_matches(rows, digest, F.lit(NOW), "other").count() == 0
-    assert payload_matches(rows, digest, F.lit(NOW - timedelta(seconds=1)), "demo-dup-t1").count() == 0
+    assert payload_matches(rows, digest, F.lit(NOW - timedelta(seconds=1)), "t1:again").count() == 0
 
 
 def test_empty_store(spark):
@@ -139,8 +142,56 @@ def test_stream_equals_batch(spark):
     df = scenario(spark, "null-spike", NOW).unionByName(
         scenario(spark, "duplicate-events", NOW, "t2").selectExpr("* except (seq, received_at)", "seq + 100 seq", "received_at + interval 7 seconds received_at")
     )
-    key = lambda rows: sorted((r.seq, r.quality_status, [tuple(a) for a in r.alerts]) for r in rows.select("seq", "quality_status", "alerts").collect())
-    assert key(stream_processed(df, DEMO_SETTINGS, batches=4)) == key(process(df, DEMO_SETTINGS))
+    store = stream_processed(df, DEMO_SETTINGS, batches=4)
+    got = alert_keys(store.read("quality_alerts").where("alert_type <> 'STALE_SOURCE'"))
+    assert got == alert_keys(quality_alerts(process(df, DEMO_SETTINGS)))
+    states = lambda rows: sorted((r.id, r.quality_status) for r in rows.select("id", "quality_status").collect())
+    assert states(store.read("raw_events")) == states(raw_events(process(df, DEMO_SETTINGS)))
+
+
+def alert_keys(rows):
+    return sorted((r.id, r.alert_type, r.message, r.evidence_json) for r in rows.collect())
+
+
+def test_batches_equal_one_with_late_events_and_spikes(spark):
+    """Nulls and counts that go on across batches, late events of older windows, repeats of ids and payloads."""
+    rng = random.Random(8)
+    rows, t = [], 0.0
+    for k in range(240):
+        t += rng.choice([0.2, 1, 4, 20])
+        late = rng.choice([0, 0, 0, 30, 90])
+        payload = {"a": None if rng.random() < 0.5 else k % 9, "b": 1} | ({"c": {"d": {"e": {"f": {"g": 1}}}}} if k % 40 == 39 else {})
+        at = NOW + timedelta(seconds=t)
+        rows.append((f"e{k - (k % 17 == 0)}", rng.choice("st"), "tick", at - timedelta(seconds=late), json.dumps(payload), k, at))
+    df = spark.createDataFrame(rows, f"{EVENT}, {ARRIVAL}")
+    settings = replace(Settings(), null_threshold=0.5, anomaly_ratio=1.3, anomaly_min_count=3)
+    whole = quality_alerts(process(df, settings))
+    kinds = {r.alert_type for r in whole.collect()}
+    assert {"DUPLICATE_EVENT", "SCHEMA_DRIFT", "NULL_SPIKE", "ANOMALY_SPIKE"} <= kinds
+    store, one = Store(spark, new_folder(spark)), Store(spark, new_folder(spark))
+    for part, condition in enumerate(cuts(df, 4)):
+        ingest(store, df.where(condition), part, settings, F.lit(NOW))
+    ingest(store, df.where(cuts(df, 4)[3]), 3, settings, F.lit(NOW))  # a part that comes again
+    ingest(one, df, 0, settings, F.lit(NOW))
+    assert alert_keys(store.read("quality_alerts").where("alert_type <> 'STALE_SOURCE'")) == alert_keys(whole)
+    same = lambda f: sorted(map(tuple, f(store).collect()), key=str) == sorted(map(tuple, f(one).collect()), key=str)
+    assert same(current_versions) and same(lambda s: current_metrics(s, settings)) and same(counters)
+    assert [r.n for r in current_versions(store).where("status = 'ACTIVE'").groupBy("event_type").agg(F.count("*").alias("n")).collect()] == [1]
+    assert "c.d.e.f.g" in current_versions(store).where("schema_json LIKE '%c.d%'").first().schema_json
+
+
+def test_drift_and_repeats_across_two_batches(spark):
+    store = Store(spark, new_folder(spark))
+    for part, payload in enumerate(('{"a":1}', '{"a":"x"}')):
+        at = NOW + timedelta(seconds=part)
+        df = spark.createDataFrame([("e1", "s", "t", at, payload, part, at)], f"{EVENT}, {ARRIVAL}")
+        ingest(store, df, part, Settings(), F.lit(NOW))
+    found = sorted(r.message for r in store.read("quality_alerts").collect())
+    assert found == ["Repeated event_id e1", "Schema drift in t (missing=0, added=0, type_changed=1)"]
+    assert sorted(r.status for r in current_versions(store).collect()) == ["ACTIVE", "DRIFTING"]
+    counts = current_metrics(store, Settings()).where("metric_name = 'EVENT_COUNT'").collect()
+    assert [r.metric_value for r in counts] == [2.0]
+    assert tuple(counters(store).first()) == (2, 2)
 
 
 def test_json_source_and_messages(spark, tmp_path):
