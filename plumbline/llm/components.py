@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plumbline.llm.tables import materialize, release
 
 
-def _fingerprint(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return row["n"], int(row["s"] or 0)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a stored table, and their number and the sum of their hashes, counted as they are written."""
+    seen = Observation()
+    hashes = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
+    stored = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), hashes.alias("s")), "edges")
+    return stored, (seen.get["n"], int(seen.get["s"]))
 
 
 def _star(pairs: DataFrame, keep_self: bool) -> DataFrame:
     """pairs (u, v): link each neighbour v of u, and u if keep_self, to the least of u and its neighbours."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # by shuffle: rounds of broadcasts would pile up at the driver
+    linked = pairs.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if keep_self:
         linked = linked.unionByName(least.select("u", F.col("m").alias("v")))
     return linked
@@ -35,17 +36,13 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     plain ones that adaptive execution can split. Null ends and self-loops are ignored.
     """
     pairs = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
-    current = materialize(
-        pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
-    seen = _fingerprint(current)
+    current, seen = _written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while seen[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, keep_self=False).where("u > v").distinct()
-        small = _star(large, keep_self=True).where("u <> v").distinct()
-        following = materialize(small, "edges")
+        following, counted = _written(_star(large, keep_self=True).where("u <> v").distinct())
         release(current)
-        current, before, seen = following, seen, _fingerprint(following)
+        current, before, seen = following, seen, counted
         if seen == before:
             break
     # Stars now: every edge runs from a node to the least node of its component.

@@ -7,17 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import materialize
+from plumbline.llm.tables import materialize, new_path, release
 
 #: Lines that differ in so many inserted, deleted or replaced characters count as the same line.
 MAX_EDITS = 1
 SEGMENTS = MAX_EDITS + 1
 #: Columns of a line's first keys: (name, role, segment left out).
 KEYS = [(f"key_{role}_{part}", role, part) for role in (0, 1) for part in range(SEGMENTS)]
-#: Shorter lines (normalised) are left alone: short ones repeat by chance.
+#: Shorter lines (normalised) go if they are equal only: short ones are near each other by chance.
 MIN_CHARS = 20
 #: Pairs are formed in buckets of so many lines at most; larger ones split into finer segments.
 BUCKET = 4
+#: Segments that one is split into.
+SPLIT = 4
 #: A wild stretch of so few characters is resolved character by character.
 SHORT_STRETCH = 4
 #: Rows of the filter that is broadcast: hashes of the lines whose texts are looked at again.
@@ -39,14 +41,14 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(i, t).alias("row_a"), F.xxhash64(t, F.lit("row"), i).alias("row_b")]
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(row_a, row_b, doc_id, line_no, line, c1, c2): lines long enough, with a 128-bit hash of their normal form."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row_a, row_b, doc_id, line_no, line, c1, c2): lines that are not blank, with a 128-bit hash of their normal form."""
     text = F.col(f"`{text_col}`").cast("string")
     lines = docs.where(text.isNotNull()).select(
         *row_key(id_col, text_col), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw")
     )
-    lines = lines.where(F.length("raw") >= min_chars).withColumn("line", normalized(F.col("raw"))).drop("raw")
-    return lines.where(F.length("line") >= min_chars).select(
+    lines = lines.where(F.length("raw") > 0).withColumn("line", normalized(F.col("raw"))).drop("raw")
+    return lines.where(F.length("line") > 0).select(
         "*", F.xxhash64("line").alias("c1"), F.xxhash64(F.lit("line"), "line").alias("c2")
     )
 
@@ -70,10 +72,15 @@ def _segment_key(line: Column, parts: int, part: Column, role: Column) -> Column
     )
 
 
+def _joined(rows: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle. A loop over levels would else collect a broadcast for each join at the driver."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def _bucketed(entries: DataFrame) -> DataFrame:
     """The entries that share their key with another that they can match, with n, the size of the bucket."""
     sizes = entries.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("n0"), F.count("*").alias("n"))
-    return entries.join(sizes.where("n0 > 0 AND n > 1").select("key", "n"), "key")
+    return _joined(entries, sizes.where("n0 > 0 AND n > 1").select("key", "n"), "key")
 
 
 def _pairs(met: DataFrame, parts: int) -> DataFrame:
@@ -81,7 +88,7 @@ def _pairs(met: DataFrame, parts: int) -> DataFrame:
     a = met.where("role = 0").select("key", F.col("c1").alias("a1"), F.col("c2").alias("a2"))
     b = met.select("key", "role", "part", F.col("c1").alias("b1"), F.col("c2").alias("b2"))
     once = (F.col("role") == 1) | (F.struct("a1", "a2") < F.struct("b1", "b2"))
-    return a.join(b, "key").where(once).select("a1", "a2", "b1", "b2", "role", F.lit(parts).alias("parts"), "part")
+    return _joined(a, b, "key").where(once).select("a1", "a2", "b1", "b2", "role", F.lit(parts).alias("parts"), "part")
 
 
 def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
@@ -120,7 +127,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     Outside of the segment left out the lines must be equal; only its characters go through the edit distance.
     """
     side = lambda s: texts.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("line").alias(f"line_{s}"), F.col("rank").alias(f"rank_{s}"))
-    both = pairs.dropDuplicates(["a1", "a2", "b1", "b2"]).join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    both = _joined(_joined(pairs.dropDuplicates(["a1", "a2", "b1", "b2"]), side("a"), ["a1", "a2"]), side("b"), ["b1", "b2"])
     both = both.where(F.length("line_b") - F.col("role") == F.length("line_a"))
     bounds = [F.floor(F.length("line_a") * k / F.col("parts")).cast("int") for k in (F.col("part"), F.col("part") + 1)]
     both = both.withColumn("start", bounds[0]).withColumn("end", bounds[1])
@@ -170,8 +177,8 @@ def _resolved(dense: DataFrame, parts: int) -> DataFrame:
     first_less = shorter.groupBy("k1", "k2").agg(
         F.max(F.when(F.col("role") == 0, F.col("rank"))).alias("whole"), F.min(F.when(F.col("role") == 1, F.col("rank"))).alias("first")
     )
-    late = same.join(first_same, ["k1", "k2"]).where(F.col("rank") > F.col("first"))
-    less = shorter.join(first_less.where("whole IS NOT NULL AND first IS NOT NULL"), ["k1", "k2"]).where(
+    late = _joined(same, first_same, ["k1", "k2"]).where(F.col("rank") > F.col("first"))
+    less = _joined(shorter, first_less.where("whole IS NOT NULL AND first IS NOT NULL"), ["k1", "k2"]).where(
         F.when(F.col("role") == 0, F.col("first") < F.col("rank")).otherwise(F.col("whole") < F.col("rank"))
     )
     return late.select("c1", "c2").unionByName(less.select("c1", "c2"))
@@ -181,42 +188,52 @@ def near_lines(occurrences: DataFrame, classes: DataFrame) -> DataFrame:
     """(c1, c2) of the line classes that have an earlier class within MAX_EDITS.
 
     classes: (c1, c2, rank and KEYS); the keys leave out one of SEGMENTS segments each. Where a bucket holds
-    more than BUCKET lines its segment is halved again and again, so that the lines of a bucket agree in
-    more and more of their characters, until few are left or the rest is one short stretch.
+    more than BUCKET lines its segment is split again and again, so that the lines of a bucket agree in
+    more and more of their characters, until few are left or the rest is one short stretch. Each level
+    writes what it finds, so that no plan grows with the levels.
     """
+    spark = classes.sparkSession
+    pairs_path, gone_path = new_path(spark, "lines-pairs"), new_path(spark, "lines-gone")
     parts = SEGMENTS
     each = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(part).alias("part"), F.col(name).alias("key")) for name, role, part in KEYS])
-    entries = classes.select("c1", "c2", F.inline(each))
+    entries = classes.select("c1", "c2", F.inline(each)).where("key IS NOT NULL")
     met = materialize(_bucketed(entries), "lines-met")
     slot = F.pmod(F.col("c1"), F.lit(FILTER_SLOTS)).cast("int")
     wanted = met.select("c1", "c2").distinct()
     slots = met.select(slot.alias("slot")).distinct()  # FILTER_SLOTS rows at most
     lines = occurrences.join(F.broadcast(slots), slot == F.col("slot"), "left_semi").groupBy("c1", "c2").agg(F.any_value("line").alias("line"))
-    texts = materialize(lines.join(wanted, ["c1", "c2"]).join(classes.select("c1", "c2", "rank"), ["c1", "c2"]), "lines-texts")
-    pairs, gone = _pairs(met.where(F.col("n") <= BUCKET), parts), None
-    while True:
-        dense = met.where(F.col("n") > BUCKET)
-        if dense.isEmpty():
-            break
-        dense = materialize(dense.drop("n", "key").join(texts, ["c1", "c2"]), "lines-dense")
+    texts = materialize(_joined(_joined(lines, wanted, ["c1", "c2"]), classes.select("c1", "c2", "rank"), ["c1", "c2"]), "lines-texts")
+    pairs = _pairs(met.where(F.col("n") <= BUCKET), parts)
+    kinds = {pairs_path: pairs.schema, gone_path: texts.select("c1", "c2").schema}
+    pairs.write.parquet(pairs_path)
+    texts.select("c1", "c2").limit(0).write.parquet(gone_path)
+    dense = materialize(_joined(met.where(F.col("n") > BUCKET).drop("n", "key"), texts, ["c1", "c2"]), "lines-dense")
+    release(met)
+    held = dense
+    while not dense.isEmpty():
         start, end = _bounds(F.length("line") - F.col("role"), parts, F.col("part"))
         short = (end - start) <= SHORT_STRETCH
-        found = _resolved(dense.where(short), parts)
-        gone = found if gone is None else gone.unionByName(found)
-        parts *= 2
-        halves = dense.where(~short).select("c1", "c2", "role", "line", F.explode(F.array(F.col("part") * 2, F.col("part") * 2 + 1)).alias("part"))
-        children = halves.select("c1", "c2", "role", "part", _segment_key(F.col("line"), parts, F.col("part"), F.col("role")).alias("key"))
-        met = materialize(_bucketed(children), "lines-met")
-        pairs = pairs.unionByName(_pairs(met.where(F.col("n") <= BUCKET), parts))
-    late = _verified(pairs, texts)
-    return (late if gone is None else late.unionByName(gone)).distinct()
+        _resolved(dense.where(short), parts).write.mode("append").parquet(gone_path)
+        parts *= SPLIT
+        finer = F.explode(F.array(*[F.col("part") * SPLIT + k for k in range(SPLIT)]))
+        split = dense.where(~short).select("c1", "c2", "rank", "role", "line", finer.alias("part"))
+        children = split.withColumn("key", _segment_key(F.col("line"), parts, F.col("part"), F.col("role")))
+        before, met = held, materialize(_bucketed(children), "lines-met")
+        _pairs(met.where(F.col("n") <= BUCKET), parts).write.mode("append").parquet(pairs_path)
+        release(before)
+        held, dense = met, met.where(F.col("n") > BUCKET).drop("n", "key")
+    read = lambda path: spark.read.schema(kinds[path]).parquet(path)
+    found = materialize(_verified(read(pairs_path), texts).unionByName(read(gone_path)).distinct(), "lines-near")
+    for table in (held, texts, read(pairs_path), read(gone_path)):
+        release(table)
+    return found
 
 
 def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Remove each line of min_chars or more that repeats, or is within one edit of, an earlier line of the corpus.
+    """Remove each line that repeats an earlier one of the corpus, and each of min_chars or more that is within one edit of one.
 
-    Shorter lines (in their normal form) stay, exact repeats too.
-    Lines end at line feeds and compare in their normal form; they come in order of (id, line number).
+    Lines end at line feeds and compare in their normal form; they come in order of (id, line number). Blank
+    lines stay; lines shorter than min_chars (in their normal form) go if they are equal to an earlier one only.
     A line goes if an earlier one is equal or near, whether or not that one stays itself. Returns all
     columns of docs with the text as it is then, and n_lines, n_removed and emptied (nothing but white
     space is left of a text that had more). Input columns of these names are replaced.
@@ -224,8 +241,9 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Nulls: a null text stays null and has no lines; a null id counts as before all others. Rows with the
     same id and text share their positions, so both keep a line that is the first. An empty table gives none.
     """
-    occurrences = _occurrences(docs, id_col, text_col, min_chars)
-    keys = [_segment_key(F.col("line"), SEGMENTS, F.lit(part), F.lit(role)).alias(name) for name, role, part in KEYS]
+    occurrences = _occurrences(docs, id_col, text_col)
+    long_ = F.length("line") >= min_chars
+    keys = [F.when(long_, _segment_key(F.col("line"), SEGMENTS, F.lit(part), F.lit(role))).alias(name) for name, role, part in KEYS]
     # one pass over the texts gives what the classes and the removal need of every line
     places = materialize(occurrences.select("row_a", "row_b", "doc_id", "line_no", "c1", "c2", *keys), "lines-places")
     classes = materialize(
@@ -234,7 +252,7 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         ),
         "lines-classes",
     )
-    near = materialize(near_lines(occurrences, classes), "lines-near").withColumn("near", F.lit(True))
+    near = near_lines(occurrences.where(long_), classes).withColumn("near", F.lit(True))
     verdicts = (
         classes.select("c1", "c2", "n", F.col("rank.doc_id").alias("first_doc"), F.col("rank.line_no").alias("first_line"))
         .join(near, ["c1", "c2"], "left")
@@ -276,20 +294,21 @@ WITH raw AS (
 norm AS (
   SELECT doc_id, line_no, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM raw),
 classes AS (
-  SELECT norm, min((doc_id, line_no)) AS first, length(norm) AS n FROM norm WHERE length(norm) >= 20 GROUP BY norm),
+  SELECT norm, min((doc_id, line_no)) AS first, length(norm) AS n FROM norm WHERE length(norm) > 0 GROUP BY norm),
+long AS (SELECT * FROM classes WHERE n >= 20),
 same AS (
-  SELECT a.norm AS x, b.norm AS y, a.first AS fx, b.first AS fy FROM classes a JOIN classes b
+  SELECT a.norm AS x, b.norm AS y, a.first AS fx, b.first AS fy FROM long a JOIN long b
     ON a.n = b.n AND left(a.norm, a.n // 2) = left(b.norm, b.n // 2) AND a.norm < b.norm
   UNION
-  SELECT a.norm, b.norm, a.first, b.first FROM classes a JOIN classes b
+  SELECT a.norm, b.norm, a.first, b.first FROM long a JOIN long b
     ON a.n = b.n AND right(a.norm, a.n - a.n // 2) = right(b.norm, b.n - b.n // 2) AND a.norm < b.norm),
 replaced AS (
   SELECT * FROM same WHERE list_sum(list_transform(range(1, length(x) + 1), lambda i: (x[i] <> y[i])::INT)) = 1),
 shorter AS (
-  SELECT norm, first, unnest(list_transform(range(1, n + 1), lambda i: left(norm, i - 1) || substr(norm, i + 1))) AS cut FROM classes),
+  SELECT norm, first, unnest(list_transform(range(1, n + 1), lambda i: left(norm, i - 1) || substr(norm, i + 1))) AS cut FROM long),
 links AS (
   SELECT x, y, fx, fy FROM replaced
-  UNION ALL SELECT a.norm, b.norm, a.first, b.first FROM classes a JOIN shorter b ON a.norm = b.cut),
+  UNION ALL SELECT a.norm, b.norm, a.first, b.first FROM long a JOIN shorter b ON a.norm = b.cut),
 near AS (SELECT DISTINCT CASE WHEN fx > fy THEN x ELSE y END AS norm FROM links),
 marked AS (
   SELECT r.doc_id, r.line_no, r.line, c.norm IS NOT NULL AND (n.norm IS NOT NULL OR c.first <> (r.doc_id, r.line_no)) AS gone
