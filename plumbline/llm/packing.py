@@ -15,10 +15,12 @@ from plumbline.llm.tables import materialize
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
-#: Lengths count in units of so many tokens in the linear program, rounded up: 256 rows for 2048 tokens.
-UNIT_TOKENS = 8
-#: Bound on simplex steps; a stop there leaves a feasible packing that is only less tight.
-MAX_COLUMNS = 4000
+#: Rows of the linear program. Fewer different lengths count as they are; of more, neighbours are rounded up together.
+LENGTH_CLASSES = 128
+#: The program is solved when its sequences are within this share of the fewest (by Farley's bound, or by their room).
+GAP = 0.005
+#: Pricing ends where so many rounds together save less than this share of the sequences: the rest is not worth it.
+TAIL_ROUNDS, TAIL_SHARE = 30, 0.0005
 #: Words that a Python worker remembers; beyond, it forgets them all and starts anew.
 CACHE_WORDS = 500_000
 #: Pieces for each part of a length class, when pieces are ranked.
@@ -146,8 +148,8 @@ def tokenize_pieces(
     return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(cut, schema)
 
 
-def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack by dynamic programming: how many of each size to take for the largest price."""
+def good_patterns(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack by dynamic programming: for each size the pattern of the largest price that holds it, best first."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -157,21 +159,24 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> np.nda
             k = int(values.argmax())
             if values[k] > best[c] + 1e-12:
                 best[c], choice[c] = values[k], k
-    taken, c = np.zeros(len(sizes)), capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            taken[choice[c]] += 1
-            c -= sizes[choice[c]]
-    return taken
+    found = np.zeros((len(sizes), len(sizes)))
+    for k, size in enumerate(sizes):
+        found[k, k] = 1
+        c = capacity - size
+        while c > 0:
+            if choice[c] < 0:
+                c -= 1
+            else:
+                found[k, choice[c]] += 1
+                c -= sizes[choice[c]]
+    return found[np.argsort(-(found @ prices), kind="stable")]
 
 
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, times): patterns[j] holds how many items of each size, times[j] how often to use it.
 
     Column generation: the linear program over patterns keeps one pattern for each size in its basis;
-    its dual prices go to a knapsack, whose pattern enters while it is worth more than one sequence.
+    its dual prices go to a knapsack, whose patterns enter while they are worth more than one sequence.
     The basis rounds down, and best fit decreasing packs the few items left. Every item is covered
     exactly. The work depends on the number of sizes alone, not on the demand.
     """
@@ -182,21 +187,36 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple
     basis, inverse = np.diag(each.astype(float)), np.diag(1.0 / each)
     spread = demand * (1 + 1e-7 * np.arange(1, m + 1))  # breaks ties between equal ratios
     x = inverse @ spread
-    for _ in range(MAX_COLUMNS):
-        prices = inverse.sum(axis=0)
-        column = best_pattern(prices, sizes, capacity)
-        if prices @ column <= 1 + 1e-9:
+    sums = []
+    while True:
+        sums.append(x.sum())
+        if len(sums) > TAIL_ROUNDS and sums[-1 - TAIL_ROUNDS] - sums[-1] < TAIL_SHARE * sums[-1]:
             break
-        way = inverse @ column
-        rows = np.flatnonzero(way > 1e-9)
-        leave = rows[np.argmin(x[rows] / way[rows])]
-        theta = x[leave] / way[leave]
-        x -= theta * way
-        x[leave] = theta
-        basis[:, leave] = column
-        pivot = inverse[leave] / way[leave]
-        inverse -= np.outer(way, pivot)
-        inverse[leave] = pivot
+        if x.sum() <= (1 + GAP) * (sizes @ demand) / capacity:  # all sequences nearly full
+            break
+        # prices jump about; patterns for prices nearer to the sizes, which those end near, are worth more
+        for share in (0.9, 0.5, 0.0):
+            prices = inverse.sum(axis=0)
+            columns = good_patterns(share * sizes / capacity + (1 - share) * prices, sizes, capacity)
+            if (columns @ prices).max() > 1 + GAP:
+                break
+        else:
+            break  # the best of all packings needs at least the sum of prices over the best column's price
+        for column in columns:
+            if x.sum() <= (1 + GAP / 2) * (sizes @ demand) / capacity:
+                break
+            if inverse.sum(axis=0) @ column <= 1 + GAP / 2:
+                continue
+            way = inverse @ column
+            rows = np.flatnonzero(way > 1e-9)
+            leave = rows[np.argmin(x[rows] / way[rows])]
+            theta = x[leave] / way[leave]
+            x -= theta * way
+            x[leave] = theta
+            basis[:, leave] = column
+            pivot = inverse[leave] / way[leave]
+            inverse -= np.outer(way, pivot)
+            inverse[leave] = pivot
     x = np.linalg.solve(basis, demand.astype(float))
     times = np.floor(np.maximum(x, 0) + 1e-9).astype(np.int64)
     patterns = basis.round().astype(np.int64)
@@ -219,13 +239,31 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple
     return np.vstack(stacked), np.concatenate([times[used], np.ones(len(rest), np.int64)])
 
 
-def assign_sequences(pieces: DataFrame, *, size: int = SEQUENCE_TOKENS, unit: int = UNIT_TOKENS) -> DataFrame:
+def length_classes(lengths: np.ndarray, counts: np.ndarray, most: int = LENGTH_CLASSES) -> np.ndarray:
+    """The lengths (sorted) that stand for themselves and for those below them, down to the one before.
+
+    Again and again the length whose pieces lose least tokens by being rounded up goes, until `most` are left.
+    """
+    kept, weight = [int(x) for x in lengths], [int(n) for n in counts]
+    while len(kept) > most:
+        loss = np.array(weight[:-1], float) * np.diff(kept)
+        k = int(loss.argmin())
+        kept.pop(k)
+        moved = weight.pop(k)
+        weight[k] += moved
+    return np.array(kept, np.int64)
+
+
+def assign_sequences(pieces: DataFrame, *, size: int = SEQUENCE_TOKENS) -> DataFrame:
     """Give each piece a sequence_id and its offset there; pieces must be a stored table with PIECES columns."""
-    capacity = size // unit
-    classed = pieces.withColumn("size_class", F.ceil(F.col("length") / unit).cast("int"))
-    histogram = sorted(classed.groupBy("size_class").count().collect())  # at most `capacity` rows
-    sizes = np.array([r[0] for r in histogram], int)
-    demand = np.array([r[1] for r in histogram], np.int64)
+    capacity = size
+    histogram = np.array(sorted(pieces.groupBy("length").count().collect()), np.int64).reshape(-1, 2)  # at most `size` rows
+    sizes = length_classes(histogram[:, 0], histogram[:, 1])
+    at = np.searchsorted(sizes, histogram[:, 0])
+    demand = np.bincount(at, weights=histogram[:, 1], minlength=len(sizes)).astype(np.int64)
+    of_length = np.zeros(size + 1, np.int64)
+    of_length[histogram[:, 0]] = sizes[at]
+    classed = pieces.withColumn("size_class", F.element_at(F.lit(of_length.tolist()), (F.col("length") + 1).cast("int")).cast("int"))
     patterns, times = cutting_stock(sizes, demand, capacity)
     first_sequence = np.concatenate([[0], np.cumsum(times)[:-1]]) if len(times) else times
     slots = []  # (size class, first rank, pieces of the class in a sequence, first sequence)
