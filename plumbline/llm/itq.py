@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
-from plumbline.llm.tables import materialize
+from plumbline.llm.tables import materialize, release
 
 THRESHOLD = 0.95
 #: The rotation is learned on so many vectors at most: those with the smallest hashes of their ids.
@@ -23,11 +23,9 @@ ROTATION_ROUNDS = 50
 SUBSTRING_BITS = (16, 22)
 #: Tables look up substrings in so wide a radius that this share of pairs at the threshold meets in one of them.
 MEETING = 0.93
-#: Codes that differ in more bits are not compared; at a cosine of 0.95 the mean is 6.5 of 64 bits.
+#: Vectors whose codes differ in more bits count as not found; at a cosine of 0.95 the mean is 6.5 of 64 bits.
 CODE_RADIUS = 16
-#: Buckets with more pairs of a probing and an indexed code are compared whole.
-PAIRS_LOOKED_AT = 1024
-#: A bucket's vectors are compared in blocks of so many by so many.
+#: A bucket's codes, and its vectors, are compared in blocks of so many by so many.
 BLOCK = 2048
 
 
@@ -46,11 +44,21 @@ def learn_rotation(sample: np.ndarray, bits: int = 64, rounds: int = ROTATION_RO
     return mean, principal @ turn
 
 
-def encode(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """The signs of the turned unit vectors as 64-bit codes."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; powers of two come off first, so that no square overflows or vanishes."""
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def encode(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """The signs of the turned unit vectors as 64-bit codes.
+
+    Vectors of another width than the rotation was learned on take random directions of their own width.
+    """
+    if unit.shape[1] != len(projection):
+        mean, projection = 0.0, np.random.default_rng(unit.shape[1]).standard_normal((unit.shape[1], projection.shape[1]))
     signs = (unit - mean) @ projection > 0
-    padded = np.zeros((len(vectors), 64), bool)
+    padded = np.zeros((len(unit), 64), bool)
     padded[:, : signs.shape[1]] = signs
     return np.packbits(padded, axis=1, bitorder="little").view("<i8").ravel()
 
@@ -80,31 +88,86 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def _codes(vectors: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFrame:
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(bucket, probing, rep, code) for each table: a vector's own substring as indexed, and all within the radius as probes.
+
+    Vectors of different widths never share a bucket.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                code = encode(_matrix(batch.column("vector")), mean, projection)
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(code)], ["rep", "code"])
+            widths = np.diff(batch.column("vector").offsets.to_numpy())
+            for width in np.unique(widths):
+                own = batch.filter(pa.array(widths == width))
+                code = encode(unit_vectors(_matrix(own.column("vector"))), mean, projection)
+                for table, (at, bits) in enumerate(parts):
+                    part = ((code.view(np.uint64) >> np.uint64(at)).astype(np.int64)) & ((1 << bits) - 1)
+                    for k in range(radius + 1):
+                        for flip in (sum(1 << b for b in places) for places in combinations(range(bits), k)):
+                            bucket = pa.array((table << 56) | (int(width) << SUBSTRING_BITS[1]) | (part ^ flip))
+                            for probing in (0, 1) if not k else (1,):
+                                sides = pa.array(np.full(len(code), probing, np.int32))
+                                yield pa.RecordBatch.from_arrays([bucket, sides, own.column("rep"), pa.array(code)], ["bucket", "probing", "rep", "code"])
+
+    return classes.select("rep", "vector").mapInArrow(keys, "bucket long, probing int, rep long, code long")
+
+
+def _blocked(entries: DataFrame, probes: int) -> DataFrame:
+    """The entries of buckets with an indexed one and so many probes, once for each block of BLOCK by BLOCK that they are in."""
+    sizes = entries.groupBy("bucket").agg(F.sum("probing").alias("x"), F.sum(1 - F.col("probing")).alias("y")).where((F.col("x") >= probes) & (F.col("y") > 0))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias(f"{n}_blocks")
+    salted = entries.join(sizes.select("bucket", blocks("x"), blocks("y")).hint("merge"), "bucket")
+    mine = lambda n: F.array(F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("probing") == 1
+    salted = salted.withColumn("x_block", F.explode(F.when(own, mine("x_blocks")).otherwise(every("x_blocks"))))
+    return salted.withColumn("y_block", F.explode(F.when(own, every("y_blocks")).otherwise(mine("y_blocks")))).drop("x_blocks", "y_blocks")
 
-    return vectors.select("rep", "vector").mapInArrow(coded, "rep long, code long")
 
+_BLOCK = ["bucket", "x_block", "y_block"]
 
-def _keyed(codes: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
-    """(bucket, rep, code) for each table and each substring within the radius."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code = batch.column("code").to_numpy()
-            for table, (at, bits) in enumerate(parts):
-                part = ((code.view(np.uint64) >> np.uint64(at)).astype(np.int64)) & ((1 << bits) - 1)
-                for flip in (sum(1 << b for b in places) for k in range(radius + 1) for places in combinations(range(bits), k)):
-                    bucket = (table << 56) | (part ^ flip)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket), batch.column("rep"), batch.column("code")], ["bucket", "rep", "code"]
-                    )
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """(rows, cuts): rows of whole blocks, and where each begins and ends, of rows sorted by block."""
+    held: list[pa.RecordBatch] = []
 
-    return codes.mapInArrow(keys, "bucket long, rep long, code long")
+    def cuts_of(table: pa.Table) -> np.ndarray:
+        keys = np.stack([table.column(c).to_numpy() for c in _BLOCK], axis=1)
+        return np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        whole = pa.Table.from_batches(held)
+        ends = cuts_of(whole)
+        if len(ends):
+            yield whole.slice(0, int(ends[-1])).combine_chunks(), [0, *map(int, ends)]
+            held = whole.slice(int(ends[-1])).to_batches()
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield whole, [0, *map(int, cuts_of(whole)), whole.num_rows]
+
+
+def _near_codes(blocks: DataFrame) -> DataFrame:
+    """The (bucket, probing, rep, code) of a block with another one's code within CODE_RADIUS across the two sides."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, cuts in _whole_blocks(batches):
+            ids, codes = whole.column("rep").to_numpy(), whole.column("code").to_numpy().view(np.uint64)
+            probing = whole.column("probing").to_numpy() == 1
+            kept = np.zeros(len(ids), bool)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                x, y = a + np.flatnonzero(probing[a:b]), a + np.flatnonzero(~probing[a:b])
+                near = (np.bitwise_count(codes[x][:, None] ^ codes[y][None, :]) <= CODE_RADIUS) & (ids[x][:, None] != ids[y][None, :])
+                kept[x], kept[y] = near.any(axis=1), near.any(axis=0)
+            yield from whole.select(["bucket", "probing", "rep", "code"]).filter(pa.array(kept)).to_batches()
+
+    return blocks.mapInArrow(compared, "bucket long, probing int, rep long, code long")
 
 
 def _local_roots(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,15 +183,19 @@ def _local_roots(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.n
 
 
 def _compare(blocks: DataFrame, parts: list[tuple[int, int]], radius: int, threshold: float) -> DataFrame:
-    """Compare each block's probing vectors with its indexed ones: (rep, links, root) by block and vector."""
+    """Compare each block's probing vectors with its indexed ones: (rep, links, root) by block and vector.
+
+    A pair is found if some substring is within the radius and the codes are within CODE_RADIUS, in buckets of
+    every size; it counts in the first table of which that is true.
+    """
     masks = [np.uint64(((1 << bits) - 1) << at) for at, bits in parts]
 
     def block(ids, probing, codes, vectors, weights, table):
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = unit_vectors(vectors)
         x, y = ids[probing], ids[~probing]
-        linked = (unit[probing] @ unit[~probing].T >= threshold) & (x[:, None] != y[None, :])
         apart = codes[probing][:, None] ^ codes[~probing][None, :]
-        counted = linked.copy()  # a pair counts in the first table that finds it
+        linked = (unit[probing] @ unit[~probing].T >= threshold) & (x[:, None] != y[None, :]) & (np.bitwise_count(apart) <= CODE_RADIUS)
+        counted = linked.copy()
         for mask in masks[:table]:
             counted &= np.bitwise_count(apart & mask) > radius
         links = (counted * weights[~probing][None, :]).sum(axis=1)
@@ -136,36 +203,15 @@ def _compare(blocks: DataFrame, parts: list[tuple[int, int]], radius: int, thres
         return np.concatenate([x, y]), np.concatenate([links, np.zeros(len(y), np.int64)]), np.concatenate(roots)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(whole: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
-            ids, codes, weights = (whole.column(c).to_numpy() for c in ("rep", "code", "weight"))
-            probing = np.asarray(whole.column("probing").to_numpy(), bool)
-            vectors = _matrix(whole.column("vector").combine_chunks())
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for whole, cuts in _whole_blocks(batches):
+            ids, codes, weights, buckets = (whole.column(c).to_numpy() for c in ("rep", "code", "weight", "bucket"))
+            probing = whole.column("probing").to_numpy() == 1
+            vectors = whole.column("vector").combine_chunks()
             found = [
-                block(ids[a:b], probing[a:b], codes[a:b].view(np.uint64), vectors[a:b], weights[a:b], int(keys[a, 0] >> 56))
+                block(ids[a:b], probing[a:b], codes[a:b].view(np.uint64), _matrix(vectors.slice(a, b - a)), weights[a:b], int(buckets[a] >> 56))
                 for a, b in zip(cuts, cuts[1:], strict=False)
             ]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["rep", "links", "root"])
-
-        def keys_of(table) -> np.ndarray:
-            return np.stack([table.column(c).to_numpy() for c in ("bucket", "x_block", "y_block")], axis=1)
-
-        for batch in batches:  # rows come sorted by block; whole blocks are compared, the rest waits
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            whole = pa.Table.from_batches(held)
-            keys = keys_of(whole)
-            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
-            if len(ends):
-                cut = int(ends[-1]) + 1
-                yield done(whole.slice(0, cut), keys[:cut])
-                held = whole.slice(cut).to_batches()
-        if held:
-            whole = pa.Table.from_batches(held)
-            yield done(whole, keys_of(whole))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["rep", "links", "root"])
 
     return blocks.mapInArrow(compared, "rep long, links long, root long")
 
@@ -175,74 +221,47 @@ def embedding_groups(
 ) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept (the least id of its component).
 
-    Equal vectors are one class. Codes of the classes meet in substring tables; classes whose codes come
-    within CODE_RADIUS there are compared by cosine in double precision, bucket by bucket in blocks of a
-    bounded size, which give counts and a root for each vector instead of pairs.
+    Equal vectors are one class. Codes of the classes meet in substring tables, in blocks of a bounded size: codes
+    that are near no other there go, and the vectors of the others are compared by cosine in double precision,
+    block by block, which gives counts and a root for each vector instead of pairs. Vectors are compared with
+    those of their own width; the rotation is learned on the commonest one.
 
-    Nulls: vectors that are null, zero, hold null or non-finite components, or have another number of
-    components than most, link with nothing and are kept; a null id keeps n_links but joins no component.
-    Rows that repeat an id with another vector are rows of their own, which an id links. Extra columns
-    are not returned. An empty table gives none.
+    Nulls: vectors that are null, zero, or hold null or non-finite components link with nothing and are kept; a
+    null id keeps n_links but joins no component. Rows that repeat an id with another vector are rows of their
+    own, which an id links. Extra columns are not returned. An empty table gives none.
     """
     rows = embeddings.select(
         F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector")
     )
-    size = F.aggregate(F.transform("vector", lambda v: v * v), F.lit(0.0), lambda a, b: a + b)
-    # a null component makes the sum null, a non-finite one makes it infinite or NaN
-    sound = size.isNotNull() & (size > 0) & ~F.isnan(size) & (size < F.lit(float("inf")))
-    sound = F.coalesce(sound, F.lit(False))
-    common = rows.where(sound).groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    width = common["n"] if common else 0
-    sound = sound & (F.size("vector") == width)
-    hashed = rows.withColumn("class", F.when(sound, F.xxhash64("vector")))
+    largest = F.array_max(F.transform("vector", F.abs))  # NaN counts as larger than all numbers
+    sound = ~F.exists("vector", lambda v: v.isNull()) & (largest > 0) & (largest < F.lit(float("inf")))
+    hashed = rows.withColumn("class", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("vector")))
     classes = materialize(
-        hashed.where(sound).groupBy("class", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).where("rep IS NOT NULL"),
+        hashed.where("class IS NOT NULL").groupBy("class", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).where("rep IS NOT NULL"),
         "vectors",
     )
-    count = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("vector").toPandas()["vector"]
-    if not count:
+    widths = classes.groupBy(F.size("vector").alias("n")).count()
+    common = widths.orderBy(F.desc("count"), F.desc("n")).first()
+    if common is None:
         none = F.lit(0).cast("long")
         return rows.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    matrix = np.stack([np.asarray(v, np.float64) for v in sample])
-    mean, projection = learn_rotation(matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
-    parts = substrings(projection.shape[1], count)
+    sample = classes.where(F.size("vector") == common["n"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("vector").toPandas()["vector"]
+    mean, projection = learn_rotation(unit_vectors(np.stack([np.asarray(v, np.float64) for v in sample])))
+    parts = substrings(projection.shape[1], common["count"])
     radius = substring_radius(parts, threshold)
-    codes = materialize(_codes(classes, mean, projection), "codes")
-    probes = _keyed(codes, parts, radius).toDF("bucket", "x", "x_code")
-    index = _keyed(codes, parts, 0).toDF("bucket", "y", "y_code")
-    near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x_code").bitwiseXOR(F.col("y_code"))) <= CODE_RADIUS)
-    x_end = F.struct(F.lit(1).alias("probing"), F.col("x").alias("rep"), F.col("x_code").alias("code"))
-    y_end = F.struct(F.lit(0).alias("probing"), F.col("y").alias("rep"), F.col("y_code").alias("code"))
-    # Small buckets leave out codes that are near no other; crowded ones go on whole, as their pairs would be many.
-    pairs = probes.groupBy("bucket").count().join(index.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-    pairs = materialize(pairs.select("bucket", (F.col("count") * F.col("n") > PAIRS_LOOKED_AT).alias("crowded")), "buckets")
-    met = probes.join(pairs.where("NOT crowded"), "bucket").join(index, "bucket").where(near)
-    members = met.select("bucket", F.explode(F.array(x_end, y_end)).alias("e"))
-    for side, end in ((probes, x_end), (index, y_end)):
-        members = members.unionByName(side.join(pairs.where("crowded"), "bucket").select("bucket", end.alias("e")))
-    members = materialize(members.select("bucket", "e.*").distinct(), "members")
-    sizes = members.groupBy("bucket").agg(
-        F.ceil(F.sum("probing") / BLOCK).cast("int").alias("x_blocks"), F.ceil(F.sum(1 - F.col("probing")) / BLOCK).cast("int").alias("y_blocks")
-    )
-    salted = members.join(sizes, "bucket")
-    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    blocks = (
-        salted.withColumn("x_block", F.explode(F.when(F.col("probing") == 1, F.array(mine("x_blocks"))).otherwise(every("x_blocks"))))
-        .withColumn("y_block", F.explode(F.when(F.col("probing") == 0, F.array(mine("y_blocks"))).otherwise(every("y_blocks"))))
-        .join(classes.select("rep", "vector", "weight"), "rep")
-        .select("bucket", "x_block", "y_block", "probing", "rep", "code", "weight", "vector")
-        .repartition("bucket", "x_block", "y_block")
-        .sortWithinPartitions("bucket", "x_block", "y_block")
-    )
-    links = materialize(_compare(blocks, parts, radius, threshold), "links")
+    keyed = materialize(_keyed(classes, mean, projection, parts, radius), "codes")
+    # an indexed code is met by its own probe in any case
+    members = materialize(_near_codes(_dealt(_blocked(keyed, 2))).distinct(), "members")
+    release(keyed)
+    blocks = _blocked(members, 1).join(classes.select("rep", "vector", "weight").hint("merge"), "rep")
+    links = materialize(_compare(_dealt(blocks.select(*_BLOCK, "probing", "rep", "code", "weight", "vector")), parts, radius, threshold), "links")
+    release(members)
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     named = (
         classes.withColumn("class", F.xxhash64("vector"))
-        .join(counts, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(counts.hint("merge"), "rep", "left")
+        .join(components.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
         .select(
             "class",
             F.col("vector").alias("class_vector"),
@@ -251,7 +270,7 @@ def embedding_groups(
         )
     )
     joined = hashed.join(
-        named, (hashed["class"] == named["class"]) & (F.col("vector") == F.col("class_vector")), "left"
+        named.hint("merge"), (hashed["class"] == named["class"]) & (F.col("vector") == F.col("class_vector")), "left"
     )
     component = F.coalesce("component_id", "vec_id")
     return joined.select(
