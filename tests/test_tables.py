@@ -142,7 +142,7 @@ def test_stream_equals_batch(spark):
     df = scenario(spark, "null-spike", NOW).unionByName(
         scenario(spark, "duplicate-events", NOW, "t2").selectExpr("* except (seq, received_at)", "seq + 100 seq", "received_at + interval 7 seconds received_at")
     )
-    store = stream_processed(df, DEMO_SETTINGS, batches=4)
+    store = stream_processed(df, DEMO_SETTINGS, batches=2)
     got = alert_keys(store.read("quality_alerts").where("alert_type <> 'STALE_SOURCE'"))
     assert got == alert_keys(quality_alerts(process(df, DEMO_SETTINGS)))
     states = lambda rows: sorted((r.id, r.quality_status) for r in rows.select("id", "quality_status").collect())
@@ -169,9 +169,9 @@ def test_batches_equal_one_with_late_events_and_spikes(spark):
     kinds = {r.alert_type for r in whole.collect()}
     assert {"DUPLICATE_EVENT", "SCHEMA_DRIFT", "NULL_SPIKE", "ANOMALY_SPIKE"} <= kinds
     store, one = Store(spark, new_folder(spark)), Store(spark, new_folder(spark))
-    for part, condition in enumerate(cuts(df, 4)):
+    for part, condition in enumerate(cuts(df, 2)):
         ingest(store, df.where(condition), part, settings, F.lit(NOW))
-    ingest(store, df.where(cuts(df, 4)[3]), 3, settings, F.lit(NOW))  # a part that comes again
+    ingest(store, df.where(cuts(df, 2)[1]), 1, settings, F.lit(NOW))  # a part that comes again
     ingest(one, df, 0, settings, F.lit(NOW))
     assert alert_keys(store.read("quality_alerts").where("alert_type <> 'STALE_SOURCE'")) == alert_keys(whole)
     same = lambda f: sorted(map(tuple, f(store).collect()), key=str) == sorted(map(tuple, f(one).collect()), key=str)
