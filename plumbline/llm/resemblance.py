@@ -7,156 +7,266 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
 from plumbline.llm.simhash import fingerprint_of, link_fingerprints, shingle_hashes
-from plumbline.llm.tables import materialize
+from plumbline.llm.tables import materialize, release
 
 SIMILARITY = Fraction(4, 5)
-#: Shingles come in the order of (frequent, hash); frequent is a property of the hash's slot, so the order is total.
-SLOTS = 1 << 24
-#: Slots with more prefix entries are frequent; the most frequent are sent to the tasks, so many at most.
-FREQUENT, FREQUENT_SLOTS = 64, 1 << 19
+#: Prefixes take frequent shingles last. Which ones count as frequent is estimated on the sets whose hash is 0
+#: modulo SAMPLED, and at most FREQUENT_SHINGLES are sent to the tasks: both change the work, never the result.
+SAMPLED, FREQUENT, FREQUENT_SHINGLES = 16, 6, 1 << 18
 #: Words of 64 bits in a set's sketch.
 SKETCH_WORDS = 8
-#: So many set ids are sent to all tasks at most.
-BROADCAST_IDS = 1 << 20
+#: So many rows of documents to look at again are sent to all tasks at most; more are joined by shuffle.
+BROADCAST_ROWS = 1 << 19
 #: Members of a bucket that all others are compared with before those of different components are.
 LEADERS = 3
+#: Sets that one task compares with a leader.
+LEADER_ROWS = 500
 
 
-def shingled(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, text_hash, fp, n, sketch, shingles) of all rows: the fingerprint and the sorted hashes of the distinct shingles.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes.view(np.int64))
 
-    The sketch has a bit set for each shingle; several may share one.
-    """
 
-    def sketch(own: np.ndarray) -> np.ndarray:
-        bits = np.zeros(64 * SKETCH_WORDS, bool)
-        bits[(own >> 24) & (64 * SKETCH_WORDS - 1)] = True
-        return np.packbits(bits).view(np.int64)
+def _set_id(own: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64))
+
+
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """A bit for each shingle; several may share one."""
+    bits = np.zeros(64 * SKETCH_WORDS, bool)
+    bits[(own >> 24) & (64 * SKETCH_WORDS - 1)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def shingled(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, text_hash, fp, set_id, n, sketch) of all rows: the fingerprint, and what tells of the set of shingles."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [shingle_hashes(text.as_py() or b"", width) for text in batch.column(2)]
-            sets = [np.unique(h.view(np.int64)) for h in each]
-            ends = np.cumsum([0, *(len(s) for s in sets)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            fps = pa.array([fingerprint_of(h) for h in each], pa.int64())
-            words = pa.array(np.concatenate([np.zeros(0, np.int64), *map(sketch, sets)]))
+            each = [shingle_hashes(text.as_py() or b"", width) for text in batch.column("text")]
+            sets = [_distinct(h) for h in each]
+            words = pa.array(np.concatenate([np.zeros(0, np.int64), *map(_sketch, sets)]))
             sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SKETCH_WORDS, pa.int32()), words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), fps, pa.array(np.diff(ends), pa.int32()), sketches, lists],
-                ["doc_id", "text_hash", "fp", "n", "sketch", "shingles"],
-            )
+            columns = [pa.array([fingerprint_of(h) for h in each], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64())]
+            columns += [pa.array([len(s) for s in sets], pa.int32()), sketches]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], ["doc_id", "text_hash", "fp", "set_id", "n", "sketch"])
 
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(hashed, "doc_id long, text_hash long, fp long, n int, sketch array<long>, shingles array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, text_hash long, fp long, set_id long, n int, sketch array<long>")
+
+
+def _frequent(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles of many sets, sorted."""
 
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_distinct(shingle_hashes(text.as_py() or b"", width)) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["shingle"])
+
+    # copies of a text are one set
+    some = texts.where(F.pmod("text_hash", F.lit(SAMPLED)) == 0).dropDuplicates(["text_hash"]).select("text")
+    often = some.mapInArrow(sampled, "shingle long").groupBy("shingle").count().where(F.col("count") >= FREQUENT)
+    found = often.orderBy(F.desc("count"), "shingle").limit(FREQUENT_SHINGLES).toPandas()["shingle"].to_numpy(np.int64)
+    return np.sort(found)
 
-def _prefixes(sets: DataFrame, similarity: Fraction, frequent: np.ndarray | None) -> DataFrame:
-    """(set_id, n, shingle): the first shingles of each set; of two similar sets at least one is the same.
+
+def _prefixes(texts: DataFrame, width: int, similarity: Fraction, frequent: np.ndarray) -> DataFrame:
+    """(shingle, set_id, n): the first shingles of each set, those of one set only left out.
 
     A set of n shares similarity * n shingles with a similar one, so one of its first n - similarity * n + 1 too.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of a task's batches: copies give their prefix once
+        for batch in batches:
+            ids, sizes, first = [], [], []
+            for text in batch.column("text"):
+                own = _distinct(shingle_hashes(text.as_py() or b"", width))
+                n, of = len(own), _set_id(own)
+                if not n or of in seen:
+                    continue
+                if len(seen) < 1 << 20:
+                    seen.add(of)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    own = own[np.argsort(frequent[at] == own, kind="stable")]
+                take = n - -(-similarity.numerator * n // similarity.denominator) + 1
+                ids.append(np.full(take, of)), sizes.append(np.full(take, n, np.int32)), first.append(own[:take])
+            none = [np.zeros(0, np.int64)]
+            arrays = [np.concatenate(x or none) for x in (first, ids, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2].astype(np.int32))], ["shingle", "set_id", "n"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by shingle and set: each pair once, if the shingle comes with another set too."""
+        held, known = None, False  # the last row so far, and whether its shingle came before
         for batch in batches:
-            ids, sizes = batch.column("set_id").to_numpy(), batch.column("n").to_numpy()
-            flat, starts = batch.column("shingles").flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
-            wanted = sizes + similarity.numerator * -sizes.astype(np.int64) // similarity.denominator + (sizes > 0)
-            first = []
-            for k, take in enumerate(wanted):
-                own = flat[starts[k] : starts[k + 1]]
-                if frequent is not None and len(frequent):
-                    own = own[np.argsort(np.isin(own & (SLOTS - 1), frequent), kind="stable")]
-                first.append(own[:take])
-            rows = np.repeat(np.arange(len(ids)), [len(x) for x in first])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), pa.array(sizes[rows]), pa.array(np.concatenate([np.zeros(0, np.int64), *first]))], ["set_id", "n", "shingle"]
-            )
-
-    return sets.select("set_id", "n", "shingles").mapInArrow(cut, "set_id long, n int, shingle long")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """(u, v): the pairs of sets (u, v, different) whose similarity is reached.
-
-    A bit of one sketch that the other lacks is a shingle at least that it lacks, so pairs with too many such
-    bits go before the shingles are looked at.
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "set_id", "n")], axis=1)
+            rows = rows if held is None else np.concatenate([held, rows])
+            if not len(rows):
+                continue
+            rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+            like = rows[1:, 0] == rows[:-1, 0]
+            before, after = np.concatenate([[known], like]), np.concatenate([like, [False]])
+            done = rows[:-1][(before | after)[:-1]]
+            held, known = rows[-1:], bool(before[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(done[:, 0]), pa.array(done[:, 1]), pa.array(done[:, 2].astype(np.int32))], ["shingle", "set_id", "n"])
+        if held is not None and known:
+            yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1]), pa.array(held[:, 2].astype(np.int32))], ["shingle", "set_id", "n"])
+
+    kind = "shingle long, set_id long, n int"
+    return texts.select("text").mapInArrow(cut, kind).repartition("shingle").sortWithinPartitions("shingle", "set_id").mapInArrow(shared, kind)
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """(u, v, sizes, most): the pairs (u, v) of different sets whose sketches allow for the similarity.
+
+    A bit of one sketch that the other lacks is a shingle at least that it lacks; most: shingles that both may have.
     """
     a, b = similarity.numerator, similarity.denominator
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    short = sets.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("k"))
-    both = pairs.join(short.toDF("u", "n_u", "k_u"), "u").join(short.toDF("v", "n_v", "k_v"), "v")
+    both = pairs.distinct()
+    for end in "uv":
+        both = both.join(sets.select(F.col("set_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"k_{end}")).hint("merge"), end)
     lacking = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
     sizes = F.col("n_u") + F.col("n_v")
     most = F.least(F.col("n_u") - lacking("k_u", "k_v"), F.col("n_v") - lacking("k_v", "k_u"))
-    pairs = materialize(both.where(most * (a + b) >= sizes * a).select("u", "v", sizes.alias("sizes")), "shingle-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct(), "shingle-wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    known = sets.join(F.broadcast(wanted) if few else wanted, "set_id").groupBy("set_id").agg(F.any_value("shingles").alias("s"))
-    known = materialize(known, "shingle-sets")
-    both = pairs.join(known.toDF("u", "s_u"), "u").join(known.toDF("v", "s_v"), "v")
-    return both.where(F.size(F.array_intersect("s_u", "s_v")) * (a + b) >= F.col("sizes") * a).select("u", "v")
+    return both.select("u", "v", sizes.alias("sizes"), most.alias("most")).where(F.col("most") * (a + b) >= F.col("sizes") * a)
 
 
-def similar_sets(sets: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """(u, v): links that connect the same sets (set_id, n, sketch, shingles) as all pairs of at least this Jaccard similarity.
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """(u, v): the pairs of sets (u, v, sizes) whose similarity is reached, on all their shingles.
 
-    Sets that share a shingle of their prefixes are a bucket. All are compared with its LEADERS; after that only
-    members of different components are, so that many near copies of one text do not make all their pairs.
+    The texts of both ends are read again; the set of v goes to a task for some of its u, and theirs follow one by one.
     """
-    slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
-    often = _prefixes(sets, similarity, None).groupBy(slot.alias("slot")).count().where(F.col("count") > FREQUENT)
-    frequent = often.orderBy(F.desc("count"), "slot").limit(FREQUENT_SLOTS).toPandas()["slot"].to_numpy(np.int64)
-    entries = _prefixes(sets, similarity, frequent)
-    shared = entries.groupBy("shingle").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a <> b").select("shingle")
-    met = materialize(entries.join(shared, "shingle").distinct(), "shingles-met")
+    a, b = similarity.numerator, similarity.denominator
+    load = pairs.groupBy("v").agg(F.ceil(F.count("*") / LEADER_ROWS).cast("int").alias("salts"))
+    salted = pairs.join(load.hint("merge"), "v").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int"))
+    task = lambda own, role, u, sizes, salt: F.struct(own.alias("set_id"), F.struct(F.col("v"), salt.alias("salt"), role.alias("role"), u.alias("u"), sizes.alias("sizes")).alias("t"))
+    number = lambda x: F.lit(x).cast("long")
+    followers = salted.select(task(F.col("u"), F.lit(1), F.col("u"), F.col("sizes"), F.col("salt")).alias("s"))
+    salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    leaders = load.select("v", salts).select(task(F.col("v"), F.lit(0), number(0), F.lit(0), F.col("salt")).alias("s"))
+    places = sets.select("set_id", "doc_id", F.col("text_hash").alias("of_text")).hint("merge")
+    wanted = followers.unionByName(leaders).select("s.*").join(places, "set_id").groupBy(F.col("doc_id").alias("of_doc"), "of_text").agg(F.collect_list("t").alias("tasks"))
+    wanted = materialize(wanted, "shingle-tasks")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    again = texts.join(few, (F.col("doc_id") == F.col("of_doc")) & (F.col("text_hash") == F.col("of_text"))).select("text", "tasks")
+    names = ["v", "salt", "role", "u", "sizes", "shingles"]
+    kind = "v long, salt int, role int, u long, sizes int, shingles binary"
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        for batch in batches:
+            rows, held = [], 0
+            for text, tasks in zip(batch.column("text"), batch.column("tasks").to_pylist(), strict=True):
+                own = _distinct(shingle_hashes(text.as_py() or b"", width)).tobytes()
+                rows += [(*(t[c] for c in names[:-1]), own) for t in tasks]
+                held += len(own) * len(tasks)
+                if held > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, held = [], 0
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leader = None, np.zeros(0, np.int64)
+        for batch in batches:
+            v, role, u, sizes = (batch.column(c).to_numpy() for c in ("v", "role", "u", "sizes"))
+            linked = np.zeros(len(v), bool)
+            for k, packed in enumerate(batch.column("shingles")):
+                own = np.frombuffer(packed.as_buffer(), np.int64)
+                if not role[k]:
+                    at, leader = v[k], own
+                elif at == v[k]:
+                    common = len(np.intersect1d(own, leader, assume_unique=True))
+                    linked[k] = common * (a + b) >= int(sizes[k]) * a
+            yield pa.RecordBatch.from_arrays([pa.array(u[linked]), pa.array(v[linked])], ["u", "v"])
+
+    dealt = again.mapInArrow(sent, kind).repartition("v", "salt").sortWithinPartitions("v", "salt", "role")
+    return dealt.mapInArrow(compared, "u long, v long")
+
+
+def similar_sets(texts: DataFrame, sets: DataFrame, width: int, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """(u, v): links that connect the same sets (set_id, doc_id, text_hash, n, sketch) as all pairs of at least this Jaccard similarity.
+
+    Sets that share a shingle of their prefixes are a bucket, and its LEADERS are candidates for all in it. Each
+    set is compared with its likeliest leader first; after that only what is in different components is, so that
+    many near copies of one text do not make all their pairs.
+    """
+    met = materialize(_prefixes(texts, width, similarity, _frequent(texts, width)), "shingles-met")
     leader = [F.min_by(F.struct("set_id", "n"), F.xxhash64("set_id", F.lit(k))) for k in range(LEADERS)]
     leaders = met.groupBy("shingle").agg(F.array_distinct(F.array(*leader)).alias("leaders")).select("shingle", F.inline("leaders").alias("v", "n_v"))
     sizes = lambda x, y: F.least(x, y) * similarity.denominator >= F.greatest(x, y) * similarity.numerator
-    pairs = met.select("shingle", F.col("set_id").alias("u"), F.col("n").alias("n_u")).join(leaders, "shingle").where((F.col("u") != F.col("v")) & sizes("n_u", "n_v"))
-    led = materialize(_verified(pairs, sets, similarity), "shingle-links")
-    of = connected_components(led)
-    members = met.select("shingle", "set_id", "n").join(of.withColumnRenamed("node", "set_id"), "set_id", "left")
-    members = materialize(members.select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "shingles-members")
-    parties = members.select("shingle", "component").distinct()
-    several = parties.join(parties.groupBy("shingle").count().where(F.col("count") > 1).select("shingle"), "shingle")
-    members = materialize(members.join(several, ["shingle", "component"]).select("shingle", "component", "set_id", "n"), "shingles-apart")
-    x, y = members.toDF("shingle", "c_u", "u", "n_u"), members.toDF("shingle", "c_v", "v", "n_v")
-    pairs = x.join(y, "shingle").where((F.col("c_u") < F.col("c_v")) & sizes("n_u", "n_v")).select("u", "v")
-    return led.unionByName(_verified(pairs, sets, similarity))
+    pairs = met.select("shingle", F.col("set_id").alias("u"), F.col("n").alias("n_u")).join(leaders.hint("merge"), "shingle")
+    pairs = pairs.where((F.col("u") != F.col("v")) & sizes("n_u", "n_v")).select("u", "v")
+    likely = materialize(_likely(pairs, sets, similarity), "shingle-pairs")
+    best = likely.groupBy("u").agg(F.max_by(F.struct("v", "sizes"), F.struct(F.col("most") / F.col("sizes"), "v")).alias("b")).select("u", "b.v", "b.sizes")
+    led = materialize(_verified(best, sets, texts, width, similarity), "shingle-links")
+    of = materialize(connected_components(led), "shingle-components")
+    apart = likely.select("u", "v", "sizes", "most")
+    members = met.select("shingle", "set_id", "n").join(of.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left")
+    members = members.select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+    several = members.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
+    members = materialize(members.join(several.hint("merge"), "shingle"), "shingles-apart")
+    x, y = members.toDF("shingle", "u", "n_u", "c_u"), members.toDF("shingle", "v", "n_v", "c_v")
+    pairs = x.join(y.hint("merge"), "shingle").where((F.col("c_u") < F.col("c_v")) & sizes("n_u", "n_v")).select("u", "v")
+    apart = apart.unionByName(_likely(pairs, sets, similarity))
+    for end in "uv":
+        apart = apart.join(of.toDF(end, f"c_{end}").hint("merge"), end, "left")
+    apart = apart.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sizes").distinct()
+    apart = materialize(apart, "shingle-pairs-apart")
+    links = materialize(led.unionByName(_verified(apart, sets, texts, width, similarity)), "shingle-links")
+    for table in (met, likely, led, of, members, apart):
+        release(table)
+    return links
 
 
 def keep_first_of_similar(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: Fraction = SIMILARITY
 ) -> DataFrame:
-    """The rows of docs that have the smallest id of their group, with all columns.
+    """One row of docs for each group: that with the smallest id, with all columns.
 
     Groups are connected by shingle sets of at least this Jaccard similarity, compared by the 64-bit hashes of
     the shingles, and by fingerprints within the distance of op4. A text of fewer words is one shingle; texts
-    without words are one group. Rows with a null id stay and connect nothing.
+    without words are one group. Of rows that repeat the smallest id, those with the least text hash stay, and
+    one only of those that repeat the text too. Rows with a null id stay and connect nothing.
     """
-    stored = materialize(
-        shingled(docs, id_col=id_col, text_col=text_col, width=width).withColumn("set_id", F.xxhash64("shingles")), "shingles"
-    )
+    stored = materialize(shingled(docs, id_col=id_col, text_col=text_col, width=width), "shingles")
+    texts = _rows(docs, id_col, text_col).where("doc_id IS NOT NULL")
     rows = stored.where("doc_id IS NOT NULL").select("doc_id", "text_hash", "fp", "set_id")
     named = materialize(rows.groupBy("set_id", "fp").count(), "shingle-classes")
     of_set = named.groupBy("set_id").agg(F.min("fp").alias("node"), F.count("*").alias("n"))
-    same = named.join(of_set.where("n > 1"), "set_id").select(F.col("fp").alias("u"), F.col("node").alias("v")).where("u <> v")
-    similar = similar_sets(stored.where("doc_id IS NOT NULL AND n > 0"), similarity)
-    nodes = lambda s: of_set.select(F.col("set_id").alias(s), F.col("node").alias(f"node_{s}"))
+    same = named.join(of_set.where("n > 1").hint("merge"), "set_id").select(F.col("fp").alias("u"), F.col("node").alias("v")).where("u <> v")
+    sets = stored.where("doc_id IS NOT NULL AND n > 0").groupBy("set_id").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("at"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")
+    )
+    sets = materialize(sets.select("set_id", "at.doc_id", "at.text_hash", "n", "sketch"), "shingle-sets")
+    similar = similar_sets(texts, sets, width, similarity)
+    nodes = lambda s: of_set.select(F.col("set_id").alias(s), F.col("node").alias(f"node_{s}")).hint("merge")
     similar = similar.join(nodes("u"), "u").join(nodes("v"), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
     classes = named.select("fp", F.col("fp").alias("rep")).distinct()
     components = connected_components(link_fingerprints(classes).unionByName(same).unionByName(similar))
-    grouped = rows.join(components.withColumnRenamed("node", "fp"), "fp", "left").select(
+    grouped = rows.join(components.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
         "doc_id", "text_hash", F.coalesce("component", "fp").alias("component")
     )
-    first = grouped.groupBy("component").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
-    gone = grouped.join(first, "component").where("doc_id <> least").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
-    same_row = (docs[id_col].cast("long") == F.col("gone_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("gone_text"))
-    return docs.join(gone, same_row, "left_anti")
+    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    place = F.struct("doc_id", "text_hash")
+    gone = grouped.join(first.hint("merge"), "component").where(place != F.col("first"))
+    gone = materialize(gone.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).distinct(), "similar-gone")
+    again = materialize(rows.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).count().where("count > 1").drop("count"), "similar-again")
+    same_row = (docs[id_col].cast("long") == F.col("of_doc")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("of_text"))
+    left = docs.join(gone, same_row, "left_anti")
+    if again.isEmpty():
+        return left
+    # rows that repeat id and text are few; of each one stays, and no other text is moved
+    one = left.join(again, same_row, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(again, same_row, "left_anti").unionByName(one)
