@@ -116,7 +116,9 @@ def _blocked(entries: DataFrame, probes: int) -> DataFrame:
     """The entries of buckets with an indexed one and so many probes, once for each block of BLOCK by BLOCK that they are in."""
     sizes = entries.groupBy("bucket").agg(F.sum("probing").alias("x"), F.sum(1 - F.col("probing")).alias("y")).where((F.col("x") >= probes) & (F.col("y") > 0))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias(f"{n}_blocks")
-    salted = entries.join(sizes.select("bucket", blocks("x"), blocks("y")).hint("merge"), "bucket")
+    # stored, so that adaptive execution can split a bucket of very many in the join
+    stored = materialize(sizes.select("bucket", blocks("x"), blocks("y")), "bucket-sizes")
+    salted = entries.join(stored.hint("merge"), "bucket")
     mine = lambda n: F.array(F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = F.col("probing") == 1
