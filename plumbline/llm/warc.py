@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
@@ -14,8 +15,10 @@ from plumbline.llm.tables import materialize, new_path
 
 #: Smaller payloads are never revisits.
 LEAST_REVISIT_BYTES = 100
-#: A run holds so many records at most, so that a reader can hold it in memory.
-RUN_RECORDS = 10_000
+#: A run holds as many records as make so many bytes of payload on average.
+RUN_BYTES = 64_000_000
+#: Index rows for each task that merges runs, at most.
+MERGE_ROWS = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 INDEX = (
@@ -109,33 +112,61 @@ def warc_records(
     return linked.select(record.alias("record"), url_key(F.col("url")).alias("url_key"), "captured_at", "page_id")
 
 
-def write_runs(records: DataFrame, path: str) -> None:
-    """Write WARC files, each sorted by URL key and time: a record ends in two line breaks, as a text line would."""
+#: What the text writer puts behind each record: a gzip member of nothing, which readers pass over.
+_NOTHING = gzip.compress(b"", mtime=0)
+
+
+def write_runs(records: DataFrame, path: str, run_records: int) -> None:
+    """Write WARC files, each sorted by URL key and time and with a gzip member for each record.
+
+    Spark writes them as text, so that a store that only Spark reaches will do: the bytes of a member count as a
+    line, and its end is an empty member.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = [gzip.compress(record.as_buffer().to_pybytes() + b"\r\n\r\n", mtime=0) for record in batch.column("record")]
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["record"])
+
+    ordered = records.sortWithinPartitions("url_key", "captured_at", "page_id").select(F.col("record").cast("binary"))
     (
-        records.sortWithinPartitions("url_key", "captured_at", "page_id")
-        .select("record")
-        .write.option("lineSep", "\r\n\r\n")
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", RUN_RECORDS)
+        ordered.mapInArrow(packed, "record binary")
+        .select(F.col("record").cast("string"))
+        .write.option("lineSep", _NOTHING.decode("latin-1"))
+        .option("encoding", "ISO-8859-1")
+        .option("maxRecordsPerFile", run_records)
         .text(path)
     )
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(headers, block, offset, length) of each record; lengths come from the headers, never from the content."""
-    at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].decode().split("\r\n")
-        if lines[0] != "WARC/1.0":
-            raise ValueError(f"no WARC record at {at}")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
-        start = head_end + 4
-        end = start + int(headers["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} is cut short")
-        yield headers, data[start:end], at, end + 4 - at
-        at = end + 4
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of a record; the block's length comes from the headers, never from the content."""
+    head_end = data.index(b"\r\n\r\n")
+    lines = data[:head_end].decode().split("\r\n")
+    if lines[0] != "WARC/1.0":
+        raise ValueError("no WARC record")
+    headers = dict(line.split(": ", 1) for line in lines[1:])
+    end = head_end + 4 + int(headers["Content-Length"])
+    if data[end:] != b"\r\n\r\n":
+        raise ValueError("the record is cut short")
+    return headers, data[head_end + 4 : end]
+
+
+def read_members(packed: bytes, at: int = 0) -> Iterator[tuple[bytes, int, int]]:
+    """(content, offset, length) of each gzip member that holds something, one after another, from an offset on."""
+    view = memoryview(packed)
+    while at < len(view):
+        member = zlib.decompressobj(wbits=31)
+        data, end = [], at
+        while not member.eof:
+            if end >= len(view):
+                raise ValueError(f"the member at {at} is cut short")
+            data.append(member.decompress(view[end : end + 4096]))
+            end += 4096
+        end = min(end, len(view)) - len(member.unused_data)
+        if any(data):
+            yield b"".join(data), at, end - at
+        at = end
 
 
 def _number(text: str | None) -> int | None:
@@ -149,8 +180,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, packed in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows = []
-                data = zlib.decompress(packed.as_py(), wbits=47)
-                for place, (headers, block, offset, length) in enumerate(parse_warc(data)):
+                for place, (data, offset, length) in enumerate(read_members(packed.as_buffer())):
+                    headers, block = parse_record(data)
                     head, _, payload = block.partition(b"\r\n\r\n")
                     n = int(head.rpartition(b"Content-Length: ")[2])
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -178,7 +209,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     fields = [tuple(f.split()) for f in INDEX.split(", ") if not f.startswith("url_key")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(index, ", ".join(" ".join(f) for f in fields)).withColumn("url_key", url_key(F.col("url")))
 
 
@@ -220,10 +251,13 @@ class LoserTree:
 def merge_index(index: DataFrame) -> DataFrame:
     """The index in one global order by URL key, time and page: partition after partition, row after row.
 
-    Partitions take ranges of the whole key, so a URL with very many captures is split among them. In a
-    partition the slices of the runs, each in the order of its file, meet in a loser tree. index must be
-    a stored table.
+    Partitions take ranges of the whole key with about MERGE_ROWS rows at most, so a URL with very many captures
+    is split among them. In a partition the slices of the runs, each in the order of its file, meet in a loser
+    tree. index must be a stored table.
     """
+    rows = index.count()
+    usual = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(min(usual, rows // 1000 + 1), rows // MERGE_ROWS + 1)
     names = index.columns
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +275,7 @@ def merge_index(index: DataFrame) -> DataFrame:
         order = pa.array([k for _, k in LoserTree(runs)], pa.int64())
         yield from table.take(order).combine_chunks().to_batches(max_chunksize=10_000)
 
-    dealt = index.repartitionByRange("url_key", "captured_at", "page_id").sortWithinPartitions("warc_file", "run_place")
+    dealt = index.repartitionByRange(parts, "url_key", "captured_at", "page_id").sortWithinPartitions("warc_file", "run_place")
     return dealt.select(*names).mapInArrow(merge, index.schema)
 
 
@@ -253,7 +287,9 @@ def archive_pages(pages: DataFrame, *, path: str | None = None, **columns) -> Da
     that repeat the smallest id are all responses. Extra columns are not written. An empty table gives none.
     """
     path = path or new_path(pages.sparkSession, "warc")
-    write_runs(warc_records(pages, **columns), path)
+    html = F.octet_length(F.col(f"`{columns.get('html_col', 'html')}`").cast("string"))
+    mean = pages.agg(F.avg(F.coalesce(html, F.lit(0)))).first()[0] or 0
+    write_runs(warc_records(pages, **columns), path, max(1, int(RUN_BYTES / (mean + 1000))))
     return merge_index(materialize(read_runs(pages.sparkSession, path), "index"))
 
 

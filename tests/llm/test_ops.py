@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 import math
@@ -489,17 +490,26 @@ def test_warc_round_trip(spark):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     keys = [(r.url_key, r.captured_at, -1 if r.page_id is None else r.page_id) for r in got]
     assert keys == sorted(keys) and ("com,a)/x?q=1" in {k[0] for k in keys})
-    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
-    files = {r.path.rpartition("/")[2]: zlib.decompress(r.content, wbits=47) for r in stored}
-    for r in got:
-        record = files[r.warc_file][r.warc_offset : r.warc_offset + r.warc_length]
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
+    files = {r.path.rpartition("/")[2]: r.content for r in stored}
+    for name, content in files.items():  # a gzip file as any other
+        assert gzip.decompress(content).count(b"WARC-Type: ") == sum(r.warc_file == name for r in got)
+    for r in got:  # a record is read from its place alone
+        record = gzip.decompress(files[r.warc_file][r.warc_offset : r.warc_offset + r.warc_length])
         assert record.startswith(b"WARC/1.0\r\n") and record.endswith(b"\r\n\r\n")
         if r.record_type == "response":
-            body = next(warc.parse_warc(record))[1].partition(b"\r\n\r\n")[2]
+            body = warc.parse_record(record)[1].partition(b"\r\n\r\n")[2]
             assert hashlib.sha256(body).hexdigest() == r.payload_digest
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_of_long_payloads_and_many_members(spark):
+    rng = random.Random(2)
+    rows = [(k, f"http://h{k % 7}.org/{rng.random()}", "".join(chr(rng.randrange(32, 900)) for _ in range(200_000 if k % 40 == 0 else k))) for k in range(200)]
+    got = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].payload_digest == hashlib.sha256(h.encode()).hexdigest() and got[k].payload_bytes == len(h.encode()) for k, _, h in rows)
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for n in (0, 1, 2, 3, 7, 20):
