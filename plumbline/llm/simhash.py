@@ -20,6 +20,10 @@ MAX_DISTANCE = 3
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Generator polynomial of the binary Golay code of length 23, dimension 12 and distance 7.
 GOLAY_GENERATOR = 0b110001110101
+#: Keys with more fingerprints are split by the bits of the segment that they leave free.
+CROWDED = 256
+#: Blocks that such a segment is cut into: of six, three are equal where three bits differ, and five where one does.
+FREE_BLOCKS = 6
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -151,15 +155,49 @@ def _keyed(classes: DataFrame, probing: bool) -> DataFrame:
     return classes.mapInArrow(keys, "key long, fp long, rep long")
 
 
+#: The segment that each table's keys leave free, from table 1 on, and the bits in which it may differ.
+_FREE = [(3 - i - j, MAX_DISTANCE) for i in range(3) for j in range(3) if i != j] + [(2, 1)]
+
+
+def _split(entries: DataFrame) -> DataFrame:
+    """(key, part, fp, rep): the entries of crowded keys by the equal blocks of the segment that is left free."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, table = batch.column("fp").to_numpy(), batch.column("key").to_numpy() >> 40
+            for t in np.unique(table):
+                segment, errors = _FREE[t - 1]
+                at, bits = SEGMENTS[segment]
+                own = batch.filter(pa.array(table == t))
+                word = (fps[table == t].view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1)
+                cuts = [round(k * bits / FREE_BLOCKS) for k in range(FREE_BLOCKS + 1)]
+                for number, blocks in enumerate(combinations(range(FREE_BLOCKS), FREE_BLOCKS - errors)):
+                    mask = sum(((1 << cuts[b + 1]) - (1 << cuts[b])) for b in blocks)
+                    part = pa.array((word & mask) | (number << 32))
+                    yield pa.RecordBatch.from_arrays([own.column("key"), part, own.column("fp"), own.column("rep")], ["key", "part", "fp", "rep"])
+
+    return entries.mapInArrow(parts, "key long, part long, fp long, rep long")
+
+
 def link_fingerprints(classes: DataFrame) -> DataFrame:
-    """(u, v): the representatives of distinct fingerprints (fp, rep) that differ in 3 bits or fewer."""
-    index = _keyed(classes, probing=False).select("key", F.col("fp").alias("fp_b"), F.col("rep").alias("v"))
-    probes = _keyed(classes, probing=True).select("key", F.col("fp").alias("fp_a"), F.col("rep").alias("u"))
-    return (
-        probes.join(index, "key")
-        .where((F.col("fp_a") != F.col("fp_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= MAX_DISTANCE))
-        .select("u", "v")
-    )
+    """(u, v): the representatives of distinct fingerprints (fp, rep) that differ in 3 bits or fewer.
+
+    Fingerprints that crowd under one key agree in the segments that it is made of. They are compared where
+    enough blocks of the free segment agree too, so that their pairs stay few.
+    """
+    index, probes = _keyed(classes, probing=False), _keyed(classes, probing=True)
+    crowded = materialize(index.groupBy("key").count().where(F.col("count") > CROWDED).select("key"), "crowded-keys")
+
+    def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        pairs = a.withColumnsRenamed({"fp": "fp_a", "rep": "u"}).join(b.withColumnsRenamed({"fp": "fp_b", "rep": "v"}), on)
+        near = (F.col("fp_a") != F.col("fp_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= MAX_DISTANCE)
+        return pairs.where(near).select("u", "v")
+
+    if crowded.isEmpty():
+        return met(probes, index, ["key"])
+    few = met(probes.join(crowded, "key", "left_anti"), index.join(crowded, "key", "left_anti"), ["key"])
+    many = met(_split(probes.join(crowded, "key", "left_semi")), _split(index.join(crowded, "key", "left_semi")), ["key", "part"])
+    return few.unionByName(many)
 
 
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

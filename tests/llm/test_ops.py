@@ -208,6 +208,37 @@ def test_simhash_links_all_near_fingerprints(spark):
     assert {tuple(sorted((r.u, r.v))) for r in simhash.link_fingerprints(df).collect()} == want
 
 
+def test_simhash_splits_crowded_keys(spark):
+    """Fingerprints equal in two of the three segments, and some near each other in all three, under very full keys."""
+    rng = random.Random(31)
+    fps = set()
+    for free in range(3):
+        at, bits = simhash.SEGMENTS[free]
+        base = rng.getrandbits(64) & ~(((1 << bits) - 1) << at)
+        for _ in range(350):
+            value = base | (rng.getrandbits(min(bits, 12)) << at)
+            fps |= {value, value ^ (1 << rng.randrange(64))} if rng.random() < 0.2 else {value}
+    base = rng.getrandbits(64)
+    for _ in range(400):  # one bit in each segment
+        fps.add(base ^ sum(1 << (at + rng.randrange(bits)) for at, bits in simhash.SEGMENTS))
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    df = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, rep long")
+    got = {tuple(sorted((r.u, r.v))) for r in simhash.link_fingerprints(df).collect()}
+    a = np.array(fps, np.int64)
+    near = np.bitwise_count((a[:, None] ^ a[None, :]).view(np.uint64)) <= 3
+    assert got == {(int(x), int(y)) for x, y in zip(*np.nonzero(near), strict=True) if x < y}
+
+
+def test_simhash_pairs_of_a_crowded_key_stay_few(spark):
+    at, _ = simhash.SEGMENTS[0]
+    free = np.random.default_rng(4).choice(1 << 23, 20_000, replace=False)
+    df = spark.createDataFrame([(int(f) << at | 5 << 60, k) for k, f in enumerate(free)], "fp long, rep long")
+    split = lambda probing: simhash._split(simhash._keyed(df, probing)).select("key", "part")
+    sizes = [split(p).groupBy("key", "part").count().toDF("key", "part", f"n{p:d}") for p in (False, True)]
+    pairs = sizes[0].join(sizes[1], ["key", "part"]).selectExpr("sum(n0 * n1) n").first().n
+    assert pairs < 810_000_000 / 20  # unsplit keys make as many
+
+
 def test_simhash_keeps_one_of_each_group(spark):
     docs = odd_documents(spark)
     kept = simhash.keep_first_of_groups(docs)
