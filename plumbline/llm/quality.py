@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,13 @@ FEATURES = (
     "log_words", "distinct_words", "repeats", "word_length", "upper", "lower", "digits", "spaces", "sentence_ends",
     "exclamations", "separators", "symbols", "other_bytes", "marked_words", "capital_words",
 )
+#: Slots of hashed n-grams, each: words, pairs of words, and runs of three bytes.
+SLOTS = 128
+WIDTH = len(FEATURES) + 3 * SLOTS
+#: The penalty of n-grams' weights is so many times that of FEATURES, which are few and general.
+GRAM_RIDGE = 100.0
+#: Words that a Python worker remembers.
+CACHE_WORDS = 500_000
 _CLASSES = (
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\n\v\f", b".?,;:'\"-",
     b"!", b"|<>{}[]=_\\/~^", b"#$%&*+@`()", bytes(range(128, 256)),
@@ -36,24 +44,46 @@ for _k, _members in enumerate(_CLASSES):
 _MARKS = b"!#$%&*+=|~^<>{}[]\\"
 
 
-def features(text: bytes) -> list[float]:
-    """FEATURES of a text in UTF-8, over the whole text. Without words all are 0."""
+class _WordSlots(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = found = zlib.crc32(word.lower())
+        return found
+
+
+_slots = _WordSlots()
+
+
+def _grams(text: bytes, words: list[bytes]) -> list[np.ndarray]:
+    """Roots of the shares of each slot."""
+    ids = np.fromiter(map(_slots.__getitem__, words), np.uint32, len(words))
+    pairs = (ids[:-1] * np.uint32(2654435761)) ^ ids[1:]
+    raw = np.frombuffer(text, np.uint8).astype(np.uint32)
+    threes = raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA77) + raw[2:] * np.uint32(0xC2B2AE3D)
+    slots = lambda h: np.bincount((h >> np.uint32(13)) % SLOTS, minlength=SLOTS)
+    return [np.sqrt(slots(h) / max(1, len(h))) for h in (ids, pairs, threes)]
+
+
+def features(text: bytes) -> np.ndarray:
+    """FEATURES of a text in UTF-8 and its hashed n-grams, over the whole text. Without words all are 0."""
     words = text.split()
     n = len(words)
     if not n:
-        return [0.0] * len(FEATURES)
+        return np.zeros(WIDTH)
     histogram = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     kinds = np.bincount(_CLASS_OF, weights=histogram, minlength=len(_CLASSES) + 1)[1:] / len(text)
     repeats = sum(map(bytes.__eq__, words, words[1:])) / n
     marked = sum(w[-1] in _MARKS for w in words) / n
     capital = sum(map(bytes.isupper, words)) / n
     # a longer text repeats more of its words: compare with the root of the length
-    return [np.log(n), len(set(words)) / n**0.75, repeats, len(text) / n, *kinds, marked, capital]
+    shape = [np.log(n), len(set(words)) / n**0.75, repeats, len(text) / n, *kinds, marked, capital]
+    return np.concatenate([shape, *_grams(text, words)])
 
 
 @dataclass(frozen=True)
 class DocumentModel:
-    """Logistic regression: mean, scale and weights of FEATURES, intercept, and the share of good training rows."""
+    """Logistic regression: mean, scale and weights of the features, intercept, and the share of good training rows."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -68,7 +98,7 @@ class DocumentModel:
 
 def fit(x: np.ndarray, good: np.ndarray, ridge: float = RIDGE) -> DocumentModel:
     """Ridge logistic regression by Newton's method; without rows of both kinds, the prior alone."""
-    n, k = x.shape if len(x) else (0, len(FEATURES))
+    n, k = x.shape if len(x) else (0, WIDTH)
     prior = float((good.sum() + 1) / (n + 2))
     odds = float(np.log(prior / (1 - prior)))
     if n == 0 or good.min() == good.max():
@@ -77,7 +107,7 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = RIDGE) -> DocumentModel:
     scale[scale < 1e-9] = 1.0
     a = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((n, 1))])
     w = np.append(np.zeros(k), odds)
-    penalty = np.diag([ridge] * k + [1e-6])
+    penalty = np.diag([ridge] * len(FEATURES) + [ridge * GRAM_RIDGE] * (k - len(FEATURES)) + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (good - p) - penalty @ w)
@@ -88,7 +118,7 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = RIDGE) -> DocumentModel:
 
 
 def _rows_of_features(texts: pa.Array) -> np.ndarray:
-    return np.array([features(t.as_py() or b"") for t in texts], np.float64).reshape(len(texts), len(FEATURES))
+    return np.array([features(t.as_py() or b"") for t in texts], np.float64).reshape(len(texts), WIDTH)
 
 
 def fit_documents(
@@ -109,16 +139,15 @@ def fit_documents(
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _rows_of_features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(x), pa.list_(pa.float64())), batch.column("doc_id"), batch.column("good")], ["x", "doc_id", "good"]
-            )
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * WIDTH, pa.int32()), pa.array(x.ravel().astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), batch.column("good")], ["x", "doc_id", "good"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
     # rows that share an id (copies of a row) count once, so that no more than `rows` come to the driver
-    one = found.select("doc_id", "good", "text").mapInArrow(measured, f"x array<double>, doc_id {kind}, good double")
+    one = found.select("doc_id", "good", "text").mapInArrow(measured, f"x array<float>, doc_id {kind}, good double")
     table = one.groupBy("doc_id").agg(F.min_by("x", "x").alias("x"), F.max("good").alias("good")).orderBy("doc_id").toArrow()
-    x = np.array(table.column("x").to_pylist(), np.float64).reshape(table.num_rows, len(FEATURES))
-    return fit(x, np.array(table.column("good").to_pylist(), np.float64))
+    x = table.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(table.num_rows, WIDTH)
+    return fit(x, table.column("good").to_numpy().astype(np.float64))
 
 
 def document_scores(docs: DataFrame, model: DocumentModel, *, text_col: str = "text", keep: list[Column]) -> DataFrame:
@@ -206,6 +235,17 @@ def combine(scores: DataFrame, figures: DataFrame, levels: dict[str, float], pri
     )
 
 
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case, without www. and port; empty if there is none."""
+    return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.\-]*://(?:[^/@?#]*@)?(?:www\.)?([^/:?#]*)", 1)
+
+
+def url_path(url: Column) -> Column:
+    """The first directory of a URL's path, with its slashes; / if there is none."""
+    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^/?#]+/)", 1)
+    return F.when(found == "", F.lit("/")).otherwise(found)
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -216,10 +256,12 @@ def classify(
     path: Column | None = None,
     label_col: str = "quality",
     accept: float = ACCEPT,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """All columns of docs with host, path, doc_prob, host_prob, path_prob, quality and accepted.
+    """The columns of docs (or those named) with host, path, doc_prob, host_prob, path_prob, quality and accepted.
 
-    host and path say where a document comes from: by default its source, and its language as the path.
+    host and path say where a document comes from: by default its source, and its language as the path; of a
+    table with URLs, url_host() and url_path(). Texts are scored once, into a stored table of these columns.
     Rows come one for one. Nulls: a null text is empty, and is judged by its features (all 0) as any other;
     a null host or path is a site of its own; a null id only cannot have a label. Labels that repeat an id
     count once, as good if any is. Input columns named like the added ones are replaced. An empty table
@@ -228,12 +270,11 @@ def classify(
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = fit_documents(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-    site = [host.cast("string").alias("host"), path.cast("string").alias("path")]
-    scores = materialize(document_scores(docs, model, text_col=text_col, keep=site), "quality-scores")
-    figures, levels = site_figures(scores)
     added = ("host", "path", "doc_prob", "host_prob", "path_prob", "quality", "accepted")
-    kept = [c for c in docs.columns if c.lower() not in added]
-    rows = document_scores(docs, model, text_col=text_col, keep=[F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *site])
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in added]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    rows = materialize(document_scores(docs, model, text_col=text_col, keep=[row, host.cast("string").alias("host"), path.cast("string").alias("path")]), "quality-scores")
+    figures, levels = site_figures(rows)
     return combine(rows, figures, levels, model.prior, accept).select("row.*", *added)
 
 
@@ -246,4 +287,4 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, **columns) -> DataFra
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(docs, labels).select("doc_id", "host", "path", "doc_prob", "host_prob", "path_prob", "quality", "accepted")
+    return classify(docs, labels, columns=["doc_id"]).select("doc_id", "host", "path", "doc_prob", "host_prob", "path_prob", "quality", "accepted")

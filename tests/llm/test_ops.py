@@ -88,6 +88,40 @@ def test_quality_shrinks_sparse_sites(spark):
     assert abs(out["big", "p"].host_prob - host) < 1e-9
 
 
+def test_quality_of_pages_by_host_and_directory(spark):
+    """Posteriors of sites from URLs, most of them with a page or two, against plain Python."""
+    urls = {"http://www.A.com:80/x/1": ("a.com", "/x/"), "https://u@a.com/x/2?q": ("a.com", "/x/"), "http://a.com/y.html": ("a.com", "/"), "ftp://b.org": ("b.org", "/"), "junk": ("", "/"), None: ("", "/")}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: (r.h, r.p) for r in df.select("url", quality.url_host(F.col("url")).alias("h"), quality.url_path(F.col("url")).alias("p")).collect()} == urls
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("page_id < 400")
+    labels = pages.selectExpr("page_id", "cast(length(html) % 3 > 0 as int) quality").where("page_id % 2 = 0")
+    done = quality.classify(pages, labels, id_col="page_id", text_col="html", host=quality.url_host(F.col("url")), path=quality.url_path(F.col("url")), columns=["page_id"])
+    rows = done.collect()
+    assert len({(r.host, r.path) for r in rows}) > 40
+    sums = defaultdict(lambda: np.zeros(3))
+    for r in rows:
+        for key in ((), (r.host,), (r.host, r.path)):
+            sums[key] += (1, r.doc_prob, r.doc_prob**2)
+    prior = sums[()][1] / sums[()][0]
+
+    def strength(length, up):
+        groups = [(v, up(k)) for k, v in sums.items() if len(k) == length]
+        n, k = sum(v[0] for v, _ in groups), len(groups)
+        within, between = (sum(f(v, u) for v, u in groups) for f in (lambda v, u: v[2] - v[1] ** 2 / v[0], lambda v, u: v[0] * (v[1] / v[0] - u) ** 2))
+        chance = max(within, 0) / (n - k)
+        spread = (between - (k - 1) * chance) / max(n - sum(v[0] ** 2 for v, _ in groups) / n, 1e-9)
+        return min(max(chance / spread, 1.0), quality.MAX_PRIOR_ROWS) if spread > 0 else quality.MAX_PRIOR_ROWS
+
+    hosts = strength(1, lambda k: prior)
+    paths = strength(2, lambda k: (sums[k[:1]][1] + hosts * prior) / (sums[k[:1]][0] + hosts))
+    for r in rows:
+        n, s, _ = sums[r.host,]
+        host = (s - r.doc_prob + hosts * prior) / (n - 1 + hosts)
+        n, s, _ = sums[r.host, r.path]
+        path = (s - r.doc_prob + paths * host) / (n - 1 + paths)
+        assert abs(r.host_prob - min(max(host, 0), 1)) < 1e-6 and abs(r.path_prob - min(max(path, 0), 1)) < 1e-6
+
+
 def test_quality_of_odd_rows(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 1), (8, None)], "doc_id long, quality int")
