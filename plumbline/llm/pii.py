@@ -12,38 +12,59 @@ KEY = "surrogates-1"
 
 _MALE = r"Mr|Herrn?|Señor|Sr|Monsieur|г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Mme|Madame|Mlle|г-жа"
+_EITHER = r"Dr|Prof|Doctor|Professor|Doktor"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|{_EITHER})\.?[  ]"
 _NAME = r"\p{Lu}\p{Ll}{1,30}"
+_DATE = r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./\-]\d{1,2}[./\-]\d{4}"
+_BORN = r"(?:DOB|[Dd]ate of birth|[Bb]orn|[Bb]orn on|[Gg]eboren am|[Nn]ée? le|[Nn]acid[oa] el|[Рр]одил(?:ся|ась))"
+_STREET = r"(?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Lane|Boulevard|Blvd\.|Drive|Court)"
+_STRASSE = r"(?:straße|strasse|gasse|platz|weg|allee)"
 
 #: Kinds and their patterns; of overlapping matches the first in the text counts, then the first kind here.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}+\.){1,8}[\p{L}]{2,24}",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE})\.?[  ]{_NAME}(?:[  \-]{_NAME})?",
-    "secret": r"(?<![\p{L}\p{N}_])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+|A[KS]IA[A-Z0-9]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][A-Za-z0-9_\-]{16,128}+)(?![\p{L}\p{N}_])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME}(?:[  \-]{_NAME})?",
+    "secret": r"(?<![\p{L}\p{N}_])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+|A[KS]IA[A-Z0-9]{16}|eyJ[A-Za-z0-9_\-]{8,512}+\.[A-Za-z0-9_\-]{8,2048}+\.[A-Za-z0-9_\-]{8,512}+|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][A-Za-z0-9_\-]{16,128}+)(?![\p{L}\p{N}_])",
+    "iban": r"(?<![\p{L}\p{N}])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?)(?![\p{L}\p{N}])",
+    "ipv6": r"(?<![\p{L}\d:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\d:])",
     "ip": r"(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\d]|\.\d)",
+    "birth": rf"(?<={_BORN}:?[  ])(?:{_DATE})(?!\d)",
+    "passport": r"(?<=[Pp]assport(?: [Nn]o\.?| [Nn]umber)?:?[  ])[A-Z]{0,2}\d{6,9}(?![\p{L}\d])",
+    "address": rf"(?<![\p{{L}}\d])(?:\d{{1,5}} (?:{_NAME} ){{1,2}}{_STREET}|{_NAME}{_STRASSE} \d{{1,4}})(?![\p{{L}}\d])",
     "phone": r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\d])",
     "ssn": r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\p{L}\d\-])",
     "card": r"(?<![\p{L}\d.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\d])",
 }
+#: The kinds whose patterns look at what comes before, as a mention alone shows them.
+_WHOLE = PATTERNS | {"birth": _DATE, "passport": r"[A-Z]{0,2}\d{6,9}"}
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold to be looked at closely.
-_HINT = rf"[0-9@]|(?:{_MALE}|{_FEMALE})\.?[  ]\p{{Lu}}|[a-fA-F]{{32}}|(?:sk|pk|gh[po]|xox[bp])[_\-]"
+_HINT = rf"[0-9@]|{_TITLE}\p{{Lu}}|[a-fA-F]{{32}}|eyJ|(?:sk|pk|gh[po]|xox[bp])[_\-]|[a-fA-F]:[a-fA-F:]"
 
-GIVEN = {
-    ("male", "latin"): "Adrian Albert Anton Bruno Carl Daniel Emil Erik Felix Frank Hugo Ivan Jonas Karl Leo Louis Marco Martin Oscar Otto Paul Robert Simon Victor".split(),
-    ("female", "latin"): "Ada Alice Anna Bella Carla Clara Diana Elena Emma Eva Flora Greta Helena Ida Irene Julia Laura Lina Maria Nora Olga Paula Rosa Vera".split(),
-    ("male", "cyrillic"): "Алексей Андрей Антон Борис Виктор Глеб Денис Егор Иван Игорь Кирилл Лев Максим Никита Олег Павел Роман Сергей Степан Тимур Фёдор Юрий".split(),
-    ("female", "cyrillic"): "Алина Анна Вера Галина Дарья Ева Елена Зоя Инна Ирина Кира Лариса Лидия Майя Мария Нина Ольга Полина Раиса Софья Тамара Юлия".split(),
-}
-FAMILY = {
-    "latin": "Adler Amsel Baker Berg Blum Brook Castell Dorn Falk Fink Forster Garner Hale Hart Holm Kern Lang Linden Marsh Moreau Nolan Oakes Peters Quist Rand Reed Roth Sand Stone Thorn Vogel Wald Weir Winter Wolf Young".split(),
-    "cyrillic": "Белов Волков Громов Данилов Ежов Жуков Зимин Исаев Киселёв Лебедев Морозов Носов Орлов Павлов Рыбин Седов Тихонов Фомин Чернов Яшин".split(),
+#: Names of surrogates are put together: a beginning, a middle and an end that tells given from family name and gender.
+BEGINNINGS = {
+    "latin": "Bar Bel Cor Dal Dor Fal Fen Gal Gar Hal Jor Kal Ker Lan Lor Mal Mer Nor Per Quin Ral Ros Sal Sel Tal Tor Val Ver Wen Zan".split(),
+    "cyrillic": "Бар Вел Гор Дар Жел Зар Кор Лад Мал Нов Пер Рад Сав Тар Фед Хол Чер Шел Юр Яр".split(),
 }
+MIDDLES = {
+    "latin": "ab ad al am an ar as ed el em en er ev id il im in ir od ol om on or os ub ul un ur".split(),
+    "cyrillic": "ад ал ам ан ар ед ел ем ен ер ид ил им ин од ол ом он ор уд ул ур".split(),
+}
+ENDINGS = {
+    ("family", "latin"): "son berg ley man well ton field ford by sen worth wick".split(),
+    ("male", "latin"): "o us rick bert win do".split(),
+    ("female", "latin"): "a ia ine ella issa etta".split(),
+    ("any", "latin"): "is ey o a en el".split(),
+    ("family", "cyrillic"): "ов ев ин".split(),
+    ("male", "cyrillic"): "ей ий ан ир".split(),
+    ("female", "cyrillic"): "а ия ина ея".split(),
+    ("any", "cyrillic"): "ан а ий ия".split(),
+}
 
 
 def kind_of(mention: Column) -> Column:
     found = F.lit(None).cast("string")
-    for kind, pattern in reversed(PATTERNS.items()):
+    for kind, pattern in reversed(_WHOLE.items()):
         found = F.when(mention.rlike(rf"\A(?:{pattern})\z"), F.lit(kind)).otherwise(found)
     return found
 
@@ -54,8 +75,8 @@ def canonical(mention: Column, kind: Column) -> Column:
     return (
         F.when(kind == "phone", F.concat(F.when(mention.startswith("+"), F.lit("+")).otherwise(F.lit("")), digits))
         .when(kind.isin("card", "ssn"), digits)
-        .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
-        .when(kind == "email", F.lower(mention))
+        .when(kind == "iban", F.upper(F.replace(mention, F.lit(" "), F.lit(""))))
+        .when(kind.isin("email", "ipv6"), F.lower(mention))
         .otherwise(mention)
     )
 
@@ -104,6 +125,29 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
 
 
+def _iban_check(country: Column, body: Column) -> Column:
+    """The two check digits that make the remainder by 97 right."""
+
+    def step(rest: Column, c: Column) -> Column:
+        digit = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return F.pmod(rest * F.when(digit > 9, F.lit(100)).otherwise(F.lit(10)) + digit, F.lit(97))
+
+    rest = F.aggregate(F.filter(F.split(F.concat(body, country, F.lit("00")), ""), lambda c: c != ""), F.lit(0), step)
+    return F.lpad((F.lit(98) - rest).cast("string"), 2, "0")
+
+
+def _date_like(value: Column, noise: Column) -> Column:
+    """A date of the same form, valid whichever of its short numbers is the month: both lie between 1 and 12."""
+
+    def one(part: Column, i: Column) -> Column:
+        year = (F.pmod(_byte(noise, i), F.lit(60)) + 1940).cast("string")
+        short = F.when(F.length(part) == 1, F.pmod(_byte(noise, i), F.lit(9)) + 1).otherwise(F.pmod(_byte(noise, i), F.lit(12)) + 1)
+        return F.when(F.length(part) == 4, year).otherwise(F.lpad(short.cast("string"), F.length(part), F.lit("0")))
+
+    joined = F.array_join(F.transform(F.split(value, r"[./\-]"), one), "/")
+    return F.replace(joined, F.lit("/"), F.regexp_extract(value, r"[./\-]", 0))
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, noise: Column, host_noise: Column) -> Column:
     """The surrogate of an entity in canonical form, from the noise of its attempt.
 
@@ -122,61 +166,97 @@ def surrogate(kind: Column, value: Column, attempt: Column, noise: Column, host_
     phone = F.concat(F.substring(value, F.lit(1), fixed), _like(F.substring(value, fixed + 1, F.length(value)), noise, no))
     body = _like(F.substring(value, F.lit(1), F.length(value) - 1), noise, no)
     check = F.pmod(_luhn(value) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    iban = F.concat(F.substring(value, 1, 2), _like(F.substring(value, F.lit(3), F.length(value)), noise, no))
+    account = _like(F.substring(value, F.lit(5), F.length(value)), noise, no)
+    iban = F.concat(F.substring(value, 1, 2), _iban_check(F.substring(value, 1, 2), account), account)
     cased = F.when(value.rlike(r"\A[0-9a-fA-F]+\z"), F.lit(True)).otherwise(no)
-    prefix = F.when(cased, F.lit("")).otherwise(F.regexp_extract(value, r"\A(A[KS]IA|[a-z]{2,4}[_\-])", 1))
+    prefix = F.when(cased, F.lit("")).otherwise(F.regexp_extract(value, r"\A(A[KS]IA|eyJ|[a-z]{2,4}[_\-])", 1))
     secret = F.concat(prefix, _like(F.substring(value, F.length(prefix) + 1, F.length(value)), noise, cased), longer)
+    kept = F.regexp_extract(value, rf"(?: {_STREET}|{_STRASSE})(?= \d+\z|\z)", 0)
+    at = F.instr(value, kept)
+    address = F.concat(_like(F.substring(value, F.lit(1), at - 1), noise, no), kept, _like(F.substring(value, at + F.length(kept), F.length(value)), host_noise, no))
 
-    def named(names: list[str]) -> Column:
-        pool, n = F.array(*[F.lit(x) for x in names]), F.lit(len(names))
-        one = lambda j: F.element_at(pool, F.pmod(_byte(noise, F.lit(j)), n) + 1)
-        two = F.concat(one(0), F.lit("-"), one(1))
-        return F.when(attempt == 0, one(0)).when(attempt <= 3, two).otherwise(F.concat(two, longer))
+    def named(kind: str, script: str) -> Column:
+        parts = [F.array(*[F.lit(x) for x in names]) for names in (BEGINNINGS[script], MIDDLES[script], MIDDLES[script], ENDINGS[kind, script])]
+        one = lambda k: F.element_at(parts[k], F.pmod(_byte(noise, F.lit(k)), F.size(parts[k])) + 1)
+        middle = F.when(attempt == 0, one(1)).otherwise(F.concat(one(1), one(2)))
+        extra = F.when(attempt > 3, F.repeat(one(2), F.greatest(attempt - 3, F.lit(0)))).otherwise(F.lit(""))
+        return F.concat(one(0), middle, extra, one(3))
 
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     found = F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "card", F.concat(body, check))
-    found = found.when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "ssn", _like(value, noise, no))
-    for gender in ("male", "female"):
-        by_script = F.when(cyrillic, named(GIVEN[gender, "cyrillic"])).otherwise(named(GIVEN[gender, "latin"]))
-        found = found.when(kind == f"given-{gender}", by_script)
-        family = F.when(cyrillic, F.concat(named(FAMILY["cyrillic"]), F.lit("а" if gender == "female" else ""))).otherwise(named(FAMILY["latin"]))
-        found = found.when(kind == f"family-{gender}", family)
+    found = found.when(kind == "iban", iban).when(kind == "secret", secret).when(kind.isin("ssn", "passport"), _like(value, noise, no))
+    found = found.when(kind == "ipv6", _like(value, noise, F.lit(True))).when(kind == "birth", _date_like(value, noise)).when(kind == "address", address)
+    for name in ("male", "female", "any", "family"):
+        by_script = F.when(cyrillic, named(name, "cyrillic")).otherwise(named(name, "latin"))
+        found = found.when(kind == ("family" if name == "family" else f"given-{name}"), by_script)
     return found
 
 
+#: Family names that add an ending for women.
+_WITH_ENDING = r"(?:ов|ев|ёв|ин|ын)а\z"
+
+
+def _parts_of(mention: Column) -> Column:
+    return F.split(F.regexp_replace(mention, rf"\A{_TITLE}", ""), r"[  \-]")
+
+
+def _family(name: Column) -> Column:
+    """The form that men and women of a family share."""
+    return F.when(name.rlike(_WITH_ENDING), F.substring(name, F.lit(1), F.length(name) - 1)).otherwise(name)
+
+
 def entities(mention: Column, kind: Column) -> Column:
     """array<struct<kind, value>>: a mention's entities; a name has a given name and a family name, or the latter only."""
     one = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    parts = F.split(F.regexp_replace(mention, rf"\A(?:{_MALE}|{_FEMALE})\.?[  ]", ""), r"[  \-]")
-    gender = F.when(mention.rlike(rf"\A(?:{_MALE})\.?[  ]"), F.lit("male")).otherwise(F.lit("female"))
-    given, family = F.concat(F.lit("given-"), gender), F.concat(F.lit("family-"), gender)
-    last = F.element_at(parts, -1)
-    names = F.when(F.size(parts) > 1, F.array(one(given, F.element_at(parts, 1)), one(family, last))).otherwise(F.array(one(family, last)))
+    parts = _parts_of(mention)
+    title = lambda words: mention.rlike(rf"\A(?:{words})\.?[  ]")
+    given = F.when(title(_MALE), F.lit("given-male")).when(title(_FEMALE), F.lit("given-female")).otherwise(F.lit("given-any"))
+    family = one(F.lit("family"), _family(F.element_at(parts, -1)))
+    names = F.when(F.size(parts) > 1, F.array(one(given, F.element_at(parts, 1)), family)).otherwise(F.array(family))
     return F.when(kind == "name", names).otherwise(F.array(one(kind, canonical(mention, kind))))
 
 
 def _rendered(mention: Column, kind: Column, chosen: Column) -> Column:
-    """The surrogates in the format of a mention: its separators, its honorific, its case."""
+    """The surrogates in the format of a mention: its separators, its title, its case."""
     value = F.element_at(chosen, 1)
-    plain = F.regexp_replace(value, r"^\+", "")
+    lower = mention.rlike(r"[a-z]")
+    plain = F.regexp_replace(F.when((kind == "iban") & lower, F.lower(value)).otherwise(value), r"^\+", "")
 
     def fill(c: Column, i: Column) -> Column:
-        place = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"[^0-9A-Z]", ""))
-        return F.when(c.rlike(r"[0-9A-Z]"), F.substring(plain, place, F.lit(1))).otherwise(c)
+        place = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"[^0-9A-Za-z]", ""))
+        return F.when(c.rlike(r"[0-9A-Za-z]"), F.substring(plain, place, F.lit(1))).otherwise(c)
 
     filled = F.array_join(F.transform(F.split(mention, ""), fill), "")
-    honorific = F.regexp_extract(mention, rf"\A(?:{_MALE}|{_FEMALE})\.?[  ]", 0)
-    between = F.regexp_extract(mention, rf"[  \-](?={_NAME}\z)", 0)
-    name = F.concat(honorific, F.when(F.size(chosen) > 1, F.concat(value, between, F.element_at(chosen, 2))).otherwise(value))
+    title = F.regexp_extract(mention, rf"\A{_TITLE}", 0)
+    between = F.regexp_extract(mention, rf"[  \-](?={_NAME}\z)", 0)
+    family = F.concat(F.element_at(chosen, -1), F.when(mention.rlike(_WITH_ENDING), F.lit("а")).otherwise(F.lit("")))
+    name = F.concat(title, F.when(F.size(chosen) > 1, F.concat(value, between, family)).otherwise(family))
     upper = (mention == F.upper(mention)) & mention.rlike(r"\p{Lu}")
     return (
         F.when(kind == "name", name)
         .when(kind.isin("phone", "card", "ssn", "iban"), filled)
-        .when((kind == "email") & upper, F.upper(value))
+        .when(kind.isin("email", "ipv6") & upper, F.upper(value))
         .otherwise(value)
     )
 
 
+def _alone(mention: Column, kind: Column, chosen: Column) -> Column:
+    """array<struct<mention, replacement>>: the names of a titled mention as they may stand alone, in capitals too."""
+    parts = _parts_of(mention)
+    pair = lambda a, b: F.struct(a.alias("mention"), b.alias("replacement"))
+    last, family = F.element_at(parts, -1), F.element_at(chosen, -1)
+    plain, ending = _family(last), F.lit("а")
+    found = [pair(last, F.concat(family, F.when(last.rlike(_WITH_ENDING), ending).otherwise(F.lit(""))))]
+    found += [pair(F.concat(plain, e), F.concat(family, e)) for e in (F.lit(""), ending)]
+    cyrillic = last.rlike(r"\p{IsCyrillic}")
+    families = F.when(cyrillic, F.array(*found)).otherwise(F.array(found[0]))
+    given = F.when(F.size(parts) > 1, F.array(pair(F.element_at(parts, 1), F.element_at(chosen, 1)))).otherwise(F.array().cast("array<struct<mention:string,replacement:string>>"))
+    both = F.filter(F.concat(families, given), lambda e: F.length(e["mention"]) > 2)
+    capitals = F.transform(both, lambda e: pair(F.upper(e["mention"]), F.upper(e["replacement"])))
+    none = F.array().cast("array<struct<mention:string,replacement:string>>")
+    return F.when(kind == "name", F.concat(both, capitals)).otherwise(none)
+
+
 def mentions(text: Column) -> Column:
     none = F.array().cast("array<string>")
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)
@@ -190,7 +270,7 @@ def assign_surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     least value keeps it; the others, and those that hit an entity, try again until none is left.
     """
     known = materialize(found.distinct(), "entities")
-    group = F.regexp_replace("kind", "-(?:fe)?male$", "")  # names of both genders share a space
+    group = F.regexp_replace("kind", "-(?:male|female|any)$", "")  # names of all genders share a space
     taken = known.select(group.alias("group"), F.lower("value").alias("lower")).distinct()
     settled, open_, attempt = None, known, 0
     while True:
@@ -215,7 +295,9 @@ def replace_entities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """All columns of docs with each entity of the text replaced by its surrogate, and n_replaced.
 
     The same entity has the same surrogate in all texts, whatever the format of its mention, and no two
-    entities share one. A surrogate follows from key and entity alone, except where it collides.
+    entities share one; a family's men and women share theirs. Names are found after a title; in the same text
+    they are replaced wherever they stand alone too. A surrogate follows from key and entity alone, except
+    where it collides.
 
     Nulls: a null text stays null with none replaced; ids may be null or repeat. A text without entities
     stays as it is. An input column named n_replaced is replaced. An empty table gives none.
@@ -233,21 +315,22 @@ def replace_entities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .groupBy("mention", "mention_kind")
         .agg(F.array_sort(F.collect_list(F.struct("place", "surrogate")))["surrogate"].alias("chosen"))  # two at most
     )
-    rendered = materialize(
-        chosen.select("mention", _rendered(F.col("mention"), F.col("mention_kind"), F.col("chosen")).alias("replacement")), "replacements"
-    )
-    by_row = (
-        spoken.join(rendered, "mention")
-        .groupBy("row_a", "row_b")
-        .agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("replacements"))
-    )
+    m, k, c = F.col("mention"), F.col("mention_kind"), F.col("chosen")
+    rendered = materialize(chosen.select("mention", _rendered(m, k, c).alias("replacement"), _alone(m, k, c).alias("alone")), "replacements")
+    own = F.array(F.struct("mention", "replacement"))
+    each = spoken.join(rendered, "mention").select("row_a", "row_b", F.inline(F.concat(own, F.col("alone"))).alias("key", "replacement"))
+    each = each.groupBy("row_a", "row_b", "key").agg(F.min("replacement").alias("replacement"))
+    bare = F.array_sort(F.filter(F.collect_list("key"), lambda x: x.rlike(rf"\A(?:{_NAME}|\p{{Lu}}{{3,}})\z")))
+    by_row = each.groupBy("row_a", "row_b").agg(F.map_from_entries(F.collect_list(F.struct("key", "replacement"))).alias("replacements"), bare.alias("bare"))
     kept = [c for c in docs.columns if c.lower() != "n_replaced"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), row_a, row_b).join(by_row, ["row_a", "row_b"], "left")
     text = F.col("row")[text_col].cast("string")
     some = F.col("replacements").isNotNull()
-    rows = rows.select("row", text.alias("text"), "replacements", F.when(some, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).alias("mentions"))
-    new = F.transform("mentions", lambda m: F.element_at("replacements", m))
-    woven = F.array_join(F.zip_with(F.split("text", _ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    named = F.concat(F.lit(rf"{_ANY}|(?<![\p{{L}}\p{{N}}])(?:"), F.array_join("bare", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    rows = rows.select("row", text.alias("text"), "replacements", F.when(F.size("bare") > 0, named).otherwise(F.lit(_ANY)).alias("pattern"))
+    rows = rows.withColumn("mentions", F.when(some, F.regexp_extract_all("text", "pattern", F.lit(0))))
+    new = F.transform("mentions", lambda m: F.coalesce(F.try_element_at("replacements", m), m))
+    woven = F.array_join(F.zip_with(F.split("text", F.col("pattern"), -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     left = F.when(F.col("mentions").isNotNull(), woven).otherwise(F.col("text"))
     rows = rows.select("row", left.alias("left"), F.coalesce(F.size("mentions"), F.lit(0)).cast("long").alias("n_replaced"))
     rows = rows.withColumn("n_replaced", F.greatest("n_replaced", F.lit(0).cast("long")))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from datetime import datetime
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -365,8 +366,33 @@ PRIVATE = (
 )
 
 
+MORE = (
+    "Dr. Paula Weber met Prof. Weber; Weber and WEBER agree, Paula too, Weberin not. 2001:db8::ff00:42:8329 or fe80:0:0:0:1:2:3:4. "
+    "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcDEF123_-xyz. Born on 12.03.1985, DOB: 1985-03-12. Passport no. C01234567. "
+    "12 Long Oak Street, Hauptstraße 12. de89 3704 0044 0532 0130 00. г-н Петров и Петрова, 12:30 at 1.2.2024"
+)
+
+
+def test_more_surrogates(spark):
+    text_ = pii.replace_entities(spark.createDataFrame([(1, MORE)], "doc_id long, text string")).first().text
+    m = re.fullmatch(
+        r"Dr\. (\S+) (\S+) met Prof\. (\S+); (\S+) and (\S+) agree, (\S+) too, Weberin not\. ([0-9a-f:]+) or ([0-9a-f:]+)\. "
+        r"(eyJ[\w\-]+\.[\w\-]+\.[\w\-]+)\. Born on (\d\d\.\d\d\.\d{4}), DOB: (\d{4}-\d\d-\d\d)\. Passport no\. ([A-Z]\d{8})\. "
+        r"(\d\d [A-Z]\w+ [A-Z]\w+ Street), ([A-Z]\w+straße \d\d)\. ([a-z]{2}\d\d(?: \d{4}){4} \d\d)\. г-н (\S+) и (\S+), 12:30 at 1\.2\.2024", text_)
+    assert m, text_
+    g = m.groups()
+    assert g[1] == g[2] == g[3] == g[4].title() and g[0] == g[5] and g[4].isupper() and g[16] == g[15] + "а"
+    assert not {x.strip(".,;") for x in MORE.split()} & {x for k in (0, 1, 6, 7, 8, 9, 10, 11, 15, 16) for x in [g[k]]}
+    assert [len(a) for a in g[6].split(":")] == [len(a) for a in "2001:db8::ff00:42:8329".split(":")]
+    datetime.strptime(g[9], "%d.%m.%Y"), datetime.strptime(g[9], "%m.%d.%Y"), datetime.strptime(g[10], "%Y-%m-%d")
+    bban = g[14].replace(" ", "")
+    assert g[14][:2] == "de" and int("".join(str(int(c, 36)) for c in bban[4:] + bban[:4])) % 97 == 1
+    for private in ("Paula", "Weber ", "db8", "fe80", "1985", "C0123", "Long Oak", "Haupt", "3704", "Петров"):
+        assert private not in text_
+
+
 def test_surrogates(spark):
-    docs = odd_documents(spark).unionByName(spark.createDataFrame([(50, PRIVATE), (51, PRIVATE), (51, PRIVATE), (52, "Smith a.b@x.com, Mr. Smith")], "doc_id long, text string"), allowMissingColumns=True)
+    docs = odd_documents(spark).unionByName(spark.createDataFrame([(50, PRIVATE), (51, PRIVATE), (51, PRIVATE), (52, "Smith a.b@x.com, Mr. Smith"), (53, "Smith wins"), (54, MORE)], "doc_id long, text string"), allowMissingColumns=True)
     done = pii.replace_entities(docs)
     assert set(done.columns) == set(docs.columns) and done.count() == docs.count()
     rows = done.where("doc_id IN (50, 51)").collect()
@@ -379,15 +405,17 @@ def test_surrogates(spark):
                  r"Card (\d{4} \d{4} \d{4} \d{4}) and (\d{4}-\d{4}-\d{4}-\d{4}), SSN (\d{3}-\d{2}-\d{4})\. Mail (\S+) or (\S+), (\S+)\. (DE\d\d(?: \d{4}){4} \d\d), (\d+(?:\.\d+){3}), ([0-9a-f]{40})\.", new)
     assert m, new
     g = m.groups()
-    male, female = pii.GIVEN["male", "latin"], pii.GIVEN["female", "latin"]
-    assert g[0].split("-")[0] in male and g[2].split("-")[0] in female and g[1] == g[4]
-    assert g[5].split("-")[0] in pii.GIVEN["male", "cyrillic"] and g[7].split("-")[0] in pii.GIVEN["female", "cyrillic"]
+    ends = lambda name, kind, script: name.endswith(tuple(pii.ENDINGS[kind, script])) and name.startswith(tuple(pii.BEGINNINGS[script]))
+    assert ends(g[0], "male", "latin") and ends(g[2], "female", "latin") and g[1] == g[3] == g[4]
+    assert ends(g[5], "male", "cyrillic") and ends(g[7], "female", "cyrillic") and g[8] == g[6] + "а"
+    bban = (g[17][4:] + g[17][:4]).replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in bban)) % 97 == 1
     assert g[11].replace(" ", "") == g[12].replace("-", "")
     luhn = lambda s: sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(int(c) for c in reversed(s))) % 10
     assert luhn(g[11].replace(" ", "")) == 0
     assert g[14].lower() == g[15] and g[14].isupper() and g[15].split("@")[1] == g[16].split("@")[1] and g[15] != g[16]
     other = done.where("doc_id = 52").first().text
-    assert other == f"Smith {g[15]}, Mr. {g[4]}"
+    assert other == f"{g[4]} {g[15]}, Mr. {g[4]}" and done.where("doc_id = 53").first().text == "Smith wins"
     odd = {r.doc_id: r for r in done.where("doc_id IN (3, 4, 9)").collect()}
     assert odd[3].text is None and odd[4].text == "" and odd[9].n_replaced == 0
     assert pii.replace_entities(empty(spark, docs)).count() == 0
@@ -395,7 +423,7 @@ def test_surrogates(spark):
 
 def test_surrogates_are_distinct(spark):
     """All ten addresses of a format, so that most of its surrogates are taken."""
-    found = [("email", f"{k}@x.y") for k in range(10)] + [("family-male", f"Name{k}") for k in range(150)] + [("family-female", f"Name{k}") for k in range(30)]
+    found = [("email", f"{k}@x.y") for k in range(10)] + [("family", f"Name{k}") for k in range(150)] + [("given-female", f"Name{k}") for k in range(30)]
     rows = pii.assign_surrogates(spark.createDataFrame(found, "kind string, value string")).collect()
     assert sorted((r.kind, r.value) for r in rows) == sorted(found)
     made = [(r.kind.split("-")[0], r.surrogate.lower()) for r in rows]
