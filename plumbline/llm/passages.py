@@ -16,9 +16,9 @@ from plumbline.llm.tables import materialize, new_path
 
 WINDOW_WORDS = 35
 #: Window hashes that one task compares at once, in the search for anchors and in the check of whole windows.
-BUCKET_HASHES = 8_000_000
+BUCKET_HASHES = 2_000_000
 #: Words of the documents that one task reads again together.
-CHUNK_WORDS = 500_000
+CHUNK_WORDS = 100_000
 #: Words whose windows a task holds at once before it sends them.
 SEND_WORDS = 1_000_000
 MIN_BUCKETS = 64
