@@ -633,3 +633,24 @@ def test_pipeline(spark):
     rows = seen["packing"].collect()
     check_packing(rows, sum(r.length for r in rows))
     assert json.dumps(sorted({r.doc_id for r in rows})) == json.dumps(sorted({r.doc_id for r in seen["mixing"].collect()}))
+
+
+def test_pipeline_of_odd_and_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        path = tables.new_path(spark, name)
+        stage(spark, docs, SMALL).write.parquet(path)
+        done = spark.read.parquet(path)
+        if name == "packing":
+            break
+        assert done.columns == docs.columns
+        none = stage(spark, docs.limit(0), SMALL)
+        assert none.columns == docs.columns and none.count() == 0
+        docs = done
+        if name == "simhash":
+            groups = docs.groupBy("doc_id", "text").count().where("count > 1 AND doc_id IS NOT NULL")
+            assert groups.count() == 0  # a repeated row once
+    check_packing(done.collect(), done.agg(F.sum("length")).first()[0])
+    assert stage(spark, docs.limit(0), SMALL).count() == 0
