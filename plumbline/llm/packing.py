@@ -22,7 +22,7 @@ GAP = 0.005
 #: Pricing ends where so many rounds together save less than this share of the sequences: the rest is not worth it.
 TAIL_ROUNDS, TAIL_SHARE = 30, 0.0005
 #: Words that a Python worker remembers; beyond, it forgets them all and starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Pieces for each part of a length class, when pieces are ranked.
 RANK_PART_ROWS = 100_000
 

@@ -23,7 +23,7 @@ CHUNK_WORDS = 100_000
 SEND_WORDS = 1_000_000
 MIN_BUCKETS = 64
 #: Hashes of words that a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that their powers have inverses modulo 2^64
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 

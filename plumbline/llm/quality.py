@@ -28,12 +28,14 @@ FEATURES = (
     "exclamations", "separators", "symbols", "other_bytes", "marked_words", "capital_words",
 )
 #: Slots of hashed n-grams, each: words, pairs of words, and runs of three bytes.
-SLOTS = 128
+SLOTS = 64
 WIDTH = len(FEATURES) + 3 * SLOTS
 #: The penalty of n-grams' weights is so many times that of FEATURES, which are few and general.
 GRAM_RIDGE = 100.0
+#: Texts whose features a Python worker holds at once.
+SLICE_ROWS = 512
 #: Words that a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _CLASSES = (
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\n\v\f", b".?,;:'\"-",
     b"!", b"|<>{}[]=_\\/~^", b"#$%&*+@`()", bytes(range(128, 256)),
@@ -121,6 +123,12 @@ def _rows_of_features(texts: pa.Array) -> np.ndarray:
     return np.array([features(t.as_py() or b"") for t in texts], np.float64).reshape(len(texts), WIDTH)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def fit_documents(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS
 ) -> DocumentModel:
@@ -137,7 +145,7 @@ def fit_documents(
     )
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             x = _rows_of_features(batch.column("text"))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * WIDTH, pa.int32()), pa.array(x.ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), batch.column("good")], ["x", "doc_id", "good"])
@@ -155,7 +163,7 @@ def document_scores(docs: DataFrame, model: DocumentModel, *, text_col: str = "t
     rows = docs.select(*keep, F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             p = model.probability(_rows_of_features(batch.column("__text")))
             yield batch.drop_columns(["__text"]).append_column("doc_prob", pa.array(p, pa.float64()))
 

@@ -25,6 +25,8 @@ SKETCH_WORDS = 8
 BROADCAST_ROWS = 1 << 19
 #: Members of a bucket that all others are compared with before those of different components are.
 LEADERS = 3
+#: Texts whose shingles a Python worker holds at once.
+SLICE_ROWS = 512
 #: Sets that one task compares with a leader.
 LEADER_ROWS = 500
 
@@ -53,7 +55,7 @@ def shingled(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> Data
     """(doc_id, text_hash, fp, set_id, n, sketch) of all rows: the fingerprint, and what tells of the set of shingles."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             each = [shingle_hashes(text.as_py() or b"", width) for text in batch.column("text")]
             sets = [_distinct(h) for h in each]
             words = pa.array(np.concatenate([np.zeros(0, np.int64), *map(_sketch, sets)]))
@@ -69,7 +71,7 @@ def _frequent(texts: DataFrame, width: int) -> np.ndarray:
     """Shingles of many sets, sorted."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             sets = [_distinct(shingle_hashes(text.as_py() or b"", width)) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["shingle"])
 
@@ -88,7 +90,7 @@ def _prefixes(texts: DataFrame, width: int, similarity: Fraction, frequent: np.n
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of a task's batches: copies give their prefix once
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             ids, sizes, first = [], [], []
             for text in batch.column("text"):
                 own = _distinct(shingle_hashes(text.as_py() or b"", width))
@@ -171,7 +173,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, s
                 own = _distinct(shingle_hashes(text.as_py() or b"", width)).tobytes()
                 rows += [(*(t[c] for c in names[:-1]), own) for t in tasks]
                 held += len(own) * len(tasks)
-                if held > 1 << 24:
+                if held > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, held = [], 0
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
