@@ -234,7 +234,7 @@ _taken_in: dict[tuple[str, str], Store] = {}
 def tables(spark: SparkSession, d: str) -> Store:
     """The result tables with all events taken in, once for each session and folder; read queries look at these."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _taken_in:
+    if key not in _taken_in or not _taken_in[key].exists("batches"):  # somebody may have cleared the folder
         store = Store(spark, new_folder(spark))
         ingest.ingest(store, events(spark, d), 0, SETTINGS, _now(spark, d))
         _taken_in[key] = store
@@ -595,7 +595,7 @@ def stream_pipeline_equivalence(spark, d):
 def _in_batches(spark: SparkSession, d: str, batches: int = 3) -> Store:
     """The tables with all events taken in as batches, once for each session and folder."""
     key = (spark.sparkContext.applicationId, f"{d}#{batches}")
-    if key not in _taken_in:
+    if key not in _taken_in or not _taken_in[key].exists("batches"):
         rows, store = events(spark, d), Store(spark, new_folder(spark))
         for part, condition in enumerate(cuts(rows, batches)):
             ingest.ingest(store, rows.where(condition), part, SETTINGS, _now(spark, d))
