@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.edit_join import candidate_pairs
 from plumbline.llm.tables import materialize, new_path, release
 
 #: Lines that differ in so many inserted, deleted or replaced characters count as the same line.
@@ -229,8 +230,26 @@ def near_lines(occurrences: DataFrame, classes: DataFrame) -> DataFrame:
     return found
 
 
-def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Remove each line that repeats an earlier one of the corpus, and each of min_chars or more that is within one edit of one.
+def lines_within(occurrences: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
+    """near_lines() for another threshold than one edit."""
+    lines = occurrences.groupBy("c1", "c2").agg(F.any_value("line").alias("line"))
+    texts = materialize(_joined(lines, classes.select("c1", "c2", "rank"), ["c1", "c2"]), "lines-texts")
+    if not edits:
+        return texts.select("c1", "c2").limit(0)
+    side = lambda s: texts.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("line").alias(f"line_{s}"), F.col("rank").alias(f"rank_{s}"))
+    both = _joined(_joined(candidate_pairs(texts, edits), side("a"), ["a1", "a2"]), side("b"), ["b1", "b2"])
+    chars = lambda line: F.filter(F.split(F.col(line), ""), lambda c: c != "")
+    both = materialize(both.select("a1", "a2", "b1", "b2", "rank_a", "rank_b", chars("line_a").alias("x"), chars("line_b").alias("y")), "lines-pairs")
+    end = lambda s: F.struct(F.col(f"{s}1").alias("c1"), F.col(f"{s}2").alias("c2"))
+    later = F.when(F.col("rank_a") > F.col("rank_b"), end("a")).otherwise(end("b"))
+    found = both.where(within_edits(F.col("x"), F.col("y"), edits)).select(later.alias("l"))
+    return materialize(found.select("l.c1", "l.c2").distinct(), "lines-near")
+
+
+def deduplicate_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS
+) -> DataFrame:
+    """Remove each line that repeats an earlier one of the corpus, and each of min_chars or more that is within max_edits edits of one.
 
     Lines end at line feeds and compare in their normal form; they come in order of (id, line number). Blank
     lines stay; lines shorter than min_chars (in their normal form) go if they are equal to an earlier one only.
@@ -252,7 +271,8 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         ),
         "lines-classes",
     )
-    near = near_lines(occurrences.where(long_), classes).withColumn("near", F.lit(True))
+    found = near_lines(occurrences.where(long_), classes) if max_edits == MAX_EDITS else lines_within(occurrences.where(long_), classes, max_edits)
+    near = found.withColumn("near", F.lit(True))
     verdicts = (
         classes.select("c1", "c2", "n", F.col("rank.doc_id").alias("first_doc"), F.col("rank.line_no").alias("first_line"))
         .join(near, ["c1", "c2"], "left")

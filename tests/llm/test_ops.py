@@ -15,7 +15,7 @@ from conftest import SMALL, same_rows
 from llm.helpers import components, empty, odd_documents, text
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_stream, itq, lines, mixing, packing, passages, pii, quality, queries, simhash, tables, warc
+from plumbline.llm import edit_join, exact_stream, itq, lines, mixing, packing, passages, pii, quality, queries, simhash, tables, warc
 from plumbline.llm.components import connected_components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -507,7 +507,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def plain_lines(rows):
+def plain_lines(rows, edits=1):
     first = {}
     parsed = []
     for doc, t in rows:
@@ -519,7 +519,7 @@ def plain_lines(rows):
                 place = (-1 if doc is None else doc, no)
                 first[norm] = min(first.get(norm, place), place)
     keys = sorted(k for k in first if len(k) >= lines.MIN_CHARS)
-    near = {a for a in keys if any(first[b] < first[a] and abs(len(a) - len(b)) < 2 and edit_distance(a, b) == 1 for b in keys)}
+    near = {a for a in keys if any(first[b] < first[a] and abs(len(a) - len(b)) <= edits and 0 < edit_distance(a, b) <= edits for b in keys)}
     out = []
     for doc, t in rows:
         own = [p for p in parsed if p[0] == doc and p[1] == t] if t is not None else []
@@ -548,6 +548,26 @@ def test_lines(spark):
     assert lines.deduplicate_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edits", [0, 2])
+def test_lines_within_other_thresholds(spark, edits, monkeypatch):
+    monkeypatch.setattr(edit_join, "BUCKET", 2)  # so that buckets are split
+    rng = random.Random(14)
+    base = ["the quick brown fox jumps over", "Straße und ñandú über allem 漢字", "a" * 24]
+    rows = []
+
+    def edited(line):
+        at = rng.randrange(len(line))
+        return rng.choice([line[:at] + rng.choice("xyz") + line[at:], line[:at] + line[at + 1 :], line[:at] + rng.choice("xyz") + line[at + 1 :], line[: at - 1] + line[at:] + line[at - 1 : at] if at else line])
+
+    for k in range(45):
+        line = rng.choice(base)
+        for _ in range(rng.randrange(4)):
+            line = edited(line)
+        rows.append((k, f"{line}\n{text(800 + k, 6)}"))
+    got = lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), max_edits=edits).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(plain_lines(rows, edits))
+
+
 def test_banded_edit_distance(spark):
     rng = random.Random(8)
     pairs = [("", ""), ("", "a"), ("a", ""), ("ab", "ba"), ("é", "e"), ("abc", "abcde")]
