@@ -51,6 +51,22 @@ def _sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def _bitmap(own: np.ndarray) -> bytes:
+    """The number of shingles, and a bit for each in as many words as leave about half of the bits or more empty."""
+    bits = np.zeros(1 << max(6, (2 * len(own) - 1).bit_length()), bool)
+    bits[(own >> 20) & (len(bits) - 1)] = True
+    return np.int64(len(own)).tobytes() + np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_be_similar(x: bytes, y: bytes, similarity: Fraction) -> bool:
+    """Whether two bitmaps allow for the similarity: a bit that one lacks is a shingle at least that it lacks."""
+    (n, m), (p, q) = (int(np.frombuffer(b, np.int64, 1)[0]) for b in (x, y)), (np.frombuffer(b, np.uint64, offset=8) for b in (x, y))
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(b.reshape(-1, size), axis=0) for b in (p, q))  # a place's low bits are its place in fewer words
+    most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+    return most * (similarity.numerator + similarity.denominator) >= (n + m) * similarity.numerator
+
+
 def shingled(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, text_hash, fp, set_id, n, sketch) of all rows: the fingerprint, and what tells of the set of shingles."""
 
@@ -144,8 +160,9 @@ def _likely(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFram
     return both.select("u", "v", sizes.alias("sizes"), most.alias("most")).where(F.col("most") * (a + b) >= F.col("sizes") * a)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """(u, v): the pairs of sets (u, v, sizes) whose similarity is reached, on all their shingles.
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: Fraction, whole: bool = True) -> DataFrame:
+    """(u, v, sizes): the pairs of sets (u, v, sizes) whose similarity is reached, on all their shingles; if not whole,
+    those whose bitmaps allow for it.
 
     The texts of both ends are read again; the set of v goes to a task for some of its u, and theirs follow one by one.
     """
@@ -170,7 +187,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, s
         for batch in batches:
             rows, held = [], 0
             for text, tasks in zip(batch.column("text"), batch.column("tasks").to_pylist(), strict=True):
-                own = _distinct(shingle_hashes(text.as_py() or b"", width)).tobytes()
+                own = _distinct(shingle_hashes(text.as_py() or b"", width))
+                own = own.tobytes() if whole else _bitmap(own)
                 rows += [(*(t[c] for c in names[:-1]), own) for t in tasks]
                 held += len(own) * len(tasks)
                 if held > 1 << 22:
@@ -180,21 +198,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, s
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leader = None, np.zeros(0, np.int64)
+        at, leader = None, b""
         for batch in batches:
             v, role, u, sizes = (batch.column(c).to_numpy() for c in ("v", "role", "u", "sizes"))
             linked = np.zeros(len(v), bool)
             for k, packed in enumerate(batch.column("shingles")):
-                own = np.frombuffer(packed.as_buffer(), np.int64)
+                own = packed.as_py()
                 if not role[k]:
                     at, leader = v[k], own
-                elif at == v[k]:
-                    common = len(np.intersect1d(own, leader, assume_unique=True))
+                elif at == v[k] and whole:
+                    common = len(np.intersect1d(np.frombuffer(own, np.int64), np.frombuffer(leader, np.int64), assume_unique=True))
                     linked[k] = common * (a + b) >= int(sizes[k]) * a
-            yield pa.RecordBatch.from_arrays([pa.array(u[linked]), pa.array(v[linked])], ["u", "v"])
+                elif at == v[k]:
+                    linked[k] = _may_be_similar(own, leader, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(u[linked]), pa.array(v[linked]), pa.array(sizes[linked])], ["u", "v", "sizes"])
 
     dealt = again.mapInArrow(sent, kind).repartition("v", "salt").sortWithinPartitions("v", "salt", "role")
-    return dealt.mapInArrow(compared, "u long, v long")
+    return dealt.mapInArrow(compared, "u long, v long, sizes int")
 
 
 def similar_sets(texts: DataFrame, sets: DataFrame, width: int, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -212,7 +232,7 @@ def similar_sets(texts: DataFrame, sets: DataFrame, width: int, similarity: Frac
     pairs = pairs.where((F.col("u") != F.col("v")) & sizes("n_u", "n_v")).select("u", "v")
     likely = materialize(_likely(pairs, sets, similarity), "shingle-pairs")
     best = likely.groupBy("u").agg(F.max_by(F.struct("v", "sizes"), F.struct(F.col("most") / F.col("sizes"), "v")).alias("b")).select("u", "b.v", "b.sizes")
-    led = materialize(_verified(best, sets, texts, width, similarity), "shingle-links")
+    led = materialize(_verified(best, sets, texts, width, similarity).select("u", "v"), "shingle-links")
     of = materialize(connected_components(led), "shingle-components")
     apart = likely.select("u", "v", "sizes", "most")
     members = met.select("shingle", "set_id", "n").join(of.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left")
@@ -226,8 +246,10 @@ def similar_sets(texts: DataFrame, sets: DataFrame, width: int, similarity: Frac
         apart = apart.join(of.toDF(end, f"c_{end}").hint("merge"), end, "left")
     apart = apart.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sizes").distinct()
     apart = materialize(apart, "shingle-pairs-apart")
-    links = materialize(led.unionByName(_verified(apart, sets, texts, width, similarity)), "shingle-links")
-    for table in (met, likely, led, of, members, apart):
+    # long texts fill their sketches: bitmaps that grow with the set leave few pairs for the shingles themselves
+    bounded = materialize(_verified(apart, sets, texts, width, similarity, whole=False), "shingle-pairs-bounded")
+    links = materialize(led.unionByName(_verified(bounded, sets, texts, width, similarity).select("u", "v")), "shingle-links")
+    for table in (met, likely, led, of, members, apart, bounded):
         release(table)
     return links
 
