@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_stream, itq, lines, mixing, packing, passages, pii, quality, simhash, warc
+from plumbline.llm import ball_kmeans, exact_stream, itq, lines, mixing, packing, passages, phrases, pieces, pii, quality, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact": exact_stream.op8_exact,
     "op9_lines": lines.op9_lines,
     "op10_warc": warc.op10_warc,
+    "op11_ball_kmeans": ball_kmeans.op11_ball_kmeans,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op8_exact": exact_stream.OP8_SQL,
     "op9_lines": lines.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }

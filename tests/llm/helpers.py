@@ -3,7 +3,7 @@
 import random
 
 WORDS = [f"w{k:03d}" for k in range(400)]
-CLASH = "n_copies int, rate double, copy_no int, row string, host string, path string, quality double, n_removed int, n_replaced int, spans int, fp int, component_id int"
+CLASH = "ids int, decoded int, cluster string, distance string, n_copies int, rate double, copy_no int, row string, host string, path string, quality double, n_removed int, n_replaced int, spans int, fp int, component_id int"
 
 
 def text(seed, n):
@@ -19,7 +19,7 @@ def odd_documents(spark):
         (None, text(5, 60), "en", "a"), (7, text(7, 80), None, None), (8, text(7, 80) + " end", "en", "a"), (9, "é ñ 漢字 😀", "xx", "a"), (10, "one", "en", "b"),
         (11, "ONE", "en", "b"), (12, text(12, 35) + "\n" + text(13, 35), "en", "a"), (13, text(14, 35) + "\n" + text(13, 35), "en", "a"), (13, "another text of the same id", "en", "a"),
     ]
-    full = [(*r, None if r[1] is None else len(r[1]), *[None] * 12) for r in rows]
+    full = [(*r, None if r[1] is None else len(r[1]), *[None] * 16) for r in rows]
     return spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}")
 
 
