@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 #: The character that stands for a space in pieces.
 MARK = "▁"
 #: Texts are cut into chunks in slices of so many bytes, or of one text that is longer.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Chunks of up to so many bytes are remembered by a worker, so many of them; then it forgets them all.
-REMEMBERED_BYTES, REMEMBERED_CHUNKS = 48, 200_000
+REMEMBERED_BYTES, REMEMBERED_CHUNKS = 32, 100_000
 
 
 class Pieces:
@@ -200,21 +200,24 @@ def _text_ends(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
 
 
-def _with_column(df: DataFrame, source: str, target: str, kind: str, width: int, find) -> DataFrame:
-    """df with one more column, which find(column, pieces) gives; a column of this name is replaced, whatever its case."""
-    kept = [c for c in df.columns if c.lower() != target.lower() or c == source]
-    df = df.select(*[F.col(f"`{c}`") for c in kept])
+def _with_columns(df: DataFrame, source: str, width: int, targets: dict[str, str], find) -> DataFrame:
+    """df with more columns (name: type), arrays that find(column) gives; columns of these names are replaced, whatever their case."""
+    gone = {t.lower() for t in targets}
+    kept = [c for c in df.columns if c.lower() not in gone or c == source]
     names = [f"in{k}" for k in range(len(kept))]  # clashing names in a batch would be ambiguous
+    own = names[kept.index(source)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches, names[kept.index(source)], width):
+        for batch in _sliced(batches, own, width):
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, find(batch.column(names[kept.index(source)]))], [*names, "out"])
+                found = find(batch.column(own))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*names, *(f"out{k}" for k in range(len(found)))])
 
-    schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, kept, strict=True))
-    done = df.toDF(*names).mapInArrow(each, f"{schema}, out {kind}")
-    dropped = [(n, c) for n, c in zip(names, kept, strict=True) if c.lower() != target.lower()]
-    return done.select(*[F.col(n).alias(c) for n, c in dropped], F.col("out").alias(target))
+    schema = [f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, kept, strict=True)]
+    schema += [f"out{k} {kind}" for k, kind in enumerate(targets.values())]
+    done = df.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, kept, strict=True)]).mapInArrow(each, ", ".join(schema))
+    held = [F.col(n).alias(c) for n, c in zip(names, kept, strict=True) if c.lower() not in gone]
+    return done.select(*held, *[F.col(f"out{k}").alias(t) for k, t in enumerate(targets)])
 
 
 def model_path(path: str | None) -> str:
@@ -225,17 +228,28 @@ def model_path(path: str | None) -> str:
     return path
 
 
-def encode_documents(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, path: str | None = None
+) -> DataFrame:
     """docs with the ids of each whole text, exactly as the library encodes it without begin or end ids.
 
     Texts are cut where spaces begin, each distinct chunk of a slice is segmented once by the library, and its ids
     are joined back by position. A worker remembers short chunks over slices. Nothing is shuffled, and a task holds a
-    slice of SLICE_BYTES, or one text that is longer. path: the model's file, there on every executor.
+    slice of SLICE_BYTES, or one text that is longer. path: the model's file, there on every executor. decoded_col: add
+    what decode_documents() makes of the ids, in the same pass.
 
-    Null and empty texts have no ids. Repeated rows stay. Other columns are kept; one with the name of ids_col is replaced.
+    Null and empty texts have no ids. Repeated rows stay. Other columns are kept; one with the name of ids_col or
+    decoded_col is replaced.
     """
     path = model_path(path)
-    return _with_column(docs, text_col, ids_col, "array<int>", 1, lambda texts: encode(texts, load_pieces(path)))
+
+    def find(texts: pa.Array) -> list[pa.Array]:
+        known = load_pieces(path)
+        ids = encode(texts, known)
+        return [ids] if decoded_col is None else [ids, decode(ids, known).cast(pa.string())]
+
+    targets = {ids_col: "array<int>"} | ({} if decoded_col is None else {decoded_col: "string"})
+    return _with_columns(docs, text_col, 1, targets, find)
 
 
 def decode_documents(docs: DataFrame, *, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -246,12 +260,11 @@ def decode_documents(docs: DataFrame, *, ids_col: str = "ids", text_col: str = "
     decoded whole; ids that the model lacks raise the library's error.
     """
     path = model_path(path)
-    return _with_column(docs, ids_col, text_col, "string", 4, lambda ids: decode(ids, load_pieces(path)).cast(pa.string()))
+    return _with_columns(docs, ids_col, 4, {text_col: "string"}, lambda ids: [decode(ids, load_pieces(path)).cast(pa.string())])
 
 
 def op13_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = decode_documents(encode_documents(docs).drop("text"))
+    done = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), decoded_col="decoded")
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -226,6 +226,8 @@ def test_encoding_odd_documents(spark, model, monkeypatch, size):
     assert sorted(done.columns) == sorted(docs.columns)
     got = Counter((r.doc_id, r.text, tuple(r.ids), r.decoded) for r in done.collect())
     assert got == Counter((r.doc_id, r.text, tuple(ids := model.encode(r.text or "")), model.decode(ids)) for r in docs.collect())
+    both = pieces.encode_documents(docs, decoded_col="decoded")
+    assert Counter((r.doc_id, r.text, tuple(r.ids), r.decoded) for r in both.collect()) == got and both.columns == done.columns
     assert pieces.decode_documents(pieces.encode_documents(empty(spark, docs))).count() == 0
     odd = spark.createDataFrame([(1, None), (2, []), (3, [264, None, 287])], "k int, ids array<int>")
     assert {r.k: r.decoded for r in pieces.decode_documents(odd).collect()} == {1: "", 2: "", 3: "a b"}
