@@ -34,7 +34,7 @@ REJECTED_EVENTS = f"{EVENT}, received_at timestamp, violations string"
 BASELINES = "baseline_type string, baseline_hash string, baseline array<struct<path:string,type:string>>"
 NULL_RUNS = "source string, event_type string, window_start timestamp, total long, nulls array<struct<field_path:string,n:bigint>>"
 LATEST_EVENTS = "source string, last_type string, last_seen_at timestamp, seq long"
-#: One row for each batch: its size, and the times that its rows cover.
+#: One row for each batch: the numbers of arrival that it used, its size, and the times that its rows cover.
 BATCHES = (
-    "batch int, events_ingested long, alerts_fired long, first_received timestamp, last_received timestamp, first_event timestamp, last_event timestamp"
+    "batch int, numbers long, events_ingested long, alerts_fired long, first_received timestamp, last_received timestamp, first_event timestamp, last_event timestamp"
 )

@@ -14,8 +14,9 @@ from plumbline.operators import alerts, duplicates, envelope, fields, health, in
 from plumbline.operators.pipeline import process_observed
 from plumbline.plans import ingest, reads
 from plumbline.plans.inputs import EVENTS_SQL, SETTINGS, events, table
+from plumbline.sources.events import from_messages, read_events, to_messages, write_json
 from plumbline.sources.store import Store, new_folder, stored
-from plumbline.streaming.replay import cuts, stream_processed
+from plumbline.streaming.replay import cuts, run, stream_processed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -584,12 +585,51 @@ def incident_stats(spark, d):
     return incidents.stats(found.withColumn("status", F.when(even, F.lit("RESOLVED")).otherwise(F.lit("OPEN"))))
 
 
-@_query(_with(*_PIPELINE, "SELECT seq, alert_type, field_path, message FROM every_alert WHERE alert_type <> 'FIELD_OUT_OF_RANGE'"))
+#: SQL and Spark write the numbers in the messages of ranges differently.
+_MESSAGE = "CASE WHEN alert_type <> 'FIELD_OUT_OF_RANGE' THEN message END AS message"
+
+
+@_query(_with(*_PIPELINE, f"SELECT seq, alert_type, field_path, {_MESSAGE} FROM every_alert"))
 def stream_pipeline_equivalence(spark, d):
     """The alerts of all detectors over the events as a stream of three batches, one by one."""
     store = stream_processed(events(spark, d), SETTINGS, now=_now(spark, d))
-    found = store.read("quality_alerts").where("alert_type NOT IN ('FIELD_OUT_OF_RANGE', 'STALE_SOURCE')")
-    return found.select(F.floor(F.col("id") / alerts.PLACES).alias("seq"), "alert_type", "field_path", "message")
+    found = store.read("quality_alerts").where("alert_type <> 'STALE_SOURCE'")
+    return found.select(F.floor(F.col("id") / alerts.PLACES).alias("seq"), "alert_type", "field_path", F.expr(_MESSAGE))
+
+
+def _alerts_by_event(store: Store) -> DataFrame:
+    """Alerts with the id of their event, where numbers of arrival are the store's own."""
+    found = store.read("quality_alerts").where("alert_type <> 'STALE_SOURCE'").withColumn("of", F.floor(F.col("id") / alerts.PLACES))
+    of = store.read("raw_events").select(F.col("id").alias("of"), "event_id")
+    return found.join(of, "of").select("event_id", "source", "alert_type", "field_path", F.expr(_MESSAGE))
+
+
+_BY_EVENT = f"SELECT s.event_id, a.source, alert_type, field_path, {_MESSAGE} FROM every_alert a JOIN stream s USING (seq)"
+
+
+@_query(_with(*_PIPELINE, _BY_EVENT))
+def json_ingest_alerts(spark, d):
+    """Alerts of events that are taken in from JSON lines, numbered by their place in the files."""
+    store = Store(spark, new_folder(spark))
+    write_json(events(spark, d), f"{store.folder}/input")
+    ingest.ingest(store, read_events(spark, f"{store.folder}/input"), 0, SETTINGS, _now(spark, d))
+    return _alerts_by_event(store)
+
+
+@_query(_with(*_PIPELINE, _BY_EVENT))
+def message_stream_alerts(spark, d):
+    """Alerts of events that come as messages of a log with three partitions, in two micro-batches."""
+    folder, rows = new_folder(spark), events(spark, d)
+    schema = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
+    for condition in cuts(rows, 2):
+        some = rows.where(condition)
+        place = [F.lit("raw-events").alias("topic"), F.pmod(F.xxhash64(envelope.partition_key()), F.lit(3)).cast("int").alias("partition"), F.col("seq").alias("offset")]
+        at = F.col("received_at").cast("timestamp").alias("timestamp")
+        some = some.select(*[F.col(c) for c in ("event_id", "source", "event_type", "event_timestamp", "payload")], *place, at)
+        to_messages(some, "topic", "partition", "offset", "timestamp").write.mode("append").parquet(f"{folder}/log")
+        # all that has come since the last start is one batch
+        store = run(from_messages(spark.readStream.schema(schema).parquet(f"{folder}/log")), folder, SETTINGS, _now(spark, d))
+    return _alerts_by_event(store)
 
 
 def _in_batches(spark: SparkSession, d: str, batches: int = 3) -> Store:

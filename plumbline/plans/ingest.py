@@ -9,7 +9,8 @@ from plumbline.config import Settings
 from plumbline.functions.timing import plus
 from plumbline.operators import alerts, envelope, health, metrics, schemas, spikes
 from plumbline.operators.pipeline import Memory, process_observed
-from plumbline.sources.store import SCHEMAS, Store, stored
+from plumbline.sources.arrival import numbered
+from plumbline.sources.store import SCHEMAS, Store, released, stored
 
 
 def _shaped(rows: DataFrame, table: str) -> DataFrame:
@@ -52,7 +53,7 @@ def _covering(store: Store, before: int, column: str, since: Column) -> list[int
     return sorted(r["batch"] for r in rows.collect())
 
 
-def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings) -> DataFrame | None:
+def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings, numbers: int = 0) -> DataFrame | None:
     """Process a batch of valid events and write its part of each table; a part that is written again is replaced.
 
     Detectors go on from what the store has of the parts before: repeats look back over the duplicate window,
@@ -98,20 +99,27 @@ def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings)
     )
     sums = stored(sums)
     counters = [F.lit(seen.get[c]).cast("long").alias(c) for c in ("events_ingested", "alerts_fired")]
-    store.write("batches", _shaped(sums.select(F.lit(part).alias("batch"), *counters, "*"), "batches"), part)
+    store.write("batches", _shaped(sums.select(F.lit(part).alias("batch"), F.lit(numbers).cast("long").alias("numbers"), *counters, "*"), "batches"), part)
     return done
 
 
 def ingest(store: Store, events: DataFrame, part: int, settings: Settings, now: Column) -> DataFrame:
     """Validate a batch of events, process it and bring all tables up to date; returns the rejected events.
 
-    Parts are to be numbered in the order in which they come.
+    Parts are to be numbered in the order in which they come. Events that bring no seq are numbered by their place in
+    their source, after those of the parts before; so a part that comes again gives the same ids. Intermediate tables
+    of a part are deleted at its end.
     """
-    valid, rejected = envelope.validate(events)
-    process_batch(store, valid, part, settings)
-    store.write("rejected_events", _shaped(rejected, "rejected_events"), part)
-    refresh_health(store, part, settings, now)
-    return rejected
+    with released(store.spark):
+        numbers = 0
+        if "seq" not in events.columns:
+            base = store.read("batches", part).agg(F.sum("numbers")).first()[0] or 0
+            events, numbers = numbered(events, base)
+        valid, rejected = envelope.validate(events)
+        process_batch(store, valid, part, settings, numbers)
+        store.write("rejected_events", _shaped(rejected, "rejected_events"), part)
+        refresh_health(store, part, settings, now)
+    return store.read("rejected_events", parts=[part])
 
 
 def current_versions(store: Store) -> DataFrame:
@@ -141,11 +149,16 @@ def refresh_health(store: Store, part: int, settings: Settings, now: Column) ->
     Reads the batches of the long look-back, and of the others only the last event of each source.
     """
     since = plus(now.cast("timestamp"), -settings.long_look_back)
-    parts = _covering(store, part + 1, "last_event", since)
+    extents = store.read("batches", part + 1)
+    late = lambda c, t: F.coalesce(F.col(c) >= t, F.lit(False)).alias(c)
+    windows_since = plus(since, -settings.window_size)
+    covering = extents.select("batch", late("last_event", since), late("last_received", since), late("last_event", windows_since).alias("windows"))
+    covering = covering.where("last_event OR last_received OR windows").collect()
+    parts = [r["batch"] for r in covering if r["last_event"]]
     seen = store.read("latest_events").withColumnsRenamed({"last_type": "event_type", "last_seen_at": "event_timestamp"})
     recent = store.read("raw_events", parts=parts).withColumnRenamed("id", "seq")
-    alerted = store.read("quality_alerts", parts=_covering(store, part + 1, "last_received", since)).unionByName(store.read("quality_alerts", 0, after=-part - 1))
-    windows = store.read("metric_windows", parts=_covering(store, part + 1, "last_event", plus(since, -settings.window_size)))
+    alerted = store.read("quality_alerts", parts=[r["batch"] for r in covering if r["last_received"]]).unionByName(store.read("quality_alerts", 0, after=-part - 1))
+    windows = store.read("metric_windows", parts=[r["batch"] for r in covering if r["windows"]])
     found = health.source_health(recent, alerted, metrics.merged(windows, settings), now, settings, health.latest_events(seen))
     new = health.stale_alerts(found, current_health(store, part), settings)
     stale_part = -part - 1  # parts below zero hold the alerts that a refresh raises

@@ -14,7 +14,8 @@ from plumbline.operators.pipeline import process
 from plumbline.plans import reads
 from plumbline.plans.ingest import counters, current_metrics, current_versions, ingest, quality_alerts, raw_events, refresh_health
 from plumbline.scenarios import scenario
-from plumbline.sources.store import Store, new_folder, read_events, to_messages
+from plumbline.sources.events import read_events, to_messages
+from plumbline.sources.store import Store, new_folder
 from plumbline.streaming.replay import cuts, stream_processed
 
 NOW = datetime(2024, 5, 1, 12, 0, 0)
