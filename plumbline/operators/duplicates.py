@@ -55,6 +55,26 @@ def payload_matches(events: DataFrame, payload_hash: str, after: Column, event_i
     return events.where(other).orderBy("received_at", "seq").limit(1)
 
 
+def id_alert() -> Column:
+    """The alert of an event whose id came before."""
+    evidence = F.struct(F.lit("REPEATED_EVENT_ID").alias("duplicate_kind"), F.col("event_id"), F.col("source"))
+    return alert("DUPLICATE_EVENT", "INFO", F.concat(F.lit("Repeated event_id "), F.col("event_id")), evidence)
+
+
+def payload_alert(settings: Settings) -> Column:
+    """The alert of an event whose payload came with first_event_id before."""
+    window = iso_duration(settings.duplicate_window)
+    evidence = F.struct(
+        F.lit("REPEATED_PAYLOAD").alias("duplicate_kind"),
+        F.col("payload_hash"),
+        F.lit(window).alias("window"),
+        F.col("event_id").alias("current_event_id"),
+        F.col("first_event_id"),
+    )
+    message = F.concat(F.lit(f"Repeated payload hash within {window}; first event_id="), F.col("first_event_id"))
+    return alert("DUPLICATE_EVENT", "INFO", message, evidence)
+
+
 def detect(events: DataFrame, settings: Settings, recent: DataFrame | None = None) -> DataFrame:
     """Append duplicate alerts: first of the id, then of the payload of another event.
 
@@ -65,21 +85,6 @@ def detect(events: DataFrame, settings: Settings, recent: DataFrame | None = Non
         held = held.unionByName(recent.withColumn("__recent", F.lit(True)), allowMissingColumns=True)
     df = first_of_payload(repeated_ids(held, settings.duplicate_window), settings.duplicate_window)
     df = df.where("NOT __recent").drop("__recent")
-    window = iso_duration(settings.duplicate_window)
-    by_id = F.struct(F.lit("REPEATED_EVENT_ID").alias("duplicate_kind"), F.col("event_id"), F.col("source"))
-    by_payload = F.struct(
-        F.lit("REPEATED_PAYLOAD").alias("duplicate_kind"),
-        F.col("payload_hash"),
-        F.lit(window).alias("window"),
-        F.col("event_id").alias("current_event_id"),
-        F.col("first_event_id"),
-    )
-    id_message = F.concat(F.lit("Repeated event_id "), F.col("event_id"))
-    payload_message = F.concat(F.lit(f"Repeated payload hash within {window}; first event_id="), F.col("first_event_id"))
     other = F.coalesce(F.col("first_event_id") != F.col("event_id"), F.lit(False))
-    found = add(
-        df,
-        where(F.col("repeated_id"), alert("DUPLICATE_EVENT", "INFO", id_message, by_id)),
-        where(other, alert("DUPLICATE_EVENT", "INFO", payload_message, by_payload)),
-    )
+    found = add(df, where(F.col("repeated_id"), id_alert()), where(other, payload_alert(settings)))
     return found.drop("repeated_id", "first_event_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
@@ -84,7 +84,8 @@ def null_spikes(runs: DataFrame, settings: Settings) -> DataFrame:
     return counted.where(crossing).withColumn("null_rate", count / total).drop("island", "n", "new")
 
 
-def _null_alerts(spikes: DataFrame, settings: Settings) -> DataFrame:
+def null_alert(settings: Settings) -> Column:
+    """The alert of a row of null_spikes()."""
     end = plus(F.col("window_start"), settings.window_size)
     evidence = F.struct(
         "field_path", iso_instant(F.col("window_start")).alias("window_start"), iso_instant(end).alias("window_end"), "null_count",
@@ -94,8 +95,11 @@ def _null_alerts(spikes: DataFrame, settings: Settings) -> DataFrame:
         F.lit("Null spike for "), F.col("field_path"), F.lit(" in "), F.col("event_type"), F.lit(" ("), F.col("null_count").cast("string"),
         F.lit("/"), F.col("total_count").cast("string"), F.lit(")"),
     )
-    found = alert("NULL_SPIKE", "WARN", message, evidence, F.col("field_path"))
-    return spikes.select("seq", found.alias("a")).groupBy("seq").agg(F.array_sort(F.collect_list("a")).alias("null_alerts"))
+    return alert("NULL_SPIKE", "WARN", message, evidence, F.col("field_path"))
+
+
+def _null_alerts(spikes: DataFrame, settings: Settings) -> DataFrame:
+    return spikes.select("seq", null_alert(settings).alias("a")).groupBy("seq").agg(F.array_sort(F.collect_list("a")).alias("null_alerts"))
 
 
 def window_counts(events: DataFrame, size: float) -> DataFrame:
@@ -161,7 +165,8 @@ def anomaly_spikes(events: DataFrame, settings: Settings, before: DataFrame | No
     return found.drop("new", "weight", "back", *[f"n{k}" for k in range(n + 1)])
 
 
-def _anomaly_alerts(spikes: DataFrame, settings: Settings) -> DataFrame:
+def anomaly_alert(settings: Settings) -> Column:
+    """The alert of a row of anomaly_spikes()."""
     end = plus(F.col("window_start"), settings.window_size)
     evidence = F.struct(
         iso_instant(F.col("window_start")).alias("window_start"), iso_instant(end).alias("window_end"), "baseline",
@@ -172,7 +177,11 @@ def _anomaly_alerts(spikes: DataFrame, settings: Settings) -> DataFrame:
         F.lit("Anomaly spike in "), F.col("event_type"), F.lit(" window ("), F.col("events_so_far").cast("string"),
         F.lit(" vs baseline "), F.format_string("%.2f", "baseline"), F.lit(")"),
     )
-    return spikes.select("seq", F.array(alert("ANOMALY_SPIKE", "WARN", message, evidence)).alias("anomaly_alerts"))
+    return alert("ANOMALY_SPIKE", "WARN", message, evidence)
+
+
+def _anomaly_alerts(spikes: DataFrame, settings: Settings) -> DataFrame:
+    return spikes.select("seq", F.array(anomaly_alert(settings)).alias("anomaly_alerts"))
 
 
 def detect(df: DataFrame, observed: DataFrame, settings: Settings, runs: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from plumbline.plans.inputs import EVENTS_SQL, SETTINGS, events, table
 from plumbline.sources.events import from_messages, read_events, to_messages, write_json
 from plumbline.sources.store import Store, new_folder, stored
 from plumbline.streaming.replay import cuts, run, stream_processed
+from plumbline.streaming.state import streamed_alerts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -664,3 +665,9 @@ def batch_ingest_metrics(spark, d):
 @_query(_with(*_PIPELINE, "SELECT (SELECT count(*) FROM stream) AS events_ingested, (SELECT count(*) FROM every_alert) AS alerts_fired"))
 def ingest_counters(spark, d):
     return ingest.counters(tables(spark, d))
+
+
+@_query(_with(*_PIPELINE, "SELECT seq, source, alert_type, field_path, message FROM every_alert WHERE alert_type IN ('DUPLICATE_EVENT', 'NULL_SPIKE', 'ANOMALY_SPIKE')"))
+def keyed_state_alerts(spark, d):
+    """Alerts of the detectors that look back, from keyed state over a stream of three batches with restarts."""
+    return streamed_alerts(events(spark, d), SETTINGS).select("seq", "source", "alert_type", "field_path", "message")
