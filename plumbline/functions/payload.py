@@ -61,11 +61,16 @@ _ENTRIES = "array<struct<path:string,type:string>>"
 _TOKENS = r"(?:`(?:[^`]|``)*`|[^`<>,():\s]+): |OBJECT<|ARRAY<|>|[A-Z][A-Z_]*(?:\([0-9, ]+\))?"
 
 
-def raw_entries(root: Column) -> Column:
-    """array<struct<path, type>> of a variant, unsorted; an object appears itself and with its fields, at any depth.
+def shape(payload: Column) -> Column:
+    """The text of the payload's schema as Spark writes it: the same for payloads of the same keys and types; "" of none."""
+    return F.coalesce(F.schema_of_variant(variant(payload)), F.lit(""))
 
-    Walks through the text of the variant's schema with a stack of paths; what is inside of arrays is left out.
-    A value that is no object is one entry <root>.
+
+def raw_entries(shape: Column) -> Column:
+    """array<struct<path, type>> of a shape, unsorted; an object appears itself and with its fields, at any depth.
+
+    Walks through the text with a stack of paths; what is inside of arrays is left out. A value that is no object is
+    one entry <root>.
     """
 
     def step(state: Column, t: Column) -> Column:
@@ -91,8 +96,8 @@ def raw_entries(root: Column) -> Column:
 
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("stack"), F.lit(0).alias("inside"), F.lit("").alias("name"), F.array().cast(_ENTRIES).alias("out"))
-    found = F.aggregate(F.regexp_extract_all(F.schema_of_variant(root), F.lit(_TOKENS), F.lit(0)), start, step, lambda state: state["out"])
-    return F.coalesce(found, F.array(F.struct(F.lit(ROOT).alias("path"), F.lit("NULL").alias("type"))))
+    found = F.aggregate(F.regexp_extract_all(shape, F.lit(_TOKENS), F.lit(0)), start, step, lambda state: state["out"])
+    return F.when(shape == "", F.array(F.struct(F.lit(ROOT).alias("path"), F.lit("NULL").alias("type")))).otherwise(found)
 
 
 def sorted_entries(found: Column) -> Column:
@@ -104,7 +109,7 @@ def sorted_entries(found: Column) -> Column:
 
 def schema_entries(payload: Column) -> Column:
     """The schema of a payload: its entries sorted by path."""
-    return sorted_entries(raw_entries(variant(payload)))
+    return sorted_entries(raw_entries(shape(payload)))
 
 
 def schema_json(entries: Column) -> Column:

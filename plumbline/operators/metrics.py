@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
-from plumbline.functions.timing import plus
-from plumbline.operators.spikes import null_samples, window_counts
+from plumbline.functions import payload as P
+from plumbline.functions.timing import plus, window_start
+from plumbline.operators.spikes import window_counts
 
 NULL_RATE = "NULL_RATE:"
 
@@ -19,13 +22,22 @@ def event_counts(events: DataFrame, settings: Settings) -> DataFrame:
 
 
 def null_metrics(observed: DataFrame, settings: Settings) -> DataFrame:
-    """NULL_TOTAL:field, NULL_COUNT:field and NULL_RATE:field of each source, type and window."""
-    sums = (
-        null_samples(observed, settings)
-        .groupBy("source", "event_type", "window_start", "field_path")
-        .agg(F.count("*").cast("double").alias("total"), F.sum("nullish").cast("double").alias("nulls"))
-    )
-    return _three(sums, settings)
+    """NULL_TOTAL:field, NULL_COUNT:field and NULL_RATE:field of each source, type and window.
+
+    Only fields that are null are spread; totals are the events of the window, for each field of the type's baseline.
+    """
+    keys = ["source", "event_type", "window_start"]
+    start = window_start(F.col("event_timestamp"), settings.window_size).alias("window_start")
+    rows = observed.where("baseline IS NOT NULL").select("source", "event_type", start, F.map_from_entries("schema").alias("seen"), P.leaves(F.col("baseline")).alias("leaves"))
+    # an array of the fields has one value for a type, so that it is a key as the type is
+    totals = rows.groupBy(*keys, "leaves").agg(F.count("*").cast("double").alias("total"))
+    totals = totals.select(*keys, "total", F.explode("leaves").alias("field_path")).groupBy(*keys, "field_path").agg(F.sum("total").alias("total"))
+    empty = F.filter("leaves", lambda path: P.nullish(F.col("seen"), path))
+    nulls = rows.select(*keys, F.explode(empty).alias("field_path")).groupBy(*keys, "field_path").agg(F.count("*").cast("double").alias("n"))
+    own = [*keys, "field_path"]
+    nulls = nulls.select(*[F.col(c).alias(f"of_{c}") for c in own], "n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in own])
+    return _three(totals.join(nulls, same, "left").select(*own, "total", F.coalesce("n", F.lit(0.0)).alias("nulls")), settings)
 
 
 def _three(sums: DataFrame, settings: Settings) -> DataFrame:

@@ -7,16 +7,31 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import payload as P
 from plumbline.operators.alerts import add, alert, where
+from plumbline.sources.store import stored
 
 
-def observe(events: DataFrame) -> DataFrame:
-    """Add schema (sorted entries) and schema_hash of the payload."""
-    # step by step, so that each payload is parsed and walked through once
-    df = events.withColumn("__variant", P.variant(F.col("payload"))).withColumn("__entries", P.raw_entries(F.col("__variant")))
-    df = df.withColumn("schema", P.sorted_entries(F.col("__entries"))).drop("__variant", "__entries")
+def _walked(shapes: DataFrame) -> DataFrame:
+    """Add schema (sorted entries) and schema_hash of a shape."""
+    # step by step, so that each shape is walked through once
+    df = shapes.withColumn("__entries", P.raw_entries(F.col("__shape"))).withColumn("schema", P.sorted_entries(F.col("__entries"))).drop("__entries")
     return df.withColumn("schema_hash", P.schema_hash(F.col("schema")))
 
 
+def observe(events: DataFrame) -> DataFrame:
+    """Add schema (sorted entries) and schema_hash of the payload.
+
+    Payloads are parsed once, for their shape, which is stored with the events. There are few shapes as a rule: each
+    is walked through once, and its schema joined back; whether shapes are broadcast is left to their measured size.
+    On a stream, where nothing can be stored, each payload is walked through.
+    """
+    shaped = events.withColumn("__shape", P.shape(F.col("payload")))
+    if events.isStreaming:
+        return _walked(shaped).drop("__shape")
+    shaped = stored(shaped)
+    shapes = stored(_walked(shaped.select("__shape").distinct()))
+    return shaped.join(shapes, "__shape").drop("__shape")
+
+
 def _arrival() -> Column:
     return F.struct("received_at", "seq")
 

@@ -16,19 +16,6 @@ _ORDER = ["new", "received_at", "seq"]
 _KEYS = ["source", "event_type"]
 
 
-def null_samples(observed: DataFrame, settings: Settings) -> DataFrame:
-    """A row for each event and field of its baseline: keys, window_start and nullish (0 or 1)."""
-    seen = F.map_from_entries("schema")
-    fields = observed.select(
-        "seq", "received_at", "source", "event_type", window_start(F.col("event_timestamp"), settings.window_size).alias("window_start"),
-        seen.alias("seen"), F.explode(P.leaves(F.col("baseline"))).alias("field_path"),
-    )
-    return fields.select(
-        "seq", "received_at", "source", "event_type", "window_start", "field_path",
-        P.nullish(F.col("seen"), F.col("field_path")).cast("long").alias("nullish"),
-    )
-
-
 def null_runs(observed: DataFrame, settings: Settings, before: DataFrame | None = None) -> DataFrame:
     """Events with a baseline, numbered by runs of one window: island, total_count (events of the run so far) and
     nulls, an array of the fields that are null (field_path, n = 1).

@@ -217,7 +217,7 @@ def _observed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _processed(spark: SparkSession, d: str) -> DataFrame:
-    return process_observed(stored(_observed(spark, d)), SETTINGS)
+    return process_observed(_observed(spark, d), SETTINGS)
 
 
 def _alerts(spark: SparkSession, d: str) -> DataFrame:

@@ -63,7 +63,7 @@ def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings,
     times = {c: F.col(c).cast("timestamp").alias(c) for c in ("event_timestamp", "received_at")}
     events = envelope.enrich(valid)
     events = events.select(*[times.get(c, F.col(c)) for c in ("seq", "event_id", "source", "event_type", "event_timestamp", "received_at", "payload", "payload_hash")])
-    described = stored(schemas.observe(events))
+    described = schemas.observe(events)
     extent = described.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in times for f in (F.min, F.max)]).first()
     if extent["min_received_at"] is None:
         return None
@@ -71,7 +71,7 @@ def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings,
     new = schemas.baselines(described).join(store.read("baselines", part).select("baseline_type"), "baseline_type", "left_anti")
     store.write("baselines", new, part)
     baselines = store.read("baselines", part + 1)
-    observed = stored(schemas.with_baseline(described, baselines))
+    observed = schemas.with_baseline(described, baselines)
 
     since = at(extent["min_received_at"], settings.duplicate_window)
     recent = store.read("raw_events", parts=_covering(store, part, "last_received", since)).where(F.col("received_at") >= since)
