@@ -21,7 +21,7 @@ BEST = 2000
 SCORE_SCALE = 2_000_000
 NO_LANGUAGE = "und"
 #: A suffix array holds so many words; a text that has more is a shard of its own.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Texts are cut into words in slices of so many bytes.
 SLICE_BYTES = 4 << 20
 #: Slots of the filter for each frequent key, and the bits of its largest size (128 MB). It only saves work: what
