@@ -662,6 +662,12 @@ def batch_ingest_metrics(spark, d):
     return _local(ingest.current_metrics(_in_batches(spark, d), SETTINGS))
 
 
+@_query("WITH RECURSIVE " + ",\n".join(p.strip() for p in (*_PIPELINE, _INCIDENTS)) + "\nSELECT first[2] || ' on ' || source AS title, source, event_type, start AS created_at, alerts FROM grouped")
+def batch_ingest_incidents(spark, d):
+    """Incidents of alerts that are taken in as three batches; open ones go on from batch to batch."""
+    return _local(ingest.current_incidents(_in_batches(spark, d))).select("title", "source", "event_type", "created_at", "alerts")
+
+
 @_query(_with(*_PIPELINE, "SELECT (SELECT count(*) FROM stream) AS events_ingested, (SELECT count(*) FROM every_alert) AS alerts_fired"))
 def ingest_counters(spark, d):
     return ingest.counters(tables(spark, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Settings
 from plumbline.functions.timing import plus
-from plumbline.operators import alerts, envelope, health, metrics, schemas, spikes
+from plumbline.operators import alerts, envelope, health, incidents, metrics, schemas, spikes
 from plumbline.operators.pipeline import Memory, process_observed
 from plumbline.sources.arrival import numbered
 from plumbline.sources.store import SCHEMAS, Store, released, stored
@@ -89,7 +89,7 @@ def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings,
     done = stored(process_observed(observed, settings, memory=memory))
     store.write("null_runs", spikes.null_state(runs), part)
     store.write("raw_events", raw_events(done), part)
-    store.write("quality_alerts", quality_alerts(done), part)
+    _write_alerts(store, done, part, at(extent["min_received_at"], settings.incident_window), settings)
     store.write("schema_versions", _shaped(schemas.versions(described), "schema_versions"), part)
     store.write("metric_windows", _shaped(metrics.metric_windows(observed, settings), "metric_windows"), part)
     store.write("latest_events", health.latest_events(events), part)
@@ -103,6 +103,24 @@ def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings,
     return done
 
 
+def _write_alerts(store: Store, done: DataFrame, part: int, since: Column, settings: Settings) -> None:
+    """Write the alerts of a part with their incidents; since: incidents opened before are over for all of them."""
+    found = stored(quality_alerts(done))
+    if found.isEmpty():
+        rows, new = found, store.spark.createDataFrame([], SCHEMAS["alert_incidents"])
+    else:
+        held = store.read("alert_incidents", part).where((F.col("status") == "OPEN") & (F.col("created_at") >= since))
+        rows, new = incidents.attach(found, held, settings.incident_window)
+    store.write("quality_alerts", _shaped(rows, "quality_alerts"), part)
+    store.write("alert_incidents", _shaped(new, "alert_incidents"), part)
+
+
+def current_incidents(store: Store) -> DataFrame:
+    """ALERT_INCIDENTS of all parts, with the number of their alerts."""
+    counts = store.read("quality_alerts").where("incident_id IS NOT NULL").groupBy(F.col("incident_id").alias("of")).agg(F.count("*").alias("alerts"))
+    return store.read("alert_incidents").join(counts, F.col("id") == F.col("of")).drop("of")
+
+
 def ingest(store: Store, events: DataFrame, part: int, settings: Settings, now: Column) -> DataFrame:
     """Validate a batch of events, process it and bring all tables up to date; returns the rejected events.
 

@@ -12,7 +12,7 @@ from plumbline.model import ARRIVAL, EVENT
 from plumbline.operators import health, incidents
 from plumbline.operators.pipeline import process
 from plumbline.plans import reads
-from plumbline.plans.ingest import counters, current_metrics, current_versions, ingest, quality_alerts, raw_events, refresh_health
+from plumbline.plans.ingest import counters, current_incidents, current_metrics, current_versions, ingest, quality_alerts, raw_events, refresh_health
 from plumbline.scenarios import scenario
 from plumbline.sources.events import read_events, to_messages
 from plumbline.sources.store import Store, new_folder
@@ -202,3 +202,19 @@ def test_json_source_and_messages(spark, tmp_path):
     assert row.payload == '{"b":1,"a":null}' and row.event_timestamp == NOW
     message = to_messages(df).first()
     assert message.key == "s|t" and '"payload":{"a":null,"b":1}' in message.value
+
+
+def test_incidents_go_on_over_batches(spark):
+    """A part again, an incident that was resolved, and one that is over."""
+    settings = replace(Settings(), incident_window=100.0)
+    rows = [(f"e{k // 2}", "s", "t", NOW + timedelta(seconds=s), "{}", k, NOW + timedelta(seconds=s)) for k, s in enumerate((0, 1, 90, 91, 99, 105, 160, 161, 230, 231, 600, 601))]
+    df = spark.createDataFrame(rows, f"{EVENT}, {ARRIVAL}")
+    store, one = Store(spark, new_folder(spark)), Store(spark, new_folder(spark))
+    ingest(one, df, 0, settings, F.lit(NOW))
+    for part, (low, high) in enumerate([(0, 3), (3, 7), (7, 11), (11, 12)]):
+        for _ in range(2 if part == 1 else 1):
+            ingest(store, df.where(f"seq >= {low} and seq < {high}"), part, settings, F.lit(NOW))
+    shown = lambda s: sorted((r.id, r.title, r.created_at, r.alerts) for r in current_incidents(s).collect())
+    assert shown(store) == shown(one) and len(shown(one)) >= 3
+    of = lambda s: sorted((r.id, r.incident_id) for r in s.read("quality_alerts").where("alert_type <> 'STALE_SOURCE'").collect())
+    assert of(store) == of(one) and all(i for _, i in of(one))
