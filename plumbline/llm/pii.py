@@ -14,7 +14,17 @@ _MALE = r"Mr|Herrn?|Señor|Sr|Monsieur|г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Mme|Madame|Mlle|г-жа"
 _EITHER = r"Dr|Prof|Doctor|Professor|Doktor"
 _TITLE = rf"(?:{_MALE}|{_FEMALE}|{_EITHER})\.?[  ]"
-_NAME = r"\p{Lu}\p{Ll}{1,30}"
+#: A capitalised word, also behind Mc, Mac, O', D' and the like; all in capitals; an initial.
+_NAME = r"(?:\p{Lu}\p{Ll}{0,3}['’]?)?\p{Lu}\p{Ll}{1,30}"
+_CAPITALS = r"\p{Lu}(?:['’]?\p{Lu}){1,30}"
+_INITIAL = r"\p{Lu}\."
+_PARTICLE = r"(?:von|van|de|der|den|del|della|di|da|dos|du|la|le|ten|ter|zu|zur|bin|ibn|al)"
+_PART = rf"(?:{_NAME}|{_CAPITALS}|{_INITIAL})(?![\p{{L}}\p{{N}}])"
+#: Up to five parts with particles before them.
+_FULL = rf"(?:{_PARTICLE}[  ]){{0,2}}{_PART}(?:[  \-](?:{_PARTICLE}[  ]){{0,2}}{_PART}){{0,4}}"
+_WORD = rf"(?<![\p{{L}}\p{{N}}])(?:{_NAME}|{_CAPITALS})(?![\p{{L}}\p{{N}}])"
+#: Names that are common words or months too, which stay where they stand alone.
+_COMMON = "April August Best Bill Black Brown Chase Frank Good Grace Grant Green Hill Hope June King Long Mark May Rich Rose Will White Wise Young".split()
 _DATE = r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./\-]\d{1,2}[./\-]\d{4}"
 _BORN = r"(?:DOB|[Dd]ate of birth|[Bb]orn|[Bb]orn on|[Gg]eboren am|[Nn]ée? le|[Nn]acid[oa] el|[Рр]одил(?:ся|ась))"
 _STREET = r"(?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Lane|Boulevard|Blvd\.|Drive|Court)"
@@ -23,7 +33,7 @@ _STRASSE = r"(?:straße|strasse|gasse|platz|weg|allee)"
 #: Kinds and their patterns; of overlapping matches the first in the text counts, then the first kind here.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}+\.){1,8}[\p{L}]{2,24}",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME}(?:[  \-]{_NAME})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_FULL}",
     "secret": r"(?<![\p{L}\p{N}_])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+|A[KS]IA[A-Z0-9]{16}|eyJ[A-Za-z0-9_\-]{8,512}+\.[A-Za-z0-9_\-]{8,2048}+\.[A-Za-z0-9_\-]{8,512}+|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][A-Za-z0-9_\-]{16,128}+)(?![\p{L}\p{N}_])",
     "iban": r"(?<![\p{L}\p{N}])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?)(?![\p{L}\p{N}])",
     "ipv6": r"(?<![\p{L}\d:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\d:])",
@@ -31,7 +41,7 @@ PATTERNS = {
     "birth": rf"(?<={_BORN}:?[  ])(?:{_DATE})(?!\d)",
     "passport": r"(?<=[Pp]assport(?: [Nn]o\.?| [Nn]umber)?:?[  ])[A-Z]{0,2}\d{6,9}(?![\p{L}\d])",
     "address": rf"(?<![\p{{L}}\d])(?:\d{{1,5}} (?:{_NAME} ){{1,2}}{_STREET}|{_NAME}{_STRASSE} \d{{1,4}})(?![\p{{L}}\d])",
-    "phone": r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\d])",
+    "phone": r"(?<![\p{L}\d+])(?:0\d{4} \d{6}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\d])",
     "ssn": r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\p{L}\d\-])",
     "card": r"(?<![\p{L}\d.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\d])",
 }
@@ -162,7 +172,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, noise: Column, host_
     sites = F.substring(host, F.lit(1), F.length(host) - F.length(top))
     email = F.concat(_like(local, noise, no), longer, F.lit("@"), _like(sites, host_noise, no), top)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: (F.pmod(_byte(noise, j), F.lit(254)) + 1).cast("string")), ".")
-    fixed = F.when(~value.startswith("+"), F.lit(0)).when(value.rlike(r"^\+[17]"), F.lit(2)).otherwise(F.lit(3))
+    fixed = F.when(value.startswith("0"), F.lit(1)).when(~value.startswith("+"), F.lit(0)).when(value.rlike(r"^\+[17]"), F.lit(2)).otherwise(F.lit(3))
     phone = F.concat(F.substring(value, F.lit(1), fixed), _like(F.substring(value, fixed + 1, F.length(value)), noise, no))
     body = _like(F.substring(value, F.lit(1), F.length(value) - 1), noise, no)
     check = F.pmod(_luhn(value) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
@@ -196,26 +206,48 @@ def surrogate(kind: Column, value: Column, attempt: Column, noise: Column, host_
 _WITH_ENDING = r"(?:ов|ев|ёв|ин|ын)а\z"
 
 
-def _parts_of(mention: Column) -> Column:
+def _tokens_of(mention: Column) -> Column:
+    """The words of a name behind its title, particles and initials too."""
     return F.split(F.regexp_replace(mention, rf"\A{_TITLE}", ""), r"[  \-]")
 
 
+def _is_part(token: Column) -> Column:
+    return ~token.rlike(rf"\A(?:{_PARTICLE}|{_INITIAL})\z")
+
+
+def _parts_of(mention: Column) -> Column:
+    """The words that get a surrogate, as they are written."""
+    return F.filter(_tokens_of(mention), _is_part)
+
+
+def _same(part: Column) -> Column:
+    """The form that a name in capitals shares with others."""
+    return F.initcap(F.lower(part))
+
+
 def _family(name: Column) -> Column:
     """The form that men and women of a family share."""
     return F.when(name.rlike(_WITH_ENDING), F.substring(name, F.lit(1), F.length(name) - 1)).otherwise(name)
 
 
 def entities(mention: Column, kind: Column) -> Column:
-    """array<struct<kind, value>>: a mention's entities; a name has a given name and a family name, or the latter only."""
+    """array<struct<kind, value>>: a mention's entities; of a name the last word, with those joined to it, is the family's, others are given."""
     one = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    parts = _parts_of(mention)
+    parts = F.transform(_parts_of(mention), _same)
+    joined = F.regexp_extract(mention, r"[^  ]+\z", 0)
+    families = F.size(F.filter(F.split(joined, "-"), _is_part))
     title = lambda words: mention.rlike(rf"\A(?:{words})\.?[  ]")
     given = F.when(title(_MALE), F.lit("given-male")).when(title(_FEMALE), F.lit("given-female")).otherwise(F.lit("given-any"))
-    family = one(F.lit("family"), _family(F.element_at(parts, -1)))
-    names = F.when(F.size(parts) > 1, F.array(one(given, F.element_at(parts, 1)), family)).otherwise(F.array(family))
+    names = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - families, one(given, x)).otherwise(one(F.lit("family"), _family(x))))
     return F.when(kind == "name", names).otherwise(F.array(one(kind, canonical(mention, kind))))
 
 
+def _as_written(part: Column, chosen: Column, family: Column) -> Column:
+    """A surrogate with the ending and the case of the word that it replaces."""
+    ended = F.concat(chosen, F.when(family & _same(part).rlike(_WITH_ENDING), F.lit("а")).otherwise(F.lit("")))
+    return F.when((part == F.upper(part)) & (F.length(part) > 1), F.upper(ended)).otherwise(ended)
+
+
 def _rendered(mention: Column, kind: Column, chosen: Column) -> Column:
     """The surrogates in the format of a mention: its separators, its title, its case."""
     value = F.element_at(chosen, 1)
@@ -228,9 +260,17 @@ def _rendered(mention: Column, kind: Column, chosen: Column) -> Column:
 
     filled = F.array_join(F.transform(F.split(mention, ""), fill), "")
     title = F.regexp_extract(mention, rf"\A{_TITLE}", 0)
-    between = F.regexp_extract(mention, rf"[  \-](?={_NAME}\z)", 0)
-    family = F.concat(F.element_at(chosen, -1), F.when(mention.rlike(_WITH_ENDING), F.lit("а")).otherwise(F.lit("")))
-    name = F.concat(title, F.when(F.size(chosen) > 1, F.concat(value, between, family)).otherwise(family))
+    tokens = _tokens_of(mention)
+    marks = F.regexp_extract_all(F.substring(mention, F.length(title) + 1, F.length(mention)), F.lit("[  \\-]"), F.lit(0))
+
+    def written(token: Column, i: Column) -> Column:
+        at = F.size(F.filter(F.slice(tokens, 1, i + 1), _is_part))
+        new = _as_written(token, F.try_element_at(chosen, at), at == F.size(chosen))
+        # an initial becomes that of the family's surrogate
+        new = F.when(token.rlike(rf"\A{_INITIAL}\z"), F.concat(F.substring(F.element_at(chosen, -1), 1, 1), F.lit("."))).when(_is_part(token), new).otherwise(token)
+        return F.concat(new, F.coalesce(F.get(marks, i), F.lit("")))
+
+    name = F.concat(title, F.array_join(F.transform(tokens, written), ""))
     upper = (mention == F.upper(mention)) & mention.rlike(r"\p{Lu}")
     return (
         F.when(kind == "name", name)
@@ -244,17 +284,16 @@ def _alone(mention: Column, kind: Column, chosen: Column) -> Column:
     """array<struct<mention, replacement>>: the names of a titled mention as they may stand alone, in capitals too."""
     parts = _parts_of(mention)
     pair = lambda a, b: F.struct(a.alias("mention"), b.alias("replacement"))
-    last, family = F.element_at(parts, -1), F.element_at(chosen, -1)
-    plain, ending = _family(last), F.lit("а")
-    found = [pair(last, F.concat(family, F.when(last.rlike(_WITH_ENDING), ending).otherwise(F.lit(""))))]
-    found += [pair(F.concat(plain, e), F.concat(family, e)) for e in (F.lit(""), ending)]
-    cyrillic = last.rlike(r"\p{IsCyrillic}")
-    families = F.when(cyrillic, F.array(*found)).otherwise(F.array(found[0]))
-    given = F.when(F.size(parts) > 1, F.array(pair(F.element_at(parts, 1), F.element_at(chosen, 1)))).otherwise(F.array().cast("array<struct<mention:string,replacement:string>>"))
-    both = F.filter(F.concat(families, given), lambda e: F.length(e["mention"]) > 2)
-    capitals = F.transform(both, lambda e: pair(F.upper(e["mention"]), F.upper(e["replacement"])))
+    family = lambda i: i == F.size(parts) - 1
+    own = F.transform(parts, lambda x, i: pair(x, _as_written(x, F.get(chosen, i), family(i))))
+    own = F.concat(own, F.transform(parts, lambda x, i: pair(_same(x), _as_written(_same(x), F.get(chosen, i), family(i)))))
+    last, new, ending = _family(_same(F.element_at(parts, -1))), F.element_at(chosen, -1), F.lit("а")
+    forms = F.array(*[pair(F.concat(last, e), F.concat(new, e)) for e in (F.lit(""), ending)])
     none = F.array().cast("array<struct<mention:string,replacement:string>>")
-    return F.when(kind == "name", F.concat(both, capitals)).otherwise(none)
+    both = F.concat(own, F.when(last.rlike(r"\p{IsCyrillic}"), forms).otherwise(none))
+    both = F.filter(both, lambda e: ~e["mention"].isin(_COMMON))
+    capitals = F.transform(both, lambda e: pair(F.upper(e["mention"]), F.upper(e["replacement"])))
+    return F.when((kind == "name") & (F.size(parts) > 0), F.concat(both, F.filter(capitals, lambda e: F.length(e["mention"]) > 2))).otherwise(none)
 
 
 def mentions(text: Column) -> Column:
@@ -295,9 +334,9 @@ def replace_entities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """All columns of docs with each entity of the text replaced by its surrogate, and n_replaced.
 
     The same entity has the same surrogate in all texts, whatever the format of its mention, and no two
-    entities share one; a family's men and women share theirs. Names are found after a title; in the same text
-    they are replaced wherever they stand alone too. A surrogate follows from key and entity alone, except
-    where it collides.
+    entities share one; a family's men and women share theirs. Names are found after a title, of up to five parts
+    with particles and initials; in the same text their parts are replaced wherever they stand alone too, but for a list of
+    common words. A surrogate follows from key and entity alone, except where it collides.
 
     Nulls: a null text stays null with none replaced; ids may be null or repeat. A text without entities
     stays as it is. An input column named n_replaced is replaced. An empty table gives none.
@@ -320,20 +359,24 @@ def replace_entities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = F.array(F.struct("mention", "replacement"))
     each = spoken.join(rendered, "mention").select("row_a", "row_b", F.inline(F.concat(own, F.col("alone"))).alias("key", "replacement"))
     each = each.groupBy("row_a", "row_b", "key").agg(F.min("replacement").alias("replacement"))
-    bare = F.array_sort(F.filter(F.collect_list("key"), lambda x: x.rlike(rf"\A(?:{_NAME}|\p{{Lu}}{{3,}})\z")))
-    by_row = each.groupBy("row_a", "row_b").agg(F.map_from_entries(F.collect_list(F.struct("key", "replacement"))).alias("replacements"), bare.alias("bare"))
+    by_row = each.groupBy("row_a", "row_b").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "replacement"))).alias("replacements"), F.bool_or(F.col("key").rlike(rf"\A(?:{_NAME}|{_CAPITALS})\z")).alias("named")
+    )
     kept = [c for c in docs.columns if c.lower() != "n_replaced"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), row_a, row_b).join(by_row, ["row_a", "row_b"], "left")
     text = F.col("row")[text_col].cast("string")
-    some = F.col("replacements").isNotNull()
-    named = F.concat(F.lit(rf"{_ANY}|(?<![\p{{L}}\p{{N}}])(?:"), F.array_join("bare", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    rows = rows.select("row", text.alias("text"), "replacements", F.when(F.size("bare") > 0, named).otherwise(F.lit(_ANY)).alias("pattern"))
-    rows = rows.withColumn("mentions", F.when(some, F.regexp_extract_all("text", "pattern", F.lit(0))))
-    new = F.transform("mentions", lambda m: F.coalesce(F.try_element_at("replacements", m), m))
-    woven = F.array_join(F.zip_with(F.split("text", F.col("pattern"), -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    rows = rows.select("row", text.alias("text"), "replacements", "named")
+    # two patterns for all rows, each compiled once: where names may stand alone every capitalised word is looked up
+    whole, words = F.lit(_ANY), F.lit(f"{_ANY}|{_WORD}")
+    found = lambda pattern: F.regexp_extract_all("text", pattern, F.lit(0))
+    rows = rows.withColumn("mentions", F.when(F.col("replacements").isNull(), F.lit(None)).when(F.col("named"), found(words)).otherwise(found(whole)))
+    known = lambda m: F.try_element_at("replacements", m)
+    pieces = F.when(F.col("named"), F.split("text", words, -1)).otherwise(F.split("text", whole, -1))
+    new = F.transform("mentions", lambda m: F.coalesce(known(m), m))
+    woven = F.array_join(F.zip_with(pieces, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     left = F.when(F.col("mentions").isNotNull(), woven).otherwise(F.col("text"))
-    rows = rows.select("row", left.alias("left"), F.coalesce(F.size("mentions"), F.lit(0)).cast("long").alias("n_replaced"))
-    rows = rows.withColumn("n_replaced", F.greatest("n_replaced", F.lit(0).cast("long")))
+    rows = rows.select("row", left.alias("left"), F.size(F.filter("mentions", lambda m: known(m).isNotNull())).alias("n"))
+    rows = rows.withColumn("n_replaced", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long"))
     return rows.select(*[F.col("left").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept], "n_replaced")
 
 
