@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ CHUNK_WORDS = 100_000
 #: Words whose windows a task holds at once before it sends them.
 SEND_WORDS = 1_000_000
 MIN_BUCKETS = 64
+#: Texts are cut into words in slices of so many bytes.
+SLICE_BYTES = 4 << 20
 #: Hashes of words that a Python worker remembers.
 CACHE_WORDS = 150_000
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that their powers have inverses modulo 2^64
@@ -58,6 +61,64 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Texts:
+    """The words of several texts: their hashes one after the other, and the bytes of each text's words with a space behind each."""
+
+    def __init__(self, column: pa.Array):
+        """column: binary; a null is empty. Each distinct word of the column is hashed once."""
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        heads = np.unique(offsets[:-1])
+        heads = heads[heads < len(raw)]
+        word = ~_SPACE[raw]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        first[heads] = word[heads]
+        last[:-1] &= ~word[1:]
+        last[heads[1:] - 1] = word[heads[1:] - 1]
+        places = np.flatnonzero(first)
+        lengths = np.flatnonzero(last) - places + 1
+        #: The words of text k are those from bounds[k] to bounds[k + 1].
+        self.bounds = np.searchsorted(places, offsets)
+        self.ends = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.bytes = np.full(self.ends[-1], 0x20, np.uint8)
+        body = np.ones(self.ends[-1], bool)
+        body[self.ends[1:] - 1] = False
+        own = raw[word]
+        self.bytes[body] = own
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(starts), pa.py_buffer(own)])
+        table = words.dictionary_encode()
+        self.hashes = word_hashes(table.dictionary.to_pylist())[np.asarray(table.indices)] if len(lengths) else np.zeros(0, np.uint64)
+
+    def of(self, k: int) -> np.ndarray:
+        """The hashes of a text's words."""
+        return self.hashes[self.bounds[k] : self.bounds[k + 1]]
+
+    def joined(self, k: int) -> np.ndarray:
+        """The bytes of a text's words, joined by single spaces."""
+        a, b = self.bounds[k], self.bounds[k + 1]
+        return self.bytes[self.ends[a] : self.ends[b] - 1] if b > a else self.bytes[:0]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """The batches in slices of about SLICE_BYTES of text, or of one text that is longer."""
+    for batch in batches:
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64))])
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
+            part = batch.slice(at, upto - at)
+            yield part, Texts(part.column("text"))
+            at = upto
+
+
 def rolling(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
     """Hashes of all runs of `width` words: polynomials in base modulo 2^64, mixed."""
     n = len(hashes) - width + 1
@@ -70,10 +131,6 @@ def rolling(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
     return found ^ (found >> np.uint64(32))
 
 
-def _words(text: pa.Scalar) -> list[bytes]:
-    return (text.as_py() or b"").split()  # on bytes: the six ASCII white-space characters
-
-
 def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket and 32 more bits of each hash, as one long."""
     return (((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
@@ -104,13 +161,11 @@ def _anchors(texts: DataFrame, window: int, buckets: int) -> DataFrame:
     block = (window + 1) // 2
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, digests, blocks = [], [], []
-            for text in batch.column("text"):
-                words = _words(text)
-                counts.append(len(words))
-                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                own = rolling(word_hashes(words), block, BASES[0])[::block] if len(words) >= window else np.zeros(0, np.uint64)
+        for batch, texts in _slices(batches):
+            counts, digests, blocks = np.diff(texts.bounds), [], []
+            for k in range(batch.num_rows):
+                digests.append(hashlib.sha256(texts.joined(k)).hexdigest())
+                own = rolling(texts.of(k), block, BASES[0])[::block] if counts[k] >= window else np.zeros(0, np.uint64)
                 blocks.append(_codes(own, buckets).astype(np.int64))
             arrays = [batch.column("row_a"), batch.column("row_b"), batch.column("doc_id")]
             arrays += [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(blocks, pa.list_(pa.int64()))]
@@ -138,11 +193,11 @@ def _repeated_anchors(texts: DataFrame, window: int, buckets: int) -> DataFrame:
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, own, held = [], [], 0
-        for batch in batches:
-            for text in batch.column("text"):
-                words = _words(text)
-                if len(words) >= window:
-                    found = rolling(word_hashes(words), block, BASES[0])
+        for batch, texts in _slices(batches):
+            for k in range(batch.num_rows):
+                hashes = texts.of(k)
+                if len(hashes) >= window:
+                    found = rolling(hashes, block, BASES[0])
                     every.append(found)
                     own.append(found[::block].copy())
                     held += len(found)
@@ -176,10 +231,9 @@ def _near_blocks(blocks: np.ndarray, n_words: int, window: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(steps[:-1]) > 0)
 
 
-def _windows(words: list[bytes], blocks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(hashes: np.ndarray, blocks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, 128-bit hashes as complex pairs of longs) of the windows to be checked."""
-    hashes = word_hashes(words)
-    starts = _near_blocks(blocks, len(words), window)
+    starts = _near_blocks(blocks, len(hashes), window)
     pair = np.empty(len(starts), [("a", "<u8"), ("b", "<u8")])
     pair["a"] = rolling(hashes, window, BASES[0])[starts]
     pair["b"] = rolling((hashes ^ (hashes >> np.uint64(31))) * _MIX, window, BASES[1])[starts]
@@ -204,8 +258,9 @@ def _repeated_windows(chunks: DataFrame, window: int, buckets: int) -> DataFrame
 
     def sent(group: pa.Table) -> pa.Table:
         found = [np.zeros(0, kind)]
-        for text, blocks in zip(group.column("text"), group.column("blocks").to_pylist(), strict=True):
-            found.append(_windows(_words(text), np.array(blocks, np.int64), window)[1])
+        for text, blocks in zip(group.column("text").chunks, group.column("blocks").chunks, strict=True):
+            texts = Texts(text)
+            found += [_windows(texts.of(k), np.array(own, np.int64), window)[1] for k, own in enumerate(blocks.to_pylist())]
         once, more = _once_and_more(np.concatenate(found))
         rows = []
         for again, pairs in ((False, once), (True, more)):
@@ -248,18 +303,21 @@ def _removed(chunks: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
     def cut(group: pa.Table, hits: pa.Table) -> pa.Table:
         of = np.unique(np.concatenate([np.zeros(0, kind), *[np.frombuffer(p, kind) for p in hits.column("pairs").to_pylist()]]))
         rows = []
-        for doc, text, blocks in zip(group.column("doc_id").to_pylist(), group.column("text"), group.column("blocks").to_pylist(), strict=True):
-            words = _words(text)
-            starts, pairs = _windows(words, np.array(blocks, np.int64), window)
-            steps = np.zeros(len(words) + 1, np.int64)
+        texts = Texts(group.column("text").combine_chunks())
+        for k, (doc, blocks) in enumerate(zip(group.column("doc_id").to_pylist(), group.column("blocks").to_pylist(), strict=True)):
+            n, words = len(texts.of(k)), texts.joined(k)
+            starts, pairs = _windows(texts.of(k), np.array(blocks, np.int64), window)
+            steps = np.zeros(n + 1, np.int64)
             hit = starts[_is_in(pairs, of)]
             np.add.at(steps, hit, 1)
             np.add.at(steps, hit + window, -1)
             gone = np.cumsum(steps[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
             spans = [{"start": int(a), "length": int(b - a)} for a, b in edges.reshape(-1, 2)]
-            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            rows.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans))
+            # the words with their spaces; the last kept one has none
+            lengths = np.diff(texts.ends[texts.bounds[k] : texts.bounds[k + 1] + 1])
+            kept = np.append(words, np.uint8(0x20))[np.repeat(~gone, lengths)][:-1] if n else words
+            rows.append((doc, n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), spans_type]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
