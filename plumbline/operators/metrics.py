@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Settings
 from plumbline.functions import payload as P
-from plumbline.functions.timing import plus, window_start
+from plumbline.functions.timing import plus, to_micros, window_start
 from plumbline.operators.spikes import window_counts
 
 NULL_RATE = "NULL_RATE:"
@@ -52,6 +52,49 @@ def _three(sums: DataFrame, settings: Settings) -> DataFrame:
     return _long(rows, F.concat("prefix", "field_path"), F.col("value"), settings)
 
 
+def window_sums(observed: DataFrame, settings: Settings, watermark: str | None = None) -> DataFrame:
+    """(source, event_type, window_start, field_path, total, nulls); a row without a field counts the events of the window.
+
+    Needs the columns of schemas.with_baseline(). With a watermark (a delay such as "1 hour"), on a stream: each window
+    comes once, when no event within the delay can belong to it any more; later ones are left out.
+    """
+    rows = observed.withColumn("seen", F.map_from_entries("schema")).withColumn("leaves", P.leaves(F.col("baseline")))
+    none = F.array(F.lit(None).cast("string"))
+    fields = F.when(F.col("leaves").isNull(), none).otherwise(F.concat(none, "leaves"))
+    kept = ["source", "event_type", "event_timestamp", "seen"]
+    if watermark is not None:
+        rows = rows.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp")).withWatermark("event_timestamp", watermark)
+    rows = rows.select(*kept, F.explode(fields).alias("field_path"))
+    null = (F.col("field_path").isNotNull() & P.nullish(F.col("seen"), F.col("field_path"))).cast("double")
+    sums = [F.count("*").cast("double").alias("total"), F.sum(null).alias("nulls")]
+    keys = ["source", "event_type", "window_start", "field_path"]
+    if watermark is None:
+        rows = rows.withColumn("window_start", window_start(F.col("event_timestamp"), settings.window_size))
+        return rows.groupBy(*keys).agg(*sums)
+    span = F.window("event_timestamp", f"{to_micros(settings.window_size)} microseconds")
+    grouped = rows.groupBy(span.alias("w"), "source", "event_type", "field_path").agg(*sums)
+    return grouped.select("source", "event_type", F.col("w.start").alias("window_start"), "field_path", "total", "nulls")
+
+
+def from_sums(sums: DataFrame, settings: Settings) -> DataFrame:
+    """metric_windows() from window_sums()."""
+    counts = _long(sums.where("field_path IS NULL"), F.lit("EVENT_COUNT"), F.col("total"), settings)
+    return counts.unionByName(_three(sums.where("field_path IS NOT NULL"), settings))
+
+
+def settled(final: DataFrame, sums: DataFrame) -> DataFrame:
+    """window_sums() with status: FINAL as the stream gave them, and what they lack of all events: LATE where the window
+    was final already, else OPEN."""
+    own = ["source", "event_type", "window_start", "field_path"]
+    done = final.select(*[F.col(c).alias(f"of_{c}") for c in own], F.col("total").alias("t"), F.col("nulls").alias("n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in own])
+    rest = sums.join(done, same, "left").select(
+        *own, (F.col("total") - F.coalesce("t", F.lit(0.0))).alias("total"), (F.col("nulls") - F.coalesce("n", F.lit(0.0))).alias("nulls"),
+        F.when(F.col("t").isNull(), F.lit("OPEN")).otherwise(F.lit("LATE")).alias("status"),
+    )
+    return final.select(*own, "total", "nulls", F.lit("FINAL").alias("status")).unionByName(rest.where("total > 0"))
+
+
 def merged(rows: DataFrame, settings: Settings) -> DataFrame:
     """metric_windows() of several batches as one table: counts add up, and rates follow from them."""
     name, value = F.col("metric_name"), F.col("metric_value")

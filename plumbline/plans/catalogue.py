@@ -18,6 +18,7 @@ from plumbline.sources.events import from_messages, read_events, to_messages, wr
 from plumbline.sources.store import Store, new_folder, stored
 from plumbline.streaming.replay import cuts, run, stream_processed
 from plumbline.streaming.state import streamed_alerts
+from plumbline.streaming.windows import streamed_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,9 +234,16 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
 _taken_in: dict[tuple[str, str], Store] = {}
 
 
+def _state_of(spark: SparkSession, d: str) -> str:
+    """The folder, and the size and time of change of its events."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    held = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{d}@{held.getContentSummary(place).getLength()}@{held.getFileStatus(place).getModificationTime()}"
+
+
 def tables(spark: SparkSession, d: str) -> Store:
-    """The result tables with all events taken in, once for each session and folder; read queries look at these."""
-    key = (spark.sparkContext.applicationId, d)
+    """The result tables with all events taken in, once for each session and state of the folder; read queries look at these."""
+    key = (spark.sparkContext.applicationId, _state_of(spark, d))
     if key not in _taken_in or not _taken_in[key].exists("batches"):  # somebody may have cleared the folder
         store = Store(spark, new_folder(spark))
         ingest.ingest(store, events(spark, d), 0, SETTINGS, _now(spark, d))
@@ -634,8 +642,8 @@ def message_stream_alerts(spark, d):
 
 
 def _in_batches(spark: SparkSession, d: str, batches: int = 3) -> Store:
-    """The tables with all events taken in as batches, once for each session and folder."""
-    key = (spark.sparkContext.applicationId, f"{d}#{batches}")
+    """The tables with all events taken in as batches, once for each session and state of the folder."""
+    key = (spark.sparkContext.applicationId, f"{_state_of(spark, d)}#{batches}")
     if key not in _taken_in or not _taken_in[key].exists("batches"):
         rows, store = events(spark, d), Store(spark, new_folder(spark))
         for part, condition in enumerate(cuts(rows, batches)):
@@ -677,3 +685,11 @@ def ingest_counters(spark, d):
 def keyed_state_alerts(spark, d):
     """Alerts of the detectors that look back, from keyed state over a stream of three batches with restarts."""
     return streamed_alerts(events(spark, d), SETTINGS).select("seq", "source", "alert_type", "field_path", "message")
+
+
+@_query(_with(EVENTS_SQL, _SCHEMAS, _NULLS, _METRICS, "SELECT * FROM metrics_long"))
+def stream_metric_windows(spark, d):
+    """Metrics from a stream with a watermark: final windows, and what came late or is open yet, as one table."""
+    done = streamed_windows(events(spark, d), SETTINGS, "1 hour")
+    sums = done.groupBy("source", "event_type", "window_start", "field_path").agg(F.sum("total").alias("total"), F.sum("nulls").alias("nulls"))
+    return metrics.from_sums(sums, SETTINGS)

@@ -14,6 +14,7 @@ from plumbline.operators import alerts
 from plumbline.operators.pipeline import process
 from plumbline.sources.store import new_folder
 from plumbline.streaming import state
+from plumbline.streaming.windows import streamed_windows
 
 NOW = datetime(2024, 5, 1, 12, 0, 0)
 KINDS = ("DUPLICATE_EVENT", "NULL_SPIKE", "ANOMALY_SPIKE")
@@ -132,3 +133,18 @@ def test_silent_source_is_flagged_once_without_new_input(spark):
         query.stop()
     assert [(r.source, r.alert.alert_type, r.alert.event_type) for r in found] == [("quiet", "STALE_SOURCE", "tick")]
     assert found[0].alert.message.startswith("Source quiet is stale; last event timestamp ")
+
+
+def test_windows_are_final_once_and_late_events_are_flagged(spark):
+    rows = [(f"e{k}", "s", "t", k * 10, {"a": None if k % 3 == 0 else 1}, k, k * 10) for k in range(60)]
+    rows += [("late", "s", "t", 5, {"a": None}, 100, 601), ("within", "s", "t", 545, {"a": 1}, 101, 602), ("last", "s", "t", 610, {"a": 1}, 102, 610)]
+    df = frame(spark, rows)
+    settings = replace(Settings(), window_size=60.0)
+    done = streamed_windows(df, settings, "2 minutes", batches=3).collect()
+    count = {(int((r.window_start - NOW).total_seconds()), r.status): r.total for r in done if r.field_path is None}
+    final = [k for k, s in count if s == "FINAL"]
+    assert final and len(final) == len(set(final)) and all(count[k, "FINAL"] == 6 for k in final)
+    assert count[0, "LATE"] == 1 and [k for k, s in count if s == "LATE"] == [0]
+    assert sum(count.values()) == len(rows) and {k for k, s in count if s == "OPEN"}.isdisjoint(final)
+    nulls = [r for r in done if r.field_path == "a"]
+    assert sum(r.nulls for r in nulls) == 21 and [r.nulls for r in nulls if r.status == "LATE"] == [1.0]
