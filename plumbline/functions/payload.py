@@ -5,13 +5,23 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 ROOT = "<root>"
 
 
+#: Whether a payload may repeat a key, of which the last then counts; else it is no JSON to Spark.
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Let payloads repeat a key in this session, as JSON readers usually do: the last one counts."""
+    if spark.conf.get(_REPEATED_KEYS, "false") != "true":
+        spark.conf.set(_REPEATED_KEYS, "true")
+
+
 def variant(payload: Column) -> Column:
     return F.try_parse_json(payload)
 

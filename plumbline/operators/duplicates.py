@@ -78,7 +78,9 @@ def payload_alert(settings: Settings) -> Column:
 def detect(events: DataFrame, settings: Settings, recent: DataFrame | None = None) -> DataFrame:
     """Append duplicate alerts: first of the id, then of the payload of another event.
 
-    recent: (seq, event_id, received_at, payload_hash) of the events of the window before these, which came first.
+    recent: (seq, event_id, received_at, payload_hash) of the events of the window before these, which came first:
+    batches are to come in order of arrival. An event that came before those of an earlier batch is compared with
+    them by time, but does not change what was found there.
     """
     held = events.withColumn("__recent", F.lit(False))
     if recent is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.payload import payload_hash
+from plumbline.functions.payload import allow_repeated_keys, payload_hash
 
 _TEXTS = ("event_id", "source", "event_type")
 
@@ -27,7 +27,8 @@ def validate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def enrich(events: DataFrame) -> DataFrame:
-    """Add payload_hash, and received_at as the time now where events do not bring it."""
+    """Add payload_hash, and received_at as the time now where events do not bring it; payloads may repeat keys."""
+    allow_repeated_keys(events.sparkSession)
     if "received_at" not in events.columns:
         events = events.withColumn("received_at", F.current_timestamp())
     return events.withColumn("payload_hash", payload_hash(F.col("payload")))

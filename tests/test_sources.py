@@ -172,3 +172,11 @@ def test_one_writer(spark):
     with pytest.raises(RuntimeError, match="another writer"):
         store._commit("a", store.manifest("a"))
     assert store.exists("a") and not store.exists("b") and store.read("a").count() == 2
+
+
+def test_the_last_of_repeated_keys_counts(spark, tmp_path):
+    body = '{"event_id":"e1","source":"s","event_type":"t","event_timestamp":"2024-05-01T12:00:00Z","payload":{"a":1,"b":{"c":1,"c":"x"},"a":null}}'
+    (tmp_path / "x.json").write_text(body + "\n")
+    store = Store(spark, new_folder(spark))
+    ingest(store, read_events(spark, str(tmp_path)), 0, DEMO_SETTINGS, F.lit(NOW))
+    assert json.loads(store.read("schema_versions").first().schema_json) == {"a": "NULL", "b": "OBJECT", "b.c": "STRING"}
