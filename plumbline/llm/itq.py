@@ -23,8 +23,9 @@ ROTATION_ROUNDS = 50
 SUBSTRING_BITS = (16, 22)
 #: Tables look up substrings in so wide a radius that this share of pairs at the threshold meets in one of them.
 MEETING = 0.93
-#: Vectors whose codes differ in more bits count as not found; at a cosine of 0.95 the mean is 6.5 of 64 bits.
-CODE_RADIUS = 16
+#: Vectors whose codes differ in more bits than all but this share of the pairs at the threshold count as not found;
+#: at a cosine of 0.95 that is 16 of 64 bits, where the mean is 6.5.
+BEYOND = 2e-4
 #: A bucket's codes, and its vectors, are compared in blocks of so many by so many.
 BLOCK = 2048
 
@@ -84,6 +85,17 @@ def substring_radius(parts: list[tuple[int, int]], threshold: float) -> int:
     return max(bits for _, bits in parts)
 
 
+def code_radius(threshold: float) -> int:
+    """Bits of 64 that codes may differ in, for all but BEYOND of the pairs at the threshold to be within."""
+    p = acos(min(max(threshold, -1.0), 1.0)) / pi
+    more = 1.0
+    for radius in range(64):
+        more -= comb(64, radius) * p**radius * (1 - p) ** (64 - radius)
+        if more <= BEYOND:
+            return radius
+    return 64
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
@@ -155,8 +167,8 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield whole, [0, *map(int, cuts_of(whole)), whole.num_rows]
 
 
-def _near_codes(blocks: DataFrame) -> DataFrame:
-    """The (bucket, probing, rep, code) of a block with another one's code within CODE_RADIUS across the two sides."""
+def _near_codes(blocks: DataFrame, most: int) -> DataFrame:
+    """The (bucket, probing, rep, code) of a block with another one's code within `most` bits across the two sides."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, cuts in _whole_blocks(batches):
@@ -165,7 +177,7 @@ def _near_codes(blocks: DataFrame) -> DataFrame:
             kept = np.zeros(len(ids), bool)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 x, y = a + np.flatnonzero(probing[a:b]), a + np.flatnonzero(~probing[a:b])
-                near = (np.bitwise_count(codes[x][:, None] ^ codes[y][None, :]) <= CODE_RADIUS) & (ids[x][:, None] != ids[y][None, :])
+                near = (np.bitwise_count(codes[x][:, None] ^ codes[y][None, :]) <= most) & (ids[x][:, None] != ids[y][None, :])
                 kept[x], kept[y] = near.any(axis=1), near.any(axis=0)
             yield from whole.select(["bucket", "probing", "rep", "code"]).filter(pa.array(kept)).to_batches()
 
@@ -187,16 +199,17 @@ def _local_roots(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.n
 def _compare(blocks: DataFrame, parts: list[tuple[int, int]], radius: int, threshold: float) -> DataFrame:
     """Compare each block's probing vectors with its indexed ones: (rep, links, root) by block and vector.
 
-    A pair is found if some substring is within the radius and the codes are within CODE_RADIUS, in buckets of
+    A pair is found if some substring is within the radius and the codes are within code_radius(), in buckets of
     every size; it counts in the first table of which that is true.
     """
+    most = code_radius(threshold)
     masks = [np.uint64(((1 << bits) - 1) << at) for at, bits in parts]
 
     def block(ids, probing, codes, vectors, weights, table):
         unit = unit_vectors(vectors)
         x, y = ids[probing], ids[~probing]
         apart = codes[probing][:, None] ^ codes[~probing][None, :]
-        linked = (unit[probing] @ unit[~probing].T >= threshold) & (x[:, None] != y[None, :]) & (np.bitwise_count(apart) <= CODE_RADIUS)
+        linked = (unit[probing] @ unit[~probing].T >= threshold) & (x[:, None] != y[None, :]) & (np.bitwise_count(apart) <= most)
         counted = linked.copy()
         for mask in masks[:table]:
             counted &= np.bitwise_count(apart & mask) > radius
@@ -253,7 +266,7 @@ def embedding_groups(
     radius = substring_radius(parts, threshold)
     keyed = materialize(_keyed(classes, mean, projection, parts, radius), "codes")
     # an indexed code is met by its own probe in any case
-    members = materialize(_near_codes(_dealt(_blocked(keyed, 2))).distinct(), "members")
+    members = materialize(_near_codes(_dealt(_blocked(keyed, 2)), code_radius(threshold)).distinct(), "members")
     release(keyed)
     blocks = _blocked(members, 1).join(classes.select("rep", "vector", "weight").hint("merge"), "rep")
     links = materialize(_compare(_dealt(blocks.select(*_BLOCK, "probing", "rep", "code", "weight", "vector")), parts, radius, threshold), "links")

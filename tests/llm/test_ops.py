@@ -357,6 +357,20 @@ def test_embedding_recall_at_every_size(spark, monkeypatch, rows):
     assert 0.9 * 1000 <= sum(got) <= 1000
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.8])
+def test_codes_of_linked_pairs_are_within_the_radius(spark, threshold):
+    assert itq.code_radius(0.95) == 16 and itq.code_radius(0.8) > 20
+    rng = np.random.default_rng(11)
+    a = itq.unit_vectors(rng.normal(size=(400, 64)))
+    side = itq.unit_vectors(rng.normal(size=(400, 64)))
+    side = itq.unit_vectors(side - (side * a).sum(axis=1, keepdims=True) * a)
+    b = (threshold + 0.002) * a + np.sqrt(1 - (threshold + 0.002) ** 2) * side
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b]))]
+    done = itq.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=threshold).collect()
+    of = {r.vec_id: r.component_id for r in done}
+    assert sum(of[k] == of[k + 400] for k in range(400)) >= 0.9 * 400
+
+
 # 6
 
 PRIVATE = (
