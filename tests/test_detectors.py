@@ -1,3 +1,5 @@
+import json
+import random
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -181,6 +183,40 @@ def test_payload_hash(spark):
     assert s[0] == s[1] != s[2] and s[3] == s[4] and s[5] != s[6]
 
 
+def fuzzed_json(rng, depth=0):
+    """A JSON text at random: odd spaces and strings, repeated keys, numbers of each notation."""
+    space = lambda: rng.choice(["", "", " ", "\n", "\t "])
+    strings = ["", "a", "b", "a.b", "1.0", "x 2.50 y", 'quote " 1.0', "back\\", '\\"3.0', "\\\\", "\u0001 4.0", "\u0002\u0003\u0004", "line\n", "\u00e9\u4e2d", "{1.5}", "[", "e0"]
+    text = lambda: json.dumps(rng.choice(strings), ensure_ascii=rng.random() < 0.5)
+    kind = rng.randrange(7 if depth < 3 else 5)
+    if kind == 0:
+        return text()
+    if kind == 1:
+        return rng.choice(["0", "-7", "12345678901234567890", "-0"])
+    if kind == 2:
+        return rng.choice(["0.5", "-1.0", "1.50", "100.000", "2e2", "25E-1", "1.5e+3", "-0.0", "0.001"])
+    if kind in (3, 4):
+        return rng.choice(["null", "true", "false", "[]", "{}"])
+    items = [fuzzed_json(rng, depth + 1) for _ in range(rng.randrange(5))]
+    if kind == 5:
+        return "[" + ",".join(space() + x + space() for x in items) + "]"
+    return "{" + ",".join(space() + text() + space() + ":" + space() + x + space() for x in items) + "}"
+
+
+def test_strict_canonical_json_equals_plain_python(spark):
+    rng = random.Random(5)
+    texts = [fuzzed_json(rng) for _ in range(3000)] + ["", "no json", "{1.0", '{"a":1.}', "[01.0]", '{"x":"' + "a\\n\\\"1.0" * 50000 + '","y":2.0}']
+    P.allow_repeated_keys(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, p string")
+    got = {r.k: r.s for r in df.select("k", P.strict_canonical_json(F.col("p")).alias("s")).collect()}
+    for k, text in enumerate(texts):
+        try:
+            want = json.dumps(json.loads(text or "{}"), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            want = text
+        assert got[k] == want, (text[:200], got[k][:200])
+
+
 def test_validation(spark):
     rows = [("e", "s", "t", NOW, "{}"), (" ", "s", "t", NOW, "{}"), ("e", "s", "t", None, "{}"), ("e", "s", "t", NOW, None), ("", None, "\t\n", None, None)]
     valid, rejected = envelope.validate(spark.createDataFrame(rows, EVENT))
