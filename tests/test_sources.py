@@ -1,5 +1,6 @@
 import json
 import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -12,7 +13,8 @@ from plumbline.sources import store as stores
 from plumbline.sources.arrival import numbered
 from plumbline.sources.events import from_messages, read_events, stream_events, to_messages, write_json
 from plumbline.sources.store import Store, new_folder
-from plumbline.streaming.replay import run
+from plumbline.streaming.live import LiveCounters
+from plumbline.streaming.replay import run, start
 
 NOW = datetime(2024, 5, 1, 12, 0, 0)
 
@@ -180,3 +182,30 @@ def test_the_last_of_repeated_keys_counts(spark, tmp_path):
     store = Store(spark, new_folder(spark))
     ingest(store, read_events(spark, str(tmp_path)), 0, DEMO_SETTINGS, F.lit(NOW))
     assert json.loads(store.read("schema_versions").first().schema_json) == {"a": "NULL", "b": "OBJECT", "b.c": "STRING"}
+
+
+def test_counters_of_a_running_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    folder = new_folder(spark)
+    write = lambda k: lines(tmp_path / "in" / f"{k}.json", [event(f"e{k}", {"a": k}), event("same", {"a": -k})], 1000 + k)
+    write(0)
+    # a batch before the listener is there
+    store = run(stream_events(spark, str(tmp_path / "in")), folder, DEMO_SETTINGS)
+    live = LiveCounters(store)
+    assert live.totals()["events_ingested"] == 2
+    _, query = start(stream_events(spark, str(tmp_path / "in")), folder, DEMO_SETTINGS, every="1 second")
+    live.follow(query)
+    try:
+        for k in (1, 2):
+            write(k)
+            end = time.time() + 90
+            while live.totals()["batches"] < k + 1 and time.time() < end:
+                assert query.exception() is None
+                time.sleep(0.2)
+            want = counters(store).first()
+            assert query.isActive and live.totals()["events_ingested"] == want["events_ingested"] == 2 * k + 2
+            assert live.totals()["alerts_fired"] == want["alerts_fired"] >= k
+        assert live.totals()["batch_milliseconds"] > 0
+    finally:
+        query.stop()
+        live.close()
