@@ -25,6 +25,8 @@ TAIL_ROUNDS, TAIL_SHARE = 30, 0.0005
 CACHE_WORDS = 150_000
 #: Pieces for each part of a length class, when pieces are ranked.
 RANK_PART_ROWS = 100_000
+#: Pieces are cut where whole ones need this share more sequences than their ids, into rooms of so many ids or more.
+SPARE_SHARE, LEAST_ROOM = 0.02, 32
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -254,29 +256,67 @@ def length_classes(lengths: np.ndarray, counts: np.ndarray, most: int = LENGTH_C
     return np.array(kept, np.int64)
 
 
-def assign_sequences(pieces: DataFrame, *, size: int = SEQUENCE_TOKENS) -> DataFrame:
-    """Give each piece a sequence_id and its offset there; pieces must be a stored table with PIECES columns."""
-    capacity = size
-    histogram = np.array(sorted(pieces.groupBy("length").count().collect()), np.int64).reshape(-1, 2)  # at most `size` rows
+def histogram_of(pieces: DataFrame) -> np.ndarray:
+    """(length, pieces) in order; at most as many rows as a sequence has ids."""
+    return np.array(sorted(pieces.groupBy("length").count().collect()), np.int64).reshape(-1, 2)
+
+
+def whole_patterns(histogram: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size classes, patterns, times) of pieces that stay whole."""
     sizes = length_classes(histogram[:, 0], histogram[:, 1])
-    at = np.searchsorted(sizes, histogram[:, 0])
-    demand = np.bincount(at, weights=histogram[:, 1], minlength=len(sizes)).astype(np.int64)
+    demand = np.bincount(np.searchsorted(sizes, histogram[:, 0]), weights=histogram[:, 1], minlength=len(sizes)).astype(np.int64)
+    return sizes, *cutting_stock(sizes, demand, size)
+
+
+def pads_much(histogram: np.ndarray, times: np.ndarray, size: int) -> bool:
+    """Whether whole pieces take so many sequences that some are to be cut."""
+    return times.sum() > (1 + SPARE_SHARE) * (histogram[:, 0] @ histogram[:, 1]) / size + 1
+
+
+def given_up(content: np.ndarray, room: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How many sequences of each pattern, the emptiest first, the room of all others can take in."""
+    given, need, left = np.zeros_like(times), 0, int(room @ times)
+    for j in np.argsort(content, kind="stable"):
+        given[j] = min(times[j], (left - need) // (content[j] + room[j]))
+        need, left = need + int(given[j] * content[j]), left - int(given[j] * room[j])
+        if given[j] < times[j]:
+            break
+    return given
+
+
+def assign_sequences(pieces: DataFrame, *, size: int = SEQUENCE_TOKENS) -> DataFrame:
+    """Give each piece a sequence_id and its offset there; pieces must be a stored table with PIECES columns.
+
+    Pieces with their ids are cut where whole ones would leave much room: the emptiest sequences are given up, their
+    pieces laid end to end, and the rooms of the others laid end to end take in what stands at the same places.
+    """
+    histogram = histogram_of(pieces)
+    sizes, patterns, times = whole_patterns(histogram, size)
     of_length = np.zeros(size + 1, np.int64)
-    of_length[histogram[:, 0]] = sizes[at]
+    of_length[histogram[:, 0]] = sizes[np.searchsorted(sizes, histogram[:, 0])]
     classed = pieces.withColumn("size_class", F.element_at(F.lit(of_length.tolist()), (F.col("length") + 1).cast("int")).cast("int"))
-    patterns, times = cutting_stock(sizes, demand, capacity)
-    first_sequence = np.concatenate([[0], np.cumsum(times)[:-1]]) if len(times) else times
-    slots = []  # (size class, first rank, pieces of the class in a sequence, first sequence)
+    content = patterns @ sizes
+    room = np.where(size - content >= LEAST_ROOM, size - content, 0)
+    cut = "ids" in pieces.columns and pads_much(histogram, times, size)
+    given = given_up(content, room, times) if cut else np.zeros_like(times)
+    kept = times - given
+    first_sequence, first_room, first_given = (np.cumsum(n) - n for n in (kept, kept * room, given * content))
+    slots = []  # (size class, first rank, pieces of the class in a sequence, first sequence or -1, first place, ids of a sequence)
     for k, size_class in enumerate(sizes):
         rank = 0
         for j in np.flatnonzero(patterns[:, k]):
-            slots.append((int(size_class), rank, int(patterns[j, k]), int(first_sequence[j])))
-            rank += int(patterns[j, k] * times[j])
-    table = np.array(slots, np.int64).reshape(-1, 4)
+            each, inside = int(patterns[j, k]), int(patterns[j, :k] @ sizes[:k])
+            for n, first, place in ((kept[j], first_sequence[j], 0), (given[j], -1, first_given[j] + inside)):
+                if n:
+                    slots.append((int(size_class), rank, each, int(first), int(place), int(content[j])))
+                    rank += int(each * n)
+    table = np.array(slots, np.int64).reshape(-1, 6)
     keys = table[:, 0] * (1 << 48) + table[:, 1]
+    open_patterns = np.flatnonzero(kept * room)
+    rooms, room_starts, room_sequences = room[open_patterns], first_room[open_patterns], first_sequence[open_patterns]
 
     # Rank within a size class: parts of a class are numbered apart, then shifted by the parts before.
-    parts = max(64, int(demand.sum()) // RANK_PART_ROWS)
+    parts = max(64, int(histogram[:, 1].sum()) // RANK_PART_ROWS)
     parted = classed.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))
     part = Window.partitionBy("size_class", "part")
     shifts = (
@@ -300,13 +340,39 @@ def assign_sequences(pieces: DataFrame, *, size: int = SEQUENCE_TOKENS) -> DataF
         .drop("place", "shift", "part")
     )
 
+    def laid(place: int, length: int) -> Iterator[tuple[int, int, int]]:
+        """(ids before, ids, sequence) of the parts of a given piece: it is cut where a room ends."""
+        at = 0
+        while at < length:
+            j = np.searchsorted(room_starts, place + at, side="right") - 1
+            n, used = divmod(int(place + at - room_starts[j]), int(rooms[j]))
+            part = min(length - at, int(rooms[j]) - used)
+            yield at, part, int(room_sequences[j]) + n
+            at += part
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of_class = batch.column("size_class").to_numpy(zero_copy_only=False).astype(np.int64)
             rank = batch.column("rank").to_numpy(zero_copy_only=False)
             row = table[np.searchsorted(keys, of_class * (1 << 48) + rank, side="right") - 1]
-            sequence = row[:, 3] + (rank - row[:, 1]) // row[:, 2] if len(rank) else rank
-            yield batch.append_column("sequence_id", pa.array(sequence, pa.int64()))
+            again, nth = np.divmod(rank - row[:, 1], row[:, 2]) if len(rank) else (rank, rank)
+            moved = row[:, 3] < 0
+            filled = pa.schema([*[pa.field(f.name, f.type) for f in batch.schema], pa.field("sequence_id", pa.int64())])
+            whole = batch.filter(pa.array(~moved))
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array((row[:, 3] + again)[~moved], pa.int64())], schema=filled)
+            parts = []  # (row, start, length, crc, ids, sequence)
+            for i in np.flatnonzero(moved).tolist():
+                ids, start = batch.column("ids")[i].values.to_numpy(), batch.column("start")[i].as_py()
+                where = int(row[i, 4] + again[i] * row[i, 5] + nth[i] * row[i, 0])
+                for at, n, sequence in laid(where, len(ids)):
+                    part = ids[at : at + n]
+                    parts.append((i, start + at, n, zlib.crc32(part.astype("<u4").tobytes()), part, sequence))
+            if parts:
+                index, starts, lengths, sums, ids, sequences = zip(*parts, strict=True)
+                new = {"start": starts, "length": lengths, "ids_crc32": sums, "ids": ids}
+                taken = batch.take(pa.array(index))
+                columns = [pa.array(new[f.name], f.type) if f.name in new else taken.column(f.name) for f in batch.schema]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sequences, pa.int64())], schema=filled)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id long"
     before = (
@@ -335,15 +401,22 @@ def pack_documents(
 
     Columns: doc_id, start (ids of the document before the piece), length, ids_crc32 (of the ids as
     little-endian unsigned 32-bit numbers), doc_tokens (with the end id), sequence_id, offset (place in
-    the sequence, gapless from 0), and ids with keep_ids. A document is cut only where it exceeds `size`.
+    the sequence, gapless from 0), and ids with keep_ids. A document is cut where it exceeds `size`, and where pieces
+    that stay whole would leave more than SPARE_SHARE of the sequences empty; then texts are tokenized once more, as
+    pieces are stored without ids before that is known.
 
     Nulls: a null text is empty, so its one piece is the end id; a null id stays null. Rows that repeat
     an id or a text are packed each on its own. Extra columns are not returned. An empty table gives none.
     """
-    pieces = tokenize_pieces(
-        docs, id_col=id_col, text_col=text_col, json_path=json_path, ranks_path=ranks_path, size=size, keep_ids=keep_ids
+    tokenized = lambda ids: materialize(
+        tokenize_pieces(docs, id_col=id_col, text_col=text_col, json_path=json_path, ranks_path=ranks_path, size=size, keep_ids=ids), "pieces"
     )
-    return assign_sequences(materialize(pieces, "pieces"), size=size)
+    pieces = tokenized(keep_ids)
+    if not keep_ids:
+        histogram = histogram_of(pieces)
+        if pads_much(histogram, whole_patterns(histogram, size)[2], size):
+            return assign_sequences(tokenized(True), size=size).drop("ids")
+    return assign_sequences(pieces, size=size)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

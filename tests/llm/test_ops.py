@@ -185,6 +185,46 @@ def test_packing_of_pieces_of_one_length(spark, length):
     assert check_packing(rows, 20_000 * length) == -(-20_000 // (2048 // length))
 
 
+@pytest.mark.parametrize("lengths", [[700], [1025], [1100], [1500], [1100, 1100, 1100, 40], list(range(1030, 1400))])
+def test_packing_cuts_where_much_room_is_left(spark, lengths):
+    n = 20_000 if len(lengths) == 1 else 6_000
+    length = F.element_at(F.lit(lengths), (F.col("id") % len(lengths) + 1).cast("int")).cast("long")
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), length.alias("length"), F.lit(0).cast("long").alias("ids_crc32"), length.alias("doc_tokens"))
+    ids = F.transform(F.sequence(F.lit(0).cast("long"), F.col("length") - 1), lambda i: ((F.col("doc_id") * 7 + i) % 50_000).cast("int"))
+    done = packing.assign_sequences(tables.materialize(df.withColumn("ids", ids), "pieces"))
+    rows = done.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset").collect()
+    total = sum(r.doc_tokens for r in rows if r.start == 0)
+    used = check_packing(rows, total)
+    assert used <= 1.02 * total / 2048 + 1 and sorted({r.sequence_id for r in rows}) == list(range(used))
+    by_doc = defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append((r.start, r.length))
+    for parts in by_doc.values():
+        assert [a for a, _ in sorted(parts)][1:] == [a + n for a, n in sorted(parts)][:-1]  # each id in one piece
+    assert len(by_doc) == n
+    some = done.where("doc_id % 40 = 0").collect()
+    for r in some:
+        want = [(r.doc_id * 7 + i) % 50_000 for i in range(r.start, r.start + r.length)]
+        assert r.ids == want
+        assert r.ids_crc32 in (0, zlib.crc32(np.array(want, "<u4").tobytes()))  # zero as given, of pieces that stay whole
+        assert r.ids_crc32 or (r.start == 0 and r.length == r.doc_tokens)
+
+
+def test_packing_of_texts_that_leave_much_room(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([(k, text(k, 1000)) for k in range(60)], "doc_id long, text string")
+    rows = packing.pack_documents(docs).collect()
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {d.doc_id: [*whole.encode(d.text, add_special_tokens=False).ids, 1] for d in docs.collect()}
+    total = sum(map(len, ids.values()))
+    assert check_packing(rows, total) <= 1.02 * total / 2048 + 2
+    for r in rows:
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+
+
 def test_length_classes_round_up_little():
     lengths = np.arange(1, 2049)
     counts = np.random.default_rng(2).integers(1, 300, 2048)
