@@ -495,6 +495,19 @@ def source_health(spark, d):
     return _local(reads.health_list(ingest.current_health(tables(spark, d)))).drop("updated_at").withColumn("health_score", F.round("health_score", 6))
 
 
+_LATER = "clock AS (SELECT max(event_timestamp) AS taken_in, max(event_timestamp) + INTERVAL 7 MINUTE AS t FROM stream)"
+_HEALTH_LATER = _HEALTH.replace("FROM every_alert, clock", """FROM (
+    SELECT source, received_at FROM every_alert UNION ALL
+    SELECT source, taken_in FROM rated, clock WHERE epoch_us(last_seen_at) < epoch_us(taken_in) - stale_seconds * 1000000), clock""")
+
+
+@_query(_with(*_PIPELINE, _METRICS, _LATER, _HEALTH_LATER, "SELECT source, status, last_seen_at, events_last_5m, events_last_1h, duplicate_rate, late_event_rate, null_rate, round(health_score, 6) AS health_score FROM health"))
+def source_health_as_of_read(spark, d):
+    """Health seven minutes after the last batch, with the alerts of silent sources that its refresh raised."""
+    found = ingest.health_as_of(tables(spark, d), SETTINGS, plus(_now(spark, d), 420.0)).drop("last_type", "stale_seconds")
+    return _local(found).drop("updated_at").withColumn("health_score", F.round("health_score", 6))
+
+
 @_query(_with(EVENTS_SQL, """
 days AS (SELECT unnest(range(0, 30)) AS day),
 seen AS (

@@ -161,23 +161,30 @@ def counters(store: Store) -> DataFrame:
     return store.read("batches").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("events_ingested", "alerts_fired")])
 
 
-def refresh_health(store: Store, part: int, settings: Settings, now: Column) -> DataFrame:
-    """Write the health of all sources as of now, and alerts of those that have gone stale since the last part.
+def health_as_of(store: Store, settings: Settings, now: Column, part: int | None = None) -> DataFrame:
+    """The health of all sources as of now, by what the parts up to one (by default all) brought; nothing is written.
 
     Reads the batches of the long look-back, and of the others only the last event of each source.
     """
+    upto = None if part is None else part + 1
     since = plus(now.cast("timestamp"), -settings.long_look_back)
-    extents = store.read("batches", part + 1)
+    extents = store.read("batches", upto)
     late = lambda c, t: F.coalesce(F.col(c) >= t, F.lit(False)).alias(c)
     windows_since = plus(since, -settings.window_size)
     covering = extents.select("batch", late("last_event", since), late("last_received", since), late("last_event", windows_since).alias("windows"))
     covering = covering.where("last_event OR last_received OR windows").collect()
     parts = [r["batch"] for r in covering if r["last_event"]]
-    seen = store.read("latest_events").withColumnsRenamed({"last_type": "event_type", "last_seen_at": "event_timestamp"})
+    seen = store.read("latest_events", upto).withColumnsRenamed({"last_type": "event_type", "last_seen_at": "event_timestamp"})
     recent = store.read("raw_events", parts=parts).withColumnRenamed("id", "seq")
-    alerted = store.read("quality_alerts", parts=[r["batch"] for r in covering if r["last_received"]]).unionByName(store.read("quality_alerts", 0, after=-part - 1))
+    raised = store.read("quality_alerts", 0) if part is None else store.read("quality_alerts", 0, after=-part - 1)
+    alerted = store.read("quality_alerts", parts=[r["batch"] for r in covering if r["last_received"]]).unionByName(raised)
     windows = store.read("metric_windows", parts=[r["batch"] for r in covering if r["windows"]])
-    found = health.source_health(recent, alerted, metrics.merged(windows, settings), now, settings, health.latest_events(seen))
+    return health.source_health(recent, alerted, metrics.merged(windows, settings), now, settings, health.latest_events(seen))
+
+
+def refresh_health(store: Store, part: int, settings: Settings, now: Column) -> DataFrame:
+    """Write the health of all sources as of now, and alerts of those that have gone stale since the last part."""
+    found = health_as_of(store, settings, now, part)
     new = health.stale_alerts(found, current_health(store, part), settings)
     stale_part = -part - 1  # parts below zero hold the alerts that a refresh raises
     store.write("quality_alerts", stale_rows(new), stale_part)

@@ -12,7 +12,7 @@ from plumbline.model import ARRIVAL, EVENT
 from plumbline.operators import health, incidents
 from plumbline.operators.pipeline import process
 from plumbline.plans import reads
-from plumbline.plans.ingest import counters, current_incidents, current_metrics, current_versions, ingest, quality_alerts, raw_events, refresh_health
+from plumbline.plans.ingest import counters, current_incidents, current_metrics, current_versions, health_as_of, ingest, quality_alerts, raw_events, refresh_health
 from plumbline.scenarios import scenario
 from plumbline.sources.events import read_events, to_messages
 from plumbline.sources.store import Store, new_folder
@@ -61,6 +61,11 @@ def test_ingest_refresh_and_reads(spark):
     assert [r.source for r in stale.collect()] == ["back-door/t1"]
     state = {r.source: r.status for r in store.read("source_health").collect()}
     assert state["back-door/t1"] == "STALE"
+    # as of a read: later all have gone silent, and nothing is written
+    later = {r.source: r.status for r in health_as_of(store, DEMO_SETTINGS, F.lit(NOW + timedelta(days=2))).collect()}
+    assert later.keys() == state.keys() and set(later.values()) == {"STALE"}
+    assert {r.source: r.status for r in health_as_of(store, DEMO_SETTINGS, F.lit(NOW + timedelta(seconds=10)), 0).collect()} == state
+    assert store.read("source_health").count() == len(state) and stale.count() == 1
     # still stale: no second alert
     refresh_health(store, 1, DEMO_SETTINGS, F.lit(NOW + timedelta(seconds=20)))
     assert stale.sparkSession.read.parquet(f"{store.folder}/quality_alerts").where("alert_type = 'STALE_SOURCE'").count() == 1
