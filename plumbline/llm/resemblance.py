@@ -29,6 +29,9 @@ LEADERS = 3
 SLICE_ROWS = 512
 #: Sets that one task compares with a leader.
 LEADER_ROWS = 500
+#: Buckets of more members are split by what their members share besides, at most SPLITS times. Which shingles are
+#: common in a bucket is estimated on about SPLIT_SAMPLE of its members. All three change the work, never the result.
+CROWDED, SPLITS, SPLIT_SAMPLE = 32, 6, 64
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,16 +101,25 @@ def _frequent(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(found)
 
 
+def _prefix_lengths(n: int, similarity: Fraction) -> tuple[int, int]:
+    """(near, whole): of how many first shingles of a set of n a similar set shares one, if it has as many or more, and if any.
+
+    A set of n shares similarity * n shingles with any similar one; with one that is not smaller, 2 * s / (1 + s) * n.
+    """
+    a, b = similarity.numerator, similarity.denominator
+    return n - -(-2 * a * n // (a + b)) + 1, n - -(-a * n // b) + 1
+
+
 def _prefixes(texts: DataFrame, width: int, similarity: Fraction, frequent: np.ndarray) -> DataFrame:
-    """(shingle, set_id, n): the first shingles of each set, those of one set only left out.
+    """(shingle, set_id, n, near): the first shingles of each set, those of one set only left out.
 
-    A set of n shares similarity * n shingles with a similar one, so one of its first n - similarity * n + 1 too.
+    near: 1 for those of which one is shared with any similar set that is not smaller.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of a task's batches: copies give their prefix once
         for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
-            ids, sizes, first = [], [], []
+            ids, sizes, first, near = [], [], [], []
             for text in batch.column("text"):
                 own = _distinct(shingle_hashes(text.as_py() or b"", width))
                 n, of = len(own), _set_id(own)
@@ -118,17 +130,20 @@ def _prefixes(texts: DataFrame, width: int, similarity: Fraction, frequent: np.n
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                     own = own[np.argsort(frequent[at] == own, kind="stable")]
-                take = n - -(-similarity.numerator * n // similarity.denominator) + 1
-                ids.append(np.full(take, of)), sizes.append(np.full(take, n, np.int32)), first.append(own[:take])
+                least, take = _prefix_lengths(n, similarity)
+                ids.append(np.full(take, of)), sizes.append(np.full(take, n)), first.append(own[:take]), near.append(np.arange(take) < least)
             none = [np.zeros(0, np.int64)]
-            arrays = [np.concatenate(x or none) for x in (first, ids, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2].astype(np.int32))], ["shingle", "set_id", "n"])
+            yield packed(np.stack([np.concatenate(x or none).astype(np.int64) for x in (first, ids, sizes, near)], axis=1))
+
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        kinds = (np.int64, np.int64, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, c].astype(k)) for c, k in enumerate(kinds)], ["shingle", "set_id", "n", "near"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by shingle and set: each pair once, if the shingle comes with another set too."""
         held, known = None, False  # the last row so far, and whether its shingle came before
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "set_id", "n")], axis=1)
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "set_id", "n", "near")], axis=1)
             rows = rows if held is None else np.concatenate([held, rows])
             if not len(rows):
                 continue
@@ -137,11 +152,11 @@ def _prefixes(texts: DataFrame, width: int, similarity: Fraction, frequent: np.n
             before, after = np.concatenate([[known], like]), np.concatenate([like, [False]])
             done = rows[:-1][(before | after)[:-1]]
             held, known = rows[-1:], bool(before[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(done[:, 0]), pa.array(done[:, 1]), pa.array(done[:, 2].astype(np.int32))], ["shingle", "set_id", "n"])
+            yield packed(done)
         if held is not None and known:
-            yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1]), pa.array(held[:, 2].astype(np.int32))], ["shingle", "set_id", "n"])
+            yield packed(held)
 
-    kind = "shingle long, set_id long, n int"
+    kind = "shingle long, set_id long, n int, near int"
     return texts.select("text").mapInArrow(cut, kind).repartition("shingle").sortWithinPartitions("shingle", "set_id").mapInArrow(shared, kind)
 
 
@@ -217,6 +232,115 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, s
     return dealt.mapInArrow(compared, "u long, v long, sizes int")
 
 
+def _shingles_of(wanted: DataFrame, sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(set_id, shingles): of the sets wanted (set_id), from their texts; the hashes as bytes, sorted."""
+    places = sets.select("set_id", F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).hint("merge")
+    wanted = materialize(wanted.distinct().join(places, "set_id"), "shingle-sets-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    again = texts.join(few, (F.col("doc_id") == F.col("of_doc")) & (F.col("text_hash") == F.col("of_text"))).select("set_id", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
+            own = [_distinct(shingle_hashes(text.as_py() or b"", width)).tobytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(own, pa.binary())], ["set_id", "shingles"])
+
+    # a row of the documents that comes twice is one set
+    return again.mapInArrow(read, "set_id long, shingles binary").dropDuplicates(["set_id"])
+
+
+def _refined(crowded: DataFrame, shingles: DataFrame, similarity: Fraction) -> DataFrame:
+    """(shingle, set_id, n, near, component): the buckets (shingle, members, ...) split by their members' prefixes anew.
+
+    In a bucket the shingles of many of its members come last, so what brought its members together separates
+    them no more; similar sets share a shingle of these prefixes as of any in one order.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
+            own = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
+            buckets = np.repeat(batch.column("shingle").to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], ["shingle", "other"])
+
+    some = crowded.where(F.pmod(F.xxhash64("set_id", "shingle"), F.col("members")) < SPLIT_SAMPLE).select("shingle", "set_id")
+    often = some.join(shingles.hint("merge"), "set_id").select("shingle", "shingles").mapInArrow(listed, "shingle long, other long")
+    often = often.groupBy("shingle", "other").count().where(F.col("count") >= SPLIT_SAMPLE // 8)
+    often = often.groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("count", "other"))).alias("often")).select("shingle", F.col("often.other").alias("often"))
+    salts = F.ceil(F.col("members") / LEADER_ROWS).cast("int")
+    load = crowded.groupBy("shingle").agg(F.first("members").alias("members")).join(often.hint("merge"), "shingle", "left")
+    none, number = F.lit(None), lambda k: F.lit(k).cast("long")
+    leaders = load.select(
+        "shingle", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("role"), number(0).alias("set_id"), F.lit(0).alias("n"),
+        number(0).alias("component"), "often", none.cast("binary").alias("shingles"),
+    )
+    followers = crowded.join(shingles.hint("merge"), "set_id").select(
+        "shingle", F.pmod(F.xxhash64("set_id"), salts).cast("int").alias("salt"), F.lit(1).alias("role"), "set_id", "n", "component",
+        none.cast("array<long>").alias("often"), "shingles",
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shingle", "other", "set_id", "n", "near", "component"]
+        kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int64]
+        often, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
+            role, bucket, of, n, component = (batch.column(c).to_numpy() for c in ("role", "shingle", "set_id", "n", "component"))
+            rows = []
+            for k, packed in enumerate(batch.column("shingles")):
+                if not role[k]:  # the shingles common in the bucket, the commonest last
+                    ranked = np.array(batch.column("often")[k].as_py() or [], np.int64)
+                    places = np.argsort(ranked)
+                    often = ranked[places]
+                    continue
+                own = np.frombuffer(packed.as_py(), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    own = own[np.argsort(np.where(often[at] == own, places[at], -1), kind="stable")]
+                near, take = _prefix_lengths(len(own), similarity)
+                fill = lambda x, take=take: np.full(take, x)
+                rows.append((fill(bucket[k]), own[:take], fill(of[k]), fill(n[k]), np.arange(take) < near, fill(component[k])))
+            columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0)] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names)
+
+    dealt = leaders.unionByName(followers).repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "role")
+    finer = dealt.mapInArrow(cut, "shingle long, other long, set_id long, n int, near int, component long")
+    return finer.select(F.xxhash64("shingle", "other").alias("shingle"), "set_id", "n", "near", "component")
+
+
+def _apart(members: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """(u, v): of the buckets' members (shingle, set_id, n, near, component), pairs in different components that may be similar.
+
+    All similar ones are among them. Of buckets with the same members one is left. A crowded bucket is split by the
+    shingles that its members share besides, so that sets that have only one passage in common do not all meet.
+    """
+    found, shingles = [], None
+    for split in range(SPLITS + 1):
+        row = F.xxhash64("set_id", "near")
+        kept = members.groupBy("shingle").agg(
+            F.count("*").alias("members"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("near").alias("near"),
+            F.bit_xor(row).alias("x"), F.bit_xor(F.xxhash64(row, "set_id")).alias("y"),
+        ).where("a <> b AND near = 1").groupBy("members", "x", "y").agg(F.min("shingle").alias("shingle"))
+        kept = materialize(members.join(kept.select("shingle", "members").hint("merge"), "shingle"), "shingles-apart")
+        if split:
+            release(members)
+        last = split == SPLITS
+        few = kept if last else kept.where(F.col("members") <= CROWDED)
+        x = few.where("near = 1").select("shingle", F.col("set_id").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
+        y = few.select("shingle", F.col("set_id").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
+        long_enough = (F.col("n_u") <= F.col("n_v")) & (F.col("n_u") * similarity.denominator >= F.col("n_v") * similarity.numerator)
+        pairs = x.join(y.hint("merge"), "shingle").where((F.col("c_u") != F.col("c_v")) & long_enough)
+        found.append(materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "shingle-pairs-met"))
+        crowded = kept.where(F.col("members") > CROWDED)
+        if last or crowded.isEmpty():
+            break
+        if shingles is None:  # members of later buckets are among these
+            shingles = materialize(_shingles_of(crowded.select("set_id"), sets, texts, width), "shingles-of-crowded")
+        members = materialize(_refined(crowded, shingles, similarity), "shingles-split")
+        release(kept)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs
+
+
 def similar_sets(texts: DataFrame, sets: DataFrame, width: int, similarity: Fraction = SIMILARITY) -> DataFrame:
     """(u, v): links that connect the same sets (set_id, doc_id, text_hash, n, sketch) as all pairs of at least this Jaccard similarity.
 
@@ -235,13 +359,9 @@ def similar_sets(texts: DataFrame, sets: DataFrame, width: int, similarity: Frac
     led = materialize(_verified(best, sets, texts, width, similarity).select("u", "v"), "shingle-links")
     of = materialize(connected_components(led), "shingle-components")
     apart = likely.select("u", "v", "sizes", "most")
-    members = met.select("shingle", "set_id", "n").join(of.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left")
-    members = members.select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    several = members.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
-    members = materialize(members.join(several.hint("merge"), "shingle"), "shingles-apart")
-    x, y = members.toDF("shingle", "u", "n_u", "c_u"), members.toDF("shingle", "v", "n_v", "c_v")
-    pairs = x.join(y.hint("merge"), "shingle").where((F.col("c_u") < F.col("c_v")) & sizes("n_u", "n_v")).select("u", "v")
-    apart = apart.unionByName(_likely(pairs, sets, similarity))
+    members = met.join(of.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left")
+    members = members.select("shingle", "set_id", "n", "near", F.coalesce("component", "set_id").alias("component"))
+    apart = apart.unionByName(_likely(_apart(members, sets, texts, width, similarity), sets, similarity))
     for end in "uv":
         apart = apart.join(of.toDF(end, f"c_{end}").hint("merge"), end, "left")
     apart = apart.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sizes").distinct()
@@ -249,7 +369,7 @@ def similar_sets(texts: DataFrame, sets: DataFrame, width: int, similarity: Frac
     # long texts fill their sketches: bitmaps that grow with the set leave few pairs for the shingles themselves
     bounded = materialize(_verified(apart, sets, texts, width, similarity, whole=False), "shingle-pairs-bounded")
     links = materialize(led.unionByName(_verified(bounded, sets, texts, width, similarity).select("u", "v")), "shingle-links")
-    for table in (met, likely, led, of, members, apart, bounded):
+    for table in (met, likely, led, of, apart, bounded):
         release(table)
     return links
 

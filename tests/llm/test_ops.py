@@ -15,7 +15,7 @@ from conftest import SMALL, same_rows
 from llm.helpers import components, empty, odd_documents, text
 from pyspark.sql import functions as F
 
-from plumbline.llm import edit_join, exact_stream, itq, lines, mixing, packing, passages, pii, quality, queries, simhash, tables, warc
+from plumbline.llm import edit_join, exact_stream, itq, lines, mixing, packing, passages, pii, quality, queries, resemblance, simhash, tables, warc
 from plumbline.llm.components import connected_components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -344,6 +344,54 @@ def test_near_duplicate_stage_finds_all_similar_documents(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def boilerplate_pages(n, paragraphs=40, seed=8):
+    """Pages of three of a few shared paragraphs, every tenth a near copy of an earlier one."""
+    rng = random.Random(seed)
+    shared = [text(5000 + k, 50) for k in range(paragraphs)]
+    pages = []
+    for k in range(n):
+        if k % 10 == 9:
+            words = rng.choice(pages)[1].split()
+            words[rng.randrange(len(words))] = f"x{k}"
+            pages.append((k, " ".join(words)))
+        else:
+            pages.append((k, " ".join(rng.sample(shared, 3))))
+    return pages
+
+
+@pytest.mark.parametrize("crowded", [4])
+def test_crowded_buckets_are_split_without_loss(spark, monkeypatch, crowded):
+    monkeypatch.setattr(resemblance, "CROWDED", crowded)
+    monkeypatch.setattr(resemblance, "SPLIT_SAMPLE", 16)
+    monkeypatch.setattr(resemblance, "LEADER_ROWS", 20)
+    pages = boilerplate_pages(400, paragraphs=9)
+    pages += [(1000 + k, text(77, 170) + " " + text(6000 + k, 30)) for k in range(60)]  # one passage, tails of their own
+    pages += [(2000 + k, text(78, 90 + k)) for k in range(60)]  # lengths apart
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in pages for w in [t.split()]}
+    fp = {k: plain_fingerprint(t, 5) for k, t in pages}
+    similar = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    links = [(a, b) for a in sets for b in sets if a < b and (similar(a, b) or (fp[a] ^ fp[b]).bit_count() <= 3)]
+    want = {k for k, c in components(links, sets).items() if k == c}
+    got = resemblance.keep_first_of_similar(spark.createDataFrame(pages, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
+
+
+def test_pairs_of_pages_with_shared_paragraphs_grow_with_the_pages(spark, monkeypatch):
+    met = []
+    apart = resemblance._apart
+
+    def counted(*a):
+        pairs = apart(*a)
+        met.append(pairs.distinct().count())
+        return pairs
+
+    monkeypatch.setattr(resemblance, "_apart", counted)
+    for n in (1000, 2000):
+        resemblance.keep_first_of_similar(spark.createDataFrame(boilerplate_pages(n), "doc_id long, text string")).count()
+    few, more = met
+    assert more < 2.5 * few  # without splits they grow with the square of the pages
+
+
 # 5
 
 
