@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,11 +89,11 @@ def mix_sources(
 
     The count inverts the Poisson distribution at a uniform number hashed from seed and id, so it does
     not depend on partitions, retries or other rows. Adds rate (mean count), n_copies (1 or more; rows
-    drawn 0 times are absent), copy_no (from 0) and shuffle_key; rows come dealt out by shuffle_key and
-    sorted by it within each partition, a global random order.
+    drawn 0 times are absent), copy_no (from 0) and shuffle_key; rows come dealt out by shuffle_key
+    and what they hold, and sorted by the key within each partition, a global random order.
 
     Nulls: a null source is a source of its own; a null id counts as the text "null". Rows that share an
-    id share the draw. Texts are not looked at. An empty table stays empty. Input columns named like the
+    id share the draw. Texts decide nothing but where a row is dealt. An empty table stays empty. Input columns named like the
     added ones are replaced.
     """
     rates, n_sources = source_rates(
@@ -127,11 +129,10 @@ def mix_sources(
         .select("*", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy_no"))
     )
     order = hash_long(F.lit(seed), F.lit("order"), F.col("id_key"), F.col("copy_no").cast("string"))
-    return (
-        copies.select("row.*", "rate", "n_copies", "copy_no", order.alias("shuffle_key"))
-        .repartition("shuffle_key")
-        .sortWithinPartitions("shuffle_key")
-    )
+    dealt = copies.select("row.*", "rate", "n_copies", "copy_no", order.alias("shuffle_key"))
+    # rows that share an id, or have none, share a key: what else they hold parts them
+    plain = [F.col(f"`{c}`") for c in kept if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
+    return dealt.repartition("shuffle_key", F.xxhash64(*plain)).sortWithinPartitions("shuffle_key")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -52,6 +52,13 @@ def test_mixing(spark):
     again = mixing.mix_sources(docs.repartition(5), weights={"a": 3.0, "b": 1.0}, total_rows=4000).collect()
     assert sorted(keys) == sorted(r.shuffle_key for r in again)
     assert mixing.mix_sources(empty(spark, docs)).count() == 0
+    nameless = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("a").alias("source"), F.create_map(F.lit(1), F.lit(2)).alias("m"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for_each = mixing.mix_sources(nameless, total_rows=16_000).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(for_each) > 1 and max(r["count"] for r in for_each) < 0.5 * sum(r["count"] for r in for_each)
     assert mixing.mix_sources(docs.where("source IS NULL")).select("source").distinct().count() <= 1
 
 
