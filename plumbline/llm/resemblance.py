@@ -31,7 +31,7 @@ SLICE_ROWS = 512
 LEADER_ROWS = 500
 #: Buckets of more members are split by what their members share besides, at most SPLITS times. Which shingles are
 #: common in a bucket is estimated on about SPLIT_SAMPLE of its members. All three change the work, never the result.
-CROWDED, SPLITS, SPLIT_SAMPLE = 32, 6, 64
+CROWDED, SPLITS, SPLIT_SAMPLE = 256, 6, 16
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -393,6 +393,7 @@ def test_pairs_of_pages_with_shared_paragraphs_grow_with_the_pages(spark, monkey
         return pairs
 
     monkeypatch.setattr(resemblance, "_apart", counted)
+    monkeypatch.setattr(resemblance, "CROWDED", 32)  # buckets of so few pages are above it
     for n in (1000, 2000):
         resemblance.keep_first_of_similar(spark.createDataFrame(boilerplate_pages(n), "doc_id long, text string")).count()
     few, more = met
