@@ -369,7 +369,7 @@ def boilerplate_pages(n, paragraphs=40, seed=8):
 @pytest.mark.parametrize("crowded", [4])
 def test_crowded_buckets_are_split_without_loss(spark, monkeypatch, crowded):
     monkeypatch.setattr(resemblance, "CROWDED", crowded)
-    monkeypatch.setattr(resemblance, "SPLIT_SAMPLE", 16)
+    monkeypatch.setattr(resemblance, "SPLITS", 2)
     monkeypatch.setattr(resemblance, "LEADER_ROWS", 20)
     pages = boilerplate_pages(400, paragraphs=9)
     pages += [(1000 + k, text(77, 170) + " " + text(6000 + k, 30)) for k in range(60)]  # one passage, tails of their own
@@ -394,6 +394,7 @@ def test_pairs_of_pages_with_shared_paragraphs_grow_with_the_pages(spark, monkey
 
     monkeypatch.setattr(resemblance, "_apart", counted)
     monkeypatch.setattr(resemblance, "CROWDED", 32)  # buckets of so few pages are above it
+    monkeypatch.setattr(resemblance, "SPLITS", 2)
     for n in (1000, 2000):
         resemblance.keep_first_of_similar(spark.createDataFrame(boilerplate_pages(n), "doc_id long, text string")).count()
     few, more = met
