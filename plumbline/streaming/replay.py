@@ -43,12 +43,17 @@ def cuts(events: DataFrame, batches: int) -> list[Column]:
     return [a & (F.col("received_at") < F.lit(s).cast(kind)) for a, s in zip(parts, starts[1:], strict=False)] + parts[-1:]
 
 
+def land(events: DataFrame, folder: str) -> None:
+    """Append events with seq to a folder that a stream reads, in files for all cores however few the input has."""
+    events.repartition("seq").write.mode("append").parquet(folder)
+
+
 def stream_processed(events: DataFrame, settings: Settings, batches: int = 3, now: Column | None = None) -> Store:
     """Events written to a folder for each stretch of their arrival, streamed batch by batch: the tables that they fill."""
     spark, folder = events.sparkSession, new_folder(events.sparkSession)
     store = None
     for part in cuts(events, batches):
-        events.where(part).write.mode("append").parquet(f"{folder}/input")
+        land(events.where(part), f"{folder}/input")
         # all that has come since the last start is one batch
         stream = spark.readStream.schema(events.schema).parquet(f"{folder}/input")
         store = run(stream, folder, settings, now)

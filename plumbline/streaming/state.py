@@ -23,7 +23,7 @@ from plumbline.operators import duplicates, health, schemas, spikes
 from plumbline.operators.alerts import alert
 from plumbline.operators.envelope import enrich
 from plumbline.sources.store import new_folder, stored
-from plumbline.streaming.replay import cuts
+from plumbline.streaming.replay import cuts, land
 
 #: Ids and payloads are spread over so many keys, each with a map that is pruned by the time of arrival. A number that
 #: must stay the same while a stream goes on.
@@ -34,6 +34,7 @@ GRACE = 60.0
 _EVENT = ["seq", "source", "event_type", "event_id", "payload_hash"]
 _EVENT_KIND = "seq long, source string, event_type string, event_id string, payload_hash string"
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,23 +50,38 @@ def _found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 class _Pruned(StatefulProcessor):
-    """A map whose entries go once their time is past: looked through once a window of arrival time."""
+    """A map whose entries go once their time is past: looked through once a window of arrival time.
+
+    Entries are read only for rows that an earlier batch can reach, and written only if a later one can reach them; so a
+    batch that is longer than the window costs calls to the state at its ends alone.
+    """
 
     def __init__(self, window: float):
         self.window, self.kept = to_micros(window), to_micros(window + GRACE)
 
     def _init(self, handle: StatefulProcessorHandle, key: str, value: str) -> None:
         self.entries = handle.getMapState("entries", key, value)
-        self.clock = handle.getValueState("clock", "next_look long")
+        self.clock = handle.getValueState("clock", "next_look long, latest long")
+
+    def _reach(self) -> int | None:
+        """The last time at which a row can have one of an earlier batch in its window; None: there was no batch."""
+        return self.clock.get()[1] + self.window if self.clock.exists() else None
+
+    def _oldest(self, now: int) -> int:
+        """What was last used before is not kept after a batch that ends now."""
+        return (max(now, self.clock.get()[1]) if self.clock.exists() else now) - self.kept
 
     def _prune(self, now: int) -> None:
         if not self.clock.exists():
-            self.clock.update((now + self.window,))
-        elif now >= self.clock.get()[0]:
+            self.clock.update((now + self.window, now))
+            return
+        next_look, latest = self.clock.get()
+        if now >= next_look:
             # one value of an entry is the time at which it was last used, and comes first
             for key in [k for k, value in self.entries.iterator() if value[0] < now - self.kept]:
                 self.entries.removeKey(key)
-            self.clock.update((now + self.window,))
+            next_look = now + self.window
+        self.clock.update((next_look, max(now, latest)))
 
     def close(self) -> None:
         pass
@@ -81,12 +97,16 @@ class RepeatedIds(_Pruned):
         df = _in_order(rows)
         before = df.groupby("event_id")["at"].shift().astype("Int64")
         last = df.groupby("event_id")["at"].max()
-        for row, name in df.drop_duplicates("event_id")["event_id"].items():
-            held = self.entries.getValue((name,))
-            if held is not None:
-                before[row] = held[0]
-            self.entries.updateValue((name,), (max(int(last[name]), held[0] if held else 0),))
-        self._prune(int(df["at"].max()))
+        now, reach = int(df["at"].max()), self._reach()
+        if reach is not None:
+            for row, name in df.drop_duplicates("event_id").loc[lambda first: first["at"] <= reach, "event_id"].items():
+                held = self.entries.getValue((name,))
+                if held is not None:
+                    before[row] = held[0]
+                    last[name] = max(last[name], held[0])
+        for name, at in last[last >= self._oldest(now)].items():
+            self.entries.updateValue((name,), (int(at),))
+        self._prune(now)
         yield from _found(df.loc[((df["at"] - before) <= self.window).fillna(False).astype(bool), _EVENT])
 
 
@@ -97,20 +117,32 @@ class RepeatedPayloads(_Pruned):
         self._init(handle, "payload_hash string", "last_at long, at array<long>, ids array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df, found = _in_order(rows), []
-        for digest, some in df.groupby("payload_hash", sort=False):
-            held = self.entries.getValue((digest,))
-            at = np.concatenate([np.array(held[1] if held else [], np.int64), some["at"].to_numpy(np.int64)])
-            ids = [*(held[2] if held else []), *some["event_id"]]
-            # the earliest within the window of each row is where the window starts
-            first = np.searchsorted(at, at - self.window)
-            new = np.arange(len(at) - len(some), len(at))
-            later = first[new] < new
-            found.append(some.loc[later, _EVENT].assign(first_event_id=[ids[k] for k in first[new][later]]))
-            live = int(np.searchsorted(at, at[-1] - self.window))
-            self.entries.updateValue((digest,), (int(at[-1]), at[live:].tolist(), ids[live:]))
-        self._prune(int(df["at"].max()))
-        yield from _found(pd.concat(found))
+        df = _in_order(rows)
+        now, reach = int(df["at"].max()), self._reach()
+        codes, digests = pd.factorize(df["payload_hash"])
+        of, at, ids = [], [], []
+        if reach is not None:
+            for row, digest in df.drop_duplicates("payload_hash").loc[lambda first: first["at"] <= reach, "payload_hash"].items():
+                held = self.entries.getValue((digest,))
+                if held is not None:
+                    of, at, ids = of + [codes[row]] * len(held[1]), at + list(held[1]), ids + list(held[2])
+        # all rows by payload and time, those held before those that come
+        row = np.concatenate([np.full(len(of), -1), np.arange(len(df))])
+        of, at = np.concatenate([np.array(of, np.int64), codes]), np.concatenate([np.array(at, np.int64), df["at"].to_numpy(np.int64)])
+        ids = np.concatenate([np.array(ids, object), df["event_id"].to_numpy(object)])
+        order = np.lexsort((row, at, of))
+        row, of, at, ids = row[order], of[order], at[order], ids[order]
+        # a payload and the number of a time among all times are one number, so that one search finds where each window starts
+        times, number = np.unique(at, return_inverse=True)
+        place = of * (len(times) + 1) + number
+        first = np.searchsorted(place, of * (len(times) + 1) + np.searchsorted(times, at - self.window))
+        later = (row >= 0) & (first < np.arange(len(at)))
+        ends = np.append(np.flatnonzero(np.diff(of)), len(of) - 1)
+        for end in ends[at[ends] >= self._oldest(now)]:
+            live = slice(first[end], end + 1)
+            self.entries.updateValue((digests[of[end]],), (int(at[end]), at[live].tolist(), ids[live].tolist()))
+        self._prune(now)
+        yield from _found(df.iloc[row[later]][_EVENT].assign(first_event_id=ids[first[later]]))
 
 
 class NullRuns(StatefulProcessor):
@@ -128,15 +160,17 @@ class NullRuns(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         df, found = _in_order(rows), []
+        (expects, kinds), (empties, sets) = (pd.factorize(df[c].map(tuple)) for c in ("leaves", "nulls"))
         held = self.run.get() if self.run.exists() else None
         window = held[0] if held else None
         counts = {f: (t, n) for f, t, n in zip(held[1], held[2], held[3], strict=True)} if held else {}
         for run, some in df.groupby((df["window"] != df["window"].shift()).cumsum(), sort=False):
             if some["window"].iloc[0] != window:
                 window, counts = int(some["window"].iloc[0]), {}
-            for name in sorted({f for leaves in some["leaves"] for f in leaves}):
-                expected = np.array([name in leaves for leaves in some["leaves"]])
-                null = np.array([name in nulls for nulls in some["nulls"]])[expected]
+            own, empty = expects[some.index], empties[some.index]
+            for name in sorted({f for code in np.unique(own) for f in kinds[code]}):
+                expected = np.array([name in leaves for leaves in kinds])[own]
+                null = np.array([name in nulls for nulls in sets])[empty][expected]
                 before = counts.get(name, (0, 0))
                 total, nulls = before[0] + np.arange(1, len(null) + 1), before[1] + np.cumsum(null)
                 last = np.where(total > 1, (nulls - null) / np.maximum(total - 1, 1), 0.0)
@@ -303,13 +337,20 @@ def keyed_alerts(events: DataFrame, settings: Settings, baselines: DataFrame) ->
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams started meanwhile keep their state in RocksDB, which keyed state needs."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    """Streams started meanwhile keep their state in RocksDB, which keyed state needs, in two partitions a core.
+
+    Each partition of each detector is a store that is opened and checkpointed in every batch, so that more of them cost
+    time without input. A stream that goes on keeps the number that it began with.
+    """
+    wanted = {_PROVIDER: _ROCKSDB, _PARTITIONS: str(min(int(spark.conf.get(_PARTITIONS)), 2 * spark.sparkContext.defaultParallelism))}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def start(found: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
@@ -327,7 +368,7 @@ def streamed_alerts(events: DataFrame, settings: Settings, batches: int = 3) ->
     spark, folder = events.sparkSession, new_folder(events.sparkSession)
     baselines = stored(schemas.baselines(schemas.observe(enrich(events))))
     for part in cuts(events, batches):
-        events.where(part).write.mode("append").parquet(f"{folder}/input")
+        land(events.where(part), f"{folder}/input")
         stream = spark.readStream.schema(events.schema).parquet(f"{folder}/input")
         start(keyed_alerts(stream, settings, baselines), folder).awaitTermination()
     return spark.read.parquet(f"{folder}/alerts")

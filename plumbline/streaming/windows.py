@@ -8,7 +8,7 @@ from plumbline.config import Settings
 from plumbline.operators import metrics, schemas
 from plumbline.operators.envelope import enrich
 from plumbline.sources.store import new_folder, stored
-from plumbline.streaming.replay import cuts
+from plumbline.streaming.replay import cuts, land
 
 
 def final_sums(stream: DataFrame, settings: Settings, baselines: DataFrame, delay: str) -> DataFrame:
@@ -26,7 +26,7 @@ def streamed_windows(events: DataFrame, settings: Settings, delay: str, batches:
     observed = schemas.observe(enrich(events))
     baselines = stored(schemas.baselines(observed))
     for part in cuts(events, batches):
-        events.where(part).write.mode("append").parquet(f"{folder}/input")
+        land(events.where(part), f"{folder}/input")
         stream = spark.readStream.schema(events.schema).parquet(f"{folder}/input")
         writer = final_sums(stream, settings, baselines, delay).writeStream.option("checkpointLocation", f"{folder}/checkpoint")
         writer.option("path", f"{folder}/final").format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -148,3 +148,42 @@ def test_windows_are_final_once_and_late_events_are_flagged(spark):
     assert sum(count.values()) == len(rows) and {k for k, s in count if s == "OPEN"}.isdisjoint(final)
     nulls = [r for r in done if r.field_path == "a"]
     assert sum(r.nulls for r in nulls) == 21 and [r.nulls for r in nulls if r.status == "LATE"] == [1.0]
+
+
+class Counted(Held):
+    """Held that counts what it is asked for one by one."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return super().getValue(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        super().updateValue(key, value)
+
+
+@pytest.mark.parametrize("kind", [state.RepeatedIds, state.RepeatedPayloads])
+def test_calls_to_the_state_of_repeats_do_not_grow_with_a_batch(kind):
+    second, rng = 1_000_000, random.Random(8)
+    rows = [(s, s * second, f"e{rng.randrange(4000)}", f"p{rng.randrange(4000)}") for s in range(8000)]
+    df = pd.DataFrame(rows, columns=["seq", "at", "event_id", "payload_hash"]).assign(source="s", event_type="t")
+    column, window = ("event_id", 100.0) if kind is state.RepeatedIds else ("payload_hash", 100.0)
+    last, want = {}, {}
+    for s, at, name, digest in rows:
+        held = last.setdefault(name if kind is state.RepeatedIds else digest, [])
+        near = [n for t, n in held if at - t <= window * second]
+        if near:
+            want[s] = near[0]
+        held.append((at, name))
+    processor = kind(window)
+    processor.entries, processor.clock, found = Counted(), One(), []
+    for part in (df[:3000], df[3000:3001], df[3001:3050], df[3050:]):
+        found.extend(processor.handleInputRows((0,), iter([part.reset_index(drop=True)]), None))
+    found = pd.concat(found)
+    assert set(found["seq"]) == set(want) and len(want) > 100
+    if column == "payload_hash":
+        assert dict(zip(found["seq"], found["first_event_id"], strict=True)) == want
+    # what a window and its grace hold, at the end and at the start of each of the four batches
+    assert processor.entries.calls <= 4 * 2 * (window + state.GRACE)
