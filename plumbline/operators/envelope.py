@@ -27,8 +27,13 @@ def validate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def enrich(events: DataFrame) -> DataFrame:
-    """Add payload_hash, and received_at as the time now where events do not bring it; payloads may repeat keys."""
+    """Add payload_hash, and received_at as the time now where events do not bring it; payloads may repeat keys.
+
+    Events of a table that have seq are dealt out by it before payloads are parsed: their source may be a few large files.
+    """
     allow_repeated_keys(events.sparkSession)
+    if "seq" in events.columns and not events.isStreaming:
+        events = events.repartition("seq")
     if "received_at" not in events.columns:
         events = events.withColumn("received_at", F.current_timestamp())
     return events.withColumn("payload_hash", payload_hash(F.col("payload")))

@@ -70,8 +70,8 @@ def with_baseline(observed: DataFrame, known: DataFrame | None = None) -> DataFr
     return observed.join(found, F.col("event_type").eqNullSafe(F.col("baseline_type")), "left").drop("baseline_type")
 
 
-def detect(observed: DataFrame) -> DataFrame:
-    """Append alerts of events whose schema is not the baseline; needs the columns of with_baseline()."""
+def drift() -> Column:
+    """An array with the alert of an event whose schema is not the baseline; needs the columns of with_baseline()."""
     expected, seen = F.map_from_entries("baseline"), F.map_from_entries("schema")
     missing, added = P.missing_fields(expected, seen), P.added_fields(expected, seen)
     changed = P.changed_fields(expected, seen)
@@ -90,7 +90,12 @@ def detect(observed: DataFrame) -> DataFrame:
         F.lit(", type_changed="), size(changed), F.lit(")"),
     )
     found = alert("SCHEMA_DRIFT", "WARN", message, evidence, P.first_changed_field(changed, missing, added))
-    return add(observed, where(F.col("schema_hash") != F.col("baseline_hash"), found))
+    return where(F.col("schema_hash") != F.col("baseline_hash"), found)
+
+
+def detect(observed: DataFrame) -> DataFrame:
+    """Append the alerts of drift()."""
+    return add(observed, drift())
 
 
 def merged(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -105,5 +110,6 @@ def merged(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def prepare(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """observe() and with_baseline() in one."""
-    return with_baseline(observe(events), known)
+    """observe() and with_baseline() in one; the baselines of these events are stored, so that their size is known."""
+    described = observe(events)
+    return with_baseline(described, stored(baselines(described)) if known is None else known)

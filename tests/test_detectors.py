@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -268,3 +269,19 @@ def test_mixed_scenario_and_unknown_names(spark):
     assert len(SCENARIOS) == 10
     with pytest.raises(ValueError):
         scenario(spark, "no-such", NOW)
+
+
+def test_events_are_dealt_by_number_and_not_by_type(spark):
+    """Few files and few types: events are parsed in all partitions, and no shuffle puts those of a type together."""
+    payloads = [json.dumps({"k": k, "v": "x" * (k % 30)} | ({"w": 1} if k % 5 == 0 else {})) for k in range(3000)]
+    rows = [(f"e{k}", "s", "t", NOW + timedelta(seconds=k), p, k, NOW + timedelta(seconds=k)) for k, p in enumerate(payloads)]
+    few = spark.createDataFrame(rows, f"{EVENT}, {ARRIVAL}").coalesce(1)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "30000")
+    try:
+        plan = process(few, Settings())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert not re.findall(r"hashpartitioning\((?:coalesce\()?event_type#", plan)
+    assert re.findall(r"hashpartitioning\(seq#", envelope.enrich(few)._jdf.queryExecution().executedPlan().toString())
