@@ -16,7 +16,7 @@ from plumbline.plans import ingest, reads
 from plumbline.plans.inputs import EVENTS_SQL, SETTINGS, events, table
 from plumbline.sources.events import from_messages, read_events, to_messages, write_json
 from plumbline.sources.store import Store, new_folder, stored
-from plumbline.streaming.replay import cuts, run, stream_processed
+from plumbline.streaming.replay import arrived, cuts, run, stream_processed
 from plumbline.streaming.state import streamed_alerts
 from plumbline.streaming.windows import streamed_windows
 
@@ -658,7 +658,7 @@ def _in_batches(spark: SparkSession, d: str, batches: int = 3) -> Store:
     """The tables with all events taken in as batches, once for each session and state of the folder."""
     key = (spark.sparkContext.applicationId, f"{_state_of(spark, d)}#{batches}")
     if key not in _taken_in or not _taken_in[key].exists("batches"):
-        rows, store = events(spark, d), Store(spark, new_folder(spark))
+        rows, store = arrived(events(spark, d)), Store(spark, new_folder(spark))
         for part, condition in enumerate(cuts(rows, batches)):
             ingest.ingest(store, rows.where(condition), part, SETTINGS, _now(spark, d))
         _taken_in[key] = store

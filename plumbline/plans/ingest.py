@@ -92,7 +92,7 @@ def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings,
     _write_alerts(store, done, part, at(extent["min_received_at"], settings.incident_window), settings)
     store.write("schema_versions", _shaped(schemas.versions(described), "schema_versions"), part)
     store.write("metric_windows", _shaped(metrics.metric_windows(observed, settings), "metric_windows"), part)
-    store.write("latest_events", health.latest_events(events), part)
+    store.write("latest_events", health.latest_events(done), part)
     seen = Observation()
     sums = counted(done, seen).agg(*[f(c) for c in ("received_at", "event_timestamp") for f in (F.min, F.max)]).toDF(
         "first_received", "last_received", "first_event", "last_event"
@@ -133,6 +133,8 @@ def ingest(store: Store, events: DataFrame, part: int, settings: Settings, now:
         if "seq" not in events.columns:
             base = store.read("batches", part).agg(F.sum("numbers")).first()[0] or 0
             events, numbers = numbered(events, base)
+        else:
+            events = stored(events)  # a source is read once, as numbered() does
         valid, rejected = envelope.validate(events)
         process_batch(store, valid, part, settings, numbers)
         store.write("rejected_events", _shaped(rejected, "rejected_events"), part)

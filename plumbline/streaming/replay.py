@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.config import Settings
 from plumbline.plans.ingest import ingest
-from plumbline.sources.store import Store, new_folder
+from plumbline.sources.store import Store, new_folder, stored
 
 
 def start(stream: DataFrame, folder: str, settings: Settings, every: str | None = None, now: Column | None = None) -> tuple[Store, StreamingQuery]:
@@ -43,6 +43,11 @@ def cuts(events: DataFrame, batches: int) -> list[Column]:
     return [a & (F.col("received_at") < F.lit(s).cast(kind)) for a, s in zip(parts, starts[1:], strict=False)] + parts[-1:]
 
 
+def arrived(events: DataFrame) -> DataFrame:
+    """The events stored in stretches of their arrival, so that a reader of a part of it opens that part of the files."""
+    return stored(events.repartitionByRange("received_at"))
+
+
 def land(events: DataFrame, folder: str) -> None:
     """Append events with seq to a folder that a stream reads, in files for all cores however few the input has."""
     events.repartition("seq").write.mode("append").parquet(folder)

@@ -223,3 +223,17 @@ def test_incidents_go_on_over_batches(spark):
     assert shown(store) == shown(one) and len(shown(one)) >= 3
     of = lambda s: sorted((r.id, r.incident_id) for r in s.read("quality_alerts").where("alert_type <> 'STALE_SOURCE'").collect())
     assert of(store) == of(one) and all(i for _, i in of(one))
+
+
+def test_a_source_is_read_once_in_an_ingest(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        read.add(1)
+        return name
+
+    rows = [(f"e{k}", "s", "t", NOW + timedelta(seconds=k), '{"a":1}', k, NOW + timedelta(seconds=k)) for k in range(40)]
+    events = spark.createDataFrame(rows, f"{EVENT}, {ARRIVAL}").withColumn("event_id", F.udf(seen, "string")("event_id"))
+    store = Store(spark, new_folder(spark))
+    ingest(store, events, 0, Settings(), F.lit(NOW))
+    assert store.read("raw_events").count() == 40 and read.value == 40
