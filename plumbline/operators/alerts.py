@@ -16,6 +16,11 @@ TYPES = (
 
 def alert(kind: str, severity: Column | str, message: Column, evidence: Column, field_path: Column | None = None) -> Column:
     """An alert of the row's source and event type; evidence is a struct or map."""
+    return alert_of(kind, severity, message, F.to_json(evidence), field_path)
+
+
+def alert_of(kind: str, severity: Column | str, message: Column, evidence_json: Column, field_path: Column | None = None) -> Column:
+    """alert() whose evidence is JSON already."""
     severity = F.lit(severity) if isinstance(severity, str) else severity
     field_path = F.lit(None).cast("string") if field_path is None else field_path
     return F.struct(
@@ -25,7 +30,7 @@ def alert(kind: str, severity: Column | str, message: Column, evidence: Column,
         F.col("event_type").alias("event_type"),
         field_path.alias("field_path"),
         message.alias("message"),
-        F.to_json(evidence).alias("evidence_json"),
+        evidence_json.alias("evidence_json"),
     ).cast(ALERT)
 
 
@@ -65,5 +70,6 @@ def alert_id(seq: Column, place: Column) -> Column:
 
 def exploded(processed: DataFrame) -> DataFrame:
     """One row for each alert of processed events: event columns, place in the event, alert columns, created_at."""
-    rows = processed.select("seq", "event_id", F.col("received_at").alias("created_at"), F.posexplode("alerts").alias("place", "alert"))
-    return rows.select("seq", "event_id", "place", "created_at", "alert.*")
+    # outer, as Spark else puts all detectors into a filter of the events with alerts and runs them twice
+    rows = processed.select("seq", "event_id", F.col("received_at").alias("created_at"), F.posexplode_outer("alerts").alias("place", "alert"))
+    return rows.where("alert IS NOT NULL").select("seq", "event_id", "place", "created_at", "alert.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Settings, iso_duration
 from plumbline.functions.timing import micros, to_micros
-from plumbline.operators.alerts import add, alert, where
+from plumbline.operators.alerts import alert, where
 
 
 def repeated_ids(events: DataFrame, window: float) -> DataFrame:
@@ -75,18 +75,24 @@ def payload_alert(settings: Settings) -> Column:
     return alert("DUPLICATE_EVENT", "INFO", message, evidence)
 
 
-def detect(events: DataFrame, settings: Settings, recent: DataFrame | None = None) -> DataFrame:
-    """Append duplicate alerts: first of the id, then of the payload of another event.
+def found(events: DataFrame, settings: Settings, recent: DataFrame | None = None) -> list[DataFrame]:
+    """The repeats among events: (seq, repeated_id) of repeated ids, and (seq, first_event_id) of payloads of another event.
+
+    Only ids, times and hashes are moved; the events that repeat nothing are left out.
 
     recent: (seq, event_id, received_at, payload_hash) of the events of the window before these, which came first:
     batches are to come in order of arrival. An event that came before those of an earlier batch is compared with
     them by time, but does not change what was found there.
     """
-    held = events.withColumn("__recent", F.lit(False))
+    columns = ["seq", "event_id", "received_at", F.unhex("payload_hash").alias("payload_hash")]
+    held = events.select(*columns, F.lit(False).alias("__recent"))
     if recent is not None:
-        held = held.unionByName(recent.withColumn("__recent", F.lit(True)), allowMissingColumns=True)
-    df = first_of_payload(repeated_ids(held, settings.duplicate_window), settings.duplicate_window)
-    df = df.where("NOT __recent").drop("__recent")
-    other = F.coalesce(F.col("first_event_id") != F.col("event_id"), F.lit(False))
-    found = add(df, where(F.col("repeated_id"), id_alert()), where(other, payload_alert(settings)))
-    return found.drop("repeated_id", "first_event_id")
+        held = held.unionByName(recent.select(*columns, F.lit(True).alias("__recent")))
+    ids = repeated_ids(held.drop("payload_hash"), settings.duplicate_window).where("repeated_id AND NOT __recent")
+    payloads = first_of_payload(held, settings.duplicate_window).where("first_event_id <> event_id AND NOT __recent")
+    return [ids.select("seq", "repeated_id"), payloads.select("seq", "first_event_id")]
+
+
+def detected(settings: Settings) -> list[Column]:
+    """Arrays with the alerts of events that found() has been joined to: of the id, then of the payload of another event."""
+    return [where(F.col("repeated_id"), id_alert()), where(F.col("first_event_id").isNotNull(), payload_alert(settings))]

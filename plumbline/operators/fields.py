@@ -60,13 +60,13 @@ def field_ranges(settings: Settings) -> list[Column]:
     found = []
     for name, bounds in settings.ranges.items():
         field = _field(name)
-        value = F.when(token(field) == "NUMBER", F.try_variant_get(field, "$", "double"))
+        value = F.try_variant_get(field, "$", "double")  # of text too: whether it is a number is looked at where it lies outside
         number = lambda b: F.lit(None if b is None else float(b)).cast("double")
         evidence = F.struct(
             F.lit(name).alias("field_path"), value.alias("value"), number(bounds.low).alias("min"), number(bounds.high).alias("max")
         )
         message = F.concat(F.lit(f"Field {name} out of range in "), F.col("event_type"), F.lit(" ("), _range_reason(value, bounds), F.lit(")"))
-        found.append(where(out_of_range(value, bounds), alert("FIELD_OUT_OF_RANGE", "WARN", message, evidence, F.lit(name))))
+        found.append(where(out_of_range(value, bounds) & (token(field) == "NUMBER"), alert("FIELD_OUT_OF_RANGE", "WARN", message, evidence, F.lit(name))))
     return found
 
 

@@ -128,13 +128,11 @@ def apply_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
         F.max_by("action", F.struct("at", "action")).alias("last_action"),
         F.max_by(F.struct("at", F.coalesce("by", F.lit("anonymous")).alias("by")), F.when(F.col("action") == "acknowledge", F.col("at"))).alias("ack"),
         F.max_by(F.struct("at", F.coalesce("root_cause", F.lit("")).alias("cause")), F.when(F.col("action") == "resolve", F.col("at"))).alias("res"),
+        F.bool_or(F.col("action") == "acknowledge").alias("has_ack"),
+        F.bool_or(F.col("action") == "resolve").alias("has_res"),
     )
     state = F.when(F.col("last_action") == "acknowledge", F.lit("ACKNOWLEDGED")).when(F.col("last_action") == "resolve", F.lit("RESOLVED"))
     acknowledged, resolved = F.col("has_ack"), F.col("has_res")
-    kinds = actions.groupBy(F.col("id").alias("kind_id")).agg(
-        F.bool_or(F.col("action") == "acknowledge").alias("has_ack"), F.bool_or(F.col("action") == "resolve").alias("has_res")
-    )
-    last = last.join(kinds, F.col("of_id") == F.col("kind_id")).drop("kind_id")
     kept = [c for c in alerts.columns if c not in ("status", "acknowledged_by", "acknowledged_at", "root_cause", "resolved_at")]
     joined = alerts.join(last, F.col("id") == F.col("of_id"), "left")
     return joined.select(

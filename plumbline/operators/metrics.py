@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
-from plumbline.functions import payload as P
 from plumbline.functions.timing import plus, to_micros, window_start
 from plumbline.operators.spikes import window_counts
 
@@ -22,22 +22,8 @@ def event_counts(events: DataFrame, settings: Settings) -> DataFrame:
 
 
 def null_metrics(observed: DataFrame, settings: Settings) -> DataFrame:
-    """NULL_TOTAL:field, NULL_COUNT:field and NULL_RATE:field of each source, type and window.
-
-    Only fields that are null are spread; totals are the events of the window, for each field of the type's baseline.
-    """
-    keys = ["source", "event_type", "window_start"]
-    start = window_start(F.col("event_timestamp"), settings.window_size).alias("window_start")
-    rows = observed.where("baseline IS NOT NULL").select("source", "event_type", start, F.map_from_entries("schema").alias("seen"), P.leaves(F.col("baseline")).alias("leaves"))
-    # an array of the fields has one value for a type, so that it is a key as the type is
-    totals = rows.groupBy(*keys, "leaves").agg(F.count("*").cast("double").alias("total"))
-    totals = totals.select(*keys, "total", F.explode("leaves").alias("field_path")).groupBy(*keys, "field_path").agg(F.sum("total").alias("total"))
-    empty = F.filter("leaves", lambda path: P.nullish(F.col("seen"), path))
-    nulls = rows.select(*keys, F.explode(empty).alias("field_path")).groupBy(*keys, "field_path").agg(F.count("*").cast("double").alias("n"))
-    own = [*keys, "field_path"]
-    nulls = nulls.select(*[F.col(c).alias(f"of_{c}") for c in own], "n")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in own])
-    return _three(totals.join(nulls, same, "left").select(*own, "total", F.coalesce("n", F.lit(0.0)).alias("nulls")), settings)
+    """NULL_TOTAL:field, NULL_COUNT:field and NULL_RATE:field of each source, type and window, for the fields of the type's baseline."""
+    return _three(window_sums(observed, settings).where("field_path IS NOT NULL"), settings)
 
 
 def _three(sums: DataFrame, settings: Settings) -> DataFrame:
@@ -52,28 +38,38 @@ def _three(sums: DataFrame, settings: Settings) -> DataFrame:
     return _long(rows, F.concat("prefix", "field_path"), F.col("value"), settings)
 
 
-def window_sums(observed: DataFrame, settings: Settings, watermark: str | None = None) -> DataFrame:
+def window_sums(observed: DataFrame, settings: Settings) -> DataFrame:
     """(source, event_type, window_start, field_path, total, nulls); a row without a field counts the events of the window.
 
-    Needs the columns of schemas.with_baseline(). With a watermark (a delay such as "1 hour"), on a stream: each window
-    comes once, when no event within the delay can belong to it any more; later ones are left out.
+    Needs the columns of schemas.with_baseline(). Events are counted by their fields and those that are null, which are
+    few for a type; fields are spread afterwards.
+    """
+    keys = ["source", "event_type", window_start(F.col("event_timestamp"), settings.window_size).alias("window_start")]
+    return _of_fields(observed.groupBy(*keys, "leaves", "empty").agg(F.count("*").alias("events")), "window_start")
+
+
+def streamed_sums(shaped: DataFrame, settings: Settings, watermark: str, walked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """window_sums() of a stream in append mode: each window comes once, when no event within the delay of the watermark
+    ("1 hour") can belong to it any more; later ones are left out.
+
+    shaped: events with __shape; walked adds the columns of schemas.with_baseline() to rows with event_type and __shape.
+    Events are counted by shape, so that a shape is walked through once a window and not for each event.
     """
-    rows = observed.withColumn("seen", F.map_from_entries("schema")).withColumn("leaves", P.leaves(F.col("baseline")))
+    rows = shaped.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp")).withWatermark("event_timestamp", watermark)
+    span = F.window("event_timestamp", f"{to_micros(settings.window_size)} microseconds")
+    counts = rows.groupBy(span.alias("w"), "source", "event_type", "__shape").agg(F.count("*").alias("events"))
+    sums = _of_fields(walked(counts), "w")
+    return sums.select("source", "event_type", F.col("w.start").alias("window_start"), "field_path", "total", "nulls")
+
+
+def _of_fields(counts: DataFrame, window: str) -> DataFrame:
+    """Sums of (source, event_type, window, events, leaves, empty) by field, and those of all events, without a field."""
     none = F.array(F.lit(None).cast("string"))
     fields = F.when(F.col("leaves").isNull(), none).otherwise(F.concat(none, "leaves"))
-    kept = ["source", "event_type", "event_timestamp", "seen"]
-    if watermark is not None:
-        rows = rows.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp")).withWatermark("event_timestamp", watermark)
-    rows = rows.select(*kept, F.explode(fields).alias("field_path"))
-    null = (F.col("field_path").isNotNull() & P.nullish(F.col("seen"), F.col("field_path"))).cast("double")
-    sums = [F.count("*").cast("double").alias("total"), F.sum(null).alias("nulls")]
-    keys = ["source", "event_type", "window_start", "field_path"]
-    if watermark is None:
-        rows = rows.withColumn("window_start", window_start(F.col("event_timestamp"), settings.window_size))
-        return rows.groupBy(*keys).agg(*sums)
-    span = F.window("event_timestamp", f"{to_micros(settings.window_size)} microseconds")
-    grouped = rows.groupBy(span.alias("w"), "source", "event_type", "field_path").agg(*sums)
-    return grouped.select("source", "event_type", F.col("w.start").alias("window_start"), "field_path", "total", "nulls")
+    rows = counts.select(window, "source", "event_type", "events", "empty", F.explode(fields).alias("field_path"))
+    null = F.when(F.array_contains("empty", F.col("field_path")), F.col("events")).otherwise(F.lit(0))
+    sums = [F.sum("events").cast("double").alias("total"), F.sum(null).cast("double").alias("nulls")]
+    return rows.groupBy("source", "event_type", window, "field_path").agg(*sums)
 
 
 def from_sums(sums: DataFrame, settings: Settings) -> DataFrame:
@@ -118,7 +114,7 @@ def _long(rows: DataFrame, name: Column, value: Column, settings: Settings) -> D
 
 def metric_windows(observed: DataFrame, settings: Settings) -> DataFrame:
     """All metrics; needs the columns of schemas.with_baseline()."""
-    return event_counts(observed, settings).unionByName(null_metrics(observed, settings))
+    return from_sums(window_sums(observed, settings), settings)
 
 
 def recent_windows(metrics: DataFrame, source: str, event_type: str, metric_name: str, before: Column, n: int) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
-from plumbline.functions import payload as P
 from plumbline.functions.ordered import islands
 from plumbline.functions.timing import iso_instant, micros, plus, to_micros, window_start
-from plumbline.operators.alerts import add, alert
+from plumbline.operators.alerts import alert, no_alerts
 
 #: Rows that stand for earlier batches come before all events.
 _ORDER = ["new", "received_at", "seq"]
@@ -24,13 +23,10 @@ def null_runs(observed: DataFrame, settings: Settings, before: DataFrame | None
     an older window start anew too. before: null_state() after earlier batches, whose rows come first (new = 0).
     """
     long_ = lambda n: F.lit(n).cast("long")
-    rows = observed.where("baseline IS NOT NULL").select(
+    rows = observed.where("size(leaves) > 0").select(
         F.lit(1).alias("new"), "seq", "received_at", *_KEYS, window_start(F.col("event_timestamp"), settings.window_size).alias("window_start"),
-        long_(1).alias("weight"), F.map_from_entries("schema").alias("seen"), P.leaves(F.col("baseline")).alias("leaves"),
+        long_(1).alias("weight"), F.transform("empty", lambda path: F.struct(path.alias("field_path"), long_(1).alias("n"))).alias("nulls"),
     )
-    empty = F.filter("leaves", lambda path: P.nullish(F.col("seen"), path))
-    nulls = F.transform(empty, lambda path: F.struct(path.alias("field_path"), long_(1).alias("n")))
-    rows = rows.where(F.size("leaves") > 0).withColumn("nulls", nulls).drop("seen", "leaves")
     chunk = F.floor(micros(F.col("received_at")) / to_micros(settings.order_chunk))
     if before is not None:
         own = before.select(
@@ -171,13 +167,15 @@ def _anomaly_alerts(spikes: DataFrame, settings: Settings) -> DataFrame:
     return spikes.select("seq", F.array(anomaly_alert(settings)).alias("anomaly_alerts"))
 
 
-def detect(df: DataFrame, observed: DataFrame, settings: Settings, runs: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Append to df null spike alerts (by field), then anomaly alerts, found in observed. seq must tell events apart.
+def found(observed: DataFrame, settings: Settings, runs: DataFrame | None = None, counts: DataFrame | None = None) -> list[DataFrame]:
+    """(seq, null_alerts) and (seq, anomaly_alerts) of the events with spikes. seq must tell events apart.
 
     runs: null_runs() of observed, if they are known already; counts: window_counts() of earlier batches.
     """
     nulls = _null_alerts(null_spikes(null_runs(observed, settings) if runs is None else runs, settings), settings)
-    anomalies = _anomaly_alerts(anomaly_spikes(observed, settings, counts), settings)
-    found = df.join(nulls, "seq", "left").join(anomalies, "seq", "left")
-    none = F.array().cast(found.schema["null_alerts"].dataType)
-    return add(found, F.coalesce("null_alerts", none), F.coalesce("anomaly_alerts", none)).drop("null_alerts", "anomaly_alerts")
+    return [nulls, _anomaly_alerts(anomaly_spikes(observed, settings, counts), settings)]
+
+
+def detected() -> list[Column]:
+    """Arrays with the alerts of events that found() has been joined to: null spikes by field, then anomalies."""
+    return [F.coalesce(c, no_alerts()) for c in ("null_alerts", "anomaly_alerts")]

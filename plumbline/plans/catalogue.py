@@ -392,7 +392,7 @@ def schema_drift_alerts(spark, d):
 SELECT event_type, count(*) AS versions, count(*) FILTER (status = 'DRIFTING') AS drifting, max(schema_hash) FILTER (status = 'ACTIVE') AS active_hash
 FROM versions GROUP BY event_type"""))
 def schema_drift_summary(spark, d):
-    return reads.schema_summary(schemas.versions(schemas.observe(events(spark, d))))
+    return reads.schema_summary(schemas.versions(schemas.describe(envelope.enrich(events(spark, d))).kinds))
 
 
 # --- Nulls, metrics, anomalies ------------------------------------------------------------------
@@ -565,7 +565,7 @@ def metric_search(spark, d):
 SELECT count(*) AS total, count(*) FILTER (status = 'OPEN') AS open, count(*) FILTER (status = 'ACKNOWLEDGED') AS acknowledged, count(*) FILTER (status = 'RESOLVED') AS resolved
 FROM lifecycle"""))
 def alert_stats(spark, d):
-    found = stored(_alerts(spark, d))
+    found = stored(_alerts(spark, d).select("id", "created_at"))
     return incidents.stats(incidents.apply_actions(found, _actions(found)))
 
 
@@ -575,11 +575,13 @@ SELECT id, status, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 4 = 0 THEN 'operator
   CASE WHEN id % 3 = 0 THEN created_at + INTERVAL 2 HOUR END AS resolved_at
 FROM lifecycle"""))
 def alert_lifecycle(spark, d):
-    found = stored(_alerts(spark, d))
+    found = stored(_alerts(spark, d).select("id", "created_at"))
     done = incidents.apply_actions(found, _actions(found))
     return done.select("id", "status", "acknowledged_by", "acknowledged_at", "root_cause", "resolved_at")
 
 
+#: The columns of alerts that incidents are made of.
+_OF_INCIDENTS = ("alert_type", "source", "event_type", "created_at")
 _INCIDENTS = """
 times AS (SELECT DISTINCT source, event_type, received_at AS moment FROM every_alert),
 starts AS (
@@ -595,14 +597,14 @@ grouped AS (
 
 @_query("WITH RECURSIVE " + ",\n".join(p.strip() for p in (*_PIPELINE, _INCIDENTS)) + "\nSELECT first[2] || ' on ' || source AS title, source, event_type, start AS created_at, alerts FROM grouped")
 def incident_correlation(spark, d):
-    return reads.incidents_list(incidents.incidents(incidents.correlate(stored(_alerts(spark, d)), SETTINGS.incident_window))).drop("status")
+    return reads.incidents_list(incidents.incidents(incidents.correlate(stored(_alerts(spark, d).select(*_OF_INCIDENTS)), SETTINGS.incident_window))).drop("status")
 
 
 @_query("WITH RECURSIVE " + ",\n".join(p.strip() for p in (*_PIPELINE, _INCIDENTS)) + """
 SELECT count(*) AS total, count(*) FILTER (epoch_us(start) // 1000000 % 2 = 1) AS open, 0::BIGINT AS acknowledged, count(*) FILTER (epoch_us(start) // 1000000 % 2 = 0) AS resolved FROM grouped""")
 def incident_stats(spark, d):
     """Statistics of incidents of which those opened in an even second are resolved."""
-    found = incidents.incidents(incidents.correlate(stored(_alerts(spark, d)), SETTINGS.incident_window))
+    found = incidents.incidents(incidents.correlate(stored(_alerts(spark, d).select(*_OF_INCIDENTS)), SETTINGS.incident_window))
     even = F.floor(micros(F.col("created_at")) / 1_000_000) % 2 == 0
     return incidents.stats(found.withColumn("status", F.when(even, F.lit("RESOLVED")).otherwise(F.lit("OPEN"))))
 

@@ -285,3 +285,16 @@ def test_events_are_dealt_by_number_and_not_by_type(spark):
         spark.conf.set(key, before)
     assert not re.findall(r"hashpartitioning\((?:coalesce\()?event_type#", plan)
     assert re.findall(r"hashpartitioning\(seq#", envelope.enrich(few)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_events_are_moved_whole_once_and_schemas_compared_by_kind(spark):
+    at = lambda k: NOW + timedelta(seconds=k)
+    rows = [(f"e{k}", at(k), '{"ask":1,"bid":1}' if k % 3 else '{"bid":null}', at(k)) for k in range(60)]
+    done = process(events(spark, *rows), replace(Settings(), duplicate_window=5))
+    found = done.select(F.inline("alerts")).groupBy("alert_type").count().collect()
+    assert {r["alert_type"] for r in found} == {"DUPLICATE_EVENT", "SCHEMA_DRIFT"}
+    modes = spark._jvm.org.apache.spark.sql.execution.ExplainMode
+    plan = done._jdf.queryExecution().explainString(modes.fromString("formatted"))
+    moved = [part for part in plan.split("\n\n") if ") Exchange" in part and "payload#" in part]
+    assert len(moved) == 1
+    assert "map_from_entries" not in plan  # schemas are compared for each type and shape, before

@@ -237,3 +237,11 @@ def test_a_source_is_read_once_in_an_ingest(spark):
     store = Store(spark, new_folder(spark))
     ingest(store, events, 0, Settings(), F.lit(NOW))
     assert store.read("raw_events").count() == 40 and read.value == 40
+
+
+def test_actions_are_grouped_once(spark):
+    table = spark.createDataFrame([(1, "OPEN"), (2, "OPEN")], "id long, status string")
+    actions = spark.createDataFrame([(1, "resolve", datetime(2024, 1, 1), None, "x")], "id long, action string, at timestamp, by string, root_cause string")
+    done = incidents.apply_actions(table, actions)
+    assert {(r["id"], r["status"], r["root_cause"]) for r in done.collect()} == {(1, "RESOLVED", "x"), (2, "OPEN", None)}
+    assert done._jdf.queryExecution().analyzed().toString().count("Aggregate") == 1
