@@ -16,20 +16,20 @@ def final_sums(stream: DataFrame, settings: Settings, baselines: DataFrame, dela
 
     baselines: schemas.baselines() of the types, as a table. State holds the windows of the delay.
     """
-    observed = schemas.with_baseline(schemas.observe(enrich(stream)), baselines)
-    return metrics.window_sums(observed, settings, delay)
+    return metrics.streamed_sums(schemas.shaped(enrich(stream)), settings, delay, lambda rows: schemas.with_baseline(schemas.walked(rows), baselines))
 
 
 def streamed_windows(events: DataFrame, settings: Settings, delay: str, batches: int = 3) -> DataFrame:
     """metrics.settled() of events that come in stretches of their arrival, with a restart after each."""
     spark, folder = events.sparkSession, new_folder(events.sparkSession)
-    observed = schemas.observe(enrich(events))
-    baselines = stored(schemas.baselines(observed))
-    for part in cuts(events, batches):
-        land(events.where(part), f"{folder}/input")
+    described = schemas.describe(enrich(events).drop("payload_hash"))
+    baselines = stored(schemas.baselines(described.kinds))
+    arrived = described.events.select(*events.columns)  # the source is read once
+    for part in cuts(arrived, batches):
+        land(arrived.where(part), f"{folder}/input")
         stream = spark.readStream.schema(events.schema).parquet(f"{folder}/input")
         writer = final_sums(stream, settings, baselines, delay).writeStream.option("checkpointLocation", f"{folder}/checkpoint")
         writer.option("path", f"{folder}/final").format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    sums = metrics.window_sums(schemas.with_baseline(observed, baselines), settings)
+    sums = stored(metrics.window_sums(described.with_baseline(baselines), settings))
     final = spark.read.schema("source string, event_type string, window_start timestamp, field_path string, total double, nulls double").parquet(f"{folder}/final")
     return metrics.settled(final.withColumn("window_start", final["window_start"].cast(sums.schema["window_start"].dataType)), sums)

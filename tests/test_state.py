@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Settings
 from plumbline.model import ARRIVAL, EVENT
-from plumbline.operators import alerts
+from plumbline.operators import alerts, schemas
+from plumbline.operators.envelope import enrich
 from plumbline.operators.pipeline import process
 from plumbline.sources.store import new_folder
 from plumbline.streaming import state
-from plumbline.streaming.windows import streamed_windows
+from plumbline.streaming.windows import final_sums, streamed_windows
 
 NOW = datetime(2024, 5, 1, 12, 0, 0)
 KINDS = ("DUPLICATE_EVENT", "NULL_SPIKE", "ANOMALY_SPIKE")
@@ -187,3 +188,14 @@ def test_calls_to_the_state_of_repeats_do_not_grow_with_a_batch(kind):
         assert dict(zip(found["seq"], found["first_event_id"], strict=True)) == want
     # what a window and its grace hold, at the end and at the start of each of the four batches
     assert processor.entries.calls <= 4 * 2 * (window + state.GRACE)
+
+
+def test_streamed_windows_walk_through_shapes_and_not_events(spark, tmp_path):
+    events = spark.createDataFrame([], f"{EVENT}, {ARRIVAL}")
+    events.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    baselines = schemas.baselines(schemas.describe(enrich(events)).kinds)
+    plan = final_sums(stream, Settings(), baselines, "1 minute")._jdf.queryExecution().analyzed().toString().splitlines()
+    walk = next(k for k, line in enumerate(plan) if "regexp_extract_all" in line)
+    # the events are below: they are counted by shape before a shape is walked through
+    assert any("Aggregate" in line and "__shape" in line for line in plan[walk + 1 :])
