@@ -101,21 +101,20 @@ def attach(alerts: DataFrame, open_before: DataFrame, window: float) -> tuple[Da
     source, event_type and created_at, none of which came before the incidents carried over.
     """
     last = open_before.groupBy(*_KEYS).agg(F.max_by(F.struct("id", "created_at"), F.struct("created_at", "id")).alias("l"))
-    carried = last.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("alert_type"), *_KEYS, "l.created_at", F.col("l.id").alias("carried"))
-    rows = alerts.select("id", "alert_type", *_KEYS, "created_at", F.lit(None).cast("long").alias("carried"))
-    found = stored(correlate(rows.unionByName(carried), window))
+    carried = last.select(*_KEYS, "l.created_at", F.col("l.id").alias("__carried"))
+    rows = alerts.drop("incident_id").withColumn("__carried", F.lit(None).cast("long"))
+    # alerts go as they are through joins with the few openings and incidents, and are not joined to themselves
+    found = correlate(rows.unionByName(carried, allowMissingColumns=True), window)
     opening = F.when(F.col("id").isNotNull(), F.struct("created_at", "alert_type", "id"))
-    groups = found.groupBy(*_KEYS, "incident_start").agg(F.max("carried").alias("carried"), F.min(opening).alias("first"))
+    groups = found.groupBy(*_KEYS, "incident_start").agg(F.max("__carried").alias("carried"), F.min(opening).alias("first"))
     groups = stored(groups.withColumn("incident_id", F.coalesce("carried", "first.id")))
     new = groups.where("carried IS NULL").select(
         F.col("incident_id").alias("id"), F.concat("first.alert_type", F.lit(" on "), "source").alias("title"), F.lit("OPEN").alias("status"),
         *_KEYS, F.col("incident_start").alias("created_at"),
     )
     of = groups.select(*_KEYS, "incident_start", "incident_id")
-    own = found.where("id IS NOT NULL").select(F.col("id").alias("of_alert"), *_KEYS, "incident_start")
-    named = _beside(own, of, {c: F.col(c) for c in (*_KEYS, "incident_start")}).select("of_alert", "incident_id")
-    kept = [c for c in alerts.columns if c != "incident_id"]
-    return alerts.select(*kept).join(named, F.col("id") == F.col("of_alert"), "left").drop("of_alert"), new
+    named = _beside(found.where("id IS NOT NULL"), of, {c: F.col(c) for c in (*_KEYS, "incident_start")})
+    return named.drop("__carried", "incident_start"), new
 
 
 def apply_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:

@@ -643,7 +643,7 @@ def json_ingest_alerts(spark, d):
 @_query(_with(*_PIPELINE, _BY_EVENT))
 def message_stream_alerts(spark, d):
     """Alerts of events that come as messages of a log with three partitions, in two micro-batches."""
-    folder, rows = new_folder(spark), events(spark, d)
+    folder, rows = new_folder(spark), stored(events(spark, d))
     schema = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
     for condition in cuts(rows, 2):
         some = rows.where(condition)

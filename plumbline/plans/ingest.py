@@ -63,19 +63,22 @@ def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings,
     times = {c: F.col(c).cast("timestamp").alias(c) for c in ("event_timestamp", "received_at")}
     events = envelope.enrich(valid)
     events = events.select(*[times.get(c, F.col(c)) for c in ("seq", "event_id", "source", "event_type", "event_timestamp", "received_at", "payload", "payload_hash")])
-    described = schemas.observe(events)
-    extent = described.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in times for f in (F.min, F.max)]).first()
-    if extent["min_received_at"] is None:
+    described = schemas.describe(events)
+    kinds = described.kinds  # few rows, which have the extent of the batch, its versions and its baselines
+    ends = {"first_received": F.min("first.received_at"), "last_received": F.max("last_seen_at"), "first_event": F.min("first_event_at"), "last_event": F.max("last_event_at")}
+    extents = kinds.agg(*[end.alias(name) for name, end in ends.items()])
+    extent = extents.first()
+    if extent["first_received"] is None:
         return None
     at = lambda value, back=0.0: plus(F.lit(value).cast("timestamp"), -back)
-    new = schemas.baselines(described).join(store.read("baselines", part).select("baseline_type"), "baseline_type", "left_anti")
+    new = schemas.baselines(kinds).join(store.read("baselines", part).select("baseline_type"), "baseline_type", "left_anti")
     store.write("baselines", new, part)
     baselines = store.read("baselines", part + 1)
-    observed = schemas.with_baseline(described, baselines)
+    observed = described.with_baseline(baselines)
 
-    since = at(extent["min_received_at"], settings.duplicate_window)
+    since = at(extent["first_received"], settings.duplicate_window)
     recent = store.read("raw_events", parts=_covering(store, part, "last_received", since)).where(F.col("received_at") >= since)
-    windows = at(extent["min_event_timestamp"], (settings.anomaly_windows + 1) * settings.window_size)
+    windows = at(extent["first_event"], (settings.anomaly_windows + 1) * settings.window_size)
     counts = store.read("metric_windows", parts=_covering(store, part, "last_event", windows))
     counts = counts.where((F.col("metric_name") == "EVENT_COUNT") & (F.col("window_start") >= windows))
     last = store.read("batches", part).agg(F.max("batch")).first()[0]
@@ -86,27 +89,23 @@ def process_batch(store: Store, valid: DataFrame, part: int, settings: Settings,
         null_runs=runs,
         window_counts=counts.groupBy("source", "event_type", "window_start").agg(F.sum("metric_value").cast("long").alias("events")),
     )
-    done = stored(process_observed(observed, settings, memory=memory))
+    seen = Observation()
+    done = stored(counted(process_observed(observed, settings, memory=memory), seen))
     store.write("null_runs", spikes.null_state(runs), part)
     store.write("raw_events", raw_events(done), part)
-    _write_alerts(store, done, part, at(extent["min_received_at"], settings.incident_window), settings)
-    store.write("schema_versions", _shaped(schemas.versions(described), "schema_versions"), part)
+    _write_alerts(store, done, seen.get["alerts_fired"], part, at(extent["first_received"], settings.incident_window), settings)
+    store.write("schema_versions", _shaped(schemas.versions(kinds), "schema_versions"), part)
     store.write("metric_windows", _shaped(metrics.metric_windows(observed, settings), "metric_windows"), part)
     store.write("latest_events", health.latest_events(done), part)
-    seen = Observation()
-    sums = counted(done, seen).agg(*[f(c) for c in ("received_at", "event_timestamp") for f in (F.min, F.max)]).toDF(
-        "first_received", "last_received", "first_event", "last_event"
-    )
-    sums = stored(sums)
     counters = [F.lit(seen.get[c]).cast("long").alias(c) for c in ("events_ingested", "alerts_fired")]
-    store.write("batches", _shaped(sums.select(F.lit(part).alias("batch"), F.lit(numbers).cast("long").alias("numbers"), *counters, "*"), "batches"), part)
+    store.write("batches", _shaped(extents.select(F.lit(part).alias("batch"), F.lit(numbers).cast("long").alias("numbers"), *counters, "*"), "batches"), part)
     return done
 
 
-def _write_alerts(store: Store, done: DataFrame, part: int, since: Column, settings: Settings) -> None:
-    """Write the alerts of a part with their incidents; since: incidents opened before are over for all of them."""
-    found = stored(quality_alerts(done))
-    if found.isEmpty():
+def _write_alerts(store: Store, done: DataFrame, fired: int, part: int, since: Column, settings: Settings) -> None:
+    """Write the alerts of a part, so many, with their incidents; since: incidents opened before are over for all of them."""
+    found = quality_alerts(done)
+    if not fired:
         rows, new = found, store.spark.createDataFrame([], SCHEMAS["alert_incidents"])
     else:
         held = store.read("alert_incidents", part).where((F.col("status") == "OPEN") & (F.col("created_at") >= since))

@@ -56,9 +56,9 @@ def land(events: DataFrame, folder: str) -> None:
 def stream_processed(events: DataFrame, settings: Settings, batches: int = 3, now: Column | None = None) -> Store:
     """Events written to a folder for each stretch of their arrival, streamed batch by batch: the tables that they fill."""
     spark, folder = events.sparkSession, new_folder(events.sparkSession)
-    store = None
-    for part in cuts(events, batches):
-        land(events.where(part), f"{folder}/input")
+    store, rows = None, stored(events)  # the source is read once
+    for part in cuts(rows, batches):
+        land(rows.where(part), f"{folder}/input")
         # all that has come since the last start is one batch
         stream = spark.readStream.schema(events.schema).parquet(f"{folder}/input")
         store = run(stream, folder, settings, now)

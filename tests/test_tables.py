@@ -245,3 +245,16 @@ def test_actions_are_grouped_once(spark):
     done = incidents.apply_actions(table, actions)
     assert {(r["id"], r["status"], r["root_cause"]) for r in done.collect()} == {(1, "RESOLVED", "x"), (2, "OPEN", None)}
     assert done._jdf.queryExecution().analyzed().toString().count("Aggregate") == 1
+
+
+def test_alerts_are_not_joined_to_themselves(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(k, "LATE_EVENT", "s", "t", at + timedelta(seconds=200 * k), f"m{k}", None) for k in range(4)]
+    table = spark.createDataFrame(rows, "id long, alert_type string, source string, event_type string, created_at timestamp, message string, incident_id long")
+    before = spark.createDataFrame([(99, "s", "t", at - timedelta(seconds=100))], "id long, source string, event_type string, created_at timestamp")
+    named, new = incidents.attach(table, before, 300)
+    assert {(r["id"], r["message"], r["incident_id"]) for r in named.collect()} == {(0, "m0", 99), (1, "m1", 1), (2, "m2", 1), (3, "m3", 3)}
+    assert {r["id"] for r in new.collect()} == {1, 3}
+    # no shuffle by the id of an alert
+    assert "hashpartitioning(id#" not in named._jdf.queryExecution().executedPlan().toString()
+    assert set(named.columns) == set(table.columns)
