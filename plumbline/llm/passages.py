@@ -141,6 +141,34 @@ def _once_and_more(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[counts == 1], values[counts > 1]
 
 
+def _in_order(pairs: np.ndarray) -> np.ndarray:
+    """Pairs sorted by a, then b. Sorting by a alone does, unless different pairs share it, which 64 bits hardly let happen."""
+    found = pairs[np.argsort(pairs["a"])]
+    if ((found["a"][1:] == found["a"][:-1]) & (found["b"][1:] != found["b"][:-1])).any():
+        found = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    return found
+
+
+def _as_before(found: np.ndarray) -> np.ndarray:
+    """Whether each pair but the first equals the one before."""
+    return (found["a"][1:] == found["a"][:-1]) & (found["b"][1:] == found["b"][:-1])
+
+
+def _distinct_pairs(pairs: np.ndarray) -> np.ndarray:
+    """The different pairs, sorted."""
+    found = _in_order(pairs)
+    return found[np.append(True, ~_as_before(found))] if len(found) else found
+
+
+def _pairs_once_and_more(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = _in_order(pairs)
+    if not len(found):
+        return found, found
+    starts = np.flatnonzero(np.append(True, ~_as_before(found)))
+    once = np.diff(np.append(starts, len(found))) == 1
+    return found[starts[once]], found[starts[~once]]
+
+
 def _split(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, 32-bit rests) of sorted codes."""
     of = (codes >> np.uint64(32)).astype(np.int64)
@@ -241,11 +269,20 @@ def _windows(hashes: np.ndarray, blocks: np.ndarray, window: int) -> tuple[np.nd
 
 
 def _is_in(pairs: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Whether each pair is among the others, which are sorted."""
-    if not len(of):
+    """Whether each pair is among the others, which are different and sorted."""
+    if not len(of) or not len(pairs):
         return np.zeros(len(pairs), bool)
-    at = np.minimum(np.searchsorted(of, pairs), len(of) - 1)
-    return of[at] == pairs
+    first = np.ascontiguousarray(of["a"])
+    at = np.searchsorted(first, pairs["a"])
+    found = np.zeros(len(pairs), bool)
+    # the others that share a, one after the other: one as a rule
+    left = np.flatnonzero(at < len(of))
+    while len(left):
+        left = left[first[at[left]] == pairs["a"][left]]
+        found[left] |= of["b"][at[left]] == pairs["b"][left]
+        at[left] += 1
+        left = left[~found[left] & (at[left] < len(of))]
+    return found
 
 
 def _repeated_windows(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -261,7 +298,7 @@ def _repeated_windows(chunks: DataFrame, window: int, buckets: int) -> DataFrame
         for text, blocks in zip(group.column("text").chunks, group.column("blocks").chunks, strict=True):
             texts = Texts(text)
             found += [_windows(texts.of(k), np.array(own, np.int64), window)[1] for k, own in enumerate(blocks.to_pylist())]
-        once, more = _once_and_more(np.concatenate(found))
+        once, more = _pairs_once_and_more(np.concatenate(found))
         rows = []
         for again, pairs in ((False, once), (True, more)):
             of = (pairs["a"] >> np.uint64(32)).astype(np.int64) % buckets
@@ -282,8 +319,8 @@ def _repeated_windows(chunks: DataFrame, window: int, buckets: int) -> DataFrame
     def counted(group: pa.Table) -> pa.Table:
         parts = [np.frombuffer(p, kind) for p in group.column("pairs").to_pylist()]
         again, chunk = group.column("again").to_pylist(), group.column("chunk").to_pylist()
-        every = np.sort(np.concatenate(parts))
-        twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[p for p, more in zip(parts, again, strict=True) if more]]))
+        every = _in_order(np.concatenate(parts))
+        twice = _distinct_pairs(np.concatenate([every[1:][_as_before(every)], *[p for p, more in zip(parts, again, strict=True) if more]]))
         rows = [(c, p[hit].tobytes()) for c, p in zip(chunk, parts, strict=True) if (hit := _is_in(p, twice)).any()]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 2
         return pa.table({"chunk": pa.array(columns[0], pa.int64()), "pairs": pa.array(columns[1], pa.binary())})
@@ -301,7 +338,7 @@ def _removed(chunks: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def cut(group: pa.Table, hits: pa.Table) -> pa.Table:
-        of = np.unique(np.concatenate([np.zeros(0, kind), *[np.frombuffer(p, kind) for p in hits.column("pairs").to_pylist()]]))
+        of = _distinct_pairs(np.concatenate([np.zeros(0, kind), *[np.frombuffer(p, kind) for p in hits.column("pairs").to_pylist()]]))
         rows = []
         texts = Texts(group.column("text").combine_chunks())
         for k, (doc, blocks) in enumerate(zip(group.column("doc_id").to_pylist(), group.column("blocks").to_pylist(), strict=True)):

@@ -817,3 +817,18 @@ def test_pipeline_of_odd_and_empty_tables(spark):
             assert groups.count() == 0  # a repeated row once
     check_packing(done.collect(), done.agg(F.sum("length")).first()[0])
     assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_pairs_of_hashes_that_share_a_half():
+    kind = np.dtype([("a", "<u8"), ("b", "<u8")])
+    rng = np.random.default_rng(1)
+    for halves in (2, 50, 1 << 62):
+        pairs = np.empty(3000, kind)
+        pairs["a"], pairs["b"] = rng.integers(0, halves, 3000), rng.integers(0, 40, 3000)
+        pairs[2000:] = pairs[:1000]
+        values, counts = np.unique(pairs, return_counts=True)
+        once, more = passages._pairs_once_and_more(pairs)
+        assert (once == values[counts == 1]).all() and (more == values[counts > 1]).all() and len(once) + len(more) == len(values)
+        of = passages._distinct_pairs(pairs[:500])
+        assert passages._is_in(pairs, of).tolist() == [tuple(x) in {tuple(y) for y in of.tolist()} for x in pairs.tolist()]
+    assert not len(passages._distinct_pairs(pairs[:0])) and not passages._is_in(pairs, pairs[:0]).any()
